@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import hypergeom_sf
+from ..session import cut
 from .ordered import benjamini_hochberg
 
 
@@ -57,7 +58,8 @@ def ora(query: DataFrame, gset: DataFrame, set_gene: DataFrame, *, background: D
         ((k / n) / (succ / n_all)).alias("fold"),
         hypergeom_sf("overlap", "pop", "set_size", "draws").alias("p"),
         (F.col("_supported") / k).alias("_consensus"))
-    named = benjamini_hochberg(scored).join(gset, "set_id")
+    # the set-level scores are written once: the memberships behind them are not scanned again for the ranks
+    named = benjamini_hochberg(cut(scored)).join(gset, "set_id")
     return named.withColumn("consensus", F.when(F.col("collection") == consensus_for, F.col("_consensus"))) \
         .drop("_consensus")
 
@@ -134,7 +136,7 @@ def pair_ora(query: DataFrame, gset: DataFrame, set_pair: DataFrame, *, set_gene
     n_all, succ, n = (F.col(c) for c in ("pop", "set_pairs", "draws"))
     scored = scored.select("set_id", "set_pairs", "overlap_pairs", "pop", "draws",
                            (n * succ / n_all).alias("expected"), hypergeom_sf("overlap_pairs", "pop", "set_pairs", "draws").alias("p"))
-    return benjamini_hochberg(scored).join(gset, "set_id")
+    return benjamini_hochberg(cut(scored)).join(gset, "set_id")
 
 
 def pair_hits(result: DataFrame, query: DataFrame, pairs: DataFrame) -> DataFrame:

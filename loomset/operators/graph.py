@@ -99,3 +99,25 @@ def set_distances(query: DataFrame, edges: DataFrame, set_gene: DataFrame, max_d
         seen = seen.union(front)
     return set_gene.join(seen, "gene", "left").groupBy("set_id").agg(
         F.coalesce(F.min("distance"), F.lit(-1)).alias("distance"))
+
+
+def least_reachable(edges: DataFrame, hi: str = "hi", lo: str = "lo", max_rounds: int = 60) -> DataFrame:
+    """(node, leader): the smallest node reachable along edges that always lead to a smaller node.
+
+    This is what "join the first earlier group with a related member" comes to when items are taken in
+    order: a node's leader is the least leader among its earlier relatives. Labels also jump to the label
+    of their label, so long chains settle in few rounds.
+    """
+    step = edges.select(F.col(hi).alias("node"), F.col(lo).alias("to")).distinct()
+    label = cut(step.groupBy("node").agg(F.min("to").alias("leader")))
+    before = _fingerprint(label, "node", "leader")
+    for _ in range(max_rounds):
+        via = label.withColumnRenamed("node", "to").withColumnRenamed("leader", "next")
+        through = step.join(via, "to").select("node", F.col("next").alias("leader"))
+        jump = label.join(via.withColumnRenamed("to", "leader"), "leader").select("node", F.col("next").alias("leader"))
+        label = cut(label.union(through).union(jump).groupBy("node").agg(F.min("leader").alias("leader")))
+        after = _fingerprint(label, "node", "leader")
+        if after == before:
+            return label
+        before = after
+    raise RuntimeError("leaders did not settle")

@@ -20,12 +20,19 @@ def _p_bucket(p: Column) -> Column:
     return F.when(p <= 0, F.lit(-1 << 20)).otherwise((exponent * 64 + inside).cast("long")).cast("long")
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "fdr") -> DataFrame:
-    """Step-up false discovery rate of column ``p`` over all rows.
+def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "fdr", small: int = 50_000) -> DataFrame:
+    """Step-up false discovery rate of column ``p`` over all rows of a materialised ``df``.
 
-    Equal p-values share one result, so the ranks are taken over distinct values: a value held by a third
+    The rows are counted first (``df`` should be cut or cached); a table checked to be small is ranked in one
+    window. Otherwise equal p-values share one result, so the ranks are taken over distinct values: a value held by a third
     of the rows is one counted row, and only the join back sees its copies (split by adaptive skew joins).
     """
+    n = df.count()
+    if n <= small:
+        rank = F.count(F.lit(1)).over(W.orderBy(p))  # ties share the largest rank
+        worse = W.orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
+        raw = df.withColumn("_raw", F.col(p) * n / rank)
+        return raw.withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(worse))).drop("_raw")
     values = df.groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", _p_bucket(F.col("_p")))
     up = W.orderBy("_b")
     totals = values.groupBy("_b").agg(F.sum("_c").alias("_n"))  # bounded: at most 70k buckets exist
