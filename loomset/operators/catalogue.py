@@ -25,7 +25,7 @@ def search(gset: DataFrame, set_member: DataFrame, set_gene: DataFrame, aliases:
              F.length("name").alias("o3")]
     cols = ["set_id", "name", "collection", "sources", "n_genes"]
     named = gset.join(by_member, "set_id", "left").where(
-        F.col("name").ilike(like) | (F.col("set_id") == term) | F.coalesce("_m", F.lit(False))) \
+        F.col("name").ilike(like) | (F.col("set_id").cast("string") == term) | F.coalesce("_m", F.lit(False))) \
         .select(*cols, F.lit(0).alias("o0"), *order)
     gene = aliases.where(F.upper("alias") == term.upper()).select(F.col("symbol").alias("gene"))
     held = set_gene.join(gene, "gene", "left_semi").select("set_id").distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import xml_id
-from ..schema import DIRECTED_RELATIONS
+from ..schema import UNDIRECTED_RELATIONS
 from .enrich import edges_within_sets
 from .network import up_to_tier
 
@@ -53,9 +53,8 @@ def set_graphs(set_gene: DataFrame, set_edge: DataFrame, highlight: DataFrame |
     kept = nodes.select("set_id", "gene")
     shown = set_edge.join(kept.withColumnRenamed("gene", "source"), ["set_id", "source"], "left_semi") \
         .join(kept.withColumnRenamed("gene", "target"), ["set_id", "target"], "left_semi")
-    directed = (F.col("kind") == "curated") & (
-        F.coalesce(F.try_element_at("relations", F.lit(1)), F.lit("PPrel")).isin(*DIRECTED_RELATIONS)
-        | ~F.coalesce(F.try_element_at("relations", F.lit(1)), F.lit("PPrel")).isin("GPrel", "PPI"))
+    first = F.coalesce(F.try_element_at("relations", F.lit(1)), F.lit("PPrel"))
+    directed = (F.col("kind") == "curated") & ~first.isin(*UNDIRECTED_RELATIONS)
     return nodes.select("set_id", "gene", "sources", "degree", "rank", "hit"), shown.withColumn("directed", directed)
 
 

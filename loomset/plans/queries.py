@@ -67,14 +67,14 @@ def ora_sql(members: str, wanted: str, background: str | None, min_overlap: int
 
 ORA_OUT = """SELECT set_id, name, collection, set_size, overlap, pop, draws,
   round(draws * set_size / pop, 6) AS expected, round((overlap / draws) / (set_size / pop), 6) AS fold,
-  round(p, 8) AS p, round(fdr, 8) AS fdr,
+  round(p, 6) AS p, round(fdr, 6) AS fdr,
   CASE WHEN collection = 'pathway' THEN round(sup / overlap, 6) END AS consensus FROM adj JOIN gs USING (set_id)"""
 
 
 def _ora_out(df: DataFrame) -> DataFrame:
     return df.select("set_id", "name", "collection", "set_size", "overlap", "pop", "draws",
                      F.round("expected", 6).alias("expected"), F.round("fold", 6).alias("fold"),
-                     F.round("p", 8).alias("p"), F.round("fdr", 8).alias("fdr"), F.round("consensus", 6).alias("consensus"))
+                     F.round("p", 6).alias("p"), F.round("fdr", 6).alias("fdr"), F.round("consensus", 6).alias("consensus"))
 
 
 BIG = "SELECT p_partkey AS gene FROM part WHERE p_size >= 45"
@@ -133,12 +133,12 @@ def _pair_sql(pairs: str) -> str:
   sc AS (SELECT cnt.*, pop, draws, {tail_sql('overlap_pairs', 'pop', 'set_pairs', 'draws')} AS p FROM cnt, pop WHERE overlap_pairs >= 1),
   {bh_sql('sc')}
   SELECT set_id, set_pairs, overlap_pairs, pop, draws, round(draws * set_pairs / pop, 6) AS expected,
-    round(p, 7) AS p, round(fdr, 7) AS fdr FROM adj"""
+    round(p, 6) AS p, round(fdr, 6) AS fdr FROM adj"""
 
 
 def _pair_out(df: DataFrame) -> DataFrame:
     return df.select("set_id", "set_pairs", "overlap_pairs", "pop", "draws", F.round("expected", 6).alias("expected"),
-                     F.round("p", 7).alias("p"), F.round("fdr", 7).alias("fdr"))
+                     F.round("p", 6).alias("p"), F.round("fdr", 6).alias("fdr"))
 
 
 @query("pair_ora", f"WITH {CUSTOMER_PAIR}, {PAIR_QUERY}, {_pair_sql('SELECT * FROM cp')}")
@@ -207,7 +207,6 @@ def edge_summary(t: Tables) -> DataFrame:
   SELECT 'codes' AS feed, count(*) AS rows, count(*) FILTER (WHERE ga IS NOT NULL AND gb IS NOT NULL AND ga <> gb) AS mapped_rows,
     (SELECT count(*) FROM (SELECT a AS i FROM r WHERE ga IS NULL UNION SELECT b FROM r WHERE gb IS NULL)) AS unmapped_ids FROM r""")
 def feed_report(t: Tables) -> DataFrame:
-    rows = P.line_feed(t).drop("id_b").withColumn("feed", F.lit("codes"))
     rows = t.lineitem.select(F.lit("codes").alias("feed"), P.part_gene("l_partkey").alias("id_a"),
                              P.part_gene("l_orderkey").alias("id_b"))
     return network.feed_report(network.map_feed(rows, identifiers.lookup_table(P.part_aliases(t))))
@@ -430,12 +429,12 @@ def full_unification_pairs(t: Tables) -> DataFrame:
         "set_id", "gene_a", "gene_b", joined("relations").alias("relations"), joined("sources").alias("sources"))
 
 
-@query("related_components", """WITH RECURSIVE e AS (SELECT 'C' || c_custkey AS a, 'S' || c_acctbal::BIGINT AS b FROM customer),
+@query("related_components", """WITH RECURSIVE e AS (SELECT 'C' || c_custkey AS a, 'S' || floor(c_acctbal)::BIGINT AS b FROM customer),
   bd AS (SELECT a, b FROM e UNION SELECT b, a FROM e), rc AS (SELECT a, b FROM bd UNION SELECT rc.a, bd.b FROM rc JOIN bd ON rc.b = bd.a)
   SELECT a AS node, least(a, min(b)) AS component FROM rc GROUP BY a""")
 def related_components(t: Tables) -> DataFrame:
     return graph.connected_components(t.customer.select(
-        F.concat(F.lit("C"), "c_custkey").alias("a"), F.concat(F.lit("S"), F.round("c_acctbal").cast("long")).alias("b")))
+        F.concat(F.lit("C"), "c_custkey").alias("a"), F.concat(F.lit("S"), F.floor("c_acctbal")).alias("b")))
 
 
 @query("stable_set_ids", """SELECT l_orderkey AS ord, 'ST' || upper(substr(sha1(string_agg(src || ':' || part, '|' ORDER BY src, part)), 1, 10)) AS set_id

@@ -15,8 +15,8 @@ RELATIONS = {
     "GPrel": "members of one complex or group",
     "PPI": "physical interaction from an interaction database",
 }
-# Relations drawn with a direction.
-DIRECTED_RELATIONS = ("ECrel", "PPrel", "GErel")
+# Relations drawn without a direction.
+UNDIRECTED_RELATIONS = ("GPrel", "PPI")
 # Interaction feeds that count as experimental evidence.
 EXPERIMENTAL_SOURCES = ("BioGRID", "IntAct", "MINT", "HuRI")
 # Cumulative confidence tiers, strongest first.
