@@ -175,7 +175,7 @@ def legacy_source(spark: SparkSession, gen: str, gpr: str | None, source: str) -
     if gpr:
         p = fields(lines(spark, gpr), "gene_a", "gene_b", "rel", "name").where("n_fields >= 4")
         pair = p.select(F.lit(source).alias("source"), "name", "gene_a", "gene_b", F.explode(F.split(F.trim("rel"), r"\s+")).alias("relation")).distinct()
-        seen = seen.union(p.select("name", F.col("pos") + (1 << 60)))
+        seen = seen.union(p.select("name", F.col("pos") + F.lit(1 << 55)))
     pathway = seen.groupBy("name").agg(F.min("pos").alias("pos")).select(F.lit(source).alias("source"), "name", F.lit("").alias("source_id"), "pos")
     return pathway, gene, pair
 
