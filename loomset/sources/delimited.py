@@ -319,7 +319,7 @@ def pair_table(spark: SparkSession, path: str, feed: str) -> DataFrame:
 def msigdb(spark: SparkSession, path: str) -> DataFrame:
     """(set_name, exact_source, systematic_name, collection, gene) of MSigDB JSON collections."""
     record = ("map<string,struct<geneSymbols:array<string>,exactSource:string,systematicName:string,collection:string>>")
-    rows = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", record)).alias("set_name", "r"))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", record)).alias("set_name", "r"))
     return rows.select("set_name", F.coalesce("r.exactSource", F.lit("")).alias("exact_source"),
                        F.coalesce("r.systematicName", F.lit("")).alias("systematic_name"),
                        F.coalesce("r.collection", F.lit("")).alias("collection"), F.explode_outer("r.geneSymbols").alias("gene"))

@@ -1,0 +1,279 @@
+import gzip
+import json
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomset.operators import graph, identifiers
+from loomset.plans import build as B
+from loomset.plans.service import Library
+from loomset.sources import delimited as D
+from loomset.sources import markup as M
+from loomset.sources import organisms, pathways, release
+
+
+def put(path, text):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    if path.suffix == ".gz":
+        path.write_bytes(gzip.compress(text.encode()))
+    else:
+        path.write_text(text)
+    return str(path)
+
+
+def tab(*rows):
+    return "".join("\t".join(map(str, r)) + "\n" for r in rows)
+
+
+GENES = ["TP53", "MDM2", "EGFR", "AKT1", "PTEN", "BAX", "CDK1", "ATM"]
+
+
+@pytest.fixture(scope="module")
+def land(tmp_path_factory):
+    """A tiny landed organism: every file format with the same eight genes."""
+    d = tmp_path_factory.mktemp("landed")
+    info = [("#tax_id", "GeneID", "Symbol", "LocusTag", "Synonyms", "dbXrefs", "Symbol_from_nomenclature_authority")]
+    info += [("9606", 100 + i, g, "-", f"{g}X|SHARED", f"HGNC:HGNC:{i}|Ensembl:ENSG{i}", g) for i, g in enumerate(GENES)]
+    info += [("10090", 999, "Trp53", "-", "-", "-", "-")]
+    f = {"gene_info": put(d / "gene_info.gz", tab(*info))}
+    f["hgnc"] = put(d / "hgnc.txt", tab(("hgnc_id", "symbol", "status", "alias_symbol", "prev_symbol", "entrez_id", "uniprot_ids"),
+                                       ("HGNC:1", "MDM2", "Approved", '"HDM2|hdmX"', "OLD2", "101", "Q00987"),
+                                       ("HGNC:9", "GONE", "Entry Withdrawn", "", "", "", "")))
+    f["idmapping"] = put(d / "idmapping.tab", tab(("P04637", "P53_HUMAN", "100; 7"), ("Q1", "X_HUMAN", "")))
+    f["rest"] = put(d / "rest.tsv", tab(("Entry", "Entry Name", "GeneID", "Gene Names (ordered locus)", "Gene Ontology IDs"),
+                                       ("A1", "EGFR_X", "5;102;", "", "GO:1; GO:2"), ("A2", "AKT1_X", "", "zz/AKT1X AKT1", "")))
+    kegg = d / "kegg"
+    put(kegg / "list_pathway.txt", tab(("path:hsa01", "p53 signaling pathway - Homo sapiens (human)"), ("path:hsa02", "Empty")))
+    put(kegg / "link_pathway.txt", tab(*[("path:hsa01", f"hsa:{100 + i}") for i in range(6)], ("path:hsa02", "hsa:555")))
+    put(kegg / "kgml" / "hsa01.xml", """<pathway name="path:hsa01"><entry id="1" type="gene" name="hsa:100 hsa:101"/>
+      <entry id="2" type="gene" name="hsa:102"/><entry id="3" type="group" name="undefined"><component id="1"/><component id="2"/></entry>
+      <relation entry1="1" entry2="2" type="PPrel"/><relation entry1="2" entry2="2" type="maplink"/><relation entry1="2" entry2="1" type="PCrel"/></pathway>""")
+    put(kegg / "kgml" / "broken.xml", "<pathway><entry>")
+    re_ = d / "reactome"
+    lv = [(100 + i, "R-1", "u", "Signaling by TP53", "TAS", "Homo sapiens") for i in range(7)]
+    lv += [(100 + i, "R-2", "u", "TP53 Regulates Death", "TAS", "Homo sapiens") for i in range(3)] + [(100, "R-9", "u", "Mouse", "TAS", "Mus musculus")]
+    put(re_ / "NCBI2Reactome_All_Levels.txt", tab(*lv))
+    put(re_ / "NCBI2Reactome.txt", tab(*[r for r in lv if r[1] != "R-1"]))
+    put(re_ / "ReactomePathwaysRelation.txt", tab(("R-1", "R-2"), ("R-0", "R-1")))
+    put(re_ / "reactome.homo_sapiens.interactions.tab-delimited.txt", tab(
+        ("# a", "b"), ("uniprotkb:P04637", "-", "entrezgene/locuslink:100", "x", "-", "e:101", "physical association", "reactome:R-C1"),
+        ("x", "-", "e:100|e:102", "x", "-", "e:101|e:100", "unknown", "reactome:R-R7"), ("x", "-", "e:105", "x", "-", "e:106", "association", "reactome:R-R8")))
+    put(re_ / "Complex_2_Pathway_human.txt", tab(("complex", "pathway"), ("R-C1", "R-1")))
+    f["gmt"] = put(d / "wp.gmt", tab(("P53 Signaling Pathway%WP_2026%WP1%Homo sapiens", "url", "100", "101", "102", "", "nope"), ("short", "x")))
+    gpml = """<Pathway xmlns="http://pathvisio.org/GPML/2013a" Name="p"><Comment Source="WikiPathways-description">about
+      p53</Comment><DataNode TextLabel="TP53" GraphId="a" Type="GeneProduct"><Xref ID="100"/></DataNode>
+      <DataNode TextLabel="mdm2" GraphId="b" Type="Protein" GroupRef="g1"><Xref ID=""/></DataNode>
+      <DataNode TextLabel="EGFR" GraphId="c" Type="GeneProduct" GroupRef="g1"/><DataNode TextLabel="ATP" GraphId="m" Type="Metabolite"/>
+      <Interaction><Graphics><Point GraphRef="a"/><Point GraphRef="gg" ArrowHead="mim-conversion"/></Graphics></Interaction>
+      <Group GroupId="g1" GraphId="gg"/></Pathway>"""
+    with zipfile.ZipFile(d / "gpml.zip", "w") as z:
+        z.writestr("Hs_x_WP1_9.gpml", gpml)
+        z.writestr("Hs_x_WP2_9.gpml", "<broken")
+    f["gpml"] = str(d / "gpml.zip")
+    f["obo"] = put(d / "go.obo", "format-version: 1.2\n\n[Term]\nid: GO:1\nname: root\nnamespace: biological_process\ndef: \"the root.\" [x]\n\n"
+                   "[Term]\nid: GO:2\nname: child\nnamespace: biological_process\nalt_id: GO:22\nis_a: GO:1 ! root\nrelationship: part_of GO:3 ! x\n\n"
+                   "[Term]\nid: GO:3\nname: other\nnamespace: cellular_component\nrelationship: regulates GO:1 ! no\n\n"
+                   "[Term]\nid: GO:4\nname: obsolete x\nnamespace: biological_process\nis_obsolete: true\nreplaced_by: GO:2\n\n"
+                   "[Typedef]\nid: part_of\nname: part of\n")
+    g = lambda sym, term, q="", ev="IDA": ("U", "P", sym, q, term, "r", ev, "", "P", "", "", "protein", "taxon:9606|taxon:1", "", "U")
+    f["gaf"] = put(d / "x.gaf", "!gaf-version: 2.2\n" + tab(*[g(x, "GO:22") for x in GENES[:5]], g("BAX", "GO:4"), g("ATM", "GO:2", "NOT|x"),
+                                                         g("CDK1", "GO:2", "", "ND"), g("hdm2", "GO:2", "", "IMP"), ("short", "row")))
+    f["msigdb"] = put(d / "h.all.json", json.dumps({"HALL_P53": {"geneSymbols": GENES[:6], "exactSource": "", "systematicName": "M1", "collection": "H"},
+                                                   "TINY": {"geneSymbols": ["TP53"], "systematicName": "M2", "collection": "H"}}))
+    f["msiglink"] = put(d / "c2.cp.reactome.json", json.dumps({"REACTOME_TP53": {"geneSymbols": GENES[:7] + ["nope"], "exactSource": "R-1",
+                                                                                "systematicName": "M3", "collection": "C2:CP"}}))
+    put(d / "links.txt", "protein1 protein2 combined_score\n9606.A 9606.B 901\n9606.A 9606.C 650\n9606.A 9606.Z 999\n")
+    put(d / "info.txt", tab(("#id", "name"), ("9606.A", "TP53"), ("9606.B", "MDM2"), ("9606.C", "ATM")))
+    f["string"] = (str(d / "links.txt"), str(d / "info.txt"))
+    head = ("Organism ID Interactor A", "Organism ID Interactor B", "Experimental System Type", "Entrez Gene Interactor A", "Entrez Gene Interactor B",
+            "Publication Source", "Experimental System")
+    bg = tab(head, ("9606", "9606", "physical", "100", "101", "PUBMED:1", "Two-hybrid"), ("9606", "10090", "physical", "100", "102", "P", "x"),
+             ("9606", "9606", "genetic", "100", "102", "P", "x"))
+    f["biogrid"] = put(d / "bg.tab3.txt", bg)
+    with zipfile.ZipFile(d / "bg.zip", "w") as z:
+        z.writestr("BIOGRID-ORGANISM-Mus_musculus-4.tab3.txt", tab(head))
+        z.writestr("BIOGRID-ORGANISM-Homo_sapiens-4.tab3.txt", bg)
+    f["bgzip"] = str(d / "bg.zip")
+    row = lambda a, b, ta="taxid:9606(human)", db='psi-mi:"MI:0471"(MINT)': (
+        a, b, "entrez gene/locuslink:100", "-", "-", "-", 'psi-mi:"MI:0018"(two hybrid)', "x", "pubmed:77|doi:1", ta, "taxid:9606(human)", "t", db)
+    f["mitab"] = put(d / "x.mitab", "#ID\n" + tab(row("uniprotkb:P04637", "uniprotkb:Q00987"), row("UniProtKB:P04637", "entrez gene/locuslink:102", db='x(IntAct)'),
+                                                row("uniprotkb:P04637", "chebi:1"), row("uniprotkb:P04637", "uniprotkb:Q00987", "taxid:10090")))
+    f["pairs"] = put(d / "pairs.tsv", tab(("#a", "b"), ("TP53", "ATM", "12"), ("BAX", "ATM"), ("BAX", "CDK1", "x")))
+    f["dir"] = d
+    return f
+
+
+def landed(land):
+    d = str(land["dir"])
+    return B.Landed(gene_info=land["gene_info"], hgnc=land["hgnc"], uniprot_idmapping=land["idmapping"], kegg=f"{d}/kegg", reactome=f"{d}/reactome",
+                    wikipathways_gmt=land["gmt"], wikipathways_gpml=land["gpml"], obo=land["obo"], gaf=land["gaf"],
+                    msigdb={"h.all": land["msigdb"], "c2.cp.reactome": land["msiglink"]}, string=land["string"],
+                    feeds=(("BioGRID", "biogrid", land["biogrid"]), ("IntAct", "mitab", land["mitab"]), ("HuRI", "tsv", land["pairs"])))
+
+
+@pytest.fixture(scope="module")
+def lookup(spark, land):
+    return B.alias_layers(spark, organisms.get("human"), landed(land))[0]
+
+
+def test_alias_layers(spark, lookup):
+    ask = {"tp53": "TP53", "100": "TP53", "ENSG0.3": "TP53", "P04637-2": "TP53", "P53_HUMAN": "TP53", "HGNC:1": "MDM2", "hdm2": "MDM2", "OLD2": "MDM2",
+           "Q00987": "MDM2", "shared": None, "GONE": None, "EGFRX": "EGFR"}
+    got = identifiers.resolve(spark.createDataFrame([(k,) for k in ask], "ident string"), lookup)
+    assert {r["ident"]: r["symbol"] for r in got.collect()} == ask
+
+
+def test_shared_gene_list_and_rest_layer(spark, land, tmp_path):
+    rows, ids = D.gene_info(spark, land["gene_info"], "10090")
+    assert [r["symbol"] for r in ids.collect()] == ["Trp53"]
+    assert D.enough_rows(rows, 2) and not D.enough_rows(rows, 500)
+    rows, ids = D.gene_info(spark, land["gene_info"], "9606")
+    got = D.uniprot_rest(spark, land["rest"], ids, identifiers.lookup_table(rows)).collect()
+    assert {(r["key"], r["symbol"]) for r in got} == {("A1", "EGFR"), ("EGFR_X", "EGFR"), ("A2", "AKT1"), ("AKT1_X", "AKT1")}
+    assert {r["term"] for r in D.uniprot_annotations(spark, land["rest"], "9606").collect()} == {"GO:1", "GO:2"}
+    path = put(tmp_path / "kegg_genes.tsv", tab(("eco:b1", "CDS", "1", "thrL, alt1; leader"), ("eco:b2", "CDS", "2", "hypothetical protein")))
+    rows = {(r["key"], r["symbol"], r["kind"]) for r in D.kegg_gene_list(spark, path)[0].collect()}
+    assert rows == {("THRL", "thrL", "exact"), ("B1", "thrL", "exact"), ("ALT1", "thrL", "alias"), ("B2", "b2", "exact")}
+    D.split_gene_info(spark, land["gene_info"], str(tmp_path / "split"))
+    assert spark.read.parquet(str(tmp_path / "split")).where("tax_id = '10090'").count() == 1
+
+
+def test_kegg_and_wikipathways(spark, land, lookup):
+    k = pathways.kegg(spark, f"{land['dir']}/kegg", lookup)
+    assert [r["source_id"] for r in k.pathway.collect()] == ["hsa01"] and k.gene.count() == 6
+    pairs = {(r["gene_a"], r["gene_b"], r["relation"]) for r in k.pair.collect()}
+    assert pairs == {("EGFR", "MDM2", "GPrel"), ("EGFR", "TP53", "GPrel"), ("MDM2", "TP53", "GPrel"), ("TP53", "EGFR", "PPrel"), ("MDM2", "EGFR", "PPrel"),
+                     ("EGFR", "TP53", "PPrel"), ("EGFR", "MDM2", "PPrel")}
+    w = pathways.wikipathways(spark, land["gmt"], lookup, land["gpml"])
+    assert w.pathway.first()["name"] == "P53 Signaling Pathway" and {r["gene"] for r in w.gene.collect()} == {"TP53", "MDM2", "EGFR"}
+    assert {(r["gene_a"], r["gene_b"], r["relation"]) for r in w.pair.collect()} == {
+        ("EGFR", "MDM2", "GPrel"), ("TP53", "MDM2", "ECrel"), ("TP53", "EGFR", "ECrel")}
+    text = M.gpml_descriptions(M.shred(M.gpml_archive(spark, land["gpml"]))).collect()
+    assert [(r["source_set_id"], r["description"]) for r in text] == [("WP1", "about p53")]
+
+
+def test_reactome_routing(spark, land, lookup):
+    p = pathways.reactome(spark, f"{land['dir']}/reactome", "Homo sapiens", lookup, complexes=True)
+    assert {(r["source_id"], r["name"]) for r in p.pathway.collect()} == {("R-1", "Signaling by TP53"), ("R-2", "TP53 Regulates Death")}
+    got = {(r["name"], r["gene_a"], r["gene_b"], r["relation"]) for r in p.pair.collect()}
+    # the complex goes to its pathway; the reaction to the lowest common pathway and its ancestor; BAX-CDK1 shares none
+    assert got == {("Signaling by TP53", "MDM2", "TP53", "GPrel"), ("Signaling by TP53", "MDM2", "TP53", "PPrel"), ("TP53 Regulates Death", "MDM2", "TP53", "PPrel")}
+    assert {(r["child_id"], r["parent_id"]) for r in p.parent.collect()} == {("R-2", "R-1"), ("R-1", "R-0")}
+
+
+def test_ontology_files(spark, land, lookup):
+    term, edge, alt = D.obo(spark, land["obo"])
+    assert {(r["child"], r["parent"]) for r in edge.collect()} == {("GO:2", "GO:1"), ("GO:2", "GO:3")}
+    assert [(r["alt_id"], r["term"]) for r in alt.collect()] == [("GO:22", "GO:2")]
+    rows = {r["term"]: r for r in term.collect()}
+    assert set(rows) == {"GO:1", "GO:2", "GO:3", "GO:4"} and rows["GO:4"]["obsolete"] and rows["GO:1"]["definition"] == "the root."
+    ann = D.annotations(D.gaf(spark, land["gaf"], "9606"), term, alt, lookup)
+    got = {(r["term"], r["gene"], r["evidence"]) for r in ann.collect()}
+    assert got == {("GO:2", g, "IDA") for g in GENES[:6]} | {("GO:2", "MDM2", "IMP")}
+
+
+def test_interaction_feeds(spark, land):
+    rows = lambda df: {(r["id_a"], r["id_b"], r["source"], r["pmid"], r["method"], r["score"]) for r in df.collect()}
+    assert rows(D.string_links(spark, *land["string"])) == {("TP53", "MDM2", "STRING", "", "", 901)}
+    one = {("100", "101", "BioGRID", "PUBMED:1", "Two-hybrid", 0)}
+    assert rows(D.biogrid(spark, land["biogrid"])) == one
+    assert rows(D.biogrid(spark, land["bgzip"], "9606", "Homo sapiens")) == one
+    assert rows(D.mitab(D.lines(spark, land["mitab"]))) == {("P04637", "Q00987", "MINT", "77", "two hybrid", 0), ("P04637", "102", "IntAct", "77", "two hybrid", 0)}
+    assert rows(D.pair_table(spark, land["pairs"], "HuRI")) == {("TP53", "ATM", "HuRI", "", "", 12), ("BAX", "ATM", "HuRI", "", "", 0), ("BAX", "CDK1", "HuRI", "", "", 0)}
+
+
+def test_small_readers(spark, tmp_path):
+    cur = put(tmp_path / "c.tsv", "# note\n" + tab(("name_a", "name_b", "decision", "reason"), ("A x", "B y", "merge", "same")))
+    assert [tuple(r) for r in D.curation(spark, cur).collect()] == [("A x", "B y", "merge", "same")]
+    ids = D.gene_list(spark, put(tmp_path / "l.txt", "a,b  c\n\nd")).orderBy("pos")
+    assert [r["ident"] for r in ids.collect()] == ["a", "b", "c", "d"]
+    rank = D.ranking(spark, put(tmp_path / "r.tsv", "gene\tscore\nA\t1.5\nB,2\nA\t3\nbad\n"))
+    assert [(r["gene"], r["score"]) for r in rank.orderBy("input_pos").collect()] == [("A", 1.5), ("B", 2.0), ("A", 3.0)]
+    gen = put(tmp_path / "gen", tab(("Glycolysis", "HK1", "K"), ("Glycolysis", "PFKL", "K"), ("", "X", "K")))
+    gpr = put(tmp_path / "gpr", tab(("HK1", "PFKL", "PPrel ECrel", "Glycolysis", "K"), ("A", "B", "GErel", "Only pairs", "K")))
+    p, g, pr = D.legacy_source(spark, gen, gpr, "K")
+    assert [r["name"] for r in p.orderBy("pos").collect()] == ["Glycolysis", "Only pairs"] and g.count() == 2 and pr.count() == 3
+    col = put(tmp_path / "p.col", "# c\n" + tab(("UNIQUE-ID", "NAME", "GENE-NAME", "GENE-NAME2"), ("PW1", "<i>TCA</i> cycle", "a", ""), ("PW2", "x", "b", "c")))
+    p, g = D.biocyc_columns(spark, col)
+    assert {(r["source_id"], r["name"]) for r in p.collect()} == {("PW1", "TCA cycle"), ("PW2", "x")} and g.count() == 3
+
+
+def test_nearest_ancestor_drawing(spark):
+    edges = spark.createDataFrame([("c", "b"), ("b", "a"), ("d", "a")], "child string, parent string")
+    held = spark.createDataFrame([("a",), ("b",)], "node string")
+    got = graph.nearest_ancestor(graph.with_self(graph.ancestors(edges), edges), held).collect()
+    assert {(r["child"], r["ancestor"]) for r in got} == {("c", "b"), ("b", "b"), ("d", "a")}
+
+
+def test_organism_registry(spark, tmp_path):
+    assert organisms.get("Human").key == organisms.get("9606").key == "sapiens" and organisms.get("mtu").shared_gene_info
+    with pytest.raises(KeyError):
+        organisms.get("unicorn")
+    brite = put(tmp_path / "br.keg", "+D\n!\nAProkaryotes (3)\nB  Bacteria (2)\nC  Gamma (1)\nD    abc  Alpha bacter\nAEukaryotes\nB  Animals\nC  Mammals\nD    xyz  Xeno mammal\n#\n")
+    lin = organisms.lineage_table(spark, brite)
+    assert {r["kegg"]: r["lineage"] for r in lin.collect()} == {"abc": "Prokaryotes;Bacteria;Gamma", "xyz": "Eukaryotes;Animals;Mammals"}
+    genomes = put(tmp_path / "g.tsv", tab(("gn:T1", "abc; Alpha bacter (strain)"), ("T2", "xyz; Xeno mammal"), ("T3", "no code")))
+    entries = put(tmp_path / "e.txt", "ENTRY       T1 Complete\nTAXONOMY    TAX:11\n///\nENTRY       T2\nTAXONOMY    TAX:22\n///\n")
+    rows = organisms.catalogue(spark, genomes, lin, entries, spark.createDataFrame([("22",)], "taxid string"))
+    got = {r["kegg"]: (r["taxid"], r["ncbi_group"], r["string"]) for r in rows.collect()}
+    assert got == {"abc": ("11", "Archaea_Bacteria", False), "xyz": ("22", "Mammalia", True)}
+    assert organisms.register_catalogue(rows) == 2 and organisms.get("11").name == "Alpha bacter"
+
+
+@pytest.fixture(scope="module")
+def built(spark, land, tmp_path_factory):
+    human = organisms.get("human")
+    folder = str(tmp_path_factory.mktemp("release"))
+    status = B.build_many(spark, {human: landed(land), organisms.get("rat"): B.Landed(gene_info="/nowhere")}, folder)
+    assert status["sapiens"].startswith("ok") and status["norvegicus"].startswith("failed")
+    return folder
+
+
+def test_release_and_requests(spark, built):
+    lib = Library(spark, built, "sapiens")
+    sets = {r["name"]: r for r in lib.table("gset").collect()}
+    merged = sets["P53 Signaling Pathway"]
+    assert merged["sources"] == ["KEGG", "WikiPathways"] and merged["n_genes"] == 6
+    assert "HALL_P53" in sets and "TINY" not in sets and sets["child"]["collection"] == "GO:BP"
+    eq = lib.table("msigdb_equivalent").collect()
+    assert [(r["msigdb_name"], r["jaccard"]) for r in eq] == [("REACTOME_TP53", 1.0)]
+    tiers = {(r["gene_a"], r["gene_b"]): r["tier"] for r in lib.table("ppi").collect()}
+    assert tiers[("MDM2", "TP53")] == "high" and tiers[("ATM", "TP53")] == "medium"
+    assert lib.table("string_ppi").count() == 1
+    r = lib.ora(["p04637", "hdm2", "100", "egfr", "nope"])
+    assert r["n_mapped"] == 3 and r["unmapped"] == ["nope"]
+    rows = r["results"].collect()
+    assert rows and rows[0]["genes"] == ["EGFR", "MDM2", "TP53"]
+    assert lib.pairs(["TP53", "MDM2", "EGFR"])["results"].count() >= 1
+    assert lib.pairs(["TP53", "MDM2", "ATM"], tier="high")["results"].count() >= 1
+    assert lib.search("p53").first()["name"] is not None and lib.collections().count() >= 3
+    assert lib.gene_detail("tp53")["ppi_partners"].first()["gene"] == "MDM2"
+    detail = lib.set_detail(merged["set_id"])
+    assert detail["members"].count() == 2 and detail["genes"].count() == 6
+    for kind in ("cyjs", "sbml", "sbgn"):
+        assert "TP53" in lib.map(merged["set_id"], kind, "high", ["tp53"])
+    g = lib.gsea([(x, 8.0 - i) for i, x in enumerate(GENES)], nperm=100, min_size=2)
+    assert g["results"].count() >= 1
+    with pytest.raises(ValueError):
+        lib.gsea([("TP53", 1.0)], nperm=5)
+
+
+def test_text_release_round_trip(spark, built, tmp_path):
+    lib = Library(spark, built, "sapiens")
+    t = {n: lib.table(n) for n in ("gset", "set_member", "set_gene", "set_pair", "set_link", "ppi")}
+    out = str(tmp_path / "text")
+    release.write_text(t["gset"], t["set_member"], t["set_gene"], t["set_pair"], t["set_link"], out)
+    back = release.read_text(spark, out)
+    for name, cols in (("set_gene", ["set_id", "gene", "sources"]), ("set_pair", ["set_id", "gene_a", "gene_b", "relations", "sources"])):
+        key = lambda df: sorted(map(str, df.select(*cols).collect()))
+        assert key(back[name]) == key(t[name])
+    assert {r["set_id"] for r in D.gmt(spark, f"{out}/gmt").collect()} == {r["set_id"] for r in t["gset"].collect()}
+    sup = t["ppi"].select("gene_a", "gene_b", F.explode("pathway_sets").alias("set_id"))
+    release.write_edges(t["ppi"].drop("pathway_sets"), sup, f"{out}/ppi")
+    e = {(r["gene_a"], r["gene_b"]): (r["sources"], r["n_pmids"], r["pathway_sets"]) for r in release.read_edges(spark, f"{out}/ppi").collect()}
+    assert e == {(r["gene_a"], r["gene_b"]): (r["sources"], r["n_pmids"], r["pathway_sets"] or []) for r in t["ppi"].collect()}
+    log = release.match_log_text(lib.table("match_log")).first()
+    assert log["decision"] == "accept" and log["align_ratio"] == "1.000"
+    res = release.report_text(spark.createDataFrame([(["a", "b"], 0.000123456, "x")], "genes array<string>, p double, id string"))
+    assert res.columns == ["p", "id", "genes"] and tuple(res.first()) == ("0.0001235", "x", "a,b")
