@@ -95,10 +95,13 @@ def build(spark: SparkSession, org: Species, f: Landed, *, mode: str = "guarded"
     """Release tables (names as in schema.RELEASE) plus ``stats`` of one organism."""
     lookup, gene_ids = alias_layers(spark, org, f)
     src = extract(spark, org, f, lookup, public, topology)
+    # every later stage reads these tables, so the files are parsed and resolved once
+    src = unify.Pathways(*[None if x is None else cut(x) for x in (src.pathway, src.gene, src.pair, src.parent)])
     curation = D.curation(spark, f.curation) if f.curation else None
     merged = unify.merge_pathways(src, mode=mode, organism=org.key, curation=curation)
-    set_gene, set_member = cut(merged.set_gene), merged.set_member
-    gset, links = merged.gset, merged.set_link
+    set_gene, set_member = cut(merged.set_gene), cut(merged.set_member)
+    gset, links = cut(merged.gset), merged.set_link
+    path_set, path_member, path_gene = gset, set_member, set_gene
     for described in ([S.describe_reactome(spark, f.reactome_text)] if f.reactome_text else []) + (
             [S.describe_kegg(spark, f.kegg_maps, set_member)] if f.kegg_maps else []):
         set_member = S.with_descriptions(set_member, described)
@@ -113,10 +116,10 @@ def build(spark: SparkSession, org: Species, f: Landed, *, mode: str = "guarded"
         ann = D.annotations(D.gaf(spark, f.gaf), term, alt, lookup)
         full = cut(ontology.propagate(ann, closure))
         go_set, go_member, go_gene = ontology.term_sets(full, term, ontology.merge_identical(full, term, closure))
-        go_gene = cut(go_gene)
+        go_gene, go_set = cut(go_gene), cut(go_set)
         go_member = S.with_descriptions(go_member, term.where("definition <> ''").select(
             F.col("term").alias("source_set_id"), F.col("definition").alias("description")))
-        crossed = ontology.both_ways(ontology.link_sets(go_set, go_gene, gset, set_gene))
+        crossed = ontology.both_ways(cut(ontology.link_sets(go_set, go_gene, gset, set_gene)))
         links = crossed if links is None else links.unionByName(crossed)
         gset, set_member, set_gene = gset.unionByName(go_set), set_member.unionByName(go_member), set_gene.unionByName(go_gene)
 
@@ -131,6 +134,7 @@ def build(spark: SparkSession, org: Species, f: Landed, *, mode: str = "guarded"
         if role == "link":
             tables["msigdb_equivalent"] = got[0] if "msigdb_equivalent" not in tables else tables["msigdb_equivalent"].unionByName(got[0])
         else:
+            got = [cut(x) for x in got]
             gset, set_member, set_gene = gset.unionByName(got[0]), set_member.unionByName(got[1]), set_gene.unionByName(got[2])
 
     genes = set_gene.select("gene")
@@ -140,8 +144,8 @@ def build(spark: SparkSession, org: Species, f: Landed, *, mode: str = "guarded"
             F.array_sort(F.collect_set("set_id")).alias("pathway_sets"))
         tables[name] = edges.join(sets, ["gene_a", "gene_b"], "left")
         genes = genes.union(network.neighbours(edges).select("gene"))
-    genes = genes.distinct()
-    stats = catalogue.set_stats(merged.gset, merged.set_member, merged.set_gene, pathway_pair).union(
+    genes = cut(genes.distinct())
+    stats = catalogue.set_stats(path_set, path_member, path_gene, pathway_pair).union(
         merged.matches.agg(F.count_if(F.col("decision") == "accept").cast("double").alias("v")).select(
             F.lit("related_pathway_pairs"), "v"))
     tables.update({

@@ -233,7 +233,7 @@ def built(spark, land, tmp_path_factory):
 def test_release_and_requests(spark, built):
     lib = Library(spark, built, "sapiens")
     sets = {r["name"]: r for r in lib.table("gset").collect()}
-    merged = sets["P53 Signaling Pathway"]
+    merged = sets["p53 signaling pathway"]
     assert merged["sources"] == ["KEGG", "WikiPathways"] and merged["n_genes"] == 6
     assert "HALL_P53" in sets and "TINY" not in sets and sets["child"]["collection"] == "GO:BP"
     eq = lib.table("msigdb_equivalent").collect()
