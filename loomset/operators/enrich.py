@@ -41,16 +41,15 @@ def ora(query: DataFrame, gset: DataFrame, set_gene: DataFrame, *, background: D
     if background is not None:
         member = member.join(background.select("gene").distinct(), "gene", "left_semi")
     wanted = query.select("gene").distinct().withColumn("_hit", F.lit(1))
-    universe = member.select("gene").distinct()
-    pop = universe.agg(F.count(F.lit(1)).alias("n"))
-    draws = universe.join(wanted, "gene", "left_semi").agg(F.count(F.lit(1)).alias("n"))
     hit = F.col("_hit").isNotNull()
+    universe = member.select("gene").distinct().join(wanted, "gene", "left").agg(
+        F.struct(F.count(F.lit(1)).alias("pop"), F.count_if(hit).alias("draws")).alias("u")).scalar()
     sizes = member.join(wanted, "gene", "left").groupBy("set_id").agg(
         F.count(F.lit(1)).alias("set_size"),
         F.count_if(hit).alias("overlap"),
         F.count_if(hit & (F.size("sources") >= 2)).alias("_supported"))
     tested = sizes.where(F.col("set_size").between(min_size, max_size) & (F.col("overlap") >= min_overlap))
-    scored = tested.withColumn("pop", pop.scalar()).withColumn("draws", draws.scalar())
+    scored = tested.withColumn("_u", universe).withColumn("pop", F.col("_u.pop")).withColumn("draws", F.col("_u.draws"))
     k, n_all, succ, n = (F.col(c) for c in ("overlap", "pop", "set_size", "draws"))
     scored = scored.select(
         "set_id", "set_size", "overlap", "pop", "draws",
@@ -124,7 +123,8 @@ def pair_ora(query: DataFrame, gset: DataFrame, set_pair: DataFrame, *, set_gene
              edges: DataFrame | None = None, collections=("pathway",), min_pairs: int = 5,
              min_overlap: int = 1) -> DataFrame:
     """Over-representation of the relations among the query genes in each set's wiring."""
-    pairs = tested_pairs(set_pair, gset, set_gene, edges, collections, min_pairs)
+    # three readers follow: all pairs, the hit pairs and the counts per set
+    pairs = cut(tested_pairs(set_pair, gset, set_gene, edges, collections, min_pairs))
     genes = query.select("gene").distinct()
     hits = pairs.join(genes.toDF("gene_a"), "gene_a", "left_semi").join(genes.toDF("gene_b"), "gene_b", "left_semi")
     pop = pairs.select("gene_a", "gene_b").distinct().agg(F.count(F.lit(1)).alias("n"))

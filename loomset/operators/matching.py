@@ -106,11 +106,10 @@ def related_texts(units: DataFrame) -> DataFrame:
 def best_hits(units: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """Accepted best hits before curation: source_a, name_a, shown_a, source_b, name_b, shown_b, score, ratio.
 
-    Every earlier source is searched in every later one, and each name among the later names of its own
+    ``units`` should be materialised (it is read many times). Every earlier source is searched in every later one, and each name among the later names of its own
     source (``within``: the sources where that is wanted; default all). The result names the last input
     name that shows the same text.
     """
-    units = cut(units)
     last = units.groupBy("source", "shown").agg(F.max_by("name", "pos").alias("raw"))
     # one row per (source, text): copies of a name in one source do not multiply the comparisons
     text = units.groupBy("source", "src_ord", "norm", "n").agg(

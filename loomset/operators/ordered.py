@@ -52,6 +52,19 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "fdr", small: int
     return df.join(table, df[p] == table["_p"], "left").drop("_p")
 
 
+def _slot(column: str, cuts: list[float], mark_equal: bool, base: int = 0) -> str:
+    """SQL for the place of a value among sorted cuts, as a balanced tree of comparisons (about eight per row).
+
+    The value's slot is twice the number of smaller cuts, plus one when it equals a cut and ``mark_equal``.
+    """
+    if not cuts:
+        return str(2 * base)
+    mid = len(cuts) // 2
+    left, right = _slot(column, cuts[:mid], mark_equal, base), _slot(column, cuts[mid + 1:], mark_equal, base + mid + 1)
+    here = f"WHEN {column} = {cuts[mid]!r}D THEN {2 * (base + mid) + 1} " if mark_equal else ""
+    return f"CASE {here}WHEN {column} <= {cuts[mid]!r}D THEN {left} ELSE {right} END"
+
+
 def global_position(df: DataFrame, score: str, tie: str, out: str = "pos", small: int = 100_000) -> DataFrame:
     """0-based position of every row by ``score`` descending, then ``tie`` (numeric) ascending.
 
@@ -67,12 +80,10 @@ def global_position(df: DataFrame, score: str, tie: str, out: str = "pos", small
     order = [F.desc(score), F.asc(tie)]
     if stats["n"] <= small:
         return df.withColumn(out, F.row_number().over(W.orderBy(*order)) - 1)
-    cuts = F.array(*[F.lit(float(x)) for x in sorted(set(stats["s"]))])
-    ties = F.array(*[F.lit(float(x)) for x in sorted(set(stats["t"]))])
-    below = lambda arr, v: F.size(F.filter(arr, lambda c: c < v))
-    on_cut = F.array_contains(cuts, neg)
-    placed = df.withColumn("_b", below(cuts, neg) * 2 + on_cut.cast("int")) \
-        .withColumn("_t", F.when(on_cut, below(ties, F.col(tie).cast("double"))).otherwise(F.lit(0)))
+    cuts, ties = sorted({float(x) for x in stats["s"]}), sorted({float(x) for x in stats["t"]})
+    placed = df.withColumn("_v", neg).withColumn("_w", F.col(tie).cast("double")) \
+        .withColumn("_b", F.expr(_slot("_v", cuts, True))) \
+        .withColumn("_t", F.when(F.col("_b") % 2 == 1, F.expr(_slot("_w", ties, False))).otherwise(F.lit(0))).drop("_v", "_w")
     counts = placed.groupBy("_b", "_t").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_b", "_t", F.coalesce(F.sum("_n").over(
         W.orderBy("_b", "_t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

@@ -13,6 +13,7 @@ from ..functions.rules import rules_for
 from ..schema import HIERARCHICAL_SOURCES
 from ..session import cut
 from .graph import ancestors, connected_components
+from .vocabulary import small_vocabulary, united
 from .matching import best_hits, curated, match_overlap, name_units, review, reviewed_synonyms
 
 _SEP = "\u0001"
@@ -112,11 +113,12 @@ def merge_pathways(p: Pathways, *, mode: str = "guarded", organism: str | None =
     decided by the curation table. ``legacy``: raw names and the 2012 rules of ``organism``.
     """
     p = same_key_union(p)
+    p.pathway = cut(p.pathway)
     legacy, guarded = mode == "legacy", mode == "guarded"
     rules = rules_for(organism, legacy)
-    units = name_units(p.pathway, clean=not legacy)
+    units = cut(name_units(p.pathway, clean=not legacy))
     within = units.select("source").distinct().where(~F.col("source").isin(*no_within)) if guarded else None
-    matches = curated(best_hits(units, within), list(rules.mismatches) + list(extra_mismatches), guarded)
+    matches = cut(curated(best_hits(units, within), list(rules.mismatches) + list(extra_mismatches), guarded))
     matches = matches.withColumn("decision", F.lit("accept")).withColumn("reason", F.lit(""))
     if guarded:
         same = F.lower(X.strip(F.col("shown_a"))) == F.lower(X.strip(F.col("shown_b")))
@@ -172,13 +174,13 @@ def _by(col: str):
 
 def _unified(every: DataFrame, p: Pathways, matches: DataFrame, links: bool) -> Integrated:
     owner = every.select("source", "name", "set_id")
-    set_gene = owner.join(p.gene, ["source", "name"]).groupBy("set_id", "gene").agg(
-        F.array_sort(F.collect_set("source")).alias("sources"))
+    sources = {"sources": small_vocabulary(every, F.col("source"))}
+    set_gene = united(owner.join(p.gene, ["source", "name"]), ["set_id", "gene"], {"sources": F.col("source")}, None, sources)
     set_pair = None
     if p.pair is not None:
-        set_pair = owner.join(p.pair, ["source", "name"]).groupBy("set_id", "gene_a", "gene_b").agg(
-            F.array_sort(F.collect_set("relation")).alias("relations"),
-            F.array_sort(F.collect_set("source")).alias("sources"))
+        kinds = {"relations": small_vocabulary(p.pair, F.col("relation")), **sources}
+        set_pair = united(owner.join(p.pair, ["source", "name"]), ["set_id", "gene_a", "gene_b"],
+                          {"relations": F.col("relation"), "sources": F.col("source")}, None, kinds)
     head = every.groupBy("set_id").agg(F.first("title").alias("name"), F.array_sort(F.collect_set("source")).alias("sources"))
     gset = head.select("set_id", X.strip(F.col("name")).alias("name"), F.lit("pathway").alias("collection"), "sources")
     gset = gset.join(set_gene.groupBy("set_id").agg(F.count(F.lit(1)).alias("n_genes")), "set_id", "left")

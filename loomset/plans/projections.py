@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.unify import Pathways
+from ..operators.vocabulary import small_vocabulary, united
 
 
 class Tables:
@@ -27,8 +28,8 @@ class Tables:
 
 def supplier_gene(t: Tables) -> DataFrame:
     """set_gene: the parts a supplier ships; sources are the return flags of the lines."""
-    return t.lineitem.groupBy(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("gene")).agg(
-        F.array_sort(F.collect_set("l_returnflag")).alias("sources"))
+    rows = t.lineitem.select(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("gene"), "l_returnflag")
+    return united(rows, ["set_id", "gene"], {"sources": F.col("l_returnflag")})
 
 
 def supplier_set(t: Tables) -> DataFrame:
@@ -72,15 +73,16 @@ def _customer_lines(t: Tables) -> DataFrame:
 def customer_pair(t: Tables) -> DataFrame:
     """set_pair: the (part, supplier) pairs of a customer's order lines."""
     relation = F.when(F.col("l_linestatus") == "F", "PPrel").otherwise("GPrel")
-    return _customer_lines(t).groupBy(F.col("o_custkey").alias("set_id"), F.col("p").alias("gene_a"), F.col("s").alias("gene_b")).agg(
-        F.array_sort(F.collect_set(relation)).alias("relations"),
-        F.array_sort(F.collect_set("l_returnflag")).alias("sources"))
+    rows = _customer_lines(t).select(F.col("o_custkey").alias("set_id"), F.col("p").alias("gene_a"), F.col("s").alias("gene_b"),
+                                     relation.alias("relation"), "l_returnflag")
+    return united(rows, ["set_id", "gene_a", "gene_b"], {"relations": F.col("relation"), "sources": F.col("l_returnflag")}, None,
+                  {"relations": ["GPrel", "PPrel"], "sources": small_vocabulary(t.lineitem, F.col("l_returnflag"))})
 
 
 def customer_gene(t: Tables) -> DataFrame:
-    rows = _customer_lines(t).select("o_custkey", "l_returnflag", F.explode(F.array("p", "s")).alias("gene"))
-    return rows.groupBy(F.col("o_custkey").alias("set_id"), "gene").agg(
-        F.array_sort(F.collect_set("l_returnflag")).alias("sources"))
+    rows = _customer_lines(t).select(F.col("o_custkey").alias("set_id"), "l_returnflag", F.explode(F.array("p", "s")).alias("gene"))
+    return united(rows, ["set_id", "gene"], {"sources": F.col("l_returnflag")}, None,
+                  {"sources": small_vocabulary(t.lineitem, F.col("l_returnflag"))})
 
 
 def customer_set(t: Tables) -> DataFrame:

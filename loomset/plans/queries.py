@@ -83,13 +83,13 @@ BIG = "SELECT p_partkey AS gene FROM part WHERE p_size >= 45"
 # ---------------------------------------------------------------- over-representation
 @query("ora_basic", f"WITH {SUPPLIER_GENE}, {SUPPLIER_SET}, {ora_sql('SELECT * FROM sg', BIG, None)} {ORA_OUT}")
 def ora_basic(t: Tables) -> DataFrame:
-    return _ora_out(enrich.ora(P.big_parts(t), P.supplier_set(t), P.supplier_gene(t)))
+    return _ora_out(enrich.ora(P.big_parts(t), P.supplier_set(t), cut(P.supplier_gene(t))))
 
 
 @query("ora_background", f"WITH {SUPPLIER_GENE}, {SUPPLIER_SET}, "
        + ora_sql("SELECT * FROM sg", BIG, "SELECT p_partkey AS gene FROM part WHERE p_type <> 'ECONOMY'") + f" {ORA_OUT}")
 def ora_background(t: Tables) -> DataFrame:
-    return _ora_out(enrich.ora(P.big_parts(t), P.supplier_set(t), P.supplier_gene(t), background=P.background_parts(t)))
+    return _ora_out(enrich.ora(P.big_parts(t), P.supplier_set(t), cut(P.supplier_gene(t)), background=P.background_parts(t)))
 
 
 _PICK = ("SELECT * FROM sg WHERE set_id IN (SELECT set_id FROM gs WHERE collection IN ('AMERICA','pathway') "
@@ -98,14 +98,14 @@ _PICK = ("SELECT * FROM sg WHERE set_id IN (SELECT set_id FROM gs WHERE collecti
 
 @query("ora_collection_prefix", f"WITH {SUPPLIER_GENE}, {SUPPLIER_SET}, {ora_sql(_PICK, BIG, None)} {ORA_OUT}")
 def ora_collection_prefix(t: Tables) -> DataFrame:
-    return _ora_out(enrich.ora(P.big_parts(t), P.supplier_set(t), P.supplier_gene(t), collections=["AMERICA", "pathway"]))
+    return _ora_out(enrich.ora(P.big_parts(t), P.supplier_set(t), cut(P.supplier_gene(t)), collections=["AMERICA", "pathway"]))
 
 
 @query("ora_hit_genes", f"WITH {SUPPLIER_GENE}, {SUPPLIER_SET}, {ora_sql('SELECT * FROM sg', BIG, None)} "
        "SELECT set_id, overlap, string_agg(gene::VARCHAR, ',' ORDER BY gene) AS genes FROM adj JOIN sg USING (set_id) "
        "JOIN q USING (gene) WHERE fdr <= 0.9 GROUP BY 1, 2")
 def ora_hit_genes(t: Tables) -> DataFrame:
-    sets, member = P.supplier_set(t), P.supplier_gene(t)
+    sets, member = P.supplier_set(t), cut(P.supplier_gene(t))
     found = enrich.significant(enrich.ora(P.big_parts(t), sets, member), 0.9)
     return enrich.with_genes(found, enrich.ora_hits(found, P.big_parts(t), member)).select(
         "set_id", "overlap", joined("genes").alias("genes"))
@@ -154,16 +154,16 @@ _INNER = """SELECT a.set_id, e.gene_a, e.gene_b FROM (SELECT * FROM tiered WHERE
 @query("pair_ora_with_edges", f"WITH {CUSTOMER_PAIR}, {PAIR_QUERY}, {EDGE}, {CUSTOMER_GENE}, "
        + _pair_sql(f"SELECT * FROM cp UNION {_INNER}"))
 def pair_ora_with_edges(t: Tables) -> DataFrame:
-    edges = network.up_to_tier(network.integrate(network.map_feed(P.line_feed(t), None), EXPERIMENTAL), "high")
+    edges = cut(network.up_to_tier(_edges(t), "high"))
     return _pair_out(enrich.pair_ora(P.pair_query(t), P.customer_set(t), P.customer_pair(t),
-                                     set_gene=P.customer_gene(t), edges=edges))
+                                     set_gene=cut(P.customer_gene(t)), edges=edges))
 
 
 @query("edges_within_sets", f"WITH {CUSTOMER_PAIR}, {EDGE}, {CUSTOMER_GENE}, w AS ({_INNER}) "
        "SELECT set_id, count(*) AS n_edges, min(gene_a || '-' || gene_b) AS first_edge FROM w GROUP BY 1")
 def edges_within_sets(t: Tables) -> DataFrame:
-    edges = network.up_to_tier(network.integrate(network.map_feed(P.line_feed(t), None), EXPERIMENTAL), "high")
-    return enrich.edges_within_sets(edges, P.customer_gene(t)).groupBy("set_id").agg(
+    edges = cut(network.up_to_tier(_edges(t), "high"))
+    return enrich.edges_within_sets(edges, cut(P.customer_gene(t))).groupBy("set_id").agg(
         F.count(F.lit(1)).alias("n_edges"), F.min(F.concat_ws("-", "gene_a", "gene_b")).alias("first_edge"))
 
 
@@ -278,7 +278,7 @@ def bh_adjust(t: Tables) -> DataFrame:
 
 @query("theme_cluster")
 def theme_cluster(t: Tables) -> DataFrame:
-    member = P.supplier_gene(t)
+    member = cut(P.supplier_gene(t))
     found = enrich.ora(P.big_parts(t), P.supplier_set(t), member)
     return themes.themes(cut(found), member, None, order=[F.asc("p"), F.desc("overlap"), F.asc("set_id")], alpha=1.0,
                          min_jaccard=0.13).select("set_id", "theme", "theme_leader")
@@ -356,7 +356,7 @@ def lcs_sql(a: str, b: str) -> str:
 def set_similarity_links(t: Tables) -> DataFrame:
     a, ag = P.order_sets(t, False, 4)
     b, bg = P.order_sets(t, True, 4)
-    return ontology.link_sets(a, ag, b, bg).select("set_a", "set_b", F.round("jaccard", 6).alias("jaccard"))
+    return ontology.link_sets(a, cut(ag), b, cut(bg)).select("set_a", "set_b", F.round("jaccard", 6).alias("jaccard"))
 
 
 # ---------------------------------------------------------------- names and unification
@@ -375,7 +375,7 @@ UNITS = """un AS (SELECT p_brand AS source, p_name || ' ' || lower(p_type) AS na
 
 @query("name_best_hit", f"WITH {UNITS} SELECT source_a, name_a, source_b, name_b, score, round(ratio, 6) AS ratio FROM hit")
 def name_best_hit(t: Tables) -> DataFrame:
-    return matching.best_hits(matching.name_units(P.brand_pathways(t).pathway)).select(
+    return matching.best_hits(cut(matching.name_units(P.brand_pathways(t).pathway))).select(
         "source_a", "name_a", "source_b", "name_b", F.col("score").cast("long").alias("score"), F.round("ratio", 6).alias("ratio"))
 
 
@@ -390,9 +390,14 @@ GUARDED = f"""{UNITS}, {GENES},
     WHERE CASE WHEN na + nb - k > 0 THEN k / (na + nb - k) ELSE 0 END >= 0.1 OR name_a = name_b)"""
 
 
+def _extracted(t: Tables) -> unify.Pathways:
+    p = P.brand_pathways(t)
+    return unify.Pathways(p.pathway, cut(p.gene), p.pair, None)
+
+
 @query("guarded_matches", f"WITH {GUARDED} SELECT source_a, name_a, source_b, name_b, score, round(ratio, 6) AS ratio, round(overlap, 6) AS overlap FROM mt")
 def guarded_matches(t: Tables) -> DataFrame:
-    return unify.merge_pathways(P.brand_pathways(t)).matches.select(
+    return unify.merge_pathways(_extracted(t)).matches.select(
         "source_a", "name_a", "source_b", "name_b", F.col("score").cast("long").alias("score"), F.round("ratio", 6).alias("ratio"),
         F.round("overlap", 6).alias("overlap"))
 
@@ -409,7 +414,7 @@ COMPONENTS = f"""{GUARDED}, nd AS (SELECT source_a || '|' || name_a AS a, source
 @query("integrated_sets", f"""WITH RECURSIVE {COMPONENTS}, gg AS (SELECT grp, count(DISTINCT gene) AS n_genes FROM mem JOIN pg USING (source, name) GROUP BY 1)
   SELECT set_id, title AS name, n_members, coalesce(n_genes, 0) AS n_genes FROM ids LEFT JOIN gg USING (grp)""")
 def integrated_sets(t: Tables) -> DataFrame:
-    out = unify.merge_pathways(P.brand_pathways(t))
+    out = unify.merge_pathways(_extracted(t))
     n = out.set_member.groupBy("set_id").agg(F.count(F.lit(1)).alias("n_members"))
     return out.gset.join(n, "set_id").select("set_id", "name", "n_members", "n_genes")
 
@@ -417,7 +422,7 @@ def integrated_sets(t: Tables) -> DataFrame:
 @query("full_unification", f"""WITH RECURSIVE {COMPONENTS} SELECT set_id, gene, string_agg(DISTINCT source, ',' ORDER BY source) AS sources
   FROM ids JOIN mem USING (grp) JOIN pg USING (source, name) GROUP BY 1, 2""")
 def full_unification(t: Tables) -> DataFrame:
-    return unify.merge_pathways(P.brand_pathways(t)).set_gene.select("set_id", "gene", joined("sources").alias("sources"))
+    return unify.merge_pathways(_extracted(t)).set_gene.select("set_id", "gene", joined("sources").alias("sources"))
 
 
 @query("full_unification_pairs", f"""WITH RECURSIVE {COMPONENTS} SELECT set_id, 'S' || l_suppkey AS gene_a, 'P' || l_partkey AS gene_b,
@@ -425,7 +430,7 @@ def full_unification(t: Tables) -> DataFrame:
   string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM ids JOIN mem USING (grp)
   JOIN part ON p_brand = source AND p_name || ' ' || lower(p_type) = name JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2, 3""")
 def full_unification_pairs(t: Tables) -> DataFrame:
-    return unify.merge_pathways(P.brand_pathways(t)).set_pair.select(
+    return unify.merge_pathways(_extracted(t)).set_pair.select(
         "set_id", "gene_a", "gene_b", joined("relations").alias("relations"), joined("sources").alias("sources"))
 
 
@@ -566,7 +571,7 @@ SUBGRAPH = f"""{CUSTOMER_PAIR}, {EDGE}, {CUSTOMER_GENE}, ce AS (SELECT set_id, g
 
 
 def _maps(t: Tables) -> tuple[DataFrame, DataFrame]:
-    gene = P.customer_gene(t)
+    gene = cut(P.customer_gene(t))
     wired = subgraph.set_edges(gene, P.customer_pair(t), _edges(t), "high")
     return subgraph.set_graphs(gene, wired, P.pair_query(t), max_nodes=20)
 
