@@ -1,0 +1 @@
+"""Kept empty: the operators this package covers are batch operators."""
