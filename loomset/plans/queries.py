@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..functions.ids import stable_id
 from ..operators import catalogue, enrich, graph, identifiers, matching, network, ontology, ordered, ranked, subgraph, themes, unify
 from ..session import cut
+from ..sources import pathways, release
 from . import projections as P
 from .projections import Tables
 
@@ -606,3 +607,62 @@ def hierarchy_links(t: Tables) -> DataFrame:
         .union(t.lineitem.select(F.lit("s"), line, F.col("l_suppkey") + 1000000))
     parent = t.lineitem.select(F.lit("s").alias("source"), line.alias("child_id"), F.concat(F.lit("O:"), "l_orderkey").alias("parent_id")).distinct()
     return unify.link_hierarchy(member, parent)
+
+
+@query("gmt_export", f"""WITH {SUPPLIER_GENE}, {SUPPLIER_SET} SELECT set_id, set_id || chr(9) || name || chr(9) || string_agg(gene::VARCHAR, chr(9) ORDER BY gene::VARCHAR) AS line
+  FROM gs JOIN sg USING (set_id) GROUP BY set_id, name""")
+def gmt_export(t: Tables) -> DataFrame:
+    return release.gmt_lines(P.supplier_set(t), P.supplier_gene(t))
+
+
+@query("interaction_routing", f"""WITH {CUSTOMER_PAIR}, {CUSTOMER_GENE},
+  i AS (SELECT DISTINCT 'P' || l_partkey AS gene_a, 'S' || l_suppkey AS gene_b, l_returnflag || l_linenumber AS ctx,
+    CASE WHEN l_linestatus = 'F' THEN 'PPrel' ELSE 'GErel' END AS rel FROM lineitem WHERE l_quantity >= 40),
+  cx AS (SELECT 'A' || s_suppkey AS ctx, 'N:' || s_nationkey AS sid FROM supplier),
+  pl AS (SELECT sid, gene_a, gene_b, 'GPrel' AS rel FROM i JOIN cx USING (ctx)
+    UNION SELECT 'C:' || a.set_id, gene_a, gene_b, rel FROM i JOIN cg a ON a.gene = gene_a JOIN cg b ON b.gene = gene_b AND a.set_id = b.set_id
+    WHERE ctx NOT IN (SELECT ctx FROM cx)),
+  up AS (SELECT 'C:' || c_custkey AS sid, 'N:' || c_nationkey AS anc FROM customer UNION SELECT 'C:' || c_custkey, 'C:' || c_custkey FROM customer
+    UNION SELECT 'N:' || n_nationkey, 'N:' || n_nationkey FROM nation)
+  SELECT DISTINCT anc AS source_id, gene_a, gene_b, rel AS relation FROM pl JOIN up USING (sid)""")
+def interaction_routing(t: Tables) -> DataFrame:
+    key = lambda p, c: F.concat_ws(":", F.lit(p), F.col(c).cast("string"))
+    rows = t.lineitem.where("l_quantity >= 40").select(
+        P.part_gene("l_partkey").alias("gene_a"), P.supp_gene("l_suppkey").alias("gene_b"),
+        F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("context"),
+        F.when(F.col("l_linestatus") == "F", "PPrel").otherwise("GErel").alias("relation"))
+    complexes = t.supplier.select(F.concat(F.lit("A"), F.col("s_suppkey").cast("string")).alias("complex"), key("N", "s_nationkey").alias("source_id"))
+    lowest = P.customer_gene(t).select(key("C", "set_id").alias("source_id"), "gene")
+    edges = t.customer.select(key("C", "c_custkey").alias("child"), key("N", "c_nationkey").alias("parent"))
+    nodes = edges.select("child").union(t.nation.select(key("N", "n_nationkey")))
+    return pathways.route_interactions(rows, complexes, lowest, graph.with_self(graph.ancestors(edges), nodes))
+
+
+@query("collection_equivalents", """WITH r AS (SELECT 'SET ' || l_orderkey AS nm, 'O:' || l_orderkey AS src, 'P' || l_partkey AS gene FROM lineitem WHERE l_quantity >= 10),
+  g AS (SELECT DISTINCT nm, src, gene FROM r JOIN part ON 'P' || p_partkey = gene), n AS (SELECT nm, count(*) AS n FROM g GROUP BY 1),
+  ow AS (SELECT DISTINCT o_custkey AS set_id, 'P' || l_partkey AS gene FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  no AS (SELECT set_id, count(*) AS m FROM ow GROUP BY 1), h AS (SELECT DISTINCT nm, o_custkey AS set_id FROM r JOIN orders ON src = 'O:' || o_orderkey),
+  k AS (SELECT h.nm, count(*) AS k FROM h JOIN g USING (nm) JOIN ow ON ow.set_id = h.set_id AND ow.gene = g.gene GROUP BY 1)
+  SELECT nm AS msigdb_name, 'M' || substr(nm, 5) AS systematic_name, 'C2' AS collection, set_id, round(coalesce(k, 0) / (coalesce(n, 0) + m - coalesce(k, 0)), 4) AS jaccard
+  FROM h LEFT JOIN n USING (nm) LEFT JOIN no USING (set_id) LEFT JOIN k USING (nm)""")
+def collection_equivalents(t: Tables) -> DataFrame:
+    order = F.col("l_orderkey").cast("string")
+    rows = t.lineitem.where("l_quantity >= 10").select(
+        F.concat(F.lit("SET "), order).alias("set_name"), F.concat(F.lit("O:"), order).alias("exact_source"), F.concat(F.lit("M"), order).alias("systematic_name"),
+        F.lit("C2").alias("collection"), P.part_gene("l_partkey").alias("gene"))
+    member = t.orders.select(F.col("o_custkey").alias("set_id"), F.concat(F.lit("O:"), F.col("o_orderkey").cast("string")).alias("source_set_id"))
+    owned = P.customer_gene(t).where(F.col("gene").startswith("P"))
+    lookup = cut(identifiers.lookup_table(P.part_aliases(t)))
+    return pathways.msigdb_sets(rows, lookup, "link", member, owned)[0]
+
+
+@query("review_decisions", f"""WITH {UNITS}, cur AS (SELECT DISTINCT 'cold ' || substr(name, 5) AS x, name AS y, CASE WHEN name LIKE '%promo' THEN 'merge' ELSE 'separate' END AS d FROM un WHERE name LIKE 'old %'),
+  dec AS (SELECT source_a, name_a, source_b, name_b, CASE WHEN name_a = name_b OR d = 'merge' THEN 'accept' WHEN d IS NULL THEN 'pending' ELSE 'reject' END AS decision
+    FROM hit LEFT JOIN cur ON least(name_a, name_b) = x AND greatest(name_a, name_b) = y)
+  SELECT * FROM dec""")
+def review_decisions(t: Tables) -> DataFrame:
+    units = cut(matching.name_units(P.brand_pathways(t).pathway))
+    old = units.where("name LIKE 'old %'").select("name").distinct()
+    reviewed = old.select(F.concat(F.lit("cold "), F.substring("name", 5, 100)).alias("name_a"), F.col("name").alias("name_b"),
+                          F.when(F.col("name").endswith("promo"), "merge").otherwise("separate").alias("decision"), F.lit("").alias("reason"))
+    return matching.review(matching.best_hits(units), reviewed).select("source_a", "name_a", "source_b", "name_b", "decision")
