@@ -144,7 +144,7 @@ def merge_pathways(p: Pathways, *, mode: str = "guarded", organism: str | None =
         title = X.integrated_name(F.col("short"))
     names = member.groupBy("group").agg(short.alias("short")).select("group", title.alias("title"))
     if legacy and organism == "musculus":  # components that end up with one name are one set
-        names = names.withColumn("merged", F.min("group").over(_by("title")))
+        names = names.join(names.groupBy("title").agg(F.min("group").alias("merged")), "title")
         member = member.join(names, "group").drop("group").withColumnRenamed("merged", "group")
     else:
         member = member.join(names, "group")
@@ -166,12 +166,6 @@ def merge_pathways(p: Pathways, *, mode: str = "guarded", organism: str | None =
     return _unified(every, p, matches, links=not legacy)
 
 
-def _by(col: str):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(col)
-
-
 def _unified(every: DataFrame, p: Pathways, matches: DataFrame, links: bool) -> Integrated:
     owner = every.select("source", "name", "set_id")
     sources = {"sources": small_vocabulary(every, F.col("source"))}
