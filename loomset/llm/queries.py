@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact
+from . import exact, personal, secrets, sqltext
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,72 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY t)""")
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+# The letters of the keywords in either case, spelled out.
+_ASSIGN = (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"""
+           r"""[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+_SECRETS = [("assign", _ASSIGN, "length(regexp_extract({m}, '" + _ASSIGN.replace("'", "''") + "', 2)) >= 6"),
+            ("access", "AKIA[A-Z0-9]+", "length({m}) >= 20"), ("hex", "[0-9a-f]{24,}", "true"),
+            *[(r.kind, r.pattern, "true") for r in secrets.RULES[3:]]]
+_SECRET_PIECES = ", ".join(sqltext.pieces(k, p) for k, p, _ in _SECRETS)
+_SECRET_LISTS = ", ".join(f"{sqltext.span_list(k, i, keep)} AS {k}_list" for i, (k, _, keep) in enumerate(_SECRETS))
+
+
+@query("op2_secret_scan", f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, {_SECRET_PIECES} FROM d),
+f AS (SELECT doc_id, {_SECRET_LISTS} FROM p)
+SELECT doc_id, len(assign_list) AS n_assign, len(access_list) AS n_access, len(hex_list) AS n_hex,
+       sha256({sqltext.joined("list_concat(assign_list, list_concat(access_list, hex_list))")}) AS base_sha256,
+       {sqltext.joined("flatten([" + ", ".join(f"{k}_list" for k, _, _ in _SECRETS) + "])")} AS spans
+FROM f""")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(table(spark, sf_dir, "documents"))
+
+
+_PERSONAL = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+             ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+              r"regexp_matches({m}, '^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(\.0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$')"),
+             ("card", r"[0-9]([\x20-]?[0-9])+", "length(regexp_replace({m}, '[^0-9]', '', 'g')) BETWEEN 12 AND 19 AND "
+              "list_sum(list_transform(range(1, length(regexp_replace({m}, '[^0-9]', '', 'g')) + 1), lambda j: "
+              "CASE WHEN j % 2 = 1 THEN reverse(regexp_replace({m}, '[^0-9]', '', 'g'))[j]::INT "
+              "ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][reverse(regexp_replace({m}, '[^0-9]', '', 'g'))[j]::INT + 1] END)) % 10 = 0"),
+             ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace({m}, '[^0-9]', '', 'g')) BETWEEN 9 AND 15")]
+_PERSONAL_PIECES = ", ".join(sqltext.pieces(k, p) for k, p, _ in _PERSONAL)
+_PERSONAL_LISTS = ", ".join(f"{sqltext.span_list(k, i, keep)} AS {k}_list" for i, (k, _, keep) in enumerate(_PERSONAL))
+_AROUND = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op7_personal_data", f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, t, {_PERSONAL_PIECES} FROM d),
+f AS MATERIALIZED (SELECT doc_id, t, {_PERSONAL_LISTS} FROM p),
+b AS MATERIALIZED (SELECT doc_id, t, list_concat(list_concat(email_list, ip_list), list_concat(card_list, phone_list)) AS base FROM f),
+x AS (SELECT doc_id, t, base, unnest(base) AS q FROM b),
+y AS (SELECT doc_id, base, q.k || ':' || lower(substr(t, q.s + 1, q.e - q.s)) AS entity, q.s AS s, q.e AS e,
+      greatest(0, q.s - 80) AS low, substr(t, greatest(0, q.s - 80) + 1, q.s - greatest(0, q.s - 80)) AS before_text,
+      substr(t, q.e + 1, 80) AS after_text FROM x),
+z AS (SELECT *, {sqltext.pieces("bw", _AROUND, "before_text")}, {sqltext.pieces("aw", _AROUND, "after_text")} FROM y),
+v AS (SELECT *, {sqltext.span_list("bw", 0)} AS bl, {sqltext.span_list("aw", 0)} AS al FROM z),
+n AS (SELECT doc_id, base, entity, unnest(list_concat(
+        list_transform(list_filter(bl, lambda w: w.s > 0 OR low = 0), lambda w: {{'s': w.s + low, 'e': w.e + low, 'w': substr(before_text, w.s + 1, w.e - w.s)}}),
+        list_transform(list_filter(al, lambda w: w.e < 80), lambda w: {{'s': w.s + v.e, 'e': w.e + v.e, 'w': substr(after_text, w.s + 1, w.e - w.s)}}))) AS m
+      FROM v),
+near AS MATERIALIZED (SELECT doc_id, entity, {_LOWER.format("m.w")} AS term, m.s AS s, m.e AS e FROM n
+      WHERE m.e - m.s > 1 AND len(list_filter(base, lambda p: p.s < m.e AND m.s < p.e)) = 0),
+total AS (SELECT count(*)::DOUBLE AS n FROM d),
+pairs AS (SELECT entity, term, count(DISTINCT doc_id) AS df_both FROM near GROUP BY ALL),
+entities AS (SELECT entity, count(DISTINCT doc_id) AS df_entity FROM y GROUP BY ALL),
+terms AS (SELECT term, count(*) AS df_term FROM (SELECT DISTINCT doc_id,
+          unnest(regexp_extract_all({_LOWER.format("t")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM d) GROUP BY ALL),
+telling AS (SELECT entity, term, (ln(n) + ln(df_both) - ln(df_entity) - ln(df_term)) / nullif(ln(n) - ln(df_entity), 0) AS share
+            FROM pairs JOIN terms USING (term) JOIN entities USING (entity), total),
+marks AS (SELECT doc_id, s, e, max(share) AS share FROM near JOIN telling USING (entity, term) WHERE share >= 0.85 GROUP BY ALL),
+lists AS (SELECT doc_id, list(CASE WHEN share >= 0.95 THEN {{'s': s, 'r': 5, 'e': e, 'k': 'remove'}}
+          ELSE {{'s': s, 'r': 4, 'e': e, 'k': 'general'}} END) AS marks FROM marks GROUP BY ALL)
+SELECT f.doc_id, len(email_list) AS n_email, len(ip_list) AS n_ip, len(card_list) AS n_card, len(phone_list) AS n_phone,
+       sha256({sqltext.joined("b.base")}) AS base_sha256,
+       {sqltext.joined("list_concat(b.base, coalesce(marks, []))")} AS spans
+FROM f JOIN b USING (doc_id) LEFT JOIN lists ON lists.doc_id = f.doc_id""")
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_digests(table(spark, sf_dir, "documents"))
