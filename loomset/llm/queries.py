@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, personal, secrets, sqltext
+from . import exact, licences, personal, secrets, sqltext
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,54 @@ SELECT f.doc_id, len(email_list) AS n_email, len(ip_list) AS n_ip, len(card_list
 FROM f JOIN b USING (doc_id) LEFT JOIN lists ON lists.doc_id = f.doc_id""")
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_digests(table(spark, sf_dir, "documents"))
+
+
+
+
+_TEMPLATES = licences.BASE + licences.MORE + licences.SPDX
+_LICENCE_WORDS = ", ".join(f"'{x}'" for x in sorted({x for t in _TEMPLATES for x in t.words}))
+_PAD = max(len(t.words) for t in _TEMPLATES)
+
+
+def _stands_sql(phrase: tuple[str, ...], offset: int) -> str:
+    return " AND ".join(f"coalesce(w[s + {_PAD + 1 + offset + i}] = '{x}', false)" for i, x in enumerate(phrase))
+
+
+def _shares_sql(t: licences.Template) -> str:
+    """List of {s, share} for the starts (from 0) where what must stand does."""
+    must = t.key or t.words
+    at = next(i for i in range(len(t.words)) if t.words[i:i + len(must)] == must)
+    share = " + ".join(f"coalesce(w[s + {_PAD + 1 + i}] = '{x}', false)::INT" for i, x in enumerate(t.words))
+    return (f"list_transform(list_filter(range({-at}, n), lambda s: {_stands_sql(must, at)}), "
+            f"lambda s: {{'s': s, 'share': ({share}) / {len(t.words)}}})")
+
+
+def _t(i: int) -> str:
+    return f"t{i}"
+
+
+_BASE_PLACES = "flatten([" + ", ".join(f"list_transform({_t(i)}, lambda x: x.s)" for i in range(len(licences.BASE))) + "])"
+_BASE_LABELS = ", ".join(f"CASE WHEN len({_t(i)}) > 0 THEN '{t.label}' END" for i, t in enumerate(licences.BASE))
+_ALL_LABELS = ", ".join(f"CASE WHEN coalesce(list_max(list_transform({_t(i)}, lambda x: x.share)), 0) >= {licences.AT_LEAST} "
+                        f"THEN '{t.label}' END" for i, t in enumerate(_TEMPLATES))
+_SCORE = ", ".join(f"coalesce(list_max(list_transform({_t(i)}, lambda x: x.share)), 0.0::DOUBLE)" for i in range(len(_TEMPLATES)))
+
+
+def _labels_sql(items: str) -> str:
+    return f"array_to_string(list_sort(list_distinct(list_filter([{items}], lambda x: x IS NOT NULL))), ',')"
+
+
+@query("op3_licence_scan", f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+           FROM documents),
+k AS (SELECT doc_id, w, list_transform(w, lambda x: list_contains([{_LICENCE_WORDS}], x)) AS known FROM d),
+m AS (SELECT doc_id, len(w) AS n, list_concat(list_transform(range({_PAD}), lambda i: NULL::VARCHAR),
+        list_transform(range(1, len(w) + 1), lambda i: CASE WHEN known[i] AND ((i > 1 AND known[i - 1]) OR coalesce(known[i + 1], false))
+        THEN w[i] END)) AS w FROM k),
+s AS (SELECT doc_id, n, {", ".join(f"{_shares_sql(t)} AS {_t(i)}" for i, t in enumerate(_TEMPLATES))} FROM m)
+SELECT doc_id, n AS n_words, len({_BASE_PLACES}) AS n_base, list_min({_BASE_PLACES}) AS first_word,
+       list_max({_BASE_PLACES}) AS last_word, {_labels_sql(_BASE_LABELS)} AS base_labels, {_labels_sql(_ALL_LABELS)} AS labels,
+       greatest({_SCORE}) AS score
+FROM s""")
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_digests(table(spark, sf_dir, "documents"))
