@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, licences, personal, secrets, sqltext
+from . import contamination, exact, licences, personal, secrets, sqltext
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,24 @@ SELECT doc_id, n AS n_words, len({_BASE_PLACES}) AS n_base, list_min({_BASE_PLAC
 FROM s""")
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_digests(table(spark, sf_dir, "documents"))
+
+
+_LOW_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op5_decontamination", f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_LOW_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_LOW_WORDS} AS w FROM benchmark),
+win AS MATERIALIZED (SELECT DISTINCT item_id, least(10, len(w)) AS n,
+        array_to_string(list_slice(w, s, s + least(10, len(w)) - 1), ' ') AS win
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS s FROM i WHERE len(w) > 0)),
+p AS (SELECT doc_id, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') AS win
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM win))),
+h AS MATERIALIZED (SELECT doc_id, s, n, item_id FROM p JOIN win USING (n, win)),
+c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS q FROM h) GROUP BY ALL),
+t AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM h GROUP BY ALL)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, len(coalesce(items, [])) AS n_items,
+       sha256(array_to_string(coalesce(items, []), ',')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
