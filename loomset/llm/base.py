@@ -93,12 +93,18 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(where)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def cut(self, df: DataFrame, **options) -> DataFrame:
-        """Write ``df`` and read it back: cuts lineage and gives the planner a size."""
+    def folder(self) -> str:
+        """A fresh path, removed when the JVM ends."""
         where = f"{self.root}/llm-{uuid.uuid4().hex}"
-        df.write.options(**options).parquet(where)
         path, fs = self._path(where)
+        fs.mkdirs(path)
         fs.deleteOnExit(path)
+        return where
+
+    def cut(self, df: DataFrame, **options) -> DataFrame:
+        """Write ``df`` and read it back: cuts lineage and gives the planner a size."""
+        where = f"{self.folder()}/t"
+        df.write.options(**options).parquet(where)
         out = self.spark.read.schema(T.StructType.fromJson(df.schema.jsonValue())).parquet(where)
         out._scratch = where
         return out
