@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, exact, language, licences, personal, secrets, sqltext, tokens
+from . import contamination, exact, language, licences, personal, secrets, similar, sqltext, tokens
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_token_ids")
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op6_near_duplicates")
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.near_duplicates(table(spark, sf_dir, "documents"))
