@@ -28,6 +28,14 @@ def only(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in types.items()])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the input does not use."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to lower case, everything else unchanged; pure ASCII takes the quick built-in."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(

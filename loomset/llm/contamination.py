@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, only, words
+from .base import Scratch, fresh, only, words
 
 WINDOW = 10
 SHINGLE = 3
@@ -35,7 +35,7 @@ def _positions(docs: DataFrame, q: int) -> DataFrame:
 
 
 def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per input row: doc_id, n_words, ``hits`` (start, n) of windows in it, ``items`` (ids as text, sorted).
+    """One row per input row: doc_id, h (SHA-256 of the text), n_words, ``hits`` (start, n), ``items`` (ids as text, sorted).
 
     A window is a set of positioned three-word shingles (of fewer words, if it has fewer). It occurs only where all of
     them do, so the prefix that containment makes necessary is one shingle: the rarest over all texts. A window with a
@@ -81,7 +81,7 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_
     hit = F.when(F.col("start").isNotNull(), F.struct("start", "n"))
     whole = met.groupBy("doc_id", "h").agg(F.max("n_words").cast("bigint").alias("n_words"), F.sum("copies").alias("copies"),
                                            F.array_sort(F.collect_set(hit)).alias("hits"), F.array_sort(F.collect_set("item")).alias("items"))
-    return whole.select("doc_id", "n_words", "hits", "items", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    return whole.select("doc_id", "h", "n_words", "hits", "items", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, **options) -> DataFrame:
@@ -99,6 +99,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, **opt
 
 
 def without_benchmarks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The input rows without any benchmark window, with all their columns; ids must be unique here."""
-    bad = contamination(docs, items, window).where("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The input rows without any benchmark window, with all their columns.
+
+    Rows are matched by id and text, so null and repeated ids are judged by their own text.
+    """
+    id_, h = fresh(docs, "_bad_id"), fresh(docs, "_bad_text")
+    bad = find_windows(docs, items, window).where(F.size("hits") > 0).select(F.col("doc_id").alias(id_), F.col("h").alias(h)).distinct()
+    text = F.unhex(F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256))
+    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad[id_]) & (text == bad[h]), "left_anti")

@@ -97,10 +97,3 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK, fingerprint: Callable[
                            "group_size")
     return named.join(groups, ["n_blocks", "name"]).select(
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
-
-
-def without_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The input rows that stay, with all their columns; ids must be unique here."""
-    stay = exact_duplicates(docs, block).where("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_keep"]), "left_semi")
-

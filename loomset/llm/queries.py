@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, exact, language, licences, personal, secrets, similar, sqltext, tokens
+from . import contamination, exact, language, licences, mixing, personal, quality, secrets, similar, sqltext, tokens
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,24 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_near_duplicates")
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_source_mixing", f"""
+WITH s AS (SELECT source, sum(length(coalesce(text, '')) + 1)::BIGINT AS size FROM documents GROUP BY ALL),
+w AS (SELECT source, size, pow(size, {mixing.TEMPERATURE}) AS weight FROM s),
+r AS (SELECT source, round((SELECT sum(size) FROM w) * weight / ((SELECT sum(weight) FROM w) * size), 9) AS rate FROM w),
+k AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 20)::BIGINT + 1)) AS k FROM r),
+c AS (SELECT source, rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS below FROM k),
+l AS (SELECT source, rate, list(below) AS cdf FROM c GROUP BY ALL),
+d AS (SELECT doc_id, source, rate, len(list_filter(cdf, lambda x:
+        ('0x' || substr(md5('{mixing.SEED}:' || doc_id::VARCHAR), 1, 13))::BIGINT / {float(1 << 52)} >= x)) AS n
+      FROM documents JOIN l USING (source))
+SELECT doc_id, source, copy, rate, md5('order:{mixing.SEED}:' || doc_id::VARCHAR || ':' || copy::VARCHAR) AS shuffle_key
+FROM (SELECT doc_id, source, rate, unnest(range(1, n + 1)) AS copy FROM d)""")
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .base import Scratch, only
+from .base import Scratch, fresh, only
 
 WORDS = 5
 # Similarity 0.75 as integers: linked when 7 * both >= 3 * (size + size).
@@ -141,20 +141,20 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for every document, and at the end the task's shingle counts in chunks of the sketch."""
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     mask = np.uint64((1 << SKETCH_BITS) - 1)
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
-    names = ["row", "doc_id", "size", "digest", "chunk", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+    names = ["row", "doc_id", "h", "size", "digest", "chunk", "counts"]
     for batch, sets in _rows(batches):
         if sets:
             counts += np.bincount(np.concatenate(sets) & mask, minlength=len(counts))
         n = len(sets)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("doc_id"), pa.array([len(s) for s in sets], kinds[2]),
-             pa.array([digest(s) if len(s) else None for s in sets], kinds[3]), pa.nulls(n, kinds[4]), pa.nulls(n, kinds[5])], names)
+            [batch.column("row"), batch.column("doc_id"), batch.column("h"), pa.array([len(s) for s in sets], kinds[3]),
+             pa.array([digest(s) if len(s) else None for s in sets], kinds[4]), pa.nulls(n, kinds[5]), pa.nulls(n, kinds[6])], names)
     width = len(counts) // SKETCH_CHUNKS
     used = [c for c in range(SKETCH_CHUNKS) if counts[c * width:(c + 1) * width].any()]
     yield pa.RecordBatch.from_arrays(
-        [pa.nulls(len(used), k) for k in kinds[:4]] + [pa.array(used, kinds[4]), pa.array(
-            [_squeeze(counts[c * width:(c + 1) * width]) for c in used], kinds[5])], names)
+        [pa.nulls(len(used), k) for k in kinds[:5]] + [pa.array(used, kinds[5]), pa.array(
+            [_squeeze(counts[c * width:(c + 1) * width]) for c in used], kinds[6])], names)
 
 
 def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,8 +425,12 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return laid.mapInArrow(_verify, "a binary, b binary").distinct()
 
 
+def _text_key(text):
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
 def near_components(docs: DataFrame) -> DataFrame:
-    """One row per input row: row, doc_id, n_shingles, component (smallest class of what it is linked with), component_id.
+    """One row per input row: row, doc_id, h (SHA-256 of the text), n_shingles, component, component_id.
 
     Sets are distinct five-word shingles as 64-bit hashes; two link when 100 both >= 75 either. Equal sets are one class
     (128-bit name). 1. One pass names the sets and counts all shingles in a sketch of fixed size. 2. A second orders
@@ -444,8 +448,9 @@ def near_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     text = only(docs, doc_id="bigint", text="string").withColumn("row", F.monotonically_increasing_id())
-    first = scratch.cut(text.mapInArrow(_first_pass, "row bigint, doc_id bigint, size int, digest binary, chunk int, counts binary"))
-    rows = first.where("row IS NOT NULL").select("row", "doc_id", "size", "digest")
+    hashed = text.select("row", "doc_id", "text", _text_key(F.col("text")).alias("h"))
+    first = scratch.cut(hashed.mapInArrow(_first_pass, "row bigint, doc_id bigint, h binary, size int, digest binary, chunk int, counts binary"))
+    rows = first.where("row IS NOT NULL").select("row", "doc_id", "h", "size", "digest")
     chunks = first.where("chunk IS NOT NULL").select("chunk", "counts").repartition(SKETCH_CHUNKS, "chunk").mapInArrow(
         _add_chunks, "chunk int, counts binary").collect()  # a table of fixed size, whatever the input
     levels = spark.sparkContext.broadcast(_levels([(r["chunk"], bytes(r["counts"])) for r in chunks]))
@@ -488,7 +493,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     low = member.groupBy("component").agg(F.min("low").alias("component_id"))
     member = scratch.cut(member.select("digest", "component").join(low, "component"))
     return rows.join(member, "digest", "left").select(
-        "row", "doc_id", F.col("size").cast("bigint").alias("n_shingles"), F.coalesce("component", "row").alias("component"),
+        "row", "doc_id", "h", F.col("size").cast("bigint").alias("n_shingles"), F.coalesce("component", "row").alias("component"),
         F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -498,7 +503,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The input rows, all columns, whose id is the smallest of its component; rows without words stay; ids unique."""
-    found = near_duplicates(docs)
-    stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
+    """One row of every component, with all the input's columns: that of the smallest doc_id (null last, then by text).
+
+    Decisions are matched by id and text; of repeated rows one stays. Rows without words are linked with nothing and
+    stay, one of each id.
+    """
+    found = near_components(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
+    id_, h, copies = (fresh(docs, n) for n in ("_stay_id", "_stay_text", "_stay_copies"))
+    chosen = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias(id_), F.col("first.h").alias(h)).distinct()
+    times = found.groupBy(F.col("doc_id").alias("i"), F.col("h").alias("t")).agg(F.count(F.lit(1)).alias(copies))
+    stay = chosen.join(times, F.col(id_).eqNullSafe(F.col("i")) & (F.col(h) == F.col("t"))).select(id_, h, copies)
+    stay = Scratch(docs.sparkSession).cut(stay)
+    rows = docs.join(stay, docs["doc_id"].cast("bigint").eqNullSafe(stay[id_]) & (_text_key(docs["text"]) == stay[h]))
+    columns = [f"`{c}`" for c in docs.columns]
+    single = rows.where(F.col(copies) == 1).select(*columns)
+    repeated = rows.where(F.col(copies) > 1).dropDuplicates([id_, h]).select(*columns)
+    return single.unionByName(repeated)
