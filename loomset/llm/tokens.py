@@ -29,19 +29,37 @@ from .base import Scratch, only
 
 END_ID = 0
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 20_000, 64 << 10
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 250_000
 BLOCK_DOCS, BLOCK_BYTES = 1024, 1 << 22
 LOWEST = -(1 << 63)
 
 # Where the pre-tokenizer surely begins a new piece: at a space after and before something that is not white space.
 # Texts with three blanks in a row, two at the end or unusual blanks are encoded whole.
 _ODD = re.compile(r"\s\s(?:\s|\Z)|[^\S \n\t\r]")
+# Letters for which the pre-tokenizer's classes are stated here; pieces with others go to it.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0400-\u045f\u3041-\u3096\u4e00-\u9fa5"
+_PLAIN = re.compile(f"[ \\n\\t\\r!-~{_LETTERS}]*\\Z")
+# Fixed value: the tokenizer's own pattern for its pieces, over these letters.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+|\\s+(?!\\S)|\\s+")
 
 _encoders: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {b: chr(b) for b in shown}
+    for b in range(256):
+        out.setdefault(b, chr(256 + len(out) - len(shown)))
+    return [out[b] for b in range(256)]
+
+
 class Encoder:
-    """The tokenizer with a bounded memory of the pieces met so far; one per Python worker."""
+    """The tokenizer with a bounded memory of what it has met; one per Python worker.
+
+    A text is cut at spaces; a chunk (a space and what follows) met before is looked up. A new one is cut with the
+    tokenizer's pattern into pieces; a new piece is given to the tokenizer's model. The ids are those of the whole text.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -50,30 +68,45 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.model = self.tokenizer.model
+        self.letters = dict(enumerate(_byte_letters()))
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
+            width = self.kind.itemsize
+            found = self.pieces[piece] = b"".join([t.id.to_bytes(width, "little") for t in self.model.tokenize(spelled)])
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        if not _PLAIN.match(chunk):
+            return self._whole(chunk)
+        return b"".join([self._piece(p) for p in _PIECES.findall(chunk)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Serialized ids of each text, without the end id.
-
-        A piece is a space and what follows up to the next space; pieces are encoded once and looked up afterwards.
-        """
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        split = []
+        """Serialized ids of each text, without the end id."""
+        known, out = self.chunks, []
         for t in texts:
             if _ODD.search(t):
-                split.append([t])
-            else:
-                first, *rest = t.split(" ")
-                split.append([first, *[" " + x for x in rest]] if rest else [first])
-        new = [x for x in dict.fromkeys(p for parts in split if len(parts) > 1 for p in parts) if x not in self.known]
-        self.known.update(zip(new, self._ids(new)))
-        whole = iter(self._ids([parts[0] for parts in split if len(parts) == 1]))
-        known = self.known.__getitem__
-        return [b"".join(map(known, parts)) if len(parts) > 1 else next(whole) for parts in split]
+                out.append(self._whole(t))
+                continue
+            first, *rest = t.split(" ")
+            parts = [first, *[" " + x for x in rest]]
+            for x in parts:
+                if x not in known:
+                    known[x] = self._chunk(x)
+            out.append(b"".join([known[x] for x in parts]))
+            if len(known) > CACHE_ENTRIES:
+                known.clear()
+            if len(self.pieces) > 2 * CACHE_ENTRIES:
+                self.pieces.clear()
+        return out
 
 
 def encoder(path: str) -> Encoder:
