@@ -33,6 +33,7 @@ def main(argv: list[str] | None = None) -> None:
         return
     lib = Library(spark, a.release, organisms.get(a.organism).key)
     cols = a.collections.split(",") if a.collections else None
+    # one more than a request may hold, so that a longer list is refused
     names = lambda path: [r["ident"] for r in D.gene_list(spark, path).orderBy("pos").limit(60_001).collect()]
     if a.command == "ora":
         out = lib.ora(names(a.input), names(a.background) if a.background else None, cols, alpha=a.alpha)["results"]
@@ -51,7 +52,9 @@ def main(argv: list[str] | None = None) -> None:
     elif text.isEmpty():
         print("# no results")
     else:
-        text.show(a.top or 500, False)
+        print("\t".join(text.columns))
+        for row in text.toLocalIterator():
+            print("\t".join("" if v is None else v for v in row))
 
 
 if __name__ == "__main__":

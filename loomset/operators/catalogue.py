@@ -13,10 +13,12 @@ def collections(gset: DataFrame) -> DataFrame:
 
 
 def search(gset: DataFrame, set_member: DataFrame, set_gene: DataFrame, aliases: DataFrame, term: str,
-           limit: int = 50) -> DataFrame:
-    """Sets by name, id or member name (best first), then sets that hold the gene the term resolves to."""
+           limit: int | None = None) -> DataFrame:
+    """Sets by name, id or member name (best first), then sets that hold the gene the term resolves to.
+
+    A blank term finds nothing. All finds are returned unless the caller sets a limit.
+    """
     term = term.strip()
-    limit = min(max(limit, 1), 200)
     like = f"%{term}%"
     by_member = set_member.where(F.col("name").ilike(like)).select("set_id").distinct().withColumn("_m", F.lit(True))
     col = F.col("collection")
@@ -31,15 +33,16 @@ def search(gset: DataFrame, set_member: DataFrame, set_gene: DataFrame, aliases:
     held = set_gene.join(gene, "gene", "left_semi").select("set_id").distinct()
     by_gene = gset.join(held, "set_id", "left_semi").join(named.select("set_id"), "set_id", "left_anti") \
         .select(*cols, F.lit(1).alias("o0"), F.lit(0).alias("o1"), F.lit(0).alias("o2"), F.lit(0).alias("o3"))
-    return named.union(by_gene).orderBy("o0", "o1", "o2", "o3", "set_id").limit(limit).select(cols)
+    found = named.union(by_gene).where(F.lit(term != "")).orderBy("o0", "o1", "o2", "o3", "set_id")
+    return (found if limit is None else found.limit(limit)).select(cols)
 
 
 def set_detail(set_id, gset: DataFrame, set_member: DataFrame, set_gene: DataFrame, set_pair: DataFrame,
-               set_link: DataFrame, equivalent: DataFrame | None = None, pair_preview: int = 2000) -> dict[str, DataFrame]:
-    """Tables of one set: head, members, genes, a preview of its pairs, linked sets, equivalents."""
+               set_link: DataFrame, equivalent: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Tables of one set: head, members, genes, pairs, linked sets, equivalents."""
     one = lambda df: df.where(F.col("set_id") == set_id)
     out = {"head": one(gset), "members": one(set_member), "genes": one(set_gene).orderBy("gene"),
-           "pairs": one(set_pair).limit(pair_preview),
+           "pairs": one(set_pair),
            "links": linked_sets(gset, set_link.where(F.col("set_a") == set_id))}
     if equivalent is not None:
         out["msigdb_equivalents"] = one(equivalent)
@@ -57,12 +60,13 @@ def sets_of_genes(gset: DataFrame, set_gene: DataFrame, genes: DataFrame) -> Dat
         .join(gset.select("set_id", "name", "collection"), "set_id").select("gene", "set_id", "name", "collection", "sources")
 
 
-def partners(edges: DataFrame, gene, limit: int = 300) -> DataFrame:
+def partners(edges: DataFrame, gene, limit: int | None = None) -> DataFrame:
     """Best-supported partners of one gene."""
     end = F.when(F.col("gene_a") == gene, F.col("gene_b")).otherwise(F.col("gene_a"))
-    return edges.where((F.col("gene_a") == gene) | (F.col("gene_b") == gene)).select(
+    found = edges.where((F.col("gene_a") == gene) | (F.col("gene_b") == gene)).select(
         end.alias("gene"), "sources", "n_sources", "n_pmids", "string_score", "tier") \
-        .orderBy(F.desc("n_sources"), F.desc("n_pmids"), "gene").limit(min(max(limit, 1), 2000))
+        .orderBy(F.desc("n_sources"), F.desc("n_pmids"), "gene")
+    return found if limit is None else found.limit(limit)
 
 
 def gene_degree(edges: DataFrame) -> DataFrame:

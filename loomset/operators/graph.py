@@ -82,23 +82,27 @@ def nearest_ancestor(closure_with_self: DataFrame, holders: DataFrame, holder: s
         .select("child", F.col("m.ancestor").alias("ancestor"), F.col("m.depth").alias("depth"))
 
 
-def set_distances(query: DataFrame, edges: DataFrame, set_gene: DataFrame, max_depth: int = 6) -> DataFrame:
-    """(set_id, distance): fewest undirected steps from a query gene to a gene of the set; -1 if none in reach.
+def set_distances(query: DataFrame, edges: DataFrame, set_gene: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(set_id, distance): fewest undirected steps from a query gene to a gene of the set; -1 if none can be reached.
 
-    One breadth-first front for all query genes together; the pairwise distance matrix is never formed.
+    One breadth-first front for all query genes together, until it is empty; the pairwise distance matrix is never formed.
+    With ``max_depth`` the search stops there and sets not reached by then get NULL: their distance is not known.
     """
-    both = edges.select(F.col("gene_a").alias("gene"), F.col("gene_b").alias("to")).union(
-        edges.select("gene_b", "gene_a")).where("gene <> to").distinct()
+    ends = F.array(F.struct(F.col("gene_a").alias("gene"), F.col("gene_b").alias("to")), F.struct(F.col("gene_b").alias("gene"), F.col("gene_a").alias("to")))
+    both = cut(edges.where("gene_a <> gene_b").select(F.inline(ends)).distinct())
     seen = cut(query.select("gene").distinct().withColumn("distance", F.lit(0)))
     front = seen
-    for depth in range(1, max_depth + 1):
+    depth, open_end = 0, True
+    while max_depth is None or depth < max_depth:
+        depth += 1
         front = cut(front.join(both, "gene").select(F.col("to").alias("gene")).distinct()
                     .join(seen, "gene", "left_anti").withColumn("distance", F.lit(depth)))
         if front.isEmpty():
+            open_end = False
             break
         seen = seen.union(front)
     return set_gene.join(seen, "gene", "left").groupBy("set_id").agg(
-        F.coalesce(F.min("distance"), F.lit(-1)).alias("distance"))
+        F.coalesce(F.min("distance"), F.lit(None if open_end else -1).cast("int")).alias("distance"))
 
 
 def least_reachable(edges: DataFrame, hi: str = "hi", lo: str = "lo", max_rounds: int = 60) -> DataFrame:

@@ -192,7 +192,17 @@ def _pair_key(a: Column, b: Column) -> Column:
 
 
 def _curation_keys(curation: DataFrame) -> DataFrame:
-    return curation.select(_pair_key(X.strip(F.col("name_a")), X.strip(F.col("name_b"))).alias("pair"),
+    """One row per unordered pair of names: of rows that name it twice, in either order, the last one counts.
+
+    The order is the column ``pos`` where the table has one, else the order in which it is read.
+    """
+    at = F.col("pos") if "pos" in curation.columns else F.monotonically_increasing_id()
+    keyed = _curation_rows(curation.withColumn("_at", at))
+    return keyed.groupBy("pair").agg(F.max_by(F.struct("low_a", "low_b", "d", "r"), "_at").alias("m")).select("pair", "m.*")
+
+
+def _curation_rows(curation: DataFrame) -> DataFrame:
+    return curation.select("_at", _pair_key(X.strip(F.col("name_a")), X.strip(F.col("name_b"))).alias("pair"),
                            F.lower(X.strip(F.col("name_a"))).alias("low_a"), F.lower(X.strip(F.col("name_b"))).alias("low_b"),
                            F.col("decision").alias("d"), F.coalesce("reason", F.lit("")).alias("r"))
 
@@ -216,7 +226,10 @@ def reviewed_synonyms(units: DataFrame, matches: DataFrame, curation: DataFrame)
                                 F.col("shown").alias(f"shown_{s}"), F.col("low").alias(f"low_{s}"))
     ends = F.array_sort(F.array(F.concat_ws(_SEP, "source_a", "name_a"), F.concat_ws(_SEP, "source_b", "name_b")))
     found = _curation_keys(curation).where("d = 'merge' AND low_a <> low_b").join(side("a"), "low_a") \
-        .join(side("b"), "low_b").withColumn("ends", ends).dropDuplicates(["ends"])
+        .join(side("b"), "low_b").withColumn("ends", ends)
+    columns = [c for c in found.columns if c != "ends"]
+    one = F.min_by(F.struct(*columns), F.struct("source_a", "name_a", "source_b", "name_b")).alias("m")
+    found = found.groupBy("ends").agg(one).select("ends", "m.*")
     seen = matches.select(ends.alias("ends")).distinct()
     return found.join(seen, "ends", "left_anti").select(
         "source_a", "name_a", "shown_a", "source_b", "name_b", "shown_b", F.lit(0).alias("score"),

@@ -9,7 +9,7 @@ from ..functions.ids import evidence_tier, tier_rank
 from ..schema import EXPERIMENTAL_SOURCES, TIER_RANK
 from .enrich import canonical_pairs
 from .identifiers import map_column
-from .vocabulary import small_vocabulary, united
+from .vocabulary import united
 
 
 def map_feed(rows: DataFrame, lookup: DataFrame | None) -> DataFrame:
@@ -34,9 +34,8 @@ def integrate(mapped: DataFrame, experimental: tuple[str, ...] = EXPERIMENTAL_SO
     rows = mapped.where(_real()).select(F.least("gene_a", "gene_b").alias("gene_a"), F.greatest("gene_a", "gene_b").alias("gene_b"),
                                         "source", "pmid", "method", "score")
     method = F.when(F.col("method") != "", F.col("method"))
-    raw = {"sources": small_vocabulary(mapped, F.col("source")), "methods": small_vocabulary(mapped, method)}
     edges = united(rows, ["gene_a", "gene_b"], {"sources": F.col("source"), "methods": method}, [
-        F.count_distinct(F.when(F.col("pmid") != "", F.col("pmid"))).alias("n_pmids"), F.max("score").alias("string_score")], raw)
+        F.count_distinct(F.when(F.col("pmid") != "", F.col("pmid"))).alias("n_pmids"), F.max("score").alias("string_score")])
     return edges.select(
         "gene_a", "gene_b", "sources", F.size("sources").cast("long").alias("n_sources"), "n_pmids", "methods",
         "string_score", evidence_tier(F.col("sources"), F.col("n_pmids"), F.col("string_score"), experimental).alias("tier"))

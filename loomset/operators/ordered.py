@@ -20,19 +20,12 @@ def _p_bucket(p: Column) -> Column:
     return F.when(p <= 0, F.lit(-1 << 20)).otherwise((exponent * 64 + inside).cast("long")).cast("long")
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "fdr", small: int = 50_000) -> DataFrame:
+def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "fdr") -> DataFrame:
     """Step-up false discovery rate of column ``p`` over all rows of a materialised ``df``.
 
-    The rows are counted first (``df`` should be cut or cached); a table checked to be small is ranked in one
-    window. Otherwise equal p-values share one result, so the ranks are taken over distinct values: a value held by a third
-    of the rows is one counted row, and only the join back sees its copies (split by adaptive skew joins).
+    Equal p-values share one result, so the ranks are taken over distinct values: a value held by a third of the rows is
+    one counted row, and only the join back sees its copies (split by adaptive skew joins).
     """
-    n = df.count()
-    if n <= small:
-        rank = F.count(F.lit(1)).over(W.orderBy(p))  # ties share the largest rank
-        worse = W.orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
-        raw = df.withColumn("_raw", F.col(p) * n / rank)
-        return raw.withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(worse))).drop("_raw")
     values = df.groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", _p_bucket(F.col("_p")))
     up = W.orderBy("_b")
     totals = values.groupBy("_b").agg(F.sum("_c").alias("_n"))  # bounded: at most 70k buckets exist
@@ -65,22 +58,18 @@ def _slot(column: str, cuts: list[float], mark_equal: bool, base: int = 0) -> st
     return f"CASE {here}WHEN {column} <= {cuts[mid]!r}D THEN {left} ELSE {right} END"
 
 
-def global_position(df: DataFrame, score: str, tie: str, out: str = "pos", small: int = 100_000) -> DataFrame:
+def global_position(df: DataFrame, score: str, tie: str, out: str = "pos") -> DataFrame:
     """0-based position of every row by ``score`` descending, then ``tie`` (numeric) ascending.
 
-    One aggregate measures the table. A checked small one is numbered in a single window; otherwise rows go
-    to buckets between the score quantiles. Rows equal to a quantile get buckets of their own, cut again by
+    One aggregate measures the table; rows go to buckets between the score quantiles. Rows equal to a quantile get buckets of their own, cut again by
     quantiles of ``tie``, so a score shared by a third of the rows is still spread.
     """
     fractions = [i / _CUTS for i in range(1, _CUTS)]
     neg = -F.col(score).cast("double")
-    stats = df.agg(F.count(F.lit(1)).alias("n"),
-                   F.percentile_approx(neg, fractions, 10_000).alias("s"),
+    stats = df.agg(F.percentile_approx(neg, fractions, 10_000).alias("s"),
                    F.percentile_approx(F.col(tie).cast("double"), fractions, 10_000).alias("t")).first()
     order = [F.desc(score), F.asc(tie)]
-    if stats["n"] <= small:
-        return df.withColumn(out, F.row_number().over(W.orderBy(*order)) - 1)
-    cuts, ties = sorted({float(x) for x in stats["s"]}), sorted({float(x) for x in stats["t"]})
+    cuts, ties = sorted({float(x) for x in stats["s"] or []}), sorted({float(x) for x in stats["t"] or []})
     placed = df.withColumn("_v", neg).withColumn("_w", F.col(tie).cast("double")) \
         .withColumn("_b", F.expr(_slot("_v", cuts, True))) \
         .withColumn("_t", F.when(F.col("_b") % 2 == 1, F.expr(_slot("_w", ties, False))).otherwise(F.lit(0))).drop("_v", "_w")

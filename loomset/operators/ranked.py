@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..session import cut
@@ -14,7 +13,6 @@ from .enrich import _restrict
 from .ordered import benjamini_hochberg, global_position
 
 _BLOCK = 32
-_STREAM_LIMIT = 1 << 22
 
 
 def rank_genes(ranking: DataFrame, weight: float = 1.0) -> DataFrame:
@@ -63,43 +61,26 @@ def leading_edge(sums: DataFrame, scores: DataFrame) -> DataFrame:
         .select("set_id", "gene", "j")
 
 
-def _draw(n_genes: int, kmax: int, nperm: int, seed: int, stream: bool):
-    """Random ordered k-subsets per permutation id.
+def _drawn(ranked: DataFrame, kmax: int, nperm: int, seed: int) -> DataFrame:
+    """(perm, i, pos, w): per permutation the ``kmax`` genes that come first in the order of a hash of (seed, perm, gene).
 
-    Up to four million genes the numbers are those of one sequential generator (it is advanced to the block,
-    so they do not depend on partitioning). Beyond, subsets are drawn directly, which costs kmax per
-    permutation instead of the number of genes.
+    One scheme at every size, the same on every engine that has MD5. The rank filter is a top-k that Spark applies before
+    the shuffle too, so at most ``kmax`` genes of a permutation leave a task.
     """
-    def run(batches):
-        for pdf in batches:
-            for p in pdf["perm"].tolist():
-                if stream:
-                    keys = np.random.Generator(np.random.PCG64(seed).advance(p * n_genes)).random(n_genes)
-                    part = np.argpartition(keys, kmax - 1)[:kmax] if kmax < n_genes else np.arange(n_genes)
-                    pick = part[np.argsort(keys[part])][:kmax]
-                else:
-                    rng = np.random.default_rng([seed, p])
-                    seen: dict[int, None] = {}
-                    while len(seen) < min(kmax, n_genes):
-                        seen.setdefault(int(rng.integers(n_genes)), None)
-                    pick = np.fromiter(seen, dtype=np.int64)
-                yield pd.DataFrame({"perm": p, "i": np.arange(len(pick)), "pos": pick.astype(np.int64)})
-    return run
+    rows = ranked.select("gene", "pos", "w", F.explode(F.sequence(F.lit(0), F.lit(nperm - 1))).alias("perm"))
+    keyed = rows.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm").cast("string"), F.col("gene").cast("string"))))
+    order = W.partitionBy("perm").orderBy("h", "gene")
+    return keyed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= kmax).select(
+        F.col("perm").cast("long").alias("perm"), (F.col("n") - 1).alias("i"), "pos", "w")
 
 
 def null_scores(ranked: DataFrame, sizes: DataFrame, n_genes: int, nperm: int, seed: int) -> DataFrame:
     """(k, perm, es): null scores for every set size that occurs.
 
-    Bounded by nperm * (max_size - min_size + 1) rows. Permutations are blocks of tasks; the weights of the
-    drawn positions come from a join, so no task needs the whole ranking.
+    Bounded by nperm * (max_size - min_size + 1) rows. Permutations are blocks of tasks; no task needs the whole ranking.
     """
-    spark = ranked.sparkSession
     ks = sorted(r["k"] for r in sizes.select("k").distinct().collect())  # at most max_size - min_size + 1 values
-    kmax = ks[-1]
-    tasks = max(1, -(-nperm // _BLOCK))
-    ids = spark.range(nperm).select(F.col("id").alias("perm")).repartition(tasks, "perm")
-    drawn = ids.mapInPandas(_draw(n_genes, kmax, nperm, seed, n_genes <= _STREAM_LIMIT),
-                            "perm long, i int, pos long").join(ranked.select("pos", "w"), "pos")
+    drawn = _drawn(ranked, ks[-1], nperm, seed)
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["perm", "i"])
@@ -167,7 +148,7 @@ def gsea(ranking: DataFrame, gset: DataFrame, set_gene: DataFrame, *, collection
                                               F.lit(0.0)), 4))
     used = scores.groupBy("k").agg(F.count(F.lit(1)).alias("sets"))
     pool = null.join(by_size, "k").join(used, "k").select(
-        F.when(up, F.col("es") / F.coalesce("up", F.lit(1.0))).otherwise(F.col("es") / F.coalesce("down", F.lit(1.0))).alias("v"),
+        F.coalesce(F.col("es") / F.when(up, unit(F.col("up"))).otherwise(unit(F.col("down"))), F.lit(0.0)).alias("v"),
         F.col("sets").alias("null_n"), F.lit(0).cast("long").alias("obs_n"))
     seen = p_table.groupBy(F.col("nes").alias("v")).agg(F.lit(0).cast("long").alias("null_n"), F.count(F.lit(1)).alias("obs_n"))
     fdr = _signed_rank_share(pool.union(seen))
@@ -175,15 +156,8 @@ def gsea(ranking: DataFrame, gset: DataFrame, set_gene: DataFrame, *, collection
     return benjamini_hochberg(cut(out), "p", "padj").join(gset, "set_id")
 
 
-def gsea_order(result: DataFrame) -> DataFrame:
-    return result.orderBy("p", F.abs("nes").desc())
-
-
 def read_order(ranking: DataFrame, keep: str = "first") -> DataFrame:
     """One row per gene of a ranking with repeats (gene, score, input_pos): its first or its last mention."""
     pick = (F.min if keep == "first" else F.max)(F.struct("input_pos", "score"))
     return ranking.groupBy("gene").agg(pick.alias("m"), F.min("input_pos").alias("at")).select(
         "gene", "m.score", F.col("at").alias("input_pos"))
-
-
-SCORE_SCHEMA = T.StructType([T.StructField("gene", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -11,8 +11,6 @@ from ..schema import UNDIRECTED_RELATIONS
 from .enrich import edges_within_sets
 from .network import up_to_tier
 
-MAX_NODES = 600
-
 
 def set_edges(set_gene: DataFrame, set_pair: DataFrame, edges: DataFrame | None = None,
               tier: str | None = None) -> DataFrame:
@@ -35,16 +33,17 @@ def set_edges(set_gene: DataFrame, set_pair: DataFrame, edges: DataFrame | None
 
 
 def set_graphs(set_gene: DataFrame, set_edge: DataFrame, highlight: DataFrame | None = None,
-               max_nodes: int = MAX_NODES) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of every set's map, keeping the ``max_nodes`` best-connected genes of each set.
+               max_nodes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of every set's map: all genes, or with ``max_nodes`` the best-connected ones of each set.
 
-    The ranking filter is a top-n per set, which Spark applies before the shuffle as well.
+    The ranking filter is a top-n per set, which Spark applies before the shuffle as well. ``set_edge`` is read once for
+    the degrees and once for the edges shown.
     """
-    ends = set_edge.select("set_id", F.col("source").alias("gene")).union(set_edge.select("set_id", "target"))
+    ends = set_edge.select("set_id", F.explode(F.array("source", "target")).alias("gene"))
     degree = ends.groupBy("set_id", "gene").agg(F.count(F.lit(1)).alias("degree"))
     nodes = set_gene.join(degree, ["set_id", "gene"], "left").fillna(0, ["degree"]) \
         .withColumn("rank", F.row_number().over(W.partitionBy("set_id").orderBy(F.desc("degree"), "gene"))) \
-        .where(F.col("rank") <= max_nodes)
+        .where(F.lit(True) if max_nodes is None else F.col("rank") <= max_nodes)
     if highlight is not None:
         hit = highlight.select("gene").distinct().withColumn("hit", F.lit(True))
         nodes = nodes.join(hit, "gene", "left").fillna(False, ["hit"])
@@ -58,22 +57,29 @@ def set_graphs(set_gene: DataFrame, set_edge: DataFrame, highlight: DataFrame |
     return nodes.select("set_id", "gene", "sources", "degree", "rank", "hit"), shown.withColumn("directed", directed)
 
 
-def to_cytoscape(gset: DataFrame, nodes: DataFrame, edges: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
-    """(set_id, json): one Cytoscape document per map. A map has at most ``max_nodes`` nodes."""
+def _numbered(edges: DataFrame) -> DataFrame:
+    """Edges with ``nth``, from 1 in each set: ids made of it cannot collide, unlike ids made of symbols."""
+    order = W.partitionBy("set_id").orderBy("source", "target", "kind", F.array_join("relations", ","))
+    return edges.withColumn("nth", F.row_number().over(order))
+
+
+def to_cytoscape(gset: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(set_id, json): one Cytoscape document per map; ``truncated`` if it shows fewer genes than the set has."""
     node = F.struct(F.struct(
         F.col("gene").alias("id"), F.col("gene").alias("label"), "sources", F.size("sources").alias("n_sources"),
         "degree", "hit").alias("data"))
     relation = F.coalesce(F.try_element_at("relations", F.lit(1)), F.lit("PPrel"))
-    edge = F.struct(F.struct("source", "target", relation.alias("relation"), "relations", "sources", "kind",
+    edge = F.struct(F.struct(F.concat(F.lit("e"), F.col("nth")).alias("id"), "source", "target", relation.alias("relation"), "relations", "sources", "kind",
                              "directed").alias("data"))
     n = nodes.groupBy("set_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", node.alias("d")))),
                                                 lambda x: F.to_json(x["d"])).alias("n"))
-    e = edges.groupBy("set_id").agg(F.array_sort(F.collect_list(F.to_json(edge))).alias("e"))
+    e = _numbered(edges).groupBy("set_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.to_json(edge).alias("d")))),
+                                                           lambda x: x["d"]).alias("e"))
     body = F.array_join(F.concat("n", F.coalesce("e", F.array().cast("array<string>"))), ",")
     head = F.to_json(F.struct(F.col("set_id").alias("id"), "name", "collection"))
     return gset.join(n, "set_id").join(e, "set_id", "left").select("set_id", F.concat(
         F.lit('{"data":'), head, F.lit(',"elements":['), body, F.lit('],"n_genes":'), F.col("n_genes").cast("string"),
-        F.lit(',"truncated":'), (F.col("n_genes") > max_nodes).cast("string"), F.lit("}")).alias("json"))
+        F.lit(',"truncated":'), (F.col("n_genes") > F.size("n")).cast("string"), F.lit("}")).alias("json"))
 
 
 _QUAL = "http://www.sbml.org/sbml/level3/version1/qual/version1"
@@ -85,7 +91,7 @@ def to_sbml(gset: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     species = F.format_string('<qual:qualitativeSpecies qual:id="%s" qual:name="%s" qual:compartment="cell" '
                               'qual:constant="false" qual:maxLevel="1"/>', xml_id(F.col("gene")), q(F.col("gene")))
     relation = F.coalesce(F.try_element_at("relations", F.lit(1)), F.lit("PPrel"))
-    tag = F.concat_ws("_", F.lit("t"), xml_id(F.col("source")), xml_id(F.col("target")))
+    tag = F.concat(F.lit("t"), F.col("nth"))
     move = F.concat(
         F.format_string('<qual:transition qual:id="%s" qual:name="%s"><qual:listOfInputs>', tag,
                         q(F.concat(relation, F.lit(": "), "source", F.lit(" -> "), "target"))),
@@ -98,7 +104,8 @@ def to_sbml(gset: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
                         '<cn type="integer">1</cn></apply></math></qual:functionTerm></qual:listOfFunctionTerms>'
                         '</qual:transition>', xml_id(F.col("source"))))
     n = nodes.groupBy("set_id").agg(F.array_join(F.array_sort(F.collect_list(species)), "\n").alias("n"))
-    e = edges.where("directed").groupBy("set_id").agg(F.array_join(F.array_sort(F.collect_list(move)), "\n").alias("e"))
+    e = _numbered(edges.where("directed")).groupBy("set_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("nth", move.alias("d")))), lambda x: x["d"]), "\n").alias("e"))
     head = (f'<?xml version="1.0" encoding="UTF-8"?>\n<sbml xmlns="http://www.sbml.org/sbml/level3/version1/core" '
             f'level="3" version="1" xmlns:qual="{_QUAL}" qual:required="true">')
     moves = F.when(F.col("e").isNotNull(), F.concat(F.lit("<qual:listOfTransitions>\n"), "e", F.lit("\n</qual:listOfTransitions>"))) \
@@ -120,14 +127,15 @@ def to_sbgn(gset: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
                             '<bbox x="%.1f" y="%.1f" w="100" h="40"/></glyph>', xml_id(F.col("gene")), q(F.col("gene")), "x", "y")
     at = lambda end: placed.select("set_id", F.col("gene").alias(end), F.col("x").alias(f"x_{end}"),
                                    F.col("y").cast("double").alias(f"y_{end}"))
-    wired = edges.where("directed").join(at("source"), ["set_id", "source"]).join(at("target"), ["set_id", "target"])
+    wired = _numbered(edges.where("directed")).join(at("source"), ["set_id", "source"]).join(at("target"), ["set_id", "target"])
     arc = F.format_string(
         '<arc id="%s" class="unknown influence" source="%s" target="%s"><start x="%.1f" y="%.1f"/><end x="%.1f" y="%.1f"/></arc>',
-        F.concat_ws("_", F.lit("a"), xml_id(F.col("source")), xml_id(F.col("target"))), xml_id(F.col("source")),
+        F.concat(F.lit("a"), F.col("nth")), xml_id(F.col("source")),
         xml_id(F.col("target")), F.col("x_source") + 50, F.col("y_source") + 20, F.col("x_target") + 50, F.col("y_target") + 20)
     n = placed.withColumn("y", F.col("y").cast("double")).groupBy("set_id").agg(
         F.array_join(F.array_sort(F.collect_list(glyph)), "\n").alias("n"))
-    e = wired.groupBy("set_id").agg(F.array_join(F.array_sort(F.collect_list(arc)), "\n").alias("e"))
+    e = wired.groupBy("set_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("nth", arc.alias("d")))), lambda x: x["d"]), "\n").alias("e"))
     return gset.join(n, "set_id").join(e, "set_id", "left").select("set_id", F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<sbgn xmlns="http://sbgn.org/libsbgn/0.3">'),
         F.format_string('<map id="%s" language="activity flow">\n', xml_id(F.col("set_id"))), "n", F.lit("\n"),

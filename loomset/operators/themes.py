@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from ..session import cut
 from .enrich import significant
+from .ordered import global_position
 
 
-def hit_order(result: DataFrame, order: list, alpha: float, key: str, max_hits: int) -> DataFrame:
-    """(set_id, ord) of the first ``max_hits`` significant results in report order (a top-k list)."""
-    top = significant(result, alpha, key).orderBy(*order).limit(max_hits)
-    return top.select("set_id", "name", (F.row_number().over(W.orderBy(*order)) - 1).alias("ord"))
+def hit_order(result: DataFrame, order: list, alpha: float, key: str) -> DataFrame:
+    """(set_id, name, ord) of the significant results; ``ord`` grows in report order. A sort over the cluster numbers them."""
+    hits = significant(result, alpha, key).sort(*order)
+    return cut(hits.select("set_id", "name", F.monotonically_increasing_id().alias("ord")))
 
 
 def related_hits(hits: DataFrame, set_gene: DataFrame, set_link: DataFrame | None, min_jaccard: float) -> DataFrame:
@@ -31,33 +31,39 @@ def related_hits(hits: DataFrame, set_gene: DataFrame, set_link: DataFrame | Non
     return near.union(ends.select(F.least("oa", "ob"), F.greatest("oa", "ob"))).distinct()
 
 
-def _lead(pdf: pd.DataFrame) -> pd.DataFrame:
-    """First leader related to each hit in order; a hit without one starts a theme."""
-    near: dict[int, set[int]] = {}
-    for early, late in pdf.loc[pdf["early"] >= 0, ["early", "ord"]].itertuples(index=False):
-        near.setdefault(late, set()).add(early)
-    leaders: list[int] = []
-    rows = []
-    for o in sorted(pdf["ord"].unique()):
-        lead = next((x for x in leaders if x in near.get(o, ())), None)
-        if lead is None:
-            lead = o
-            leaders.append(o)
-        rows.append((o, leaders.index(lead) + 1, lead))
-    return pd.DataFrame(rows, columns=["ord", "theme", "leader_ord"])
+def leaders(hits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(ord) of the hits that no earlier leader is related to.
+
+    Rounds: an undecided hit related to an earlier leader follows it; one without an earlier related hit that is still
+    undecided leads. The earliest undecided hit is always decided, chains of related hits set the number of rounds.
+    """
+    undecided, led = hits.select("ord"), None
+    while True:
+        if led is not None:
+            following = pairs.join(led.withColumnRenamed("ord", "early"), "early").select(F.col("late").alias("ord")).distinct()
+            undecided = undecided.join(following, "ord", "left_anti").join(led, "ord", "left_anti")
+        undecided = cut(undecided)
+        if undecided.isEmpty():
+            return led if led is not None else undecided
+        waiting = pairs.join(undecided.withColumnRenamed("ord", "early"), "early", "left_semi").select(F.col("late").alias("ord")).distinct()
+        fresh = undecided.join(waiting, "ord", "left_anti")
+        led = cut(fresh if led is None else led.union(fresh))
 
 
 def themes(result: DataFrame, set_gene: DataFrame, set_link: DataFrame | None = None, *, order: list,
-           alpha: float = 0.05, min_jaccard: float = 0.5, key: str = "fdr", max_hits: int = 500) -> DataFrame:
-    """``result`` with theme and theme_leader (NULL beyond alpha or beyond the first ``max_hits``).
+           alpha: float = 0.05, min_jaccard: float = 0.5, key: str = "fdr") -> DataFrame:
+    """``result`` with theme and theme_leader, both NULL beyond alpha.
 
-    A hit joins the first earlier leader it is linked to or overlaps with; it is compared with leaders only.
-    The pairwise relations are Spark joins; the ordered pass sees at most ``max_hits`` hits and their pairs.
+    A hit joins the first earlier leader it is linked to or overlaps with; it is compared with leaders only. Themes are
+    numbered in the order of their leaders. All significant hits are grouped, by joins over the cluster.
     """
-    hits = hit_order(result, order, alpha, key, max_hits)
-    pairs = related_hits(hits, set_gene, set_link, min_jaccard)
-    work = hits.select("ord", F.lit(-1).alias("early")).union(pairs.select(F.col("late"), F.col("early")))
-    led = work.groupBy(F.lit(1).alias("one")).applyInPandas(_lead, "ord int, theme int, leader_ord int")
-    named = led.join(hits.select("set_id", "ord"), "ord").join(
-        hits.select(F.col("ord").alias("leader_ord"), F.col("name").alias("theme_leader")), "leader_ord")
+    hits = hit_order(result, order, alpha, key)
+    pairs = cut(related_hits(hits, set_gene, set_link, min_jaccard))
+    led = leaders(hits, pairs)
+    number = global_position(led.withColumn("rank", -F.col("ord").cast("double")), "rank", "ord").select(
+        F.col("ord").alias("lead"), (F.col("pos") + 1).cast("int").alias("theme"))
+    joined = pairs.join(led.withColumnRenamed("ord", "early"), "early").groupBy(F.col("late").alias("ord")).agg(F.min("early").alias("lead"))
+    member = joined.join(led, "ord", "left_anti").union(led.select("ord", F.col("ord").alias("lead")))
+    named = member.join(number, "lead").join(hits.select(F.col("ord").alias("lead"), F.col("name").alias("theme_leader")), "lead") \
+        .join(hits.select("set_id", "ord"), "ord")
     return result.join(named.select("set_id", "theme", "theme_leader"), "set_id", "left")

@@ -13,11 +13,10 @@ from ..functions.rules import rules_for
 from ..schema import HIERARCHICAL_SOURCES
 from ..session import cut
 from .graph import ancestors, connected_components
-from .vocabulary import small_vocabulary, united
+from .vocabulary import united
 from .matching import best_hits, curated, match_overlap, name_units, review, reviewed_synonyms
 
 _SEP = "\u0001"
-_LIST_BOUND = 10_000
 
 
 @dataclass
@@ -50,21 +49,10 @@ def same_key_union(p: Pathways) -> Pathways:
 
 
 def set_ids(members: DataFrame, prefix: str, group: str = "group") -> DataFrame:
-    """(group, set_id) from each group's (source, member_id) rows.
-
-    The id hashes the sorted member list. A group of more than 10,000 members is never collected: its id
-    hashes the first member, the count and an order-free digest instead.
-    """
+    """(group, set_id) from each group's (source, member_id) rows: a hash of the sorted member list, one formula at every
+    size. The members of a group are the source pathways united in it, not their genes."""
     item = F.struct(F.col("source"), F.col("member_id").alias("name"))
-    digest = members.groupBy(group).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(item).alias("_first"),
-        F.bit_xor(F.xxhash64("source", "member_id")).alias("_x"))
-    small = members.join(digest.where(F.col("_n") <= _LIST_BOUND).select(group), group, "left_semi") \
-        .groupBy(group).agg(stable_id(prefix, F.collect_list(item)).alias("set_id"))
-    text = F.concat_ws(":", "_first.source", "_first.name", F.col("_n").cast("string"), F.col("_x").cast("string"))
-    large = digest.where(F.col("_n") > _LIST_BOUND).select(
-        group, F.concat(F.lit(prefix), F.upper(F.substring(F.sha1(text), 1, 10))).alias("set_id"))
-    return small.union(large)
+    return members.groupBy(group).agg(stable_id(prefix, F.collect_list(item)).alias("set_id"))
 
 
 def group_matches(accepted: DataFrame) -> DataFrame:
@@ -87,22 +75,6 @@ def split_hierarchy(members: DataFrame, parent: DataFrame) -> DataFrame:
         .withColumn("detached", F.coalesce("_d", F.lit(False))).drop("_d")
 
 
-def _legacy_rank(accepted: DataFrame, units: DataFrame) -> DataFrame:
-    """(source, name, slot, seen): iteration place of a name in the old hash table of match ends."""
-    place = units.select("source", "name", "src_ord", "pos")
-    a = place.toDF("source_a", "name_a", "ord_a", "pos_a")
-    b = place.select("source", "name", "src_ord").toDF("source_b", "name_b", "ord_b")
-    at = accepted.join(a, ["source_a", "name_a"]).join(b, ["source_b", "name_b"]).withColumn(
-        "at", F.struct((F.col("ord_a") == F.col("ord_b")).alias("within"), "ord_a", "ord_b", "pos_a"))
-    ends = at.select(F.col("source_a").alias("source"), F.col("name_a").alias("name"), F.struct("at", F.lit(0).alias("end")).alias("seen")) \
-        .union(at.select("source_b", "name_b", F.struct("at", F.lit(1).alias("end"))))
-    first = ends.groupBy("source", "name").agg(F.min("seen").alias("seen"))
-    n = F.greatest(F.lit(12.0), first.agg(F.count(F.lit(1)).alias("n")).scalar().cast("double"))
-    capacity = (16 * F.pow(F.lit(2), F.ceil(F.log2(n / 12.0)))).cast("long")
-    return first.select("source", "name", "seen",
-                        X.java_bucket(F.concat_ws("+", "name", "source"), capacity).alias("slot"))
-
-
 def merge_pathways(p: Pathways, *, mode: str = "guarded", organism: str | None = None, min_jaccard: float = 0.1,
                    curation: DataFrame | None = None, extra_mismatches: tuple = (),
                    no_within: tuple[str, ...] = HIERARCHICAL_SOURCES) -> Integrated:
@@ -135,12 +107,10 @@ def merge_pathways(p: Pathways, *, mode: str = "guarded", organism: str | None =
 
     member = group_matches(accepted).join(p.pathway, ["source", "name"]).join(
         units.select("source", "name", "shown"), ["source", "name"])
+    short = F.min_by("shown", F.struct(F.length("shown"), "source", "name"))
     if legacy:
-        member = member.join(_legacy_rank(accepted, units), ["source", "name"])
-        short = F.min_by("shown", F.struct(F.length("shown"), "slot", "seen"))
         title = X.integrated_name_legacy(F.col("short"), list(rules.drop), rules.fold_case, rules.replace)
     else:
-        short = F.min_by("shown", F.struct(F.length("shown"), "source", "name"))
         title = X.integrated_name(F.col("short"))
     names = member.groupBy("group").agg(short.alias("short")).select("group", title.alias("title"))
     if legacy and organism == "musculus":  # components that end up with one name are one set
@@ -168,13 +138,11 @@ def merge_pathways(p: Pathways, *, mode: str = "guarded", organism: str | None =
 
 def _unified(every: DataFrame, p: Pathways, matches: DataFrame, links: bool) -> Integrated:
     owner = every.select("source", "name", "set_id")
-    sources = {"sources": small_vocabulary(every, F.col("source"))}
-    set_gene = united(owner.join(p.gene, ["source", "name"]), ["set_id", "gene"], {"sources": F.col("source")}, None, sources)
+    set_gene = united(owner.join(p.gene, ["source", "name"]), ["set_id", "gene"], {"sources": F.col("source")})
     set_pair = None
     if p.pair is not None:
-        kinds = {"relations": small_vocabulary(p.pair, F.col("relation")), **sources}
         set_pair = united(owner.join(p.pair, ["source", "name"]), ["set_id", "gene_a", "gene_b"],
-                          {"relations": F.col("relation"), "sources": F.col("source")}, None, kinds)
+                          {"relations": F.col("relation"), "sources": F.col("source")})
     head = every.groupBy("set_id").agg(F.first("title").alias("name"), F.array_sort(F.collect_set("source")).alias("sources"))
     gset = head.select("set_id", X.strip(F.col("name")).alias("name"), F.lit("pathway").alias("collection"), "sources")
     gset = gset.join(set_gene.groupBy("set_id").agg(F.count(F.lit(1)).alias("n_genes")), "set_id", "left")

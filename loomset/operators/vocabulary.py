@@ -1,42 +1,15 @@
-"""Sets of values from a small vocabulary, united per group without collecting.
-
-A collected set is an object aggregate, which leaves the hash table (and sorts) after a few groups. When a
-column is checked to hold at most 62 distinct values, the set is a bit mask: one ``bit_or`` per group, fully
-generated code, combined map-side. A larger vocabulary takes the collecting way.
-"""
+"""Sets of distinct values per group."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BITS = 62
-
-
-def small_vocabulary(df: DataFrame, column: Column) -> list | None:
-    """The sorted distinct values of a column, or None if there are more than 62."""
-    rows = df.select(column.alias("v")).where("v IS NOT NULL").distinct().limit(_BITS + 1).collect()
-    return None if len(rows) > _BITS else sorted(r["v"] for r in rows)
 
+def united(df: DataFrame, keys: list[Column | str], sets: dict[str, Column], others: list[Column] | None = None) -> DataFrame:
+    """``df`` grouped by ``keys``: each entry of ``sets`` becomes a sorted array of its distinct values.
 
-def united(df: DataFrame, keys: list[Column | str], sets: dict[str, Column], others: list[Column] | None = None,
-           vocabularies: dict[str, list] | None = None) -> DataFrame:
-    """``df`` grouped by ``keys``: each entry of ``sets`` becomes a sorted array of its distinct values."""
-    known = {n: (vocabularies or {}).get(n) or small_vocabulary(df, c) for n, c in sets.items()}
-    aggregates = []
-    for name, c in sets.items():
-        values = known[name]
-        if values is None:
-            aggregates.append(F.array_sort(F.collect_set(c)).alias(name))
-            continue
-        bit = F.lit(None).cast("long")
-        for i, v in enumerate(values):
-            bit = F.when(c == F.lit(v), F.lit(1 << i).cast("long")).otherwise(bit)
-        mask = F.coalesce(F.bit_or(bit), F.lit(0).cast("long"))
-        listed = F.array(*[F.when(F.col(name).bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(v)) for i, v in enumerate(values)])
-        aggregates.append((mask.alias(name), F.array_compact(listed).alias(name)))
-    first = [a[0] if isinstance(a, tuple) else a for a in aggregates]
-    out = df.groupBy(*keys).agg(*first, *(others or []))
-    masks = {n: a[1] for n, a in zip(sets, aggregates) if isinstance(a, tuple)}
-    empty = {n for n in masks if not known[n]}
-    return out.select(*[F.array().cast("array<string>").alias(c) if c in empty else masks.get(c, F.col(c)) for c in out.columns])
+    One aggregate in one pass; sets are combined map-side, so a key with a third of the rows arrives as one small set per
+    task. Meant for columns of few distinct values per key (sources, relations, evidence codes).
+    """
+    return df.groupBy(*keys).agg(*[F.array_sort(F.collect_set(c)).alias(name) for name, c in sets.items()], *(others or []))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.unify import Pathways
-from ..operators.vocabulary import small_vocabulary, united
+from ..operators.vocabulary import united
 
 
 class Tables:
@@ -75,14 +75,12 @@ def customer_pair(t: Tables) -> DataFrame:
     relation = F.when(F.col("l_linestatus") == "F", "PPrel").otherwise("GPrel")
     rows = _customer_lines(t).select(F.col("o_custkey").alias("set_id"), F.col("p").alias("gene_a"), F.col("s").alias("gene_b"),
                                      relation.alias("relation"), "l_returnflag")
-    return united(rows, ["set_id", "gene_a", "gene_b"], {"relations": F.col("relation"), "sources": F.col("l_returnflag")}, None,
-                  {"relations": ["GPrel", "PPrel"], "sources": small_vocabulary(t.lineitem, F.col("l_returnflag"))})
+    return united(rows, ["set_id", "gene_a", "gene_b"], {"relations": F.col("relation"), "sources": F.col("l_returnflag")})
 
 
 def customer_gene(t: Tables) -> DataFrame:
     rows = _customer_lines(t).select(F.col("o_custkey").alias("set_id"), "l_returnflag", F.explode(F.array("p", "s")).alias("gene"))
-    return united(rows, ["set_id", "gene"], {"sources": F.col("l_returnflag")}, None,
-                  {"sources": small_vocabulary(t.lineitem, F.col("l_returnflag"))})
+    return united(rows, ["set_id", "gene"], {"sources": F.col("l_returnflag")})
 
 
 def customer_set(t: Tables) -> DataFrame:

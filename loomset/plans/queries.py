@@ -217,8 +217,8 @@ def feed_report(t: Tables) -> DataFrame:
 RANKED = """rv AS (SELECT l_partkey AS gene, sum(l_extendedprice * (1 - l_discount)) / 10000 - 60 AS score FROM lineitem GROUP BY 1),
   rk AS (SELECT gene, abs(score) AS w, row_number() OVER (ORDER BY score DESC, gene) - 1 AS pos FROM rv),
   ng AS (SELECT count(*) AS n FROM rk),
-  mem AS (SELECT DISTINCT l_suppkey AS set_id, l_partkey AS gene FROM lineitem WHERE l_quantity >= 25),
-  sz AS (SELECT set_id, count(*) AS k FROM mem JOIN rk USING (gene) GROUP BY 1 HAVING count(*) BETWEEN 15 AND 500),
+  mem AS (SELECT DISTINCT l_suppkey AS set_id, l_partkey AS gene FROM lineitem),
+  sz AS (SELECT set_id, count(*) AS k FROM mem JOIN rk USING (gene) GROUP BY 1 HAVING count(*) BETWEEN 15 AND 2000),
   h AS (SELECT set_id, gene, pos, w, k, row_number() OVER (PARTITION BY set_id ORDER BY pos) - 1 AS j,
     sum(w) OVER (PARTITION BY set_id ORDER BY pos ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY set_id) AS share,
     w / sum(w) OVER (PARTITION BY set_id) AS own FROM mem JOIN rk USING (gene) JOIN sz USING (set_id)),
@@ -230,8 +230,8 @@ RANKED = """rv AS (SELECT l_partkey AS gene, sum(l_extendedprice * (1 - l_discou
 
 def _ranked(t: Tables) -> tuple[DataFrame, DataFrame]:
     rank = cut(ranked.rank_genes(P.revenue_ranking(t)))
-    member = t.lineitem.where("l_quantity >= 25").select(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("gene")).distinct()
-    return rank, ranked.running_sum(ranked.ranked_hits(rank, P.supplier_set(t), member), F.lit(rank.count()))
+    member = t.lineitem.select(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("gene")).distinct()
+    return rank, ranked.running_sum(ranked.ranked_hits(rank, P.supplier_set(t), member, max_size=2000), F.lit(rank.count()))
 
 
 @query("gsea_observed_es", f"WITH {RANKED} SELECT set_id, k, round(es, 6) AS es, peak FROM es")
@@ -247,24 +247,44 @@ def gsea_leading_edge(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("n_lead"), F.min("gene").alias("first_gene"), F.sum("gene").alias("gene_sum"))
 
 
-@query("gsea_full")
+NULL = f"""{RANKED}, dk AS (SELECT DISTINCT k FROM es),
+  pr AS (SELECT perm, pos, w, row_number() OVER (PARTITION BY perm ORDER BY md5('0:' || perm || ':' || gene)) - 1 AS i FROM rk, range(200) AS t(perm)),
+  nl AS (SELECT k, perm, pos, w FROM pr JOIN dk ON i < k),
+  nh AS (SELECT k, perm, pos, w / sum(w) OVER (PARTITION BY k, perm) AS own, row_number() OVER (PARTITION BY k, perm ORDER BY pos) - 1 AS j,
+    sum(w) OVER (PARTITION BY k, perm ORDER BY pos ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY k, perm) AS share FROM nl),
+  nx AS (SELECT k, perm, max(share - (pos - j) / greatest(n - k, 1)) AS hi, min(share - own - (pos - j) / greatest(n - k, 1)) AS lo FROM nh, ng GROUP BY 1, 2),
+  nu AS MATERIALIZED (SELECT k, perm, CASE WHEN abs(hi) >= abs(lo) THEN hi ELSE lo END AS es FROM nx),
+  sm AS (SELECT k, nullif(coalesce(avg(es) FILTER (es >= 0), 1), 0) AS up, count(*) FILTER (es >= 0) AS n_up,
+    nullif(coalesce(abs(avg(es) FILTER (es < 0)), 1), 0) AS down, count(*) FILTER (es < 0) AS n_down FROM nu GROUP BY 1),
+  bc AS (SELECT e.set_id, count(*) AS c FROM es e JOIN nu ON nu.k = e.k AND (nu.es < 0) = (e.es < 0) AND abs(nu.es) >= abs(e.es) GROUP BY 1),
+  pt AS MATERIALIZED (SELECT set_id, k, e.es, (coalesce(c, 0) + 1) / (CASE WHEN e.es >= 0 THEN n_up ELSE n_down END + 1) AS p,
+    round(coalesce(e.es / CASE WHEN e.es >= 0 THEN up ELSE down END, 0), 4) AS nes FROM es e JOIN sm USING (k) LEFT JOIN bc USING (set_id)),
+  pv AS MATERIALIZED (SELECT coalesce(nu.es / CASE WHEN nu.es >= 0 THEN up ELSE down END, 0) AS v, sets
+    FROM nu JOIN sm USING (k) JOIN (SELECT k, count(*) AS sets FROM es GROUP BY 1) USING (k)),
+  ob AS (SELECT DISTINCT nes FROM pt),
+  fd AS (SELECT nes, (SELECT coalesce(sum(sets) FILTER (abs(v) >= abs(nes)), 0) / greatest(sum(sets), 1) FROM pv WHERE (v >= 0) = (nes >= 0)) AS nshare,
+    (SELECT count(*) FILTER (abs(x.nes) >= abs(ob.nes)) / count(*) FROM pt x WHERE (x.nes >= 0) = (ob.nes >= 0)) AS oshare FROM ob),
+  b1 AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, set_id) AS raw FROM pt),
+  b2 AS (SELECT *, least(1.0, min(raw) OVER (ORDER BY p DESC, set_id DESC ROWS UNBOUNDED PRECEDING)) AS padj FROM b1)"""
+
+
+@query("gsea_full", f"WITH {NULL} SELECT set_id, k AS set_size, round(es, 6) AS es, nes, round(p, 6) AS p, "
+       "round(least(1.0, coalesce(nshare, 0) / oshare), 6) AS fdr, round(padj, 6) AS padj FROM b2 JOIN fd USING (nes)")
 def gsea_full(t: Tables) -> DataFrame:
-    member = t.lineitem.where("l_quantity >= 25").select(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("gene")).distinct()
-    return ranked.gsea(P.revenue_ranking(t), P.supplier_set(t), member, nperm=200).select(
-        "set_id", "set_size", "es", "nes", "p", "fdr", "padj")
+    member = t.lineitem.select(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("gene")).distinct()
+    return ranked.gsea(P.revenue_ranking(t), P.supplier_set(t), member, nperm=200, max_size=2000).select(
+        "set_id", "set_size", F.round("es", 6).alias("es"), "nes", F.round("p", 6).alias("p"), F.round("fdr", 6).alias("fdr"),
+        F.round("padj", 6).alias("padj"))
 
 
-@query("ranking_positions", "SELECT l_partkey AS part, l_orderkey AS ord, l_linenumber AS line, l_quantity AS quantity, "
-       "row_number() OVER (ORDER BY l_quantity DESC, l_orderkey * 10 + l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos "
-       "FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_quantity, l_orderkey, l_linenumber) = 1")
+@query("ranking_positions", "SELECT l_quantity AS quantity, place, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n FROM "
+       "(SELECT l_quantity, l_orderkey * 10 + l_linenumber AS place, row_number() OVER (ORDER BY l_quantity DESC, l_orderkey * 10 + l_linenumber) - 1 AS pos "
+       "FROM lineitem) GROUP BY 1, 2")
 def ranking_positions(t: Tables) -> DataFrame:
-    # every line is ranked by quantity: fifty score values, so each is heavily tied
+    # every line is ranked by quantity: fifty score values, so each is heavily tied; lines with one key share its positions
     lines = t.lineitem.withColumn("place", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    once = lines.groupBy("l_quantity", "place").agg(F.count(F.lit(1)).alias("c")).where("c = 1").select("l_quantity", "place")
-    ranks = ordered.global_position(lines, "l_quantity", "place", small=1000)
-    return ranks.join(once, ["l_quantity", "place"]).select(
-        F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("ord"), F.col("l_linenumber").alias("line"),
-        F.col("l_quantity").alias("quantity"), F.col("pos").cast("long").alias("pos"))
+    return ordered.global_position(lines, "l_quantity", "place").groupBy(F.col("l_quantity").alias("quantity"), "place").agg(
+        F.min("pos").cast("long").alias("first_pos"), F.max("pos").cast("long").alias("last_pos"), F.count(F.lit(1)).alias("n"))
 
 
 @query("bh_adjust", "WITH sc AS (SELECT o_orderkey AS set_id, o_totalprice / (SELECT max(o_totalprice) + 1 FROM orders) "
@@ -273,11 +293,21 @@ def ranking_positions(t: Tables) -> DataFrame:
 def bh_adjust(t: Tables) -> DataFrame:
     top = t.orders.agg((F.max("o_totalprice") + 1).alias("m")).scalar()
     p = F.col("o_totalprice") / top * F.when(F.col("o_orderstatus") == "F", 0.001).otherwise(1.0)
-    return ordered.benjamini_hochberg(t.orders.select(F.col("o_orderkey").alias("set_id"), p.alias("p")), small=0).select(
+    return ordered.benjamini_hochberg(t.orders.select(F.col("o_orderkey").alias("set_id"), p.alias("p"))).select(
         "set_id", F.round("p", 10).alias("p"), F.round("fdr", 10).alias("fdr"))
 
 
-@query("theme_cluster")
+@query("theme_cluster", "WITH RECURSIVE " + SUPPLIER_GENE + ", " + SUPPLIER_SET + ", "
+       + ora_sql("SELECT set_id, gene, ns FROM sg", "SELECT p_partkey AS gene FROM part WHERE p_size >= 45", None) + """,
+  h AS (SELECT set_id, name, row_number() OVER (ORDER BY p, overlap DESC, set_id) AS o FROM adj JOIN gs USING (set_id)),
+  m AS (SELECT o, gene FROM sg JOIN h USING (set_id)), n AS (SELECT o, count(*) AS n FROM m GROUP BY 1),
+  sh AS (SELECT a.o AS early, b.o AS late, count(*) AS k FROM m a JOIN m b USING (gene) WHERE a.o < b.o GROUP BY 1, 2),
+  nr AS (SELECT late, list(early) AS e FROM sh JOIN n na ON na.o = early JOIN n nb ON nb.o = late WHERE k / (na.n + nb.n - k) >= 0.13 GROUP BY 1),
+  w AS (SELECT o, coalesce(e, []) AS e FROM h LEFT JOIN nr ON late = o),
+  g AS (SELECT 0::BIGINT AS o, []::BIGINT[] AS led, 0::BIGINT AS lead UNION ALL
+    SELECT w.o, CASE WHEN len(list_intersect(led, e)) = 0 THEN list_append(led, w.o) ELSE led END,
+      coalesce(list_min(list_intersect(led, e)), w.o) FROM g JOIN w ON w.o = g.o + 1)
+  SELECT h.set_id, list_position(led, lead)::INT AS theme, l.name AS theme_leader FROM g JOIN h USING (o) JOIN h l ON l.o = lead""")
 def theme_cluster(t: Tables) -> DataFrame:
     member = cut(P.supplier_gene(t))
     found = enrich.ora(P.big_parts(t), P.supplier_set(t), member)
@@ -564,17 +594,18 @@ def set_stats(t: Tables) -> DataFrame:
     return catalogue.set_stats(P.customer_set(t), member, P.customer_gene(t), P.customer_pair(t)).withColumn("value", F.round("value", 6))
 
 
-SUBGRAPH = f"""{CUSTOMER_PAIR}, {EDGE}, {CUSTOMER_GENE}, ce AS (SELECT set_id, gene_a AS source, gene_b AS target, 'curated' AS kind FROM cp
-    UNION ALL SELECT set_id, gene_a, gene_b, 'ppi' FROM ({_INNER}) WHERE (set_id, gene_a, gene_b) NOT IN (SELECT (set_id, gene_a, gene_b) FROM cp)),
+SUBGRAPH = f"""{CUSTOMER_PAIR}, {EDGE}, {CUSTOMER_GENE}, inn AS MATERIALIZED ({_INNER}),
+  ce AS MATERIALIZED (SELECT set_id, gene_a AS source, gene_b AS target, 'curated' AS kind FROM cp
+    UNION ALL SELECT set_id, gene_a, gene_b, 'ppi' FROM inn ANTI JOIN cp USING (set_id, gene_a, gene_b)),
   dg AS (SELECT set_id, gene, count(*) AS degree FROM (SELECT set_id, source AS gene FROM ce UNION ALL SELECT set_id, target FROM ce) GROUP BY 1, 2),
   nd AS (SELECT set_id, gene, coalesce(degree, 0) AS degree, row_number() OVER (PARTITION BY set_id ORDER BY coalesce(degree, 0) DESC, gene) AS rank
-    FROM cg LEFT JOIN dg USING (set_id, gene) QUALIFY rank <= 20)"""
+    FROM cg LEFT JOIN dg USING (set_id, gene))"""
 
 
 def _maps(t: Tables) -> tuple[DataFrame, DataFrame]:
     gene = cut(P.customer_gene(t))
-    wired = subgraph.set_edges(gene, P.customer_pair(t), _edges(t), "high")
-    return subgraph.set_graphs(gene, wired, P.pair_query(t), max_nodes=20)
+    wired = cut(subgraph.set_edges(gene, P.customer_pair(t), _edges(t), "high"))
+    return subgraph.set_graphs(gene, wired, P.pair_query(t))
 
 
 @query("subgraph_nodes", f"WITH {SUBGRAPH}, {PAIR_QUERY} SELECT set_id, gene, degree, rank, gene IN (SELECT gene FROM q) AS hit FROM nd")
@@ -582,19 +613,18 @@ def subgraph_nodes(t: Tables) -> DataFrame:
     return _maps(t)[0].select("set_id", "gene", "degree", F.col("rank").cast("long").alias("rank"), "hit")
 
 
-@query("subgraph_edges", f"WITH {SUBGRAPH} SELECT set_id, source, target, kind FROM ce WHERE (set_id, source) IN (SELECT (set_id, gene) FROM nd) "
-       "AND (set_id, target) IN (SELECT (set_id, gene) FROM nd)")
+@query("subgraph_edges", f"WITH {SUBGRAPH} SELECT set_id, source, target, kind FROM ce")
 def subgraph_edges(t: Tables) -> DataFrame:
     return _maps(t)[1].select("set_id", "source", "target", "kind")
 
 
-@query("set_distances", f"""WITH RECURSIVE {EDGE}, bd AS (SELECT gene_a AS a, gene_b AS b FROM tiered WHERE n_pmids >= 3 UNION SELECT gene_b, gene_a FROM tiered WHERE n_pmids >= 3),
-  v AS (SELECT 'P' || p_partkey AS gene, 0 AS d FROM part WHERE p_size = 1 UNION SELECT b, d + 1 FROM v JOIN bd ON gene = a WHERE d < 4),
-  s AS (SELECT gene, min(d) AS d FROM v GROUP BY 1), {CUSTOMER_PAIR}, {CUSTOMER_GENE}
-  SELECT set_id, coalesce(min(d), -1) AS distance FROM cg LEFT JOIN s USING (gene) GROUP BY 1""")
+@query("set_distances", f"""WITH RECURSIVE {EDGE}, bd AS MATERIALIZED (SELECT gene_a AS a, gene_b AS b FROM tiered UNION SELECT gene_b, gene_a FROM tiered),
+  v(gene, d) USING KEY (gene) AS (SELECT DISTINCT 'P' || p_partkey, 0 FROM part WHERE p_size = 1
+    UNION SELECT DISTINCT b, d + 1 FROM v JOIN bd ON v.gene = a WHERE b NOT IN (SELECT gene FROM recurring.v)), {CUSTOMER_PAIR}, {CUSTOMER_GENE}
+  SELECT set_id, coalesce(min(d), -1) AS distance FROM cg LEFT JOIN v USING (gene) GROUP BY 1""")
 def set_distances(t: Tables) -> DataFrame:
     start = t.part.where("p_size = 1").select(P.part_gene("p_partkey").alias("gene"))
-    return graph.set_distances(start, _edges(t).where("n_pmids >= 3"), P.customer_gene(t), max_depth=4)
+    return graph.set_distances(start, _edges(t), P.customer_gene(t))
 
 
 @query("hierarchy_links", """WITH m AS (SELECT 'O:' || o_orderkey AS id, o_custkey AS set_id FROM orders UNION ALL SELECT 'L:' || l_orderkey || ':' || l_linenumber, l_suppkey + 1000000 FROM lineitem),
@@ -656,7 +686,9 @@ def collection_equivalents(t: Tables) -> DataFrame:
     return pathways.msigdb_sets(rows, lookup, "link", member, owned)[0]
 
 
-@query("review_decisions", f"""WITH {UNITS}, cur AS (SELECT DISTINCT 'cold ' || substr(name, 5) AS x, name AS y, CASE WHEN name LIKE '%promo' THEN 'merge' ELSE 'separate' END AS d FROM un WHERE name LIKE 'old %'),
+@query("review_decisions", f"""WITH {UNITS}, cur AS (SELECT x, y, arg_max(d, pos) AS d FROM (SELECT DISTINCT 'cold ' || substr(name, 5) AS x, name AS y, 1 AS pos,
+      CASE WHEN name LIKE '%promo' THEN 'merge' ELSE 'separate' END AS d FROM un WHERE name LIKE 'old %'
+    UNION ALL SELECT DISTINCT 'cold ' || substr(name, 5), name, 2, 'separate' FROM un WHERE name LIKE 'old %' AND length(name) % 3 = 0) GROUP BY 1, 2),
   dec AS (SELECT source_a, name_a, source_b, name_b, CASE WHEN name_a = name_b OR d = 'merge' THEN 'accept' WHEN d IS NULL THEN 'pending' ELSE 'reject' END AS decision
     FROM hit LEFT JOIN cur ON least(name_a, name_b) = x AND greatest(name_a, name_b) = y)
   SELECT * FROM dec""")
@@ -664,5 +696,9 @@ def review_decisions(t: Tables) -> DataFrame:
     units = cut(matching.name_units(P.brand_pathways(t).pathway))
     old = units.where("name LIKE 'old %'").select("name").distinct()
     reviewed = old.select(F.concat(F.lit("cold "), F.substring("name", 5, 100)).alias("name_a"), F.col("name").alias("name_b"),
-                          F.when(F.col("name").endswith("promo"), "merge").otherwise("separate").alias("decision"), F.lit("").alias("reason"))
-    return matching.review(matching.best_hits(units), reviewed).select("source_a", "name_a", "source_b", "name_b", "decision")
+                          F.when(F.col("name").endswith("promo"), "merge").otherwise("separate").alias("decision"), F.lit("").alias("reason"),
+                          F.lit(1).alias("pos"))
+    # some pairs are named again, the other way round: the later row counts
+    again = reviewed.where(F.length("name_b") % 3 == 0).select(
+        F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b"), F.lit("separate").alias("decision"), "reason", F.lit(2).alias("pos"))
+    return matching.review(matching.best_hits(units), reviewed.unionByName(again)).select("source_a", "name_a", "source_b", "name_b", "decision")

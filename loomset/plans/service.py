@@ -11,8 +11,8 @@ from ..operators import catalogue, enrich, identifiers, network, ranked, subgrap
 from ..session import cut
 from ..sources import release
 
-# Request limits of the service.
-MAX_GENES, MAX_BACKGROUND, MAX_ROWS = 20_000, 60_000, 500
+# Largest inputs of one request; larger ones are refused, results are never cut.
+MAX_GENES, MAX_BACKGROUND, MAX_SIZE = 20_000, 60_000, 5000
 NPERM = (100, 2000)
 
 
@@ -39,18 +39,20 @@ class Library:
         return identifiers.resolve_query(rows, self.aliases)
 
     def _report(self, result: DataFrame, order: list, found: DataFrame, missing: DataFrame, n: int) -> dict:
-        return {"n_input": n, "n_mapped": found.count(), "unmapped": [r["ident"] for r in missing.orderBy("pos").limit(200).collect()],
-                "results": result.orderBy(*order).limit(MAX_ROWS)}
+        return {"n_input": n, "n_mapped": found.count(), "unmapped": missing.orderBy("pos").select("ident"),
+                "results": result.orderBy(*order)}
 
     def ora(self, genes: list[str], background: list[str] | None = None, collections: list[str] | None = None, *,
             min_size: int = 5, max_size: int = 2000, alpha: float = 0.05) -> dict:
-        """Over-representation with hit genes and themes; ``results`` is a DataFrame of at most 500 rows."""
+        """Over-representation with hit genes and themes; ``results`` is the whole DataFrame."""
+        if max_size > MAX_SIZE:
+            raise ValueError(f"max_size is at most {MAX_SIZE}")
         found, missing = self.resolve(genes, MAX_GENES)
         query = found.select(F.col("symbol").alias("gene"))
         back = self.resolve(background, MAX_BACKGROUND)[0].select(F.col("symbol").alias("gene")) if background else None
         member = self.table("set_gene")
         result = cut(enrich.ora(query, self.table("gset"), member, background=back, collections=collections,
-                                min_size=min_size, max_size=min(max_size, 5000)))
+                                min_size=min_size, max_size=max_size))
         order = [F.asc("p"), F.desc("overlap"), F.asc("set_id")]
         named = themes.themes(result, member, self.table("set_link"), order=order, alpha=alpha)
         return self._report(enrich.with_genes(named, enrich.ora_hits(result, query, member, back)), order, found, missing, len(genes))
@@ -84,14 +86,14 @@ class Library:
     def collections(self) -> DataFrame:
         return catalogue.collections(self.table("gset")).orderBy("collection")
 
-    def search(self, term: str, limit: int = 50) -> DataFrame:
+    def search(self, term: str, limit: int | None = None) -> DataFrame:
         return catalogue.search(self.table("gset"), self.table("set_member"), self.table("set_gene"), self.aliases, term, limit)
 
     def set_detail(self, set_id: str) -> dict[str, DataFrame]:
         return catalogue.set_detail(set_id, self.table("gset"), self.table("set_member"), self.table("set_gene"),
                                     self.table("set_pair"), self.table("set_link"))
 
-    def gene_detail(self, symbol: str, limit: int = 300) -> dict[str, DataFrame]:
+    def gene_detail(self, symbol: str, limit: int | None = None) -> dict[str, DataFrame]:
         found, _ = self.resolve([symbol], 1)
         row = found.first()
         if row is None:
@@ -101,17 +103,16 @@ class Library:
                 "ppi_partners": catalogue.partners(self.table("ppi"), row["symbol"], limit)}
 
     def map(self, set_id: str, kind: str = "cyjs", tier: str | None = None, genes: list[str] | None = None,
-            max_nodes: int = subgraph.MAX_NODES) -> str:
+            max_nodes: int | None = None) -> str:
         """One set's map as Cytoscape JSON, SBML-qual or SBGN text."""
         one = lambda name: self.table(name).where(F.col("set_id") == set_id)
         head, member = one("gset"), one("set_gene")
         if head.isEmpty():
             raise KeyError(set_id)
-        top = min(max(max_nodes, 10), subgraph.MAX_NODES) if kind == "cyjs" else subgraph.MAX_NODES
         hits = self.resolve(genes, MAX_GENES)[0].select(F.col("symbol").alias("gene")) if genes else None
         edges = self.table("string_ppi").withColumn("tier", F.lit("high")) if tier == "string" else (self.table("ppi") if tier else None)
         wired = subgraph.set_edges(member, one("set_pair"), edges, "high" if tier == "string" else tier)
-        nodes, shown = subgraph.set_graphs(member, wired, hits, top)
-        write = {"cyjs": lambda: subgraph.to_cytoscape(head, nodes, shown, top), "sbml": lambda: subgraph.to_sbml(head, nodes, shown),
+        nodes, shown = subgraph.set_graphs(member, wired, hits, max_nodes)
+        write = {"cyjs": lambda: subgraph.to_cytoscape(head, nodes, shown), "sbml": lambda: subgraph.to_sbml(head, nodes, shown),
                  "sbgn": lambda: subgraph.to_sbgn(head, nodes, shown)}[kind]
         return write().first()[1]

@@ -304,11 +304,6 @@ def split_gene_info(spark: SparkSession, path: str, folder: str) -> None:
     raw.withColumnRenamed(raw.columns[0], "tax_id").write.mode("overwrite").partitionBy("tax_id").parquet(folder)
 
 
-def enough_rows(df: DataFrame, least: int = 500) -> bool:
-    """Whether a gene list is more than a stub (reads at most ``least`` rows)."""
-    return df.limit(least).count() >= least
-
-
 def pair_table(spark: SparkSession, path: str, feed: str) -> DataFrame:
     """Two- or three-column pair tables; the third column counts as a score when it is all digits."""
     p = fields(lines(spark, path), "a", "b", "s").where(~F.col("line").startswith("#") & (F.col("n_fields") >= 2))
@@ -317,12 +312,13 @@ def pair_table(spark: SparkSession, path: str, feed: str) -> DataFrame:
 
 
 def msigdb(spark: SparkSession, path: str) -> DataFrame:
-    """(set_name, exact_source, systematic_name, collection, gene) of MSigDB JSON collections."""
+    """(set_name, exact_source, systematic_name, collection, gene) of MSigDB JSON collections; a record without a
+    collection belongs to that of its file name, in upper case."""
     record = ("map<string,struct<geneSymbols:array<string>,exactSource:string,systematicName:string,collection:string>>")
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", record)).alias("set_name", "r"))
     return rows.select("set_name", F.coalesce("r.exactSource", F.lit("")).alias("exact_source"),
                        F.coalesce("r.systematicName", F.lit("")).alias("systematic_name"),
-                       F.coalesce("r.collection", F.lit("")).alias("collection"), F.explode_outer("r.geneSymbols").alias("gene"))
+                       F.coalesce(F.nullif("r.collection", F.lit("")), F.upper(F.regexp_extract(F.input_file_name(), r"([^/]+?)\.[^./]*$", 1))).alias("collection"), F.explode_outer("r.geneSymbols").alias("gene"))
 
 
 def curation(spark: SparkSession, path: str) -> DataFrame:
@@ -336,7 +332,7 @@ def gene_list(spark: SparkSession, path: str) -> DataFrame:
     """(ident, pos) from a list separated by commas or white space."""
     words = F.filter(F.split(F.regexp_replace("line", ",", " "), r"\s+"), lambda x: x != "")
     return lines(spark, path).select("pos", F.posexplode(words).alias("i", "ident")).select(
-        "ident", (F.col("pos") * 100_000 + F.col("i")).alias("pos"))
+        "ident", F.struct("pos", "i").alias("pos"))
 
 
 def ranking(spark: SparkSession, path: str) -> DataFrame:

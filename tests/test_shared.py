@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from loomset import session
 from loomset.operators import unify
-from loomset.operators.vocabulary import small_vocabulary, united
+from loomset.operators.vocabulary import united
 
 
 @pytest.mark.parametrize("size", [3, 200])
@@ -14,7 +15,6 @@ def test_united_sets_small_and_large_vocabulary(spark, size):
     rng = random.Random(size)
     rows = [(rng.randint(0, 9), f"v{rng.randint(0, size)}" if rng.random() < 0.9 else None) for _ in range(2000)] + [(99, None)]
     df = spark.createDataFrame(rows, "k int, v string")
-    assert (small_vocabulary(df, F.col("v")) is None) == (size > 62)
     want = {}
     for k, v in rows:
         want.setdefault(k, set()).update([v] if v else [])
@@ -22,13 +22,14 @@ def test_united_sets_small_and_large_vocabulary(spark, size):
     assert {r["k"]: r["s"] for r in got} == {k: sorted(v) for k, v in want.items()} and sum(r["n"] for r in got) == len(rows)
 
 
-def test_large_groups_get_a_stable_order_free_id(spark, monkeypatch):
-    monkeypatch.setattr(unify, "_LIST_BOUND", 3)
-    rows = [("g", "s", f"m{i}") for i in range(6)] + [("h", "s", "a"), ("h", "t", "b")]
+def test_set_ids_are_free_of_order_and_of_size(spark):
+    rows = [("g", "s", f"m{i}") for i in range(12_000)] + [("h", "s", "a"), ("h", "t", "b")]
     df = lambda r: spark.createDataFrame(r, "group string, source string, member_id string")
     ids = lambda d: {r["group"]: r["set_id"] for r in unify.set_ids(d, "IP").collect()}
     one, two = ids(df(rows)), ids(df(rows[::-1]))
     assert one == two and len(set(one.values())) == 2
+    text = "|".join(f"s:{m}" for m in sorted(f"m{i}" for i in range(12_000)))
+    assert one["g"] == "IP" + hashlib.sha1(text.encode()).hexdigest()[:10].upper()
 
 
 def test_checkpoint_folder_is_taken_from_the_session(spark):
