@@ -118,13 +118,18 @@ def fit(docs: DataFrame, per_language: int = 300, total: int = 6000, landmarks:
     """Learn from a bounded sample of the labelled rows that are not held out.
 
     At most ``per_language`` rows of a language and about ``total`` rows in all are taken, the first in the order of a
-    hash of the id; only their n-gram ids (at most 266,304 each) reach the driver.
+    hash of id and text; only their n-gram ids (at most 266,304 each) reach the driver.
     """
     rows = only(docs, doc_id="bigint", text="string", lang="string").where(
         "lang IS NOT NULL AND crc32(cast(coalesce(cast(doc_id AS string), '') AS binary)) % 5 <> 0")
-    n = max(1, rows.select("lang").distinct().count())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    taken = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= min(per_language, max(8, total // n)))
+    sizes = rows.groupBy("lang").count()
+    n = max(1, sizes.count())
+    each = min(per_language, max(8, total // n))
+    # A hash keeps about twice as many rows of a language as are wanted, wherever they are; then they are numbered.
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    near = rows.join(sizes, "lang").withColumn("place", place).where(F.col("place") <= (2.0 * each + 20) / F.col("count"))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    taken = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each)
     found = taken.select("lang", "text").mapInArrow(_profiles, "lang string, ids array<int>").toArrow()
     found = sorted((r for r in zip(found["lang"].to_pylist(), (np.asarray(x, np.int32) for x in found["ids"].to_pylist())) if len(r[1])),
                    key=lambda r: (r[0], r[1].tobytes()))
