@@ -29,13 +29,24 @@ from .base import Scratch, only
 
 END_ID = 0
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 20_000, 64 << 10
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000
 BLOCK_DOCS, BLOCK_BYTES = 1024, 1 << 22
 LOWEST = -(1 << 63)
 
 # Where the pre-tokenizer surely begins a new piece: at a space after and before something that is not white space.
 # Texts with three blanks in a row, two at the end or unusual blanks are encoded whole.
 _ODD = re.compile(r"\s\s(?:\s|\Z)|[^\S \n\t\r]")
+_PAIRS = tuple(a + b for a in " \n\t\r" for b in " \n\t\r")
+_UNUSUAL = "\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
+def _odd(text: str) -> bool:
+    """Whether ``_ODD`` is found; most texts are cleared by substring tests alone."""
+    if text.isascii() and not any(p in text for p in _PAIRS) and not any(c in text for c in _UNUSUAL):
+        return False
+    return _ODD.search(text) is not None
+
+
 # Letters for which the pre-tokenizer's classes are stated here; pieces with others go to it.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0400-\u045f\u3041-\u3096\u4e00-\u9fa5"
 _PLAIN = re.compile(f"[ \\n\\t\\r!-~{_LETTERS}]*\\Z")
@@ -76,37 +87,33 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            spelled = piece.encode().decode("latin-1").translate(self.letters)
-            width = self.kind.itemsize
-            found = self.pieces[piece] = b"".join([t.id.to_bytes(width, "little") for t in self.model.tokenize(spelled)])
-        return found
-
-    def _chunk(self, chunk: str) -> bytes:
-        if not _PLAIN.match(chunk):
-            return self._whole(chunk)
-        return b"".join([self._piece(p) for p in _PIECES.findall(chunk)])
+    def _learn(self, chunks: list[str]) -> None:
+        """Add new chunks: cut into pieces, the new pieces among them tokenised once."""
+        cut = [_PIECES.findall(c) if _PLAIN.match(c) else None for c in chunks]
+        pieces, width = self.pieces, self.kind.itemsize
+        for p in set().union(*(c for c in cut if c)) - pieces.keys():
+            spelled = p.encode().decode("latin-1").translate(self.letters)
+            pieces[p] = b"".join([t.id.to_bytes(width, "little") for t in self.model.tokenize(spelled)])
+        known = self.chunks
+        for chunk, parts in zip(chunks, cut):
+            known[chunk] = self._whole(chunk) if parts is None else b"".join([pieces[p] for p in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Serialized ids of each text, without the end id."""
-        known, out = self.chunks, []
+        if len(self.chunks) > CACHE_ENTRIES:
+            self.chunks.clear()
+        if len(self.pieces) > 2 * CACHE_ENTRIES:
+            self.pieces.clear()
+        split: list[list[str] | None] = []
         for t in texts:
-            if _ODD.search(t):
-                out.append(self._whole(t))
-                continue
-            first, *rest = t.split(" ")
-            parts = [first, *[" " + x for x in rest]]
-            for x in parts:
-                if x not in known:
-                    known[x] = self._chunk(x)
-            out.append(b"".join([known[x] for x in parts]))
-            if len(known) > CACHE_ENTRIES:
-                known.clear()
-            if len(self.pieces) > 2 * CACHE_ENTRIES:
-                self.pieces.clear()
-        return out
+            if _odd(t):
+                split.append(None)
+            else:
+                first, *rest = t.split(" ")
+                split.append([first, *[" " + x for x in rest]])
+        self._learn(list(set().union(*(x for x in split if x)) - self.chunks.keys()))
+        known = self.chunks.__getitem__
+        return [self._whole(t) if parts is None else b"".join(map(known, parts)) for t, parts in zip(texts, split)]
 
 
 def encoder(path: str) -> Encoder:
@@ -122,8 +129,12 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """
     import zstandard
 
-    rows = only(docs, text="string").where(f"length(text) BETWEEN 1 AND {SAMPLE_CHARS}").select("text", F.xxhash64("text").alias("h"))
-    texts = [r["text"] for r in rows.orderBy("h", "text").limit(SAMPLE_DOCS).collect()]
+    rows = only(docs, text="string").where(f"length(text) BETWEEN 1 AND {SAMPLE_CHARS}")
+    n = max(1, rows.count())
+    # A hash keeps about twice as many texts as are wanted, wherever they are; then the first of them are taken.
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    near = rows.select("text", place.alias("place")).where(F.col("place") <= (2.0 * SAMPLE_DOCS + 100) / n)
+    texts = [r["text"] for r in near.orderBy("place", "text").limit(SAMPLE_DOCS).collect()]
     samples = encoder(tokenizer).encode(texts)
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
     if len(samples) < 16 or size < 512:
