@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: prefix filter for candidates, a prefix tree to verify them, components as result.
+"""N-gram Jaccard join: shared elements and prefixes for candidates, a prefix tree to verify them, components as result.
 
 Free style (Arrow batches and numpy inside tasks); Spark partitions, shuffles and joins.
 """
@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,24 +138,123 @@ def _expand(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
 
 
-def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for every document, and at the end the task's shingle counts in chunks of the sketch."""
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
-    names = ["row", "doc_id", "h", "size", "digest", "chunk", "counts"]
+def _name_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, sets in _rows(batches):
-        if sets:
-            counts += np.bincount(np.concatenate(sets) & mask, minlength=len(counts))
-        n = len(sets)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("doc_id"), batch.column("h"), pa.array([len(s) for s in sets], kinds[3]),
-             pa.array([digest(s) if len(s) else None for s in sets], kinds[4]), pa.nulls(n, kinds[5]), pa.nulls(n, kinds[6])], names)
-    width = len(counts) // SKETCH_CHUNKS
+            [batch.column("row"), batch.column("doc_id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int32()),
+             pa.array([digest(s) if len(s) else None for s in sets], pa.binary())], ["row", "doc_id", "h", "size", "digest"])
+
+
+class _Fresh:
+    """Names not met before in this task; forgets when full, so a name may pass again."""
+
+    def __init__(self):
+        self.seen: set = set()
+
+    def __call__(self, name) -> bool:
+        if name in self.seen:
+            return False
+        if len(self.seen) >= FLUSH:
+            self.seen.clear()
+        self.seen.add(name)
+        return True
+
+
+def _elements(buckets: int):
+    """All elements of all sets, 40 bits each, packed by bucket; copies within a task are sent once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh, held, size, part, nth = _Fresh(), [], 0, TaskContext.get().partitionId(), 0
+        fields = ["bucket", "flush", "token", "local", "names", "sizes"]
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+
+        def flush():
+            number = (part << 24) + nth
+            lengths = np.array([len(h[0]) for h in held])
+            token = np.concatenate([h[0] for h in held]) >> np.uint64(24)
+            local = np.repeat(np.arange(len(held), dtype=np.uint32), lengths)
+            bucket = (token % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((token, bucket))
+            rows = [(number % buckets, number, None, None, _squeeze(np.array([h[1] for h in held], np.int64)), _squeeze(lengths.astype(np.int64)))]
+            for cut in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                rows.append((int(bucket[cut[0]]), number, _squeeze(np.diff(token[cut], prepend=np.uint64(0))), _squeeze(local[cut]), None, None))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], fields)
+
+        for _, sets in _rows(batches):
+            for s in sets:
+                if len(s) and fresh(name := _short(digest(s))):
+                    held.append((s, name))
+                    size += len(s)
+            if size >= 2 * FLUSH:
+                yield flush()
+                held, size, nth = [], 0, nth + 1
+        if held:
+            yield flush()
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every pack of sets, how many elements of each are also in another set (of the buckets that are here)."""
+    flushes, tokens, places = [], [], []
+    fields, kinds = ["flush", "names", "sizes", "counts"], [pa.int64(), *[pa.binary()] * 3]
+
+    def out(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], fields)
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["names"] is not None:
+                yield out([(row["flush"], row["names"], row["sizes"], None)])
+            else:
+                flushes.append(row["flush"])
+                tokens.append(np.cumsum(_expand(row["token"], "<u8"), dtype=np.uint64))
+                places.append(_expand(row["local"], "<u4"))
+    if not tokens:
+        return
+    token = np.concatenate(tokens)
+    order = np.argsort(token)
+    same = token[order][1:] == token[order][:-1]
+    shared = np.zeros(len(token), bool)
+    shared[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    at = 0
+    for number, place in zip(flushes, places):
+        counts = np.bincount(place[shared[at:at + len(place)]])
+        at += len(place)
+        if len(counts):
+            yield out([(number, None, None, _squeeze(counts.astype(np.int64)))])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names of sets with three quarters of their elements in other sets; no other set can be linked."""
+    sums: dict[int, np.ndarray] = {}
+    known: dict[int, tuple[bytes, bytes]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["names"] is not None:
+                known[row["flush"]] = row["names"], row["sizes"]
+                continue
+            counts = _expand(row["counts"], "<i8")
+            old = sums.get(row["flush"], np.zeros(0, np.int64))
+            if len(old) < len(counts):
+                old, counts = counts.copy(), old
+            old[:len(counts)] += counts
+            sums[row["flush"]] = old
+    for number, counts in sums.items():
+        names, sizes = _expand(known[number][0], "<i8"), _expand(known[number][1], "<i8")
+        enough = np.flatnonzero(4 * counts >= 3 * sizes[:len(counts)])
+        yield pa.RecordBatch.from_arrays([pa.array(names[enough])], ["name"])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Element counts of a task's sets in chunks of the sketch."""
+    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    mask, width = np.uint64((1 << SKETCH_BITS) - 1), (1 << SKETCH_BITS) // SKETCH_CHUNKS
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            data = b"".join(batch.column("elements").slice(at, 512).to_pylist())
+            counts += np.bincount(np.frombuffer(data, np.uint64) & mask, minlength=len(counts))
     used = [c for c in range(SKETCH_CHUNKS) if counts[c * width:(c + 1) * width].any()]
-    yield pa.RecordBatch.from_arrays(
-        [pa.nulls(len(used), k) for k in kinds[:5]] + [pa.array(used, kinds[5]), pa.array(
-            [_squeeze(counts[c * width:(c + 1) * width]) for c in used], kinds[6])], names)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([_squeeze(counts[c * width:(c + 1) * width]) for c in used], pa.binary())],
+                                     ["chunk", "counts"])
 
 
 def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,12 +268,13 @@ def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _levels(chunks: list[tuple[int, bytes]]) -> np.ndarray:
-    """Frequency level of each sketch cell: 0 up to twice the mean, then one more for every doubling."""
+    """Frequency level of each sketch cell: 0 up to what chance explains, then one more for every doubling."""
     width = (1 << SKETCH_BITS) // SKETCH_CHUNKS
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for c, x in chunks:
         counts[c * width:(c + 1) * width] = _expand(x, "<i8")
-    over = counts / max(1.0, 2 * counts.mean() + 8)
+    mean = counts.mean()
+    over = counts / (mean + 4 * np.sqrt(mean) + 2)
     return np.where(over > 1, np.ceil(np.log2(np.maximum(over, 1))), 0).astype(np.uint8)
 
 
@@ -195,7 +296,6 @@ def _close(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.nda
 
 def _prefixes(levels, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         held: list[tuple[np.ndarray, int, int]] = []
         size = 0
 
@@ -215,22 +315,16 @@ def _prefixes(levels, buckets: int):
                         np.diff(token[part], prepend=np.uint64(0)), place.astype(np.uint32), pos[part], names[mine], sizes[mine])]],
                     ["bucket", "token", "local", "pos", "name", "size"])
 
-        for _, sets in _rows(batches):
-            for s in sets:
-                if not len(s):
-                    continue
-                name = _short(digest(s))
-                if name in seen:  # a copy in this task has said it already
-                    continue
-                if len(seen) >= FLUSH:
-                    seen.clear()
-                seen.add(name)
-                p = _order(s, levels.value)[:prefix_length(len(s))]
-                held.append((p, name, len(s)))
+        for batch in batches:
+            for name, data in zip(batch.column("name").to_pylist(), batch.column("elements")):
+                p = np.frombuffer(data.as_py(), np.uint64)
+                n = len(p)
+                p = _order(p, levels.value)[:prefix_length(n)]
+                held.append((p, name, n))
                 size += len(p)
-            if size >= FLUSH:
-                yield from flush()
-                held, size = [], 0
+                if size >= FLUSH:
+                    yield from flush()
+                    held, size = [], 0
         if held:
             yield from flush()
     return run
@@ -337,30 +431,35 @@ def _bloom_part(size: int):
     return run
 
 
-def _wanted_sets(levels, bloom):
+def _wanted_sets(bloom):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(bloom.value).view(bool)
-        sent: set[bytes] = set()
+        bits, fresh = np.unpackbits(bloom.value).view(bool), _Fresh()
         for _, sets in _rows(batches):
             out = []
             for s in sets:
                 if not len(s):
                     continue
                 d = digest(s)
-                at = _bits(np.array([_short(d)], np.int64), len(bits))
-                if d in sent or not (bits[at[0]] & bits[at[1]])[0]:
-                    continue
-                if len(sent) >= FLUSH:
-                    sent.clear()
-                sent.add(d)
-                # Frequent elements first: near copies then share long paths of the tree.
-                out.append((_short(d), d, _order(s, levels.value)[::-1].tobytes()))
+                one, two = _bits(np.array([_short(d)], np.int64), len(bits))
+                if (bits[one] & bits[two])[0] and fresh(d):
+                    out.append((_short(d), d, s.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()),
                                                   pa.array([o[2] for o in out], pa.binary())], ["name", "digest", "elements"])
     return run
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set once; copies of a class have come to one task."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        new = []
+        for d in batch.column("digest").to_pylist():
+            new.append(d not in seen)
+            seen.add(d)
+        yield batch.filter(pa.array(new))
+
+
 def tree_matches(probe: np.ndarray, partners: list[tuple[bytes, np.ndarray]], step: int = 64) -> Iterator[bytes]:
     """Partners linked with ``probe``. Sets are sequences in one global order.
 
@@ -390,8 +489,17 @@ def tree_matches(probe: np.ndarray, partners: list[tuple[bytes, np.ndarray]], st
             yield name
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (a, part, probe first): a group's probes against the tree of its partners."""
+def _verify(levels):
+    """Rows sorted by (a, part, probe first): a group's probes against the tree of its partners.
+
+    Frequent elements come first in the tree: near copies then share long paths.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _verified(batches, levels.value)
+    return run
+
+
+def _verified(batches: Iterator[pa.RecordBatch], levels: np.ndarray) -> Iterator[pa.RecordBatch]:
     key, probes, partners = None, [], []
 
     def flush():
@@ -408,12 +516,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if partners and probes:
                     yield flush()
                 key, probes, partners = (a, part), [], []
-            (probes if is_probe else partners).append((d, np.frombuffer(x, np.uint64)))
+            (probes if is_probe else partners).append((d, _order(np.frombuffer(x, np.uint64), levels)[::-1]))
     if partners and probes:
         yield flush()
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, levels) -> DataFrame:
     """Verified links (digest a, digest b) of proposed pairs of short names; a much-paired class is split over tasks."""
     busy = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     parts = pairs.join(busy, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PARTNERS)).cast("int").alias("part"))
@@ -422,7 +530,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         "a", "part", F.lit(True).alias("probe"), "digest", "elements")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = left.unionByName(right).repartition(n, "a", "part").sortWithinPartitions("a", "part", F.desc("probe"))
-    return laid.mapInArrow(_verify, "a binary, b binary").distinct()
+    return laid.mapInArrow(_verify(levels), "a binary, b binary").distinct()
 
 
 def _text_key(text):
@@ -433,13 +541,17 @@ def near_components(docs: DataFrame) -> DataFrame:
     """One row per input row: row, doc_id, h (SHA-256 of the text), n_shingles, component, component_id.
 
     Sets are distinct five-word shingles as 64-bit hashes; two link when 100 both >= 75 either. Equal sets are one class
-    (128-bit name). 1. One pass names the sets and counts all shingles in a sketch of fixed size. 2. A second orders
-    each set by the sketch, rare first, and sends the prefix that a linked set must share, one packed entry an element;
-    copies within a task are sent once. 3. Classes that meet in an element are paired with a centre each, not with each
-    other; the sets of classes that met are fetched in a third pass and the pairs verified in prefix trees. 4. Classes
-    that share an element but are still in different components are paired and verified as well, so every link
-    between different components that could exist has been looked at: components are exact. The sketch only orders
-    elements; any order gives the same result.
+    (128-bit name).
+
+    1. One pass names the sets. A second sends every element once, packed (40 bits), to where equal elements meet; what
+       goes back is how many elements of each set other sets hold too. A set with less than three quarters shared is
+       linked with nothing. This leaves out most documents, exactly.
+    2. The sets of the rest are fetched (a bit map of fixed size says which) and stored once. Their elements are counted in
+       a sketch of fixed size, which orders them, rare first; any order gives the same result.
+    3. Each set sends the prefix that a linked set must share. Classes that meet in an element are paired with a centre
+       each, not with each other, and the pairs are verified in prefix trees.
+    4. Classes that share an element but are still in different components are paired and verified as well, so every link
+       between different components that could exist has been looked at: components are exact.
 
     Documents without words have an empty set, n_shingles 0 and themselves as component. component_id is the smallest
     doc_id reached, null ids aside. A null text has no words; repeated rows are linked like copies; other columns are
@@ -447,35 +559,36 @@ def near_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    text = only(docs, doc_id="bigint", text="string").withColumn("row", F.monotonically_increasing_id())
-    hashed = text.select("row", "doc_id", "text", _text_key(F.col("text")).alias("h"))
-    first = scratch.cut(hashed.mapInArrow(_first_pass, "row bigint, doc_id bigint, h binary, size int, digest binary, chunk int, counts binary"))
-    rows = first.where("row IS NOT NULL").select("row", "doc_id", "h", "size", "digest")
-    chunks = first.where("chunk IS NOT NULL").select("chunk", "counts").repartition(SKETCH_CHUNKS, "chunk").mapInArrow(
-        _add_chunks, "chunk int, counts binary").collect()  # a table of fixed size, whatever the input
-    levels = spark.sparkContext.broadcast(_levels([(r["chunk"], bytes(r["counts"])) for r in chunks]))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = text.select("text").mapInArrow(_prefixes(levels, 4 * n), "bucket int, token binary, local binary, pos binary, name binary, size binary")
-    met = scratch.cut(packed.repartition(n, "bucket").mapInArrow(_stars, "token bigint, name bigint, size int, pos int, centre bigint"))
-    involved = met.select("name").distinct()
-    count = max(1, involved.count())
-    bits = min(BLOOM_BITS, 1 << max(13, (16 * count).bit_length()))
-    parts = involved.coalesce(8).mapInArrow(_bloom_part(bits), "bits binary").collect()  # at most 8 maps of fixed size
+    text = only(docs, doc_id="bigint", text="string")
+    keyed = text.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", _text_key(F.col("text")).alias("h"))
+    rows = scratch.cut(keyed.mapInArrow(_name_sets, "row bigint, doc_id bigint, h binary, size int, digest binary"))
+    packs = text.select("text").mapInArrow(_elements(4 * n), "bucket int, flush bigint, token binary, local binary, names binary, sizes binary")
+    shared = packs.repartition(n, "bucket").mapInArrow(_shared, "flush bigint, names binary, sizes binary, counts binary")
+    wanted = scratch.cut(shared.repartition(n, "flush").mapInArrow(_candidates, "name bigint").distinct())
+    bits = min(BLOOM_BITS, 1 << max(13, (16 * max(1, wanted.count())).bit_length()))
+    parts = wanted.coalesce(8).mapInArrow(_bloom_part(bits), "bits binary").collect()  # at most 8 maps of fixed size
     bloom = np.zeros(bits // 8, np.uint8)
     for p in parts:
         bloom |= _expand(bytes(p["bits"]), "<u1")
     bloom = spark.sparkContext.broadcast(bloom)
-    fetched = text.select("text").mapInArrow(_wanted_sets(levels, bloom), "name bigint, digest binary, elements binary")
-    sets = scratch.cut(fetched.join(involved, "name", "left_semi").dropDuplicates(["name", "digest"]), compression="none")
+    stored = "name bigint, digest binary, elements binary"
+    fetched = text.select("text").mapInArrow(_wanted_sets(bloom), stored).repartition(n, "name").mapInArrow(_once, stored)
+    sets = scratch.cut(fetched, compression="none")
+    chunks = sets.select("elements").mapInArrow(_counts, "chunk int, counts binary").repartition(SKETCH_CHUNKS, "chunk").mapInArrow(
+        _add_chunks, "chunk int, counts binary").collect()  # a table of fixed size, whatever the input
+    levels = spark.sparkContext.broadcast(_levels([(r["chunk"], bytes(r["counts"])) for r in chunks]))
+    packed = sets.select("name", "elements").mapInArrow(_prefixes(levels, 4 * n), "bucket int, token binary, local binary, pos binary, name binary, size binary")
+    met = scratch.cut(packed.repartition(n, "bucket").mapInArrow(_stars, "token bigint, name bigint, size int, pos int, centre bigint"))
     classes = scratch.cut(rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("row").alias("class"), F.min("doc_id").alias("low")))
-    named = sets.select("name", "digest").join(classes.select("digest", "class"), "digest")
+    named = scratch.cut(sets.select("name", "digest").join(classes.select("digest", "class"), "digest"))
 
     def by_class(links: DataFrame) -> DataFrame:
         ids = named.select("digest", "class")
         return links.join(ids.toDF("a", "u"), "a").join(ids.toDF("b", "v"), "b").select("u", "v")
 
     stars = met.where("centre IS NOT NULL").select(F.least("centre", "name").alias("a"), F.greatest("centre", "name").alias("b")).distinct()
-    links = scratch.cut(by_class(_links(stars, sets)))
+    links = scratch.cut(by_class(_links(stars, sets, levels)))
     found = scratch.cut(connected_components(links, "u", "v"))
     label = named.join(found.withColumnRenamed("node", "class"), "class", "left").groupBy("name").agg(
         F.min(F.coalesce("component", "class")).alias("component"), F.count(F.lit(1)).alias("n"))
@@ -486,7 +599,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     pairs = scratch.cut(pairs.join(stars, ["a", "b"], "left_anti"))
     scratch.drop(met)
     if not pairs.isEmpty():
-        links = scratch.cut(links.unionByName(by_class(_links(pairs, sets))))
+        links = scratch.cut(links.unionByName(by_class(_links(pairs, sets, levels))))
         found = scratch.cut(connected_components(links, "u", "v"))
     scratch.drop(sets)
     member = classes.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
