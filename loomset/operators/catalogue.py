@@ -12,6 +12,11 @@ def collections(gset: DataFrame) -> DataFrame:
     return gset.groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
 
 
+def by_lower_name(gset: DataFrame) -> DataFrame:
+    """(low, n, first_id): sets that share a name up to case; one counted row a name."""
+    return gset.groupBy(F.lower("name").alias("low")).agg(F.count(F.lit(1)).alias("n"), F.min("set_id").alias("first_id"))
+
+
 def search(gset: DataFrame, set_member: DataFrame, set_gene: DataFrame, aliases: DataFrame, term: str,
            limit: int | None = None) -> DataFrame:
     """Sets by name, id or member name (best first), then sets that hold the gene the term resolves to.

@@ -13,6 +13,7 @@ from ..operators import catalogue, enrich, graph, identifiers, matching, network
 from ..session import cut
 from ..sources import pathways, release
 from . import projections as P
+from . import source_queries
 from .projections import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -702,3 +703,8 @@ def review_decisions(t: Tables) -> DataFrame:
     again = reviewed.where(F.length("name_b") % 3 == 0).select(
         F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b"), F.lit("separate").alias("decision"), "reason", F.lit(2).alias("pos"))
     return matching.review(matching.best_hits(units), reviewed.unionByName(again)).select("source_a", "name_a", "source_b", "name_b", "decision")
+
+
+# ---------------------------------------------------------------- file readers
+QUERIES |= source_queries.QUERIES
+ORACLE |= source_queries.ORACLE
