@@ -101,16 +101,18 @@ def source_stats(pathway: DataFrame, gene: DataFrame, pair: DataFrame) -> DataFr
 def set_stats(gset: DataFrame, set_member: DataFrame, set_gene: DataFrame, set_pair: DataFrame) -> DataFrame:
     """(metric, value) over all sets; gene_pairs counts ordered pairs."""
     per = set_member.groupBy("set_id").agg(F.count(F.lit(1)).alias("m"))
-    one = lambda name, df: df.select(F.lit(name).alias("metric"), F.col("v").cast("double").alias("value"))
+    merged = F.col("m") > 1
+
+    def stats(df: DataFrame, **values) -> DataFrame:
+        """One pass over ``df`` for several metrics."""
+        one = df.agg(*[v.cast("double").alias(k) for k, v in values.items()])
+        return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in values])))
+
     n_sets = gset.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n")).scalar()
     count = F.count(F.lit(1))
-    return (one("sets", gset.agg(count.alias("v")))
-            .union(one("merged_sets", per.agg(F.count_if(F.col("m") > 1).alias("v"))))
-            .union(one("members_in_merged_sets", per.agg(F.coalesce(F.sum(F.when(F.col("m") > 1, F.col("m"))), F.lit(0)).alias("v"))))
-            .union(one("genes", set_gene.select("gene").distinct().agg(count.alias("v"))))
-            .union(one("gene_pairs", set_pair.select("gene_a", "gene_b").distinct().agg(count.alias("v"))))
-            .union(one("mean_genes_per_set", set_gene.agg(count.alias("c")).select((F.col("c") / n_sets).alias("v"))))
-            .union(one("mean_pairs_per_set", set_pair.agg(count.alias("c")).select((F.col("c") / n_sets).alias("v")))))
+    return stats(gset, sets=count).union(stats(per, merged_sets=F.count_if(merged), members_in_merged_sets=F.coalesce(F.sum(F.when(merged, F.col("m"))), F.lit(0)))) \
+        .union(stats(set_gene, genes=F.count_distinct("gene"), mean_genes_per_set=count / n_sets)) \
+        .union(stats(set_pair, gene_pairs=F.count_distinct("gene_a", "gene_b"), mean_pairs_per_set=count / n_sets))
 
 
 def support(set_gene: DataFrame) -> DataFrame:

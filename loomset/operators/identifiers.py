@@ -34,12 +34,14 @@ def resolve(idents: DataFrame, lookup: DataFrame) -> DataFrame:
     """
     ids = idents.select("ident").distinct().withColumn("whole", alias_key(F.col("ident"))) \
         .withColumn("stem", F.when(F.contains("whole", F.lit("-")), F.split("whole", "-")[0]))
-    exact = lookup.where("exact IS NOT NULL").select("key", "exact")
-    known = ids.join(exact.select(F.col("key").alias("whole"), F.lit(True).alias("_w")), "whole", "left") \
-        .join(exact.select(F.col("key").alias("stem"), F.lit(True).alias("_s")), "stem", "left")
-    keyed = known.withColumn("key", F.when(F.col("_w").isNull() & F.col("_s").isNotNull(), F.col("stem"))
-                             .otherwise(F.col("whole")))
-    hit = keyed.join(lookup, "key", "left")
+    asked = ids.select("ident", F.inline(F.array(F.struct(F.lit(0).alias("rank"), F.col("whole").alias("key")),
+                                                 F.struct(F.lit(1).alias("rank"), F.col("stem").alias("key"))))) \
+        .where("rank = 0 OR key IS NOT NULL")
+    layers = ["exact", "prev_lo", "prev_hi", "alias_lo", "alias_hi"]
+    found = asked.join(lookup.select("key", F.struct(*layers).alias("l")), "key", "left").groupBy("ident").agg(
+        F.max(F.when(F.col("rank") == 0, F.col("l"))).alias("w"), F.max(F.when(F.col("rank") == 1, F.col("l"))).alias("s"))
+    best = F.when(F.col("w.exact").isNull() & F.col("s.exact").isNotNull(), F.col("s")).otherwise(F.col("w"))
+    hit = found.select("ident", best.alias("l")).select("ident", "l.*")
     prev_one, alias_one = F.col("prev_lo") == F.col("prev_hi"), F.col("alias_lo") == F.col("alias_hi")
     how = (F.when(F.col("exact").isNotNull(), "exact")
            .when(prev_one, "previous").when(F.col("prev_lo").isNotNull(), "ambiguous_previous")

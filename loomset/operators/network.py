@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.ids import evidence_tier, tier_rank
 from ..schema import EXPERIMENTAL_SOURCES, TIER_RANK
 from .enrich import canonical_pairs
-from .identifiers import map_column
+from ..session import cut
+from .identifiers import resolve
 from .vocabulary import united
 
 
@@ -16,7 +17,9 @@ def map_feed(rows: DataFrame, lookup: DataFrame | None) -> DataFrame:
     """Feed rows (feed, id_a, id_b, source, pmid, method, score) with gene_a and gene_b resolved."""
     if lookup is None:
         return rows.withColumn("gene_a", F.col("id_a")).withColumn("gene_b", F.col("id_b"))
-    return map_column(map_column(rows, "id_a", lookup, "gene_a"), "id_b", lookup, "gene_b")
+    ids = rows.select(F.explode(F.array("id_a", "id_b")).alias("ident"))
+    known = cut(resolve(ids, lookup).where("symbol IS NOT NULL").select("ident", "symbol"))
+    return rows.join(known.toDF("id_a", "gene_a"), "id_a", "left").join(known.toDF("id_b", "gene_b"), "id_b", "left")
 
 
 def _real():
@@ -43,11 +46,11 @@ def integrate(mapped: DataFrame, experimental: tuple[str, ...] = EXPERIMENTAL_SO
 
 def feed_report(mapped: DataFrame) -> DataFrame:
     """Rows read, rows kept and identifiers left unmapped, per feed."""
-    rows = mapped.groupBy("feed").agg(F.count(F.lit(1)).alias("rows"), F.count_if(_real()).alias("mapped_rows"))
-    lost = mapped.select("feed", F.col("id_a").alias("i"), F.col("gene_a").alias("g")).union(
-        mapped.select("feed", "id_b", "gene_b")).where("g IS NULL").distinct() \
-        .groupBy("feed").agg(F.count(F.lit(1)).alias("unmapped_ids"))
-    return rows.join(lost, "feed", "left").fillna(0, ["unmapped_ids"])
+    ends = F.array(*[F.struct(F.lit(i).alias("end"), F.col(f"id_{x}").alias("i"), F.col(f"gene_{x}").alias("g")) for i, x in enumerate("ab")])
+    each = mapped.select("feed", _real().alias("real"), F.inline(ends))
+    return each.groupBy("feed").agg(
+        F.count_if(F.col("end") == 0).alias("rows"), F.count_if((F.col("end") == 0) & F.col("real")).alias("mapped_rows"),
+        F.count_distinct(F.when(F.col("g").isNull(), F.col("i"))).alias("unmapped_ids"))
 
 
 def overlay(edges: DataFrame, set_pair: DataFrame) -> DataFrame:
@@ -69,8 +72,9 @@ def up_to_tier(edges: DataFrame, tier: str) -> DataFrame:
 
 def neighbours(edges: DataFrame) -> DataFrame:
     """(gene, partner) in both directions."""
-    return edges.select(F.col("gene_a").alias("gene"), F.col("gene_b").alias("partner")).union(
-        edges.select("gene_b", "gene_a"))
+    ways = F.array(F.struct(F.col("gene_a").alias("gene"), F.col("gene_b").alias("partner")),
+                   F.struct(F.col("gene_b").alias("gene"), F.col("gene_a").alias("partner")))
+    return edges.select(F.inline(ways))
 
 
 def summary(edges: DataFrame) -> DataFrame:
