@@ -33,20 +33,8 @@ CACHE_ENTRIES = 400_000
 BLOCK_DOCS, BLOCK_BYTES = 1024, 1 << 22
 LOWEST = -(1 << 63)
 
-# Where the pre-tokenizer surely begins a new piece: at a space after and before something that is not white space.
-# Texts with three blanks in a row, two at the end or unusual blanks are encoded whole.
-_ODD = re.compile(r"\s\s(?:\s|\Z)|[^\S \n\t\r]")
-_PAIRS = tuple(a + b for a in " \n\t\r" for b in " \n\t\r")
-_UNUSUAL = "\x0b\x0c\x1c\x1d\x1e\x1f"
-
-
-def _odd(text: str) -> bool:
-    """Whether ``_ODD`` is found; most texts are cleared by substring tests alone."""
-    if text.isascii() and not any(p in text for p in _PAIRS) and not any(c in text for c in _UNUSUAL):
-        return False
-    return _ODD.search(text) is not None
-
-
+# Blanks for which the rules at spaces below are not stated.
+_UNUSUAL = re.compile(r"[^\S \n\t\r]")
 # Letters for which the pre-tokenizer's classes are stated here; pieces with others go to it.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0400-\u045f\u3041-\u3096\u4e00-\u9fa5"
 _PLAIN = re.compile(f"[ \\n\\t\\r!-~{_LETTERS}]*\\Z")
@@ -65,11 +53,44 @@ def _byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+class _Pieces(dict):
+    """Serialized ids of the pieces the tokenizer cuts a text into, asked from its model once each."""
+
+    def __init__(self, model, width: int):
+        super().__init__()
+        self.model, self.width, self.letters = model, width, dict(enumerate(_byte_letters()))
+
+    def __missing__(self, piece: str) -> bytes:
+        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        out = self[piece] = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(spelled)])
+        return out
+
+
+class _Chunks(dict):
+    """Serialized ids of a space and what follows it up to the next space; None where the cut would not be sure."""
+
+    def __init__(self, pieces: _Pieces, whole):
+        super().__init__()
+        self.pieces, self.whole = pieces, whole
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        if chunk and (chunk[0] in "\n\t\r" or chunk[-1] in "\n\t\r"):
+            out = None
+        elif _PLAIN.match(chunk):
+            out = b"".join([self.pieces[p] for p in _PIECES.findall(" " + chunk)])
+        else:
+            out = None if _UNUSUAL.search(chunk) else self.whole(" " + chunk)
+        self[chunk] = out
+        return out
+
+
 class Encoder:
     """The tokenizer with a bounded memory of what it has met; one per Python worker.
 
-    A text is cut at spaces; a chunk (a space and what follows) met before is looked up. A new one is cut with the
-    tokenizer's pattern into pieces; a new piece is given to the tokenizer's model. The ids are those of the whole text.
+    The tokenizer's pattern begins a new piece at a space that stands between two characters that are no blanks, and at
+    the second of two such spaces. So a text is cut at spaces and each chunk looked up; a new one is cut with the pattern
+    and new pieces are given to the tokenizer's model. Texts with three spaces in a row, two at the end, or a line end
+    or an unusual blank beside a space are encoded whole. The ids are those of the whole text.
     """
 
     def __init__(self, path: str):
@@ -79,24 +100,20 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.model = self.tokenizer.model
-        self.letters = dict(enumerate(_byte_letters()))
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Pieces(self.tokenizer.model, self.kind.itemsize)
+        self.chunks = _Chunks(self.pieces, self._whole)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Add new chunks: cut into pieces, the new pieces among them tokenised once."""
-        cut = [_PIECES.findall(c) if _PLAIN.match(c) else None for c in chunks]
-        pieces, width = self.pieces, self.kind.itemsize
-        for p in set().union(*(c for c in cut if c)) - pieces.keys():
-            spelled = p.encode().decode("latin-1").translate(self.letters)
-            pieces[p] = b"".join([t.id.to_bytes(width, "little") for t in self.model.tokenize(spelled)])
-        known = self.chunks
-        for chunk, parts in zip(chunks, cut):
-            known[chunk] = self._whole(chunk) if parts is None else b"".join([pieces[p] for p in parts])
+    def _one(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        if "   " in text or text.endswith("  ") or first[-1:] in ("\n", "\t", "\r") or not _PLAIN.match(first):
+            return self._whole(text)
+        try:
+            return b"".join([*map(self.pieces.__getitem__, _PIECES.findall(first)), *map(self.chunks.__getitem__, rest)])
+        except TypeError:  # a chunk that is None
+            return self._whole(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Serialized ids of each text, without the end id."""
@@ -104,16 +121,7 @@ class Encoder:
             self.chunks.clear()
         if len(self.pieces) > 2 * CACHE_ENTRIES:
             self.pieces.clear()
-        split: list[list[str] | None] = []
-        for t in texts:
-            if _odd(t):
-                split.append(None)
-            else:
-                first, *rest = t.split(" ")
-                split.append([first, *[" " + x for x in rest]])
-        self._learn(list(set().union(*(x for x in split if x)) - self.chunks.keys()))
-        known = self.chunks.__getitem__
-        return [self._whole(t) if parts is None else b"".join(map(known, parts)) for t, parts in zip(texts, split)]
+        return [self._one(t) for t in texts]
 
 
 def encoder(path: str) -> Encoder:
