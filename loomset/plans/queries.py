@@ -189,8 +189,7 @@ def edge_overlay(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("n_sets"), F.min("set_id").alias("first_set"))
 
 
-@query("edge_summary", f"""WITH {EDGE}, pairs AS (SELECT DISTINCT 'P' || l_partkey AS gene_a, 'S' || l_suppkey AS gene_b FROM lineitem
-    WHERE l_quantity >= 25)
+@query("edge_summary", f"""WITH {EDGE}, pairs AS (SELECT DISTINCT 'P' || l_partkey AS gene_a, 'S' || l_suppkey AS gene_b FROM lineitem)
   SELECT 'edges' AS metric, '' AS key, count(*) AS n FROM tiered
   UNION ALL SELECT 'edges_by_tier', tier, count(*) FROM tiered GROUP BY tier
   UNION ALL SELECT 'edges_per_source', s, count(*) FROM (SELECT unnest(string_split(sources, ',')) AS s FROM tiered) GROUP BY s
@@ -199,7 +198,7 @@ def edge_overlay(t: Tables) -> DataFrame:
   UNION ALL SELECT 'pathway_supported_edges', '', count(*) FROM tiered JOIN pairs USING (gene_a, gene_b)""")
 def edge_summary(t: Tables) -> DataFrame:
     edges = _edges(t)
-    pairs = t.lineitem.where("l_quantity >= 25").select(
+    pairs = t.lineitem.select(
         F.lit("x").alias("set_id"), P.part_gene("l_partkey").alias("gene_a"), P.supp_gene("l_suppkey").alias("gene_b"))
     return network.summary(cut(network.with_overlay(edges, network.overlay(edges, pairs))))
 
@@ -516,12 +515,12 @@ def alias_counts(t: Tables) -> DataFrame:
     return identifiers.resolution_counts(alias_resolve(t))
 
 
-@query("alias_table", f"""WITH {ALIAS}, g AS (SELECT DISTINCT 'P' || l_partkey AS gene FROM lineitem WHERE l_quantity > 45)
+@query("alias_table", f"""WITH {ALIAS}, g AS (SELECT DISTINCT 'P' || l_partkey AS gene FROM lineitem)
   SELECT key AS alias, coalesce(CASE WHEN ex IN (SELECT gene FROM g) THEN ex END, CASE WHEN pl = ph AND pl IN (SELECT gene FROM g) THEN pl END,
     CASE WHEN sl = sh AND sl IN (SELECT gene FROM g) THEN sl END) AS symbol FROM lk
   WHERE ex IN (SELECT gene FROM g) OR (pl = ph AND pl IN (SELECT gene FROM g)) OR (sl = sh AND sl IN (SELECT gene FROM g))""")
 def alias_table(t: Tables) -> DataFrame:
-    genes = t.lineitem.where("l_quantity > 45").select(P.part_gene("l_partkey").alias("gene"))
+    genes = t.lineitem.select(P.part_gene("l_partkey").alias("gene"))
     return identifiers.alias_table(identifiers.lookup_table(P.part_aliases(t)), genes)
 
 
@@ -648,7 +647,7 @@ def gmt_export(t: Tables) -> DataFrame:
 
 @query("interaction_routing", f"""WITH {CUSTOMER_PAIR}, {CUSTOMER_GENE},
   i AS (SELECT DISTINCT 'P' || l_partkey AS gene_a, 'S' || l_suppkey AS gene_b, l_returnflag || l_linenumber AS ctx,
-    CASE WHEN l_linestatus = 'F' THEN 'PPrel' ELSE 'GErel' END AS rel FROM lineitem WHERE l_quantity >= 40),
+    CASE WHEN l_linestatus = 'F' THEN 'PPrel' ELSE 'GErel' END AS rel FROM lineitem),
   cx AS (SELECT 'A' || s_suppkey AS ctx, 'N:' || s_nationkey AS sid FROM supplier),
   pl AS (SELECT sid, gene_a, gene_b, 'GPrel' AS rel FROM i JOIN cx USING (ctx)
     UNION SELECT 'C:' || a.set_id, gene_a, gene_b, rel FROM i JOIN cg a ON a.gene = gene_a JOIN cg b ON b.gene = gene_b AND a.set_id = b.set_id
@@ -658,7 +657,7 @@ def gmt_export(t: Tables) -> DataFrame:
   SELECT DISTINCT anc AS source_id, gene_a, gene_b, rel AS relation FROM pl JOIN up USING (sid)""")
 def interaction_routing(t: Tables) -> DataFrame:
     key = lambda p, c: F.concat_ws(":", F.lit(p), F.col(c).cast("string"))
-    rows = t.lineitem.where("l_quantity >= 40").select(
+    rows = t.lineitem.select(
         P.part_gene("l_partkey").alias("gene_a"), P.supp_gene("l_suppkey").alias("gene_b"),
         F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("context"),
         F.when(F.col("l_linestatus") == "F", "PPrel").otherwise("GErel").alias("relation"))
@@ -669,7 +668,7 @@ def interaction_routing(t: Tables) -> DataFrame:
     return pathways.route_interactions(rows, complexes, lowest, graph.with_self(graph.ancestors(edges), nodes))
 
 
-@query("collection_equivalents", """WITH r AS (SELECT 'SET ' || l_orderkey AS nm, 'O:' || l_orderkey AS src, 'P' || l_partkey AS gene FROM lineitem WHERE l_quantity >= 10),
+@query("collection_equivalents", """WITH r AS (SELECT 'SET ' || l_orderkey AS nm, 'O:' || l_orderkey AS src, 'P' || l_partkey AS gene FROM lineitem),
   g AS (SELECT DISTINCT nm, src, gene FROM r JOIN part ON 'P' || p_partkey = gene), n AS (SELECT nm, count(*) AS n FROM g GROUP BY 1),
   ow AS (SELECT DISTINCT o_custkey AS set_id, 'P' || l_partkey AS gene FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
   no AS (SELECT set_id, count(*) AS m FROM ow GROUP BY 1), h AS (SELECT DISTINCT nm, o_custkey AS set_id FROM r JOIN orders ON src = 'O:' || o_orderkey),
@@ -678,7 +677,7 @@ def interaction_routing(t: Tables) -> DataFrame:
   FROM h LEFT JOIN n USING (nm) LEFT JOIN no USING (set_id) LEFT JOIN k USING (nm)""")
 def collection_equivalents(t: Tables) -> DataFrame:
     order = F.col("l_orderkey").cast("string")
-    rows = t.lineitem.where("l_quantity >= 10").select(
+    rows = t.lineitem.select(
         F.concat(F.lit("SET "), order).alias("set_name"), F.concat(F.lit("O:"), order).alias("exact_source"), F.concat(F.lit("M"), order).alias("systematic_name"),
         F.lit("C2").alias("collection"), P.part_gene("l_partkey").alias("gene"))
     member = t.orders.select(F.col("o_custkey").alias("set_id"), F.concat(F.lit("O:"), F.col("o_orderkey").cast("string")).alias("source_set_id"))
