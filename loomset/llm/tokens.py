@@ -29,7 +29,7 @@ from .base import Scratch, only
 
 END_ID = 0
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 20_000, 64 << 10
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 500_000
 BLOCK_DOCS, BLOCK_BYTES = 1024, 1 << 22
 LOWEST = -(1 << 63)
 
@@ -61,7 +61,7 @@ class _Pieces(dict):
         self.model, self.width, self.letters = model, width, dict(enumerate(_byte_letters()))
 
     def __missing__(self, piece: str) -> bytes:
-        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        spelled = (piece if piece.isascii() else piece.encode().decode("latin-1")).translate(self.letters)
         out = self[piece] = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(spelled)])
         return out
 
@@ -74,7 +74,9 @@ class _Chunks(dict):
         self.pieces, self.whole = pieces, whole
 
     def __missing__(self, chunk: str) -> bytes | None:
-        if chunk and (chunk[0] in "\n\t\r" or chunk[-1] in "\n\t\r"):
+        if chunk.isascii() and chunk.isalpha():
+            out = self.pieces[" " + chunk]
+        elif chunk and (chunk[0] in "\n\t\r" or chunk[-1] in "\n\t\r"):
             out = None
         elif _PLAIN.match(chunk):
             out = b"".join([self.pieces[p] for p in _PIECES.findall(" " + chunk)])
@@ -157,7 +159,7 @@ def _compressors(dictionary: bytes):
     import zstandard
 
     shared = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
-    return zstandard.ZstdCompressor(level=3, **shared), zstandard.ZstdDecompressor(**shared)
+    return zstandard.ZstdCompressor(level=1, **shared), zstandard.ZstdDecompressor(**shared)
 
 
 def _bounds(docs: DataFrame, shards: int) -> list[int]:
