@@ -74,6 +74,14 @@ def partners(edges: DataFrame, gene, limit: int | None = None) -> DataFrame:
     return found if limit is None else found.limit(limit)
 
 
+def string_partners(edges: DataFrame, gene, limit: int | None = None) -> DataFrame:
+    """Partners of one gene in the functional network, best score first."""
+    end = F.when(F.col("gene_a") == gene, F.col("gene_b")).otherwise(F.col("gene_a"))
+    found = edges.where((F.col("gene_a") == gene) | (F.col("gene_b") == gene)).select(end.alias("gene"), "string_score") \
+        .orderBy(F.desc("string_score"), "gene")
+    return found if limit is None else found.limit(limit)
+
+
 def gene_degree(edges: DataFrame) -> DataFrame:
     return neighbours(edges).groupBy("gene").agg(F.count(F.lit(1)).alias("degree"))
 

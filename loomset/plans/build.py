@@ -11,10 +11,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalogue, network, ontology, unify
+from ..operators import catalogue, matching, network, ontology, unify
 from ..operators.graph import ancestors
 from ..operators.identifiers import alias_table, lookup_table
-from ..schema import RESTRICTED_SOURCES
+from ..schema import RESTRICTED_SOURCES, SRC_PAIR
 from ..session import cut
 from ..sources import delimited as D
 from ..sources import pathways as S
@@ -92,7 +92,7 @@ def _feed_rows(spark: SparkSession, org: Species, label: str, kind: str, path: s
 
 def build(spark: SparkSession, org: Species, f: Landed, *, mode: str = "guarded", public: bool = False,
           topology: bool = True, string_min_score: int = 700) -> dict[str, DataFrame]:
-    """Release tables (names as in schema.RELEASE) plus ``stats`` of one organism."""
+    """Release tables (names as in schema.RELEASE) of one organism; ``stats`` has sets, matches, collections and networks."""
     lookup, gene_ids = alias_layers(spark, org, f)
     src = extract(spark, org, f, lookup, public, topology)
     # every later stage reads these tables, so the files are parsed and resolved once
@@ -138,16 +138,27 @@ def build(spark: SparkSession, org: Species, f: Landed, *, mode: str = "guarded"
             gset, set_member, set_gene = gset.unionByName(got[0]), set_member.unionByName(got[1]), set_gene.unionByName(got[2])
 
     genes = set_gene.select("gene")
+    reports: dict[str, DataFrame] = {}
     for name, rows in _networks(spark, org, f, string_min_score).items():
-        edges = cut(network.integrate(network.map_feed(rows, lookup)))
+        mapped = cut(network.map_feed(rows, lookup))
+        edges = cut(network.integrate(mapped))
+        fed = network.feed_report(mapped)
+        counts = [F.struct(F.lit(c).alias("metric"), F.col("feed").alias("key"), F.col(c).alias("n")) for c in ("rows", "mapped_rows", "unmapped_ids")]
+        reports[name] = network.summary(edges).union(fed.select(F.inline(F.array(*counts))))
         sets = network.overlay(edges, pathway_pair).groupBy("gene_a", "gene_b").agg(
             F.array_sort(F.collect_set("set_id")).alias("pathway_sets"))
         tables[name] = edges.join(sets, ["gene_a", "gene_b"], "left")
         genes = genes.union(network.neighbours(edges).select("gene"))
     genes = cut(genes.distinct())
-    stats = catalogue.set_stats(path_set, path_member, path_gene, pathway_pair).union(
-        merged.matches.agg(F.count_if(F.col("decision") == "accept").cast("double").alias("v")).select(
-            F.lit("related_pathway_pairs"), "v"))
+    reviewed = matching.review_summary(merged.matches)
+    stats = catalogue.set_stats(path_set, path_member, path_gene, pathway_pair).select("metric", F.lit("").alias("key"), "value") \
+        .union(reviewed.select(F.inline(F.array(*[F.struct(F.lit("matches").alias("metric"), F.lit(c).alias("key"), F.col(c).cast("double").alias("value"))
+                                                  for c in reviewed.columns])))) \
+        .union(gset.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).select(F.lit("sets_by_collection"), "collection", F.col("n").cast("double"))) \
+        .union(catalogue.source_stats(src.pathway, src.gene, src.pair if src.pair is not None else spark.createDataFrame([], SRC_PAIR)).select(
+            F.lit("pathways_by_source"), "source", F.col("pathways").cast("double")))
+    for name, report in reports.items():
+        stats = stats.union(report.select(F.concat(F.lit(f"{name}."), "metric"), "key", F.col("n").cast("double")))
     tables.update({
         "meta": spark.createDataFrame([("organism_key", org.key), ("organism", org.name), ("taxid", org.taxid),
                                        ("tier", "open" if public else "full"), ("merge_method", mode)], ["key", "value"]),
@@ -185,9 +196,10 @@ def build_many(spark: SparkSession, plans: dict[Species, Landed], folder: str, *
     for org, landed in plans.items():
         try:
             tables = build(spark, org, landed, **options)
-            stats = tables.pop("stats")
+            tables["stats"] = cut(tables["stats"])
             release.write(tables, folder, org.key)
-            status[org.key] = "ok " + json.dumps({r["metric"]: r["value"] for r in stats.collect()})
+            head = tables["stats"].where("key = ''")
+            status[org.key] = "ok " + json.dumps({r["metric"]: r["value"] for r in head.collect()})
         except Exception as exc:  # an organism without usable data must not stop the run
             status[org.key] = f"failed: {type(exc).__name__}: {exc}"[:300]
     return status

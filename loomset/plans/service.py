@@ -91,7 +91,10 @@ class Library:
 
     def set_detail(self, set_id: str) -> dict[str, DataFrame]:
         return catalogue.set_detail(set_id, self.table("gset"), self.table("set_member"), self.table("set_gene"),
-                                    self.table("set_pair"), self.table("set_link"))
+                                    self.table("set_pair"), self.table("set_link"), self.table("msigdb_equivalent"))
+
+    def stats(self) -> DataFrame:
+        return self.table("stats").orderBy("metric", "key")
 
     def gene_detail(self, symbol: str, limit: int | None = None) -> dict[str, DataFrame]:
         found, _ = self.resolve([symbol], 1)
@@ -100,7 +103,8 @@ class Library:
             raise KeyError(symbol)
         one = found.select(F.col("symbol").alias("gene"))
         return {"sets": catalogue.sets_of_genes(self.table("gset"), self.table("set_gene"), one).orderBy("collection", "name"),
-                "ppi_partners": catalogue.partners(self.table("ppi"), row["symbol"], limit)}
+                "ppi_partners": catalogue.partners(self.table("ppi"), row["symbol"], limit),
+                "string_partners": catalogue.string_partners(self.table("string_ppi"), row["symbol"], limit)}
 
     def map(self, set_id: str, kind: str = "cyjs", tier: str | None = None, genes: list[str] | None = None,
             max_nodes: int | None = None) -> str:

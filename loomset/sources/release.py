@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean_name
 from ..schema import RELEASE
@@ -24,18 +25,21 @@ def write(tables: dict[str, DataFrame], folder: str, organism: str) -> None:
     """One parquet folder per table, partitioned by organism.
 
     Only the organism's own partition is replaced, by the file committer, so a failed job leaves the old one.
-    Rows are ordered inside each file by the column that lookups use.
+    Every release table is written, without rows if there are none. Rows are clustered over files and ordered inside
+    each by the column that lookups use, so a lookup opens few files.
     """
-    for name, df in tables.items():
-        rows = conform(df, name)
+    spark = next(iter(tables.values())).sparkSession
+    for name, layout in RELEASE.items():
+        rows = conform(tables[name], name) if name in tables else spark.createDataFrame([], layout)
         if name in _SORT:
-            rows = rows.sortWithinPartitions(*_SORT[name])
+            rows = rows.repartitionByRange(*_SORT[name]).sortWithinPartitions(*_SORT[name])
         rows.withColumn("organism", F.lit(organism)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy("organism").parquet(f"{folder}/{name}")
 
 
 def read(spark: SparkSession, folder: str, organism: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}").where(F.col("organism") == organism).drop("organism")
+    layout = T.StructType([*RELEASE[table].fields, T.StructField("organism", T.StringType())])
+    return spark.read.schema(layout).parquet(f"{folder}/{table}").where(F.col("organism") == organism).drop("organism")
 
 
 def _write_tsv(df: DataFrame, path: str) -> None:
