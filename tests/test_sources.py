@@ -251,6 +251,9 @@ def test_release_and_requests(spark, built):
     assert lib.gene_detail("tp53")["ppi_partners"].first()["gene"] == "MDM2"
     detail = lib.set_detail(merged["set_id"])
     assert detail["members"].count() == 2 and detail["genes"].count() == 6
+    assert detail["msigdb_equivalents"].count() <= 1 and lib.gene_detail("tp53")["string_partners"].count() <= 1
+    stats = {(r["metric"], r["key"]): r["value"] for r in lib.stats().collect()}
+    assert stats[("matches", "accepted")] >= 1 and stats[("ppi.edges", "")] == len(tiers) and ("sets_by_collection", "GO:BP") in stats
     for kind in ("cyjs", "sbml", "sbgn"):
         assert "TP53" in lib.map(merged["set_id"], kind, "high", ["tp53"])
     g = lib.gsea([(x, 8.0 - i) for i, x in enumerate(GENES)], nperm=100, min_size=2)
@@ -277,3 +280,13 @@ def test_text_release_round_trip(spark, built, tmp_path):
     assert log["decision"] == "accept" and log["align_ratio"] == "1.000"
     res = release.report_text(spark.createDataFrame([(["a", "b"], 0.000123456, "x")], "genes array<string>, p double, id string"))
     assert res.columns == ["p", "id", "genes"] and tuple(res.first()) == ("0.0001235", "x", "a,b")
+
+
+def test_a_release_without_networks_or_links_can_be_read(spark, tmp_path):
+    gset = spark.createDataFrame([("a", "alpha", "pathway", ["k"], 1, 0)], "set_id string, name string, collection string, sources array<string>, n_genes long, n_pairs long")
+    member = spark.createDataFrame([("a", "g", ["k"])], "set_id string, gene string, sources array<string>")
+    gene = spark.createDataFrame([("g", "1")], "symbol string, gene_id string")
+    release.write({"gset": gset, "set_gene": member, "gene": gene}, str(tmp_path / "r"), "tiny")
+    lib = Library(spark, str(tmp_path / "r"), "tiny")
+    assert lib.ora(["g"])["results"].count() == 0
+    assert lib.gene_detail("g")["ppi_partners"].count() == 0 and lib.set_detail("a")["links"].count() == 0 and lib.stats().count() == 0
