@@ -367,12 +367,15 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes that share a prefix element, may be linked and lie in different components; sorted by token."""
-    names = ("token", "name", "size", "pos", "component")
+    """Pairs of classes that share a prefix element, may be linked and lie in different components; sorted by token.
+
+    ``shared`` is how many prefix elements of a class are met by classes of other components.
+    """
+    names = ("token", "name", "size", "pos", "component", "shared")
     carry: pa.Table | None = None
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        token, name, size, pos, comp = (t.column(c).to_numpy() for c in names)
+        token, name, size, pos, comp, shared = (t.column(c).to_numpy() for c in names)
         edges = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]]) if len(token) else np.array([0])
         seen: list[np.ndarray] = []
         count = 0
@@ -382,10 +385,13 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             order = np.argsort(size[a:b], kind="stable") + a
             n, p, c, w = size[order].astype(np.int64), pos[order].astype(np.int64), comp[order], name[order]
+            m, behind = shared[order], n - prefix_length(n)
             last = np.searchsorted(n, n * 4 // 3, "right")
             for i in range(len(order) - 1):
                 j = slice(i + 1, last[i])
-                ok = (c[j] != c[i]) & _close(n[i], p[i], n[j], p[j])
+                # What both must share in their prefixes, as no more than the rest of one of them can lie behind.
+                need = -(-3 * (n[i] + n[j]) // 7) - np.maximum(behind[i], behind[j])
+                ok = (c[j] != c[i]) & _close(n[i], p[i], n[j], p[j]) & (np.minimum(m[i], m[j]) >= need)
                 if ok.any():
                     other = w[j][ok]
                     seen.append(np.stack([np.minimum(other, w[i]), np.maximum(other, w[i])], 1))
@@ -550,8 +556,9 @@ def near_components(docs: DataFrame) -> DataFrame:
        a sketch of fixed size, which orders them, rare first; any order gives the same result.
     3. Each set sends the prefix that a linked set must share. Classes that meet in an element are paired with a centre
        each, not with each other, and the pairs are verified in prefix trees.
-    4. Classes that share an element but are still in different components are paired and verified as well, so every link
-       between different components that could exist has been looked at: components are exact.
+    4. Classes that share an element but are still in different components are paired and verified as well, if their
+       positions and the number of prefix elements that others share allow a link. So every link between different
+       components that could exist has been looked at: components are exact.
 
     Documents without words have an empty set, n_shingles 0 and themselves as component. component_id is the smallest
     doc_id reached, null ids aside. A null text has no words; repeated rows are linked like copies; other columns are
@@ -587,14 +594,21 @@ def near_components(docs: DataFrame) -> DataFrame:
         ids = named.select("digest", "class")
         return links.join(ids.toDF("a", "u"), "a").join(ids.toDF("b", "v"), "b").select("u", "v")
 
-    stars = met.where("centre IS NOT NULL").select(F.least("centre", "name").alias("a"), F.greatest("centre", "name").alias("b")).distinct()
+    # One centre for each class, the one met most often: as many pairs as classes, whatever the size of a group.
+    paired = met.where("centre IS NOT NULL").groupBy("name", "centre").agg(F.count(F.lit(1)).alias("n"))
+    stars = paired.groupBy("name").agg(F.max(F.struct("n", "centre")).alias("m")).select(
+        F.least("m.centre", "name").alias("a"), F.greatest("m.centre", "name").alias("b")).distinct()
+    stars = scratch.cut(stars)
     links = scratch.cut(by_class(_links(stars, sets, levels)))
     found = scratch.cut(connected_components(links, "u", "v"))
     label = named.join(found.withColumnRenamed("node", "class"), "class", "left").groupBy("name").agg(
         F.min(F.coalesce("component", "class")).alias("component"), F.count(F.lit(1)).alias("n"))
     # Classes of one short name are told apart by their sets only: pair them with everything.
     label = label.select("name", F.when(F.col("n") == 1, F.col("component")).otherwise(-F.abs(F.col("name")) - 1).alias("component"))
-    mixed = met.select("token", "name", "size", "pos").join(label, "name")
+    mixed = scratch.cut(met.select("token", "name", "size", "pos").join(label, "name"))
+    between = mixed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    mixed = scratch.cut(mixed.join(between, "token", "left_semi"))
+    mixed = mixed.join(mixed.groupBy("name").agg(F.count(F.lit(1)).alias("shared")), "name")
     pairs = mixed.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_across, "a bigint, b bigint").distinct()
     pairs = scratch.cut(pairs.join(stars, ["a", "b"], "left_anti"))
     scratch.drop(met)
