@@ -290,3 +290,23 @@ def test_a_release_without_networks_or_links_can_be_read(spark, tmp_path):
     lib = Library(spark, str(tmp_path / "r"), "tiny")
     assert lib.ora(["g"])["results"].count() == 0
     assert lib.gene_detail("g")["ppi_partners"].count() == 0 and lib.set_detail("a")["links"].count() == 0 and lib.stats().count() == 0
+
+
+def test_command_line_builds_and_replays(spark, land, tmp_path, capsys):
+    from dataclasses import asdict
+
+    from loomset.__main__ import main
+
+    plan = tmp_path / "plan.json"
+    plan.write_text(json.dumps({"human": asdict(landed(land))}))
+    main(["build", str(tmp_path / "rel"), str(plan)])
+    assert capsys.readouterr().out.startswith("sapiens\tok")
+    main(["stats", str(tmp_path / "rel"), "human"])
+    assert "related" in (shown := capsys.readouterr().out) or "accepted" in shown
+    for code, rows in (("K", "Old way\tG1\nOld way\tG2\nOther\tG3\n"), ("W", "old way\tG2\nThird\tG4\n")):
+        (tmp_path / f"{code}.gen").write_text(rows)
+    archive = tmp_path / "archive.json"
+    archive.write_text(json.dumps([["K", str(tmp_path / "K.gen"), None], ["W", str(tmp_path / "W.gen"), None]]))
+    main(["legacy", str(tmp_path / "old"), "sapiens", str(archive)])
+    back = release.read_text(spark, str(tmp_path / "old"))
+    assert back["gset"].count() == 3 and {r["gene"] for r in back["set_gene"].collect()} == {"G1", "G2", "G3", "G4"}
