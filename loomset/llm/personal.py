@@ -45,14 +45,19 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[F.coalesce(x, no_spans()) for x in (email, ip, card, phone)])
 
 
+def _entity(text: Column, x: Column) -> Column:
+    """The kind of a protected span with the lower-cased match."""
+    return F.concat_ws(":", x["kind"], F.lower(F.substring(text, x["start"].cast("int") + 1, (x["end"] - x["start"]).cast("int"))))
+
+
 def _contexts(text: Column, found: Column, window: int) -> Column:
     """(entity, term, start, end) of every word within ``window`` code points of a protected span.
 
     A word that the window cuts, a word without a letter beyond one character, and a word that touches a protected span
-    are left out. The entity is the kind with the lower-cased match.
+    are left out.
     """
     def near(x):
-        entity = F.concat_ws(":", x["kind"], F.lower(F.substring(text, x["start"].cast("int") + 1, (x["end"] - x["start"]).cast("int"))))
+        entity = _entity(text, x)
         low = F.greatest(F.lit(0).cast("bigint"), x["start"] - window)
         before = F.filter(spans(F.substring(text, low.cast("int") + 1, (x["start"] - low).cast("int")), "", WORD_ANY),
                           lambda w: (w["start"] > 0) | (low == 0))
@@ -74,7 +79,7 @@ def find_personal(docs: DataFrame, window: int = 80, general: float = 0.85, remo
     of it, over documents: PMI(e; t) = log(N df(e, t) / (df(e) df(t))) is what t reveals of e, log(N / df(e)) is all
     there is to reveal. A term whose share of it reaches ``general`` is generalised, from ``remove`` on it is
     removed; the spans of kind ``general`` and ``remove`` mark these occurrences. Document frequencies cover every word
-    of every text.
+    and every entity of every text, also where an entity has no term near it.
 
     Frequent terms and entities are counted with map-side partial sums; only occurrences near protected spans are kept
     as rows. A null text counts as empty; null or repeated ids keep their own results; other columns are ignored; an
@@ -86,12 +91,12 @@ def find_personal(docs: DataFrame, window: int = 80, general: float = 0.85, remo
     rows = scratch.cut(held.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "base",
         F.when(F.size("base") > 0, _contexts(F.col("text"), F.col("base"), window)).alias("near"),
+        F.when(F.size("base") > 0, F.array_distinct(F.transform("base", lambda x: _entity(F.col("text"), x)))).alias("entities"),
         (F.col("text") if keep_text else F.lit(None).cast("string")).alias("text")))
     near = rows.where("near IS NOT NULL").select("row", F.inline("near"))
     n_docs = rows.count()
     pairs = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both"))
-    entities = rows.select("row", F.explode("near").alias("x")).select("row", "x.entity").distinct().groupBy("entity").agg(
-        F.count(F.lit(1)).alias("df_entity"))
+    entities = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
     terms = base.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).alias("df_term"))
     log_n = F.log(F.lit(float(max(n_docs, 1))))

@@ -101,6 +101,15 @@ def test_disclosing_terms_are_marked_and_sanitised(spark):
     assert "Quillfeather" not in kept[100] and kept[100].startswith("the usual words ") and kept[3] == rows[3][1]
 
 
+@pytest.mark.parametrize("alone", ["qf@mail.example.org", "qf@mail.example.org, 1.2.3.4", "x qf@mail.example.org y"])
+def test_entities_count_where_no_word_is_near(spark, alone):
+    # zebra is in 5 documents, in 3 of them near the address, which is in 303 of 1305: a share of 0.65, 0.92 with 3 of 1305.
+    rows = [(i, "zebra qf@mail.example.org") for i in range(3)] + [(i, "zebra") for i in range(3, 5)]
+    rows += [(i, alone) for i in range(5, 305)] + [(i, "other words") for i in range(305, 1305)]
+    found = {r.doc_id: r.spans for r in personal.personal_digests(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[0] == found[2] == "email:6:25" and not any("general" in x or "remove" in x for x in found.values())
+
+
 def test_personal_of_nothing(spark):
     assert personal.personal_digests(spark.createDataFrame([], SCHEMA)).count() == 0
     assert personal.personal_digests(spark.createDataFrame([(1, "no data")], SCHEMA)).collect()[0].spans == ""
