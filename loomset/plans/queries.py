@@ -385,8 +385,9 @@ def lcs_sql(a: str, b: str) -> str:
   SELECT set_a, set_b, round(jac, 6) AS jaccard FROM al
   WHERE jac >= 0.5 OR ((score > least(x, y) - 1 OR 2.0 * score / (x + y) > 0.91) AND 2.0 * score / (x + y) >= 0.5)""")
 def set_similarity_links(t: Tables) -> DataFrame:
-    a, ag = P.order_sets(t, False, 4)
-    b, bg = P.order_sets(t, True, 4)
+    # Every set: the SQL above states only those of four parts and more.
+    a, ag = P.order_sets(t, False, 1)
+    b, bg = P.order_sets(t, True, 1)
     return ontology.link_sets(a, cut(ag), b, cut(bg)).select("set_a", "set_b", F.round("jaccard", 6).alias("jaccard"))
 
 
