@@ -41,7 +41,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in the binary format, read back: doc_id, start, n_tokens, ids_crc32."""
-    return token_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_digests(docs, public_tokenizers.path("byte_bpe_50k.json"), literal=False)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated),

@@ -181,7 +181,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_token_ids")
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), literal=False)
 
 
 @query("op6_near_duplicates")

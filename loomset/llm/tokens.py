@@ -41,7 +41,7 @@ _PLAIN = re.compile(f"[ \\n\\t\\r!-~{_LETTERS}]*\\Z")
 # Fixed value: the tokenizer's own pattern for its pieces, over these letters.
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+|\\s+(?!\\S)|\\s+")
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def _byte_letters() -> list[str]:
@@ -92,15 +92,18 @@ class Encoder:
     The tokenizer's pattern begins a new piece at a space that stands between two characters that are no blanks, and at
     the second of two such spaces. So a text is cut at spaces and each chunk looked up; a new one is cut with the pattern
     and new pieces are given to the tokenizer's model. Texts with three spaces in a row, two at the end, or a line end
-    or an unusual blank beside a space are encoded whole. The ids are those of the whole text.
+    or an unusual blank beside a space are encoded whole. The ids are those of the whole text. ``literal``: added tokens are
+    cut as ordinary text; else they have their own ids, as the tokenizer does unless told otherwise, and texts that hold
+    one are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        self.added = [] if literal else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.pieces = _Pieces(self.tokenizer.model, self.kind.itemsize)
         self.chunks = _Chunks(self.pieces, self._whole)
@@ -109,6 +112,8 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _one(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return self._whole(text)
         first, *rest = text.split(" ")
         if "   " in text or text.endswith("  ") or first[-1:] in ("\n", "\t", "\r") or not _PLAIN.match(first):
             return self._whole(text)
@@ -126,13 +131,13 @@ class Encoder:
         return [self._one(t) for t in texts]
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, literal: bool = True) -> Encoder:
+    if (path, literal) not in _encoders:
+        _encoders[path, literal] = Encoder(path, literal)
+    return _encoders[path, literal]
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer: str, literal: bool = True) -> bytes:
     """A dictionary from the id arrays of a bounded sample; empty if there are too few texts to train on.
 
     The sample is the first 2,000 texts, in the order of a hash, of those with 1 to 20,000 characters.
@@ -145,7 +150,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     near = rows.select("text", place.alias("place")).where(F.col("place") <= (2.0 * SAMPLE_DOCS + 100) / n)
     texts = [r["text"] for r in near.orderBy("place", "text").limit(SAMPLE_DOCS).collect()]
-    samples = encoder(tokenizer).encode(texts)
+    samples = encoder(tokenizer, literal).encode(texts)
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
     if len(samples) < 16 or size < 512:
         return b""
@@ -171,8 +176,8 @@ def _bounds(docs: DataFrame, shards: int) -> list[int]:
     return ids.agg(F.percentile_approx("doc_id", fractions, 100 * shards)).first()[0] or []
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None) -> None:
-    """Encode every text (null as empty) and write the format above to ``path``.
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None, literal: bool = True) -> None:
+    """Encode every text (null as empty) and write the format above to ``path``; ``literal`` as in Encoder.
 
     Encoding and compression happen where the texts are read; only compressed frames are shuffled, by ranges of doc_id
     that one pass over the ids fixes, and each task packs its sorted frames into bounded blocks. Rows of one id that
@@ -180,13 +185,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     one task.
     """
     spark = docs.sparkSession
-    dictionary = train_dictionary(docs, tokenizer)
+    dictionary = train_dictionary(docs, tokenizer, literal)
     digest = hashlib.sha256(dictionary).hexdigest()
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = np.array(_bounds(docs, shards), np.int64)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, (compress, _) = encoder(tokenizer), _compressors(dictionary)
+        enc, (compress, _) = encoder(tokenizer, literal), _compressors(dictionary)
         end = np.array([end_id], enc.kind).tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -286,12 +291,12 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
         "doc_id", (F.col("block_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
 
 
-def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write the format to a fresh table of the shared folder and return what reading it back gives.
+def token_digests(docs: DataFrame, tokenizer: str, literal: bool = True) -> DataFrame:
+    """Write the format to a fresh table of the shared folder and return what reading it back gives; ``literal`` as in Encoder.
 
     One row per input row, repeated and null ids included; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
     path = scratch.folder()
-    write_tokens(docs, path, tokenizer)
+    write_tokens(docs, path, tokenizer, literal=literal)
     return read_tokens(docs.sparkSession, path)

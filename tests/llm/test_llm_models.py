@@ -175,3 +175,32 @@ def test_piecewise_encoding_equals_whole():
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(5000)]
     whole = [np.array(e.ids, enc.kind).tobytes() for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert enc.encode(texts) == whole
+
+
+def test_tokens_of_the_query_are_the_plain_tokenizer_s(spark, tmp_path):
+    import corpus_pipeline
+
+    from loomset.llm import queries
+
+    rows = [(1, "a<|endoftext|>b"), (2, "<|endoftext|>"), (3, "one <|endoftext|> two\n\nthree"), (4, "<|endoftext|"), (5, "plain words"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plain, want, at = Tokenizer.from_file(TOKENIZER), [], 0
+    for i, text in rows:
+        ids = np.array(plain.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert plain.encode("<|endoftext|>", add_special_tokens=False).ids == [50256]
+    for got in (queries.op9_token_ids(spark, str(tmp_path)), corpus_pipeline.token_ids(spark, docs, "")):
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_piecewise_encoding_equals_whole_with_added_tokens():
+    import random
+
+    rng = random.Random(5)
+    enc = tokens.Encoder(TOKENIZER, literal=False)
+    parts = [" ", "  ", "\n", "a", "B", "1", "é", "'s", ".", " \n", "\t", "<|endoftext|>", "<|endof", "text|>", "字"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(5000)]
+    whole = [np.array(e.ids, enc.kind).tobytes() for e in Tokenizer.from_file(TOKENIZER).encode_batch(texts, add_special_tokens=False)]
+    assert enc.encode(texts) == whole
