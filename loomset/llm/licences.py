@@ -57,13 +57,11 @@ def _stands(x: Column, j: Column, anchor: int, phrase: tuple[str, ...]) -> Colum
 
 
 def word_index(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """doc_id, n_words, and ``hits``: (pos, word) of every word of the vocabulary, next to another such word."""
+    """doc_id, n_words, and ``hits``: (pos, word) of every word of the vocabulary."""
     base = only(docs, doc_id="bigint", text="string").select("doc_id", words(F.col("text")).alias("w"))
-    known = lambda x: F.coalesce(x.isin(*vocabulary), F.lit(False))
 
     def hit(x, i):
-        alone = ~known(F.get("w", i - 1)) & ~known(F.get("w", i + 1))
-        return F.when(known(x) & ~alone, F.struct(i.cast("bigint").alias("pos"), x.alias("word")))
+        return F.when(x.isin(*vocabulary), F.struct(i.cast("bigint").alias("pos"), x.alias("word")))
 
     return base.select("doc_id", F.size("w").cast("bigint").alias("n_words"),
                        F.filter(F.transform("w", hit), lambda x: x.isNotNull()).alias("hits"))
@@ -77,8 +75,7 @@ def scan_licences(docs: DataFrame, templates: tuple[Template, ...] = BASE + MORE
     rarest word that it must have (of its key phrase, or of all): every
     occurrence proposes a start by relative position, the other words' postings are intersected at their offsets. A base
     phrase counts where all its words stand; a longer notice counts where its key phrase stands and at least 70 % of
-    its words are at their places. ``score`` is the best share of words in place, 1 for a whole phrase, 0 for none. A
-    licence word without a licence word beside it is not in the index and counts for no notice.
+    its words are at their places. ``score`` is the best share of words in place, 1 for a whole phrase, 0 for none.
 
     The vocabulary is a few dozen fixed words, so nothing here grows but the index, and no texts are shuffled. Word
     positions start at 0. A null text has no words; null or repeated ids and repeated rows keep their own results; other

@@ -140,6 +140,12 @@ def test_licence_notices(spark, text, label, score):
     assert (r.labels, r.score) == (label, score)
 
 
+def test_licence_words_count_in_place_without_a_neighbour(spark):
+    text = "Licensed under the Apache License, v. 2 only"  # 6 of 8 in place; 2 stands between two altered words
+    r = licences.licence_digests(spark.createDataFrame([(1, text), (2, "the big words of the apache license x 2")], SCHEMA)).orderBy("doc_id").collect()
+    assert [(x.labels, x.score) for x in r] == [("apache-2.0", 0.75), ("", 0.5)]
+
+
 def test_span_positions_count_code_points(spark):
     from loomset.llm.base import spans
 
