@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, exact, language, licences, mixing, personal, quality, secrets, similar, sqltext, tokens
+from . import contamination, exact, language, licences, mixing, personal, quality, secrets, sharding, similar, sqltext, tokens
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,3 +208,41 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality")
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_RING = sharding.SHARDS * max(16, 1024 // sharding.SHARDS)
+_CUT = "9223372036854775807"
+
+
+def _filled_sql(i: int) -> str:
+    """One shard after the other: who fills the next one, when all before are full."""
+    return f"""
+p{i} AS MATERIALIZED (SELECT place, list_filter(walk, lambda s: place <= cuts[s + 1])[1] AS shard, cuts FROM k, c{i}),
+f{i} AS MATERIALIZED (SELECT min(place) AS place, arg_min(shard, place) AS shard FROM
+       (SELECT place, shard, cuts, count(*) OVER (PARTITION BY shard ORDER BY place) AS load FROM p{i}), total
+       WHERE cuts[shard + 1] = {_CUT} AND load = n // {sharding.SHARDS} + (shard < n % {sharding.SHARDS})::INT),
+c{i + 1} AS MATERIALIZED (SELECT list_transform(range(1, {sharding.SHARDS + 1}), lambda j: CASE WHEN j = shard + 1 THEN place ELSE cuts[j] END) AS cuts
+       FROM c{i}, f{i}),"""
+
+
+@query("op11_sharding", f"""
+WITH {sqltext.CRC_TABLE},
+v AS (SELECT i // {_RING // sharding.SHARDS} AS shard, md5('ring:' || (i // {_RING // sharding.SHARDS}) || ':' || (i % {_RING // sharding.SHARDS})) AS h
+      FROM (SELECT unnest(range({_RING})) AS i)),
+nodes AS MATERIALIZED (SELECT shard, ('0x' || substr(h, 1, 4))::INT // 4 AS cell, row_number() OVER (ORDER BY ('0x' || substr(h, 1, 4))::INT // 4, h) AS i FROM v),
+circle AS MATERIALIZED (SELECT list(shard ORDER BY i) AS s, list(cell ORDER BY i) AS cells FROM nodes),
+k AS MATERIALIZED (SELECT doc_id, t, row_number() OVER (ORDER BY substr(h, 5), doc_id) AS place, ahead,
+        list_transform(range({sharding.SHARDS}), lambda x: x) AS none, ('0x' || substr(h, 1, 4))::INT // 4 AS cell,
+        list_transform(list_sort(list_transform(range({sharding.SHARDS}), lambda x:
+          list_position(list_concat(s[ahead + 1:], s[:ahead]), x) * {sharding.SHARDS} + x)), lambda y: y % {sharding.SHARDS}) AS walk
+      FROM (SELECT doc_id, coalesce(text, '') AS t, md5('key:' || coalesce(doc_id::VARCHAR, '')) AS h, s,
+              len(list_filter(cells, lambda c: c < ('0x' || substr(md5('key:' || coalesce(doc_id::VARCHAR, '')), 1, 4))::INT // 4)) AS ahead
+            FROM documents, circle)),
+total AS (SELECT count(*) AS n FROM k),
+c0 AS (SELECT list_transform(range({sharding.SHARDS}), lambda j: {_CUT}) AS cuts), {"".join(_filled_sql(i) for i in range(sharding.SHARDS))}
+out AS (SELECT doc_id, t, place, walk[1] AS home, list_filter(walk, lambda s: place <= cuts[s + 1])[1] AS shard FROM k, c{sharding.SHARDS})
+SELECT doc_id, strlen(t) + 1 AS size, {sqltext.crc32("t")} AS text_crc32, 'rows' AS law, shard::INT AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, NULL::INT AS grown_shard, home::INT AS home
+FROM out, crc_table""")
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digests(table(spark, sf_dir, "documents"))

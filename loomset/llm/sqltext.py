@@ -20,3 +20,14 @@ def span_list(kind: str, rank: int, keep: str = "true") -> str:
 def joined(spans: str) -> str:
     return (f"array_to_string(list_transform(list_sort({spans}), "
             f"lambda x: x.k || ':' || x.s::VARCHAR || ':' || x.e::VARCHAR), ',')")
+
+
+# The reflected CRC-32 table, from its polynomial.
+CRC_TABLE = """crc_table AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+       lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc)"""
+
+
+def crc32(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes; needs ``crc_table`` in the FROM clause."""
+    return (f"xor(4294967295, list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode({text})), '..'), "
+            "lambda b: ('0x' || b)::BIGINT)), lambda c, b: xor(c // 256, crc[xor(c, b) % 256 + 1])))")
