@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, exact, language, licences, mixing, personal, quality, secrets, sharding, similar, sqltext, tokens
+from . import contamination, exact, language, licences, manifest, mixing, personal, quality, secrets, sharding, similar, sqltext, tokens
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,3 +246,40 @@ SELECT doc_id, strlen(t) + 1 AS size, {sqltext.crc32("t")} AS text_crc32, 'rows'
 FROM out, crc_table""")
 def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digests(table(spark, sf_dir, "documents"))
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in
+                                   ("doc_id::VARCHAR", "source", "lang", f"({n_chars})::VARCHAR", "text")) + ")"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    return f"""{name}(tree, level, pos, n, h) AS (SELECT tree, 0, pos, n, h FROM {leaves} UNION ALL
+    SELECT tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 2, n)"""
+
+
+def _steps_sql(leaves: str, key: str, nodes: str) -> str:
+    """The sibling of each level, L or R before it, and N where there is none."""
+    return f"""(SELECT a.{key}, list(CASE WHEN b.h IS NULL THEN 'N' WHEN b.pos % 2 = 0 THEN 'L' || b.h ELSE 'R' || b.h END ORDER BY x.level) AS steps
+    FROM {leaves} a JOIN (SELECT DISTINCT tree, level FROM {nodes} WHERE n > 1) x USING (tree)
+    LEFT JOIN {nodes} b ON b.tree = a.tree AND b.level = x.level AND b.pos = xor(a.pos >> x.level, 1) GROUP BY a.{key})"""
+
+
+@query("op12_manifest", f"""
+WITH RECURSIVE {sqltext.CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('+' || lang, '') AS tree, {_leaf_sql("n_chars")} AS h,
+        CASE WHEN {sqltext.crc32("doc_id::VARCHAR")} % 7 = 0 THEN {_leaf_sql("n_chars + 1")} END AS claim FROM documents, crc_table),
+l AS MATERIALIZED (SELECT r, doc_id, tree, h, claim, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos,
+        count(*) OVER (PARTITION BY tree) AS n FROM d),
+{_tree_sql("t", "l")}, nodes AS MATERIALIZED (SELECT * FROM t),
+s AS MATERIALIZED (SELECT tree AS name, '' AS tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+{_tree_sql("u", "s")}, tops AS MATERIALIZED (SELECT * FROM u),
+p AS {_steps_sql("l", "r", "nodes")}, q AS {_steps_sql("s", "name", "tops")},
+w AS (SELECT doc_id, l.h AS leaf, s.h AS subroot, (SELECT h FROM tops WHERE n = 1) AS root, coalesce(claim, l.h) AS claim,
+        list_concat(coalesce(p.steps, []), coalesce(q.steps, [])) AS steps
+      FROM l JOIN s ON s.name = l.tree LEFT JOIN p ON p.r = l.r LEFT JOIN q ON q.name = l.tree),
+f AS (SELECT *, list_reduce(list_concat([claim], steps), lambda a, x: sha256(CASE x[1] WHEN 'L' THEN x[2:] || a WHEN 'R' THEN a || x[2:] ELSE a END)) AS folded_root FROM w)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(list_filter(steps, lambda x: x <> 'N'), lambda x: x[2:]), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified FROM f""")
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_digests(table(spark, sf_dir, "documents"))
