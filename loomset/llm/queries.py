@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, exact, language, licences, manifest, mixing, personal, quality, secrets, sharding, similar, sqltext, tokens
+from . import contamination, exact, language, licences, manifest, mixing, personal, quality, repeats, secrets, sharding, similar, sqltext, tokens
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -283,3 +283,8 @@ SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(list_f
        folded_root, folded_root = root AS verified FROM f""")
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.run_digests(table(spark, sf_dir, "documents"))
