@@ -117,7 +117,8 @@ def ring_shards(rows: DataFrame, key: str = "doc_id", weight: Column | None = No
     caps, cuts = _caps(total, shards, slack), [None] * shards
     while True:
         found = _overfull(keys, names, cuts, caps)
-        if not found:
+        found = {s: at for s, at in found.items() if cuts[s] is None or at < cuts[s]}
+        if not found:  # a shard that its last key brought above its cap has its cut already
             break
         for shard, at in found.items():
             cuts[shard] = at
