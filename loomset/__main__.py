@@ -44,10 +44,10 @@ def main(argv: list[str] | None = None) -> None:
     a = ap.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if a.command == "organisms":
-        organisms.table(spark).select("key", "name", "taxid", "kegg").show(1000, False)
+        organisms.curated(spark).select("key", "name", "taxid", "kegg").show(1000, False)
         return
     if a.command == "build":
-        plan = {organisms.get(k): landed(v) for k, v in json.loads(Path(a.organism).read_text()).items()}
+        plan = {k: landed(v) for k, v in json.loads(Path(a.organism).read_text()).items()}
         for key, status in build.build_many(spark, plan, a.release, mode=a.mode, public=a.public).items():
             print(key, status, sep="\t")
         return
@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None) -> None:
         pair = merged.set_pair if merged.set_pair is not None else spark.createDataFrame([], release.RELEASE["set_pair"])
         release.write_text(merged.gset, merged.set_member, merged.set_gene, pair, None, a.release)
         return
-    lib = Library(spark, a.release, organisms.get(a.organism).key)
+    lib = Library(spark, a.release, organisms.get(spark, a.organism).key)
     cols = a.collections.split(",") if a.collections else None
     # one more than a request may hold, so that a longer list is refused
     names = lambda path: [r["ident"] for r in D.gene_list(spark, path).orderBy("pos").limit(60_001).collect()]

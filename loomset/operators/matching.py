@@ -2,15 +2,19 @@
 
 For each name the best hit in another source is the candidate with the highest alignment ratio (earliest
 one on ties). It counts only when the ratio exceeds 0.91, or when the shorter name is wholly contained
-(as a subsequence) and the ratio is at least 0.5. So three exact candidate sets are enough:
+(as a subsequence) and the ratio is at least 0.5. So these exact candidate sets are enough:
 
 * equal names: an equi-join;
-* ratio above 0.91: a prefix-filter join on characters ordered from rare to common;
-* contained names: the rarest character of the short name must occur in the long one.
-
-A contained best hit may still be beaten by a better but unacceptable name, so the few names that have one
-are also joined, with the same prefix filter, to everything above that ratio. All joins are equi-joins over
-distinct texts, so copies of one name are compared once.
+* ratio above 0.91: the lengths of two names bound the characters d that are deleted from either, so of d + 1 segments
+  of the shorter one at least one stands whole in the longer one, at a place that d bounds too. Segments are keys of an
+  equi-join; they are about five characters long, so their number grows with the names;
+* contained names: characters are ordered from rare to common, and a tree of the short names' rarest ones is walked
+  down by joins, keeping the long names that hold all characters of the path.
+
+A contained best hit may still be beaten by a better but unacceptable name of the same source, so names whose best
+acceptable hit in a source is a contained one are also compared with what that source has above that ratio (prefix
+filter on characters within the source). All joins are equi-joins over distinct texts, so copies of one name are
+compared once.
 """
 
 from __future__ import annotations
@@ -56,51 +60,150 @@ def _prefix(n: Column, ratio: Column) -> Column:
 
 
 def similar_texts(probe: DataFrame, index: DataFrame, index_ratio: float) -> DataFrame:
-    """(a, b, na, nb, score, ratio) for probe texts and all index texts with ratio >= the probe's own bound.
+    """(a, b, na, nb, score, ratio) for probe texts and index texts of their group with ratio >= the probe's own bound.
 
-    ``probe``: norm, n, tokens, bound; ``index``: norm, n, tokens.
+    ``probe``: grp, norm, n, tokens, bound; ``index``: grp, norm, n, tokens.
     """
-    left = probe.select(F.col("norm").alias("a"), F.col("n").alias("na"), "bound", F.col("tokens").alias("ta"),
+    left = probe.select("grp", F.col("norm").alias("a"), F.col("n").alias("na"), "bound", F.col("tokens").alias("ta"),
                         F.explode(F.slice("tokens", F.lit(1), _prefix(F.col("n"), F.col("bound")))).alias("tok"))
-    right = index.select(F.col("norm").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"),
+    right = index.select("grp", F.col("norm").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"),
                          F.explode(F.slice("tokens", F.lit(1), _prefix(F.col("n"), F.lit(index_ratio)))).alias("tok"))
-    total = F.col("na") + F.col("nb")
-    need = F.col("bound") * total / 2 - 1e-9
+    need = F.col("bound") * (F.col("na") + F.col("nb")) / 2 - 1e-9
     rare_first = F.array_intersect(F.slice("ta", F.lit(1), _prefix(F.col("na"), F.col("bound"))),
                                    F.slice("tb", F.lit(1), _prefix(F.col("nb"), F.lit(index_ratio))))[0]
-    # a pair is kept only at its rarest shared prefix token, so no distinct over pairs is needed
-    pairs = left.join(right, "tok").where(
+    # within a group a pair is kept only at its rarest shared prefix token
+    pairs = left.join(right, ["grp", "tok"]).where(
         (F.col("a") != F.col("b")) & (F.least("na", "nb") >= need) & (rare_first == F.col("tok"))
         & (F.size(F.array_intersect("ta", "tb")) >= need))
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.min("bound").alias("bound"))
     scored = pairs.select("a", "b", "na", "nb", "bound", X.lcs(F.col("a"), F.col("b")).alias("score"))
     return scored.withColumn("ratio", 2.0 * F.col("score") / (F.col("na") + F.col("nb"))) \
         .where(F.col("ratio") >= F.col("bound") - 1e-12).drop("bound")
 
 
+def _deletions(short: Column, long: Column, ratio: float) -> Column:
+    """Most characters that two texts of these lengths can lose to reach their common subsequence at this ratio; it has
+    the parity of the difference of the lengths, as every pair's number of deletions."""
+    most = F.floor((1 - ratio) * (short + long) + 1e-9).cast("int")
+    return most - F.pmod(most - (long - short), F.lit(2))
+
+
+def _segment_key(n: Column, d: Column, i: Column, text: Column, start: Column, size: Column) -> Column:
+    return F.xxhash64(n, d, i, F.substring(text, start + 1, size))
+
+
+def close_candidates(texts: DataFrame, ratio: float) -> DataFrame:
+    """(a, b, na, nb, ta, tb): the shorter text a and a longer (or, of equal length, later) one b, for a superset of all pairs with at
+    least this ratio. ``texts``: norm, n (its length), tokens.
+
+    A segment is probed only as far from its own place as the deletions before and after it allow: of the whole
+    segments one has at most as many deletions before it as segments, and so at most the rest behind it.
+    """
+    i, d, m = F.col("i"), F.col("d"), F.col("m")
+    start, end = F.floor(i * m / (d + 1)).cast("int"), F.floor((i + 1) * m / (d + 1)).cast("int")
+    longest = F.floor(F.col("n") * (2 - ratio) / ratio + 1e-9).cast("int")
+    kinds = F.array_distinct(F.transform(F.sequence(F.col("n"), longest), lambda x: _deletions(F.col("n"), x, ratio)))
+    index = texts.select(F.col("norm").alias("a"), F.col("n").alias("m"), F.explode(F.filter(kinds, lambda x: x >= 0)).alias("d"), F.col("tokens").alias("ta"))
+    index = index.withColumn("i", F.explode(F.sequence(F.lit(0), d)))
+    index = index.select("a", F.col("m").alias("na"), "ta", _segment_key(m, d, i, F.col("a"), start, end - start).alias("key"))
+    shortest = F.ceil(F.col("n") * ratio / (2 - ratio) - 1e-9).cast("int")
+    probe = texts.select(F.col("norm").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), F.explode(F.sequence(shortest, F.col("n"))).alias("m"))
+    gap = F.col("nb") - m
+    probe = probe.withColumn("d", _deletions(m, F.col("nb"), ratio)).where(d >= gap).withColumn("i", F.explode(F.sequence(F.lit(0), d)))
+    low = F.greatest(F.lit(0), start - i, start + gap - (d - i))
+    high = F.least(F.col("nb") - (end - start), start + i, start + gap + (d - i))
+    places = F.when(high >= low, F.sequence(low, high))
+    probe = probe.withColumn("p", F.explode(places)).select(
+        "b", "nb", "tb", _segment_key(m, d, i, F.col("b"), F.col("p"), end - start).alias("key"))
+    total = F.col("na") + F.col("nb")
+    fits = ((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))) \
+        & (F.size(F.array_intersect("ta", "tb")) >= ratio * total / 2 - 1e-9)
+    return index.join(probe, "key").where(fits).dropDuplicates(["a", "b", "na", "nb"]).drop("key")
+
+
+def close_texts(texts: DataFrame, ratio: float) -> DataFrame:
+    """(a, b, na, nb, score, ratio) both ways, for all pairs of different texts with at least this ratio."""
+    scored = close_candidates(texts, ratio).select("a", "b", "na", "nb", X.lcs(F.col("a"), F.col("b")).alias("score"))
+    found = scored.withColumn("ratio", 2.0 * F.col("score") / (F.col("na") + F.col("nb"))).where(F.col("ratio") >= ratio - 1e-12)
+    return cut(found).transform(_both_ways)
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    cols = ["a", "b", "na", "nb", "score", "ratio"]
+    return pairs.select(cols).union(pairs.select(F.col("b"), F.col("a"), F.col("nb"), F.col("na"), "score", "ratio"))
+
+
+# Levels of the tree of rarest characters; each costs a join and divides what is left.
+LEVELS = 4
+
+
+def contained_candidates(tokens: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """(a, b, na, nb): b holds all characters of a, as often as a, and 0.5 <= ratio <= 0.91.
+
+    A node of the tree is a sequence of rarest characters; a name with fewer ends in blanks that every name holds. Nodes
+    know the lengths of the names below them, so a long name leaves a branch whose names are too short or too long.
+    """
+    path = F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda i: F.coalesce(F.get("tokens", i), F.lit("")))
+    short = tokens.select(F.col("norm").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"), path.alias("path"))
+
+    def node(k: int) -> Column:
+        return F.xxhash64(F.slice("path", 1, k))
+
+    low, high = X.RATIO_FLOOR, X.RATIO_ACCEPT
+    fits = (F.col("longest") * (2 - low) >= F.col("nb") * low) & (F.col("shortest") * (2 - high) <= F.col("nb") * high + 1e-9)
+    held = F.array_contains("tb", F.col("tok")) | (F.col("tok") == "")
+    alive = None
+    for k in range(1, levels + 1):
+        edges = short.groupBy(node(k - 1).alias("up"), F.col("path")[k - 1].alias("tok"), node(k).alias("node")).agg(
+            F.min("na").alias("shortest"), F.max("na").alias("longest"))
+        if alive is None:
+            first = tokens.select(F.col("norm").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), F.explode("tokens").alias("tok"))
+            alive = first.join(edges, "tok").where(fits)
+        else:
+            alive = alive.join(edges, F.col("at") == F.col("up")).where(held & fits)
+        alive = alive.select("b", "nb", "tb", F.col("node").alias("at"))
+    ratio = 2.0 * F.col("na") / (F.col("na") + F.col("nb"))
+    return alive.join(short.withColumn("node", node(levels)), F.col("at") == F.col("node")).where(
+        (F.col("na") < F.col("nb")) & (ratio >= low) & (ratio <= high) & (F.size(F.array_except("ta", "tb")) == 0)).select("a", "b", "na", "nb")
+
+
 def contained_texts(tokens: DataFrame) -> DataFrame:
     """(a, b, na, nb, score, ratio): a is a subsequence of b, 0.5 <= ratio <= 0.91."""
-    short = tokens.select(F.col("norm").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"),
-                          F.col("tokens")[0].alias("tok"))
-    long = tokens.select(F.col("norm").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"),
-                         F.explode("tokens").alias("tok"))
-    ratio = 2.0 * F.col("na") / (F.col("na") + F.col("nb"))
-    pairs = short.join(long, "tok").where(
-        (F.col("na") < F.col("nb")) & (ratio >= X.RATIO_FLOOR) & (ratio <= X.RATIO_ACCEPT)
-        & (F.size(F.array_except("ta", "tb")) == 0))
-    scored = pairs.select("a", "b", "na", "nb", X.lcs(F.col("a"), F.col("b")).alias("score"))
-    return scored.where("score = na").withColumn("ratio", ratio)
+    # the place in b behind which the next character of a is looked for; -1 once one is missing
+    place = F.aggregate(F.split("a", ""), F.lit(0), lambda at, c: F.when(at < 0, at).otherwise(
+        F.coalesce(F.nullif(F.call_function("locate", c, F.col("b"), at + 1), F.lit(0)), F.lit(-1))))
+    return contained_candidates(tokens).where(place > 0).select(
+        "a", "b", "na", "nb", F.col("na").alias("score"), (2.0 * F.col("na") / (F.col("na") + F.col("nb"))).alias("ratio"))
 
 
 def related_texts(units: DataFrame) -> DataFrame:
     """All directed text pairs a best-hit decision can depend on (see the module text)."""
     cols = ["a", "b", "na", "nb", "score", "ratio"]
     tokens = cut(character_tokens(units.select("norm", "n").where("n > 0").distinct()))
-    close = similar_texts(tokens.withColumn("bound", F.lit(X.RATIO_ACCEPT)), tokens, X.RATIO_ACCEPT).select(cols)
-    inside = cut(contained_texts(tokens))
-    both = inside.select(cols).union(inside.select(F.col("b"), F.col("a"), F.col("nb"), F.col("na"), "score", "ratio"))
-    floor = both.groupBy(F.col("a").alias("norm")).agg(F.min("ratio").alias("bound"))
-    rivals = similar_texts(tokens.join(floor, "norm"), tokens, X.RATIO_FLOOR).select(cols)
-    return cut(close.union(both).union(rivals).distinct())
+    even = tokens.where(F.length("norm") == F.col("n"))
+    close = close_texts(even, X.RATIO_ACCEPT)
+    odd = tokens.where(F.length("norm") != F.col("n")).withColumn("bound", F.lit(X.RATIO_ACCEPT)).withColumn("grp", F.lit(""))
+    if not odd.isEmpty():  # lower case has another length: segments do not fit, so these few go by their characters
+        found = similar_texts(odd, tokens.withColumn("grp", F.lit("")), X.RATIO_ACCEPT)
+        close = close.union(_both_ways(found)).distinct()
+    inside = _both_ways(cut(contained_texts(tokens)))
+
+    # the best contained hit of a text in each source, where no closer hit decides already
+    at = units.select("source", "src_ord", "norm").where("norm <> ''").distinct()
+    there = at.select(F.col("source").alias("grp"), F.col("src_ord").alias("ord_b"), F.col("norm").alias("b"))
+    here = at.groupBy(F.col("norm").alias("a")).agg(F.min("src_ord").alias("ord_a"), F.collect_set("source").alias("own"))
+    # hits among the later names of the own source depend on positions: there every hit may be the one
+    own = F.array_contains("own", F.col("grp"))
+    inside_at = inside.join(there, "b").join(here, "a").where((F.col("ord_a") < F.col("ord_b")) | own)
+    bound = inside_at.groupBy("a", "grp").agg(F.min(F.when(own, F.col("ratio"))).alias("least"), F.max("ratio").alias("best"))
+    equal = at.select(F.col("norm").alias("a"), F.col("source").alias("grp"))
+    decided = close.where(F.col("ratio") > X.RATIO_ACCEPT).join(there, "b").select("a", "grp").union(equal).distinct().withColumn("sure", F.lit(True))
+    open_ = bound.join(decided, ["a", "grp"], "left").where("sure IS NULL OR least IS NOT NULL").select(
+        F.col("a").alias("norm"), "grp", F.coalesce("least", "best").alias("bound"))
+    probe = open_.join(tokens, "norm")
+    index = at.select(F.col("source").alias("grp"), "norm").join(tokens, "norm")
+    rivals = similar_texts(probe, index, X.RATIO_FLOOR).select(cols)
+    return cut(close.select(cols).union(inside).union(rivals).distinct())
 
 
 def best_hits(units: DataFrame, within: DataFrame | None = None) -> DataFrame:

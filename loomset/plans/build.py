@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalogue, matching, network, ontology, unify
@@ -18,8 +18,7 @@ from ..schema import RESTRICTED_SOURCES, SRC_PAIR
 from ..session import cut
 from ..sources import delimited as D
 from ..sources import pathways as S
-from ..sources import release
-from ..sources.organisms import Species
+from ..sources import organisms, release
 
 
 @dataclass
@@ -47,10 +46,10 @@ class Landed:
     kegg_maps: str | None = None
 
 
-def alias_layers(spark: SparkSession, org: Species, f: Landed) -> tuple[DataFrame, DataFrame]:
+def alias_layers(spark: SparkSession, org: Row, f: Landed) -> tuple[DataFrame, DataFrame]:
     """(lookup, symbol -> gene_id): base gene list, HGNC for human, UniProt accessions."""
     if f.gene_info:
-        rows, ids = D.gene_info(spark, f.gene_info, org.taxid if org.shared_gene_info else None)
+        rows, ids = D.gene_info(spark, f.gene_info, org.taxid if org.shared else None)
     else:
         rows, ids = D.kegg_gene_list(spark, f.kegg_genes)
     if org.hgnc and f.hgnc:
@@ -64,7 +63,7 @@ def alias_layers(spark: SparkSession, org: Species, f: Landed) -> tuple[DataFram
     return cut(lookup_table(rows)), ids
 
 
-def extract(spark: SparkSession, org: Species, f: Landed, lookup: DataFrame, public: bool, topology: bool) -> unify.Pathways:
+def extract(spark: SparkSession, org: Row, f: Landed, lookup: DataFrame, public: bool, topology: bool) -> unify.Pathways:
     """All pathway sources that have landed; restricted ones only in a full build."""
     allowed = lambda s: not (public and s in RESTRICTED_SOURCES)
     parts = []
@@ -81,7 +80,7 @@ def extract(spark: SparkSession, org: Species, f: Landed, lookup: DataFrame, pub
     return S.union_pathways(parts)
 
 
-def _feed_rows(spark: SparkSession, org: Species, label: str, kind: str, path: str) -> DataFrame:
+def _feed_rows(spark: SparkSession, org: Row, label: str, kind: str, path: str) -> DataFrame:
     if kind == "biogrid":
         return D.biogrid(spark, path, org.taxid, org.name, feed=label)
     if kind == "mitab":
@@ -90,7 +89,7 @@ def _feed_rows(spark: SparkSession, org: Species, label: str, kind: str, path: s
     return D.pair_table(spark, path, label)
 
 
-def build(spark: SparkSession, org: Species, f: Landed, *, mode: str = "guarded", public: bool = False,
+def build(spark: SparkSession, org: Row, f: Landed, *, mode: str = "guarded", public: bool = False,
           topology: bool = True, string_min_score: int = 700) -> dict[str, DataFrame]:
     """Release tables (names as in schema.RELEASE) of one organism; ``stats`` has sets, matches, collections and networks."""
     lookup, gene_ids = alias_layers(spark, org, f)
@@ -170,7 +169,7 @@ def build(spark: SparkSession, org: Species, f: Landed, *, mode: str = "guarded"
     return tables
 
 
-def _networks(spark: SparkSession, org: Species, f: Landed, min_score: int) -> dict[str, DataFrame]:
+def _networks(spark: SparkSession, org: Row, f: Landed, min_score: int) -> dict[str, DataFrame]:
     """Feed rows of the physical network and, apart from it, of STRING."""
     out: dict[str, DataFrame] = {}
     for label, kind, path in f.feeds:
@@ -187,13 +186,17 @@ def rebuild_archive(spark: SparkSession, sources: list[tuple[str, str, str | Non
                                 mode="legacy", organism=organism)
 
 
-def build_many(spark: SparkSession, plans: dict[Species, Landed], folder: str, **options) -> dict[str, str]:
-    """Build and write several organisms; one that fails is reported and does not stop the others.
+def build_many(spark: SparkSession, plans: dict[str, Landed], folder: str, species: DataFrame | None = None, **options) -> dict[str, str]:
+    """Build and write several organisms, given by any of their names in ``species`` (default: the curated ones); one that
+    is unknown or fails is reported and does not stop the others.
 
     Each build is a set of cluster-wide jobs and writes its own partition of the release tables.
     """
-    status = {}
-    for org, landed in plans.items():
+    wanted = spark.createDataFrame([(name,) for name in plans], "wanted string")
+    known = {r.wanted: r for r in organisms.found(organisms.curated(spark) if species is None else species, wanted).collect()}
+    status = {name: "failed: unknown organism" for name in plans if name not in known}
+    for name, org in known.items():
+        landed = plans[name]
         try:
             tables = build(spark, org, landed, **options)
             tables["stats"] = cut(tables["stats"])
