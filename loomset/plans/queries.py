@@ -377,15 +377,14 @@ def lcs_sql(a: str, b: str) -> str:
 
 @query("set_similarity_links", f"""WITH ln AS (SELECT DISTINCT l_orderkey AS ok, l_linestatus AS ls, l_partkey AS gene FROM lineitem),
   a AS (SELECT DISTINCT 'Order ' || ok AS set_a, gene FROM ln QUALIFY count(*) OVER (PARTITION BY ok) >= 1),
-  sa AS (SELECT set_a, count(*) AS na FROM a GROUP BY 1 HAVING count(*) >= 4),
-  b AS (SELECT 'Order ' || ok || ' ' || ls AS set_b, gene FROM ln), sb AS (SELECT set_b, count(*) AS nb FROM b GROUP BY 1 HAVING count(*) >= 4),
+  sa AS (SELECT set_a, count(*) AS na FROM a GROUP BY 1),
+  b AS (SELECT 'Order ' || ok || ' ' || ls AS set_b, gene FROM ln), sb AS (SELECT set_b, count(*) AS nb FROM b GROUP BY 1),
   sh AS (SELECT set_a, set_b, na, nb, count(*) AS k FROM a JOIN sa USING (set_a) JOIN b USING (gene) JOIN sb USING (set_b) GROUP BY 1, 2, 3, 4),
   j AS (SELECT set_a, set_b, k / (na + nb - k) AS jac FROM sh WHERE k / (na + nb - k) >= 0.2),
   al AS (SELECT *, length(set_a) AS x, length(set_b) AS y, CASE WHEN jac >= 0.5 THEN 0 ELSE {lcs_sql('lower(set_a)', 'lower(set_b)')} END AS score FROM j)
   SELECT set_a, set_b, round(jac, 6) AS jaccard FROM al
   WHERE jac >= 0.5 OR ((score > least(x, y) - 1 OR 2.0 * score / (x + y) > 0.91) AND 2.0 * score / (x + y) >= 0.5)""")
 def set_similarity_links(t: Tables) -> DataFrame:
-    # Every set: the SQL above states only those of four parts and more.
     a, ag = P.order_sets(t, False, 1)
     b, bg = P.order_sets(t, True, 1)
     return ontology.link_sets(a, cut(ag), b, cut(bg)).select("set_a", "set_b", F.round("jaccard", 6).alias("jaccard"))
