@@ -139,10 +139,8 @@ def _labels_sql(items: str) -> str:
 @query("op3_licence_scan", f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
            FROM documents),
-k AS (SELECT doc_id, w, list_transform(w, lambda x: list_contains([{_LICENCE_WORDS}], x)) AS known FROM d),
 m AS (SELECT doc_id, len(w) AS n, list_concat(list_transform(range({_PAD}), lambda i: NULL::VARCHAR),
-        list_transform(range(1, len(w) + 1), lambda i: CASE WHEN known[i] AND ((i > 1 AND known[i - 1]) OR coalesce(known[i + 1], false))
-        THEN w[i] END)) AS w FROM k),
+        list_transform(w, lambda x: CASE WHEN list_contains([{_LICENCE_WORDS}], x) THEN x END)) AS w FROM d),
 s AS (SELECT doc_id, n, {", ".join(f"{_shares_sql(t)} AS {_t(i)}" for i, t in enumerate(_TEMPLATES))} FROM m)
 SELECT doc_id, n AS n_words, len({_BASE_PLACES}) AS n_base, list_min({_BASE_PLACES}) AS first_word,
        list_max({_BASE_PLACES}) AS last_word, {_labels_sql(_BASE_LABELS)} AS base_labels, {_labels_sql(_ALL_LABELS)} AS labels,
