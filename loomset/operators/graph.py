@@ -48,23 +48,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 def ancestors(edges: DataFrame, keys: tuple[str, ...] = (), max_rounds: int = 40) -> DataFrame:
     """Transitive closure of (child, parent) edges as (*keys, child, ancestor, depth), self excluded.
 
-    Path doubling: every round joins the closure with itself, so the number of rounds grows with the
-    logarithm of the depth. Cycles end when nothing new appears.
+    Depths are the shortest ones. After a round all pairs up to some depth L are known. A longer pair up to 2 L has an
+    ancestor at depth exactly L on its way, so only pairs of depth L are joined to the closure, and only pairs that
+    are new are added; known ones are never shuffled again as results. Rounds grow with the logarithm of the depth, and
+    cycles end when nothing new appears.
     """
     k = list(keys)
-    closure = cut(edges.where("child <> parent").select(*k, "child", F.col("parent").alias("ancestor"))
-                  .distinct().withColumn("depth", F.lit(1)))
-    before = closure.agg(F.count(F.lit(1)), F.sum("depth")).first()
-    for _ in range(max_rounds):
-        left = closure.select(*k, "child", F.col("ancestor").alias("mid"), F.col("depth").alias("d1"))
-        right = closure.select(*k, F.col("child").alias("mid"), "ancestor", F.col("depth").alias("d2"))
-        longer = left.join(right, [*k, "mid"]).where("child <> ancestor").select(
-            *k, "child", "ancestor", (F.col("d1") + F.col("d2")).alias("depth"))
-        closure = cut(closure.union(longer).groupBy(*k, "child", "ancestor").agg(F.min("depth").alias("depth")))
-        after = closure.agg(F.count(F.lit(1)), F.sum("depth")).first()
-        if after == before:
+    closure = cut(edges.where("child <> parent").select(*k, "child", F.col("parent").alias("ancestor")).distinct().withColumn("depth", F.lit(1)))
+    for i in range(max_rounds):
+        left = closure.where(F.col("depth") == (1 << i)).select(*k, "child", F.col("ancestor").alias("mid"))
+        right = closure.select(*k, F.col("child").alias("mid"), "ancestor", (F.col("depth") + (1 << i)).alias("depth"))
+        longer = left.join(right, [*k, "mid"]).where("child <> ancestor").groupBy(*k, "child", "ancestor").agg(F.min("depth").alias("depth"))
+        new = cut(longer.join(closure, [*k, "child", "ancestor"], "left_anti"))
+        if new.isEmpty():
             return closure
-        before = after
+        closure = closure.unionByName(new)
     raise RuntimeError("closure did not settle")
 
 
@@ -82,6 +80,42 @@ def nearest_ancestor(closure_with_self: DataFrame, holders: DataFrame, holder: s
         .select("child", F.col("m.ancestor").alias("ancestor"), F.col("m.depth").alias("depth"))
 
 
+def nearest_holder(edges: DataFrame, holders: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, holder, depth): for each wanted node the closest of itself and its ancestors that is a holder (ties:
+    smallest id). ``edges``: child, parent; ``holders``: node; ``wanted``: node.
+
+    One front for all wanted nodes. A node leaves it with its first holder, so nothing above that is visited, and a
+    (node, ancestor) pair is visited once even where ways meet or run in circles.
+    """
+    up = cut(edges.where("child <> parent").select(F.col("child").alias("at"), "parent").distinct())
+    held = cut(holders.select(F.col("node").alias("at")).distinct())
+    front = cut(wanted.select("node", F.col("node").alias("at")).distinct())
+    seen, found, depth = front, None, 0
+    while not front.isEmpty():
+        hit = cut(front.join(held, "at", "left_semi").groupBy("node").agg(F.min("at").alias("holder")).withColumn("depth", F.lit(depth)))
+        found = hit if found is None else found.union(hit)
+        front = cut(front.join(hit, "node", "left_anti").join(up, "at").select("node", F.col("parent").alias("at")).distinct()
+                    .join(seen, ["node", "at"], "left_anti"))
+        seen, depth = seen.union(front), depth + 1
+    return front.selectExpr("node", "at AS holder", "0 AS depth") if found is None else found
+
+
+def reached(start: DataFrame, edges: DataFrame, keys: tuple[str, ...] = (), max_depth: int = 30) -> DataFrame:
+    """(*keys, root, node, depth): what each root reaches along (*keys, node, to) edges in at most ``max_depth`` steps,
+    itself at depth 0. ``start``: *keys, root. Only nodes new to a root are followed."""
+    k = list(keys)
+    step = cut(edges.select(*k, "node", "to").distinct())
+    front = cut(start.select(*k, "root", F.col("root").alias("node")).distinct().withColumn("depth", F.lit(0)))
+    seen = front
+    for depth in range(1, max_depth + 1):
+        front = cut(front.join(step, [*k, "node"]).select(*k, "root", F.col("to").alias("node")).distinct()
+                    .join(seen, [*k, "root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
 def set_distances(query: DataFrame, edges: DataFrame, set_gene: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(set_id, distance): fewest undirected steps from a query gene to a gene of the set; -1 if none can be reached.
 

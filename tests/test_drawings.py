@@ -1,10 +1,12 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomset.operators import graph
 from loomset.operators.identifiers import lookup_table
-from loomset.sources import drawings, markup
+from loomset.sources import drawings, layouts, markup
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +70,65 @@ def test_drawings_of_sets(spark):
     got = drawings.drawings_of_sets(member, diagram, of)
     assert {tuple(r) for r in got.select("source", "id", "name", "focus").collect()} == {("KEGG", "hsa1", "T", ""), ("Reactome", "R-1", "Top", "R-2")}
     assert got.where(F.col("focus") == "").count() == 1
+
+
+LAYOUT = {"stableId": "R-1", "displayName": "Top", "maxX": 500, "maxY": 300,
+          "compartments": [{"id": 1, "displayName": "cytosol", "prop": {"x": 0, "y": 0, "width": 100, "height": 50}}],
+          "edges": [{"id": 7, "reactomeId": 70, "position": {"x": 40, "y": 44}}, {"id": 8, "reactomeId": 80, "position": {"x": 60, "y": 44}},
+                    {"id": 9, "reactomeId": 70, "position": {"x": 80, "y": 44}}],
+          "nodes": [{"id": 2, "reactomeId": 20, "displayName": "complex", "renderableClass": "Complex", "prop": {"x": 10, "y": 20, "width": 30, "height": 10},
+                     "connectors": [{"edgeId": 7, "type": "INPUT"}, {"edgeId": 99, "type": "INPUT"}, {"edgeId": 8, "type": "CATALYST"}]},
+                    {"id": 3, "reactomeId": 30, "displayName": "ATP", "renderableClass": "Chemical", "prop": {"x": 0, "y": 0, "width": 2, "height": 2},
+                     "connectors": [{"edgeId": 9, "type": "OUTPUT"}]},
+                    {"id": 4, "reactomeId": 40, "stId": "R-4", "renderableClass": "ProcessNode", "prop": {"x": 0, "y": 0, "width": 2, "height": 2}},
+                    {"id": 5, "reactomeId": 21, "renderableClass": "NewClass", "prop": {"x": 0, "y": 0, "width": 2, "height": 2}, "connectors": [{"edgeId": 8, "type": "odd"}]}]}
+PARTS = {"nodes": [{"dbId": 20, "children": [21, 22, 20]}, {"dbId": 21, "geneNames": ["nope", "MDM2", "TP53"]}, {"dbId": 22, "children": [23]},
+                   {"dbId": 23, "geneNames": ["TP53"], "children": [20]}, {"dbId": 30, "geneNames": ["TP53"]}],
+         "subpathways": [{"stId": "R-8", "events": [80, 555]}, {"stId": "R-7", "events": [70]}, {"stId": "R-0", "events": [555]}]}
+
+
+def test_layout_drawing(spark, lookup, tmp_path):
+    for name, body in (("R-1.json", LAYOUT), ("R-1.graph.json", PARTS), ("R-2.json", {"displayName": "Bare", "edges": []}), ("R-2.graph.json", {}),
+                       ("R-3.json", LAYOUT)):
+        (tmp_path / name).write_text(json.dumps(body))
+    (tmp_path / "R-5.json").write_text("{broken")
+    (tmp_path / "R-5.graph.json").write_text("{}")
+    drawn = layouts.layout_drawing(layouts.layout_files(spark, str(tmp_path)), lookup)
+    rows = {r["doc"]: r for r in drawn.collect()}
+    assert set(rows) == {"R-1", "R-2"} and rows["R-2"]["name"] == "Bare" and rows["R-2"]["nodes"] == rows["R-2"]["edges"] == []
+    top = rows["R-1"]
+    assert (top["name"], top["width"], top["height"]) == ("Top", 500, 300)
+    assert [n["id"] for n in top["nodes"]] == ["c1", "r7", "r8", "r9", "n2", "n3", "n4", "n5"]
+    node = {n["id"]: n for n in top["nodes"]}
+    assert (node["c1"]["x"], node["c1"]["y"], node["c1"]["z"], node["c1"]["kind"]) == (50, 25, -1, "shape")
+    assert (node["r7"]["x"], node["r7"]["y"], node["r7"]["w"], node["r7"]["reactome"]) == (40, 44, 8, 70)
+    assert node["n2"]["genes"] == ["MDM2", "TP53"] and node["n2"]["shape"] == "cut-rectangle" and node["n3"]["genes"] == []
+    assert node["n4"]["stId"] == "R-4" and node["n4"]["label"] == "" and node["n5"]["genes"] == ["MDM2"] and node["n5"]["fill"] == "#dddddd"
+    assert [(e["id"], e["source"], e["target"], e["arrow"], e["kind"]) for e in top["edges"]] == [
+        ("e0", "n2", "r7", "none", "input"), ("e1", "n2", "r8", "circle", "catalyst"), ("e2", "r9", "n3", "triangle", "output"), ("e3", "n5", "r8", "none", "odd")]
+    assert top["subpathways"] == {"R-8": ["n2", "n5", "r8"], "R-7": ["n3", "r9"]}
+    data = {r["source_set_id"]: json.loads(r["data"]) for r in drawings.drawing_table(drawn, "Reactome").collect()}
+    assert data["R-1"]["subpathways"]["R-7"] == ["n3", "r9"]
+
+
+def test_nearest_holder_stops_at_the_first(spark):
+    edges = spark.createDataFrame([("c", "b"), ("b", "a"), ("d", "a"), ("e", "d"), ("e", "b"), ("x", "y"), ("y", "x"), ("z", "z")], "child string, parent string")
+    held = spark.createDataFrame([("a",), ("b",), ("d",)], "node string")
+    wanted = spark.createDataFrame([(n,) for n in "abcdexyz"], "node string")
+    got = {r["node"]: (r["holder"], r["depth"]) for r in graph.nearest_holder(edges, held, wanted).collect()}
+    assert got == {"a": ("a", 0), "b": ("b", 0), "c": ("b", 1), "d": ("d", 0), "e": ("b", 1)}
+    assert graph.nearest_holder(edges, held, wanted.where("false")).count() == 0
+
+
+def test_closure_of_deep_and_crossed_graphs(spark):
+    rng = random.Random(6)
+    edges = {(f"n{i}", f"n{i + 1}") for i in range(40)} | {(f"n{rng.randrange(41)}", f"n{rng.randrange(41)}") for _ in range(6)} | {("q", "q")}
+    want = {}
+    for child in {c for c, _ in edges}:
+        front, depth = {child}, 0
+        while front:
+            depth += 1
+            front = {p for c, p in edges if c in front} - {child} - {a for c, a in want if c == child}
+            want |= {(child, a): depth for a in front}
+    got = graph.ancestors(spark.createDataFrame(sorted(edges), "child string, parent string")).collect()
+    assert {(r["child"], r["ancestor"]): r["depth"] for r in got} == want and len(got) == len(want)
