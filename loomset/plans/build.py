@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalogue, matching, network, ontology, unify
-from ..operators.graph import ancestors
+from ..operators.graph import ancestors, nearest_holder
 from ..operators.identifiers import alias_table, lookup_table
 from ..schema import RESTRICTED_SOURCES, SRC_PAIR
 from ..session import cut
 from ..sources import delimited as D
+from ..sources import drawings, layouts, markup, organisms, release
 from ..sources import pathways as S
-from ..sources import organisms, release
 
 
 @dataclass
@@ -44,6 +44,7 @@ class Landed:
     curation: str | None = None
     reactome_text: str | None = None
     kegg_maps: str | None = None
+    reactome_layouts: str | None = None
 
 
 def alias_layers(spark: SparkSession, org: Row, f: Landed) -> tuple[DataFrame, DataFrame]:
@@ -166,6 +167,8 @@ def build(spark: SparkSession, org: Row, f: Landed, *, mode: str = "guarded", pu
         "set_pair": set_pair, "match_log": merged.matches, "stats": stats})
     if links is not None:
         tables["set_link"] = links
+    if topology:
+        tables.update(drawn(spark, f, lookup, set_member))
     return tables
 
 
@@ -180,6 +183,29 @@ def _networks(spark: SparkSession, org: Row, f: Landed, min_score: int) -> dict[
     return out
 
 
+def drawn(spark: SparkSession, f: Landed, lookup: DataFrame, member: DataFrame) -> dict[str, DataFrame]:
+    """Drawings of the release's member pathways: ``diagram``, and ``diagram_of`` for those of Reactome, which are shown in
+    their own layout or in that of the nearest ancestor that has one. Layouts that draw no member are not read further."""
+    ids = lambda source: member.where(F.col("source") == source).select("source_set_id").distinct()
+    made: list[DataFrame] = []
+    tables: dict[str, DataFrame] = {}
+    for source, path, read, draw in (("KEGG", f.kegg and f"{f.kegg}/kgml", markup.xml_files, drawings.kgml_drawing),
+                                     ("WikiPathways", f.wikipathways_gpml, markup.gpml_archive, drawings.gpml_drawing)):
+        if path:
+            docs = read(spark, path).join(ids(source).withColumnRenamed("source_set_id", "doc"), "doc", "left_semi")
+            made.append(drawings.drawing_table(draw(cut(markup.shred(docs)), lookup), source))
+    if f.reactome and f.reactome_layouts:
+        docs = cut(layouts.layout_files(spark, f.reactome_layouts))
+        edges = D.fields(D.lines(spark, f"{f.reactome}/ReactomePathwaysRelation.txt"), "parent", "child")
+        near = cut(nearest_holder(edges, docs.select(F.col("doc").alias("node")), ids("Reactome").withColumnRenamed("source_set_id", "node")))
+        used = docs.join(near.select(F.col("holder").alias("doc")), "doc", "left_semi")
+        made.append(drawings.drawing_table(layouts.layout_drawing(used, lookup), "Reactome"))
+        tables["diagram_of"] = near.select(F.lit("Reactome").alias("source"), F.col("node").alias("source_set_id"), F.col("holder").alias("diagram_id"))
+    for rows in made:
+        tables["diagram"] = rows if "diagram" not in tables else tables["diagram"].unionByName(rows)
+    return tables
+
+
 def rebuild_archive(spark: SparkSession, sources: list[tuple[str, str, str | None]], organism: str = "sapiens") -> unify.Integrated:
     """The 2012 merge on archived normalised files: (code, gene file, pair file or None) in comparison order."""
     return unify.merge_pathways(S.union_pathways([S.archived(spark, gen, gpr, code) for code, gen, gpr in sources]),

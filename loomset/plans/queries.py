@@ -347,7 +347,8 @@ def nearest_drawn_ancestor(t: Tables) -> DataFrame:
         .union(t.customer.where("c_mktsegment = 'BUILDING'").select(key("C", "c_custkey"))) \
         .union(t.nation.select(key("N", "n_nationkey")))
     edges = P.order_edges(t)
-    return graph.nearest_ancestor(graph.with_self(graph.ancestors(edges), edges), held)
+    return graph.nearest_holder(edges, held, edges.select(F.col("child").alias("node"))).select(
+        F.col("node").alias("child"), F.col("holder").alias("ancestor"), "depth")
 
 
 @query("identical_set_merge", f"""WITH RECURSIVE {PROPAGATED},

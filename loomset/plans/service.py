@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalogue, enrich, identifiers, network, ranked, subgraph, themes
 from ..session import cut
-from ..sources import release
+from ..sources import drawings, release
 
 # Largest inputs of one request; larger ones are refused, results are never cut.
 MAX_GENES, MAX_BACKGROUND, MAX_SIZE = 20_000, 60_000, 5000
@@ -93,6 +93,18 @@ class Library:
         return catalogue.set_detail(set_id, self.table("gset"), self.table("set_member"), self.table("set_gene"),
                                     self.table("set_pair"), self.table("set_link"), self.table("msigdb_equivalent"))
 
+    def drawings(self, set_id: str) -> DataFrame:
+        """(set_id, source, id, name, focus): the stored drawings of a set's members; ``focus`` is the sub-pathway to show."""
+        member = self.table("set_member").where(F.col("set_id") == set_id)
+        return drawings.drawings_of_sets(member, self.table("diagram"), self.table("diagram_of")).orderBy("source", "id", "focus")
+
+    def drawing(self, source: str, id_: str) -> str:
+        """One drawing as JSON text: nodes, edges and, for layouts, the nodes of each sub-pathway."""
+        row = self.table("diagram").where((F.col("source") == source) & (F.col("source_set_id") == id_)).select("data").first()
+        if row is None:
+            raise KeyError(f"{source} {id_}")
+        return row["data"]
+
     def stats(self) -> DataFrame:
         return self.table("stats").orderBy("metric", "key")
 

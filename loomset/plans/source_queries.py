@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.catalogue import by_lower_name
+from ..operators.identifiers import lookup_table
 from ..session import checkpoint_folder
 from ..sources import delimited as D
+from ..sources import layouts
 from .projections import Tables
 
 QUERIES: dict = {}
@@ -242,3 +244,46 @@ def xml_ids(t: Tables) -> DataFrame:
 def group_by_lower_name(t: Tables) -> DataFrame:
     return by_lower_name(t.part.select(F.col("p_type").alias("name"), F.col("p_partkey").alias("set_id"))).select(
         "low", "n", F.col("first_id").alias("first_part"))
+
+
+@query("layout_drawing", """WITH o AS (SELECT o_custkey AS doc, o_orderkey AS id, o_orderstatus AS st, o_orderpriority AS pr FROM orders),
+  p AS (SELECT l_orderkey AS id, l_linenumber AS ln, CASE WHEN l_partkey % 3 = 0 THEN 'PART' || l_partkey WHEN l_suppkey % 2 = 0 THEN 'SUPP' || l_suppkey END AS gene FROM lineitem),
+  g AS (SELECT id, list_sort(list(DISTINCT gene)) AS genes FROM p WHERE gene IS NOT NULL GROUP BY 1),
+  e AS (SELECT doc, id, count(*) OVER (PARTITION BY doc ORDER BY id) - 1 AS n FROM o WHERE pr NOT LIKE '5%')
+  SELECT 'D' || doc AS doc, 'n' || o.id AS node, CASE WHEN st = 'O' THEN 'map' ELSE 'gene' END AS kind, (o.id % 100 + 10)::DOUBLE AS x,
+    CASE WHEN st = 'O' THEN '' ELSE coalesce(array_to_string(genes, ','), '') END AS genes,
+    CASE WHEN e.n IS NOT NULL THEN 'e' || e.n END AS edge, CASE WHEN pr LIKE '1%' THEN 'tee' ELSE 'triangle' END AS arrow,
+    st = 'F' AND e.n IS NOT NULL AS in_focus
+  FROM o LEFT JOIN g USING (id) LEFT JOIN e USING (doc, id)""")
+def layout_drawing(t: Tables) -> DataFrame:
+    """Customers as documents: their orders are entities made of lines (later shipped ones below the first), each with a
+    reaction; the lowest priority has none. Parts and suppliers are gene names, a third and a half of which resolve."""
+    box = F.struct((F.col("id") % 100).alias("x"), F.lit(0).alias("y"), F.lit(20).alias("width"), F.lit(10).alias("height"))
+    o = t.orders.select(tag("D", "o_custkey").alias("doc"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("pr"))
+    wire = F.struct(F.when(F.col("pr").startswith("5"), -1).otherwise(F.col("id")).alias("edgeId"), F.when(F.col("pr").startswith("1"), "INHIBITOR").otherwise("OUTPUT").alias("type"))
+    entity = F.struct("id", F.col("id").alias("reactomeId"), F.when(F.col("st") == "O", "ProcessNode").otherwise("Complex").alias("renderableClass"), box.alias("prop"),
+                      F.array(wire).alias("connectors"))
+    reaction = F.struct("id", F.col("id").alias("reactomeId"), F.struct(F.lit(1).alias("x"), F.lit(1).alias("y")).alias("position"))
+    names = F.array(tag("PART", "l_partkey"), tag("SUPP", "l_suppkey"))
+    made = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(names)).alias("names"))
+    made = made.select("id", F.transform("names", lambda x, i: F.struct(((F.col("id") + (1 << 30)) * 1000 + i).alias("dbId"), x.alias("geneNames"))).alias("lines"))
+    # the first line stands for the order's own part, the others are parts of that part
+    first = F.struct(F.col("lines")[0]["dbId"].alias("dbId"), F.col("lines")[0]["geneNames"].alias("geneNames"),
+                     F.transform(F.slice("lines", F.lit(2), F.size("lines")), lambda x: x["dbId"]).alias("children"))
+    rest = F.transform(F.slice("lines", F.lit(2), F.size("lines")), lambda x: F.struct(x["dbId"].alias("dbId"), x["geneNames"].alias("geneNames"), F.array().cast("array<bigint>").alias("children")))
+    own = F.struct(F.col("id").alias("dbId"), F.array().cast("array<string>").alias("geneNames"), F.array(F.col("lines")[0]["dbId"]).alias("children"))
+    parts = o.select("doc", "id", "st").join(made, "id", "left").groupBy("doc").agg(
+        F.flatten(F.collect_list(F.concat(F.array(own, first), rest))).alias("nodes"),
+        F.array(F.struct(F.lit("focus").alias("stId"), F.collect_list(F.when(F.col("st") == "F", F.col("id"))).alias("events"))).alias("subpathways"))
+    layout = o.groupBy("doc").agg(F.array_sort(F.collect_list(entity)).alias("nodes"), F.collect_list(F.when(~F.col("pr").startswith("5"), reaction)).alias("edges"))
+    docs = layout.select("doc", F.to_json(F.struct("nodes", "edges")).alias("layout")).join(
+        parts.select("doc", F.to_json(F.struct("nodes", "subpathways")).alias("parts")), "doc")
+    ids = t.part.where("p_partkey % 3 = 0").select(tag("PART", "p_partkey").alias("key")).union(
+        t.supplier.where("s_suppkey % 2 = 0").select(tag("SUPP", "s_suppkey")))
+    lookup = lookup_table(ids.select("key", F.col("key").alias("symbol"), F.lit("exact").alias("kind"), F.lit(0).alias("prio"), F.lit(0).cast("bigint").alias("pos")))
+    drawn = layouts.layout_drawing(docs, lookup)
+    rows = drawn.select("doc", "edges", F.get(F.map_values("subpathways"), F.lit(0)).alias("focus"), F.explode("nodes").alias("n")).where("n.kind <> 'reaction'")
+    edge = F.get(F.filter("edges", lambda e: (e["source"] == F.col("n.id")) | (e["target"] == F.col("n.id"))), F.lit(0))
+    arrow = F.coalesce(edge["arrow"], F.lit("triangle"))
+    return rows.select("doc", F.col("n.id").alias("node"), "n.kind", "n.x", F.array_join("n.genes", ",").alias("genes"), edge["id"].alias("edge"), arrow.alias("arrow"),
+                       F.coalesce(F.array_contains("focus", F.col("n.id")), F.lit(False)).alias("in_focus"))

@@ -47,8 +47,8 @@ def land(tmp_path_factory):
     kegg = d / "kegg"
     put(kegg / "list_pathway.txt", tab(("path:hsa01", "p53 signaling pathway - Homo sapiens (human)"), ("path:hsa02", "Empty")))
     put(kegg / "link_pathway.txt", tab(*[("path:hsa01", f"hsa:{100 + i}") for i in range(6)], ("path:hsa02", "hsa:555")))
-    put(kegg / "kgml" / "hsa01.xml", """<pathway name="path:hsa01"><entry id="1" type="gene" name="hsa:100 hsa:101"/>
-      <entry id="2" type="gene" name="hsa:102"/><entry id="3" type="group" name="undefined"><component id="1"/><component id="2"/></entry>
+    put(kegg / "kgml" / "hsa01.xml", """<pathway name="path:hsa01"><entry id="1" type="gene" name="hsa:100 hsa:101"><graphics
+      name="TP53" x="10" y="20"/></entry><entry id="2" type="gene" name="hsa:102"/><entry id="3" type="group" name="undefined"><component id="1"/><component id="2"/></entry>
       <relation entry1="1" entry2="2" type="PPrel"/><relation entry1="2" entry2="2" type="maplink"/><relation entry1="2" entry2="1" type="PCrel"/></pathway>""")
     put(kegg / "kgml" / "broken.xml", "<pathway><entry>")
     re_ = d / "reactome"
@@ -61,6 +61,11 @@ def land(tmp_path_factory):
         ("# a", "b"), ("uniprotkb:P04637", "-", "entrezgene/locuslink:100", "x", "-", "e:101", "physical association", "reactome:R-C1"),
         ("x", "-", "e:100|e:102", "x", "-", "e:101|e:100", "unknown", "reactome:R-R7"), ("x", "-", "e:105", "x", "-", "e:106", "association", "reactome:R-R8")))
     put(re_ / "Complex_2_Pathway_human.txt", tab(("complex", "pathway"), ("R-C1", "R-1")))
+    put(re_ / "layouts" / "R-0.json", json.dumps({"displayName": "Whole", "maxX": 9, "maxY": 8, "edges": [{"id": 1, "reactomeId": 5, "position": {"x": 1, "y": 1}}], "nodes": [
+        {"id": 2, "reactomeId": 6, "renderableClass": "Protein", "prop": {"x": 0, "y": 0, "width": 1, "height": 1}, "connectors": [{"edgeId": 1, "type": "INPUT"}]}]}))
+    put(re_ / "layouts" / "R-0.graph.json", json.dumps({"nodes": [{"dbId": 6, "geneNames": ["TP53X"]}], "subpathways": [{"stId": "R-2", "events": [5]}]}))
+    for unused in ("R-7.json", "R-7.graph.json"):
+        put(re_ / "layouts" / unused, "{}")
     f["gmt"] = put(d / "wp.gmt", tab(("P53 Signaling Pathway%WP_2026%WP1%Homo sapiens", "url", "100", "101", "102", "", "nope"), ("short", "x")))
     gpml = """<Pathway xmlns="http://pathvisio.org/GPML/2013a" Name="p"><Comment Source="WikiPathways-description">about
       p53</Comment><DataNode TextLabel="TP53" GraphId="a" Type="GeneProduct"><Xref ID="100"/></DataNode>
@@ -108,7 +113,7 @@ def land(tmp_path_factory):
 def landed(land):
     d = str(land["dir"])
     return B.Landed(gene_info=land["gene_info"], hgnc=land["hgnc"], uniprot_idmapping=land["idmapping"], kegg=f"{d}/kegg", reactome=f"{d}/reactome",
-                    wikipathways_gmt=land["gmt"], wikipathways_gpml=land["gpml"], obo=land["obo"], gaf=land["gaf"],
+                    wikipathways_gmt=land["gmt"], wikipathways_gpml=land["gpml"], reactome_layouts=f"{d}/reactome/layouts", obo=land["obo"], gaf=land["gaf"],
                     msigdb={"h.all": land["msigdb"], "c2.cp.reactome": land["msiglink"]}, string=land["string"],
                     feeds=(("BioGRID", "biogrid", land["biogrid"]), ("IntAct", "mitab", land["mitab"]), ("HuRI", "tsv", land["pairs"])))
 
@@ -290,6 +295,15 @@ def test_release_and_requests(spark, built):
     detail = lib.set_detail(merged["set_id"])
     assert detail["members"].count() == 2 and detail["genes"].count() == 6
     assert detail["msigdb_equivalents"].count() <= 1 and lib.gene_detail("tp53")["string_partners"].count() <= 1
+    shown = lib.drawings(merged["set_id"]).collect()
+    assert [(r["source"], r["id"], r["focus"]) for r in shown] == [("KEGG", "hsa01", ""), ("WikiPathways", "WP1", "")]
+    assert {(r["source_set_id"], r["diagram_id"]) for r in lib.table("diagram_of").collect()} == {("R-1", "R-0"), ("R-2", "R-0")}
+    child = sets["TP53 Regulates Death"]
+    assert [(r["source"], r["id"], r["name"], r["focus"]) for r in lib.drawings(child["set_id"]).collect()] == [("Reactome", "R-0", "Whole", "R-2")]
+    whole = json.loads(lib.drawing("Reactome", "R-0"))
+    assert whole["subpathways"] == {"R-2": ["n2", "r1"]} and whole["nodes"][1]["genes"] == ["TP53"] and lib.table("diagram").count() == 3
+    with pytest.raises(KeyError):
+        lib.drawing("Reactome", "R-7")
     stats = {(r["metric"], r["key"]): r["value"] for r in lib.stats().collect()}
     assert stats[("matches", "accepted")] >= 1 and stats[("ppi.edges", "")] == len(tiers) and ("sets_by_collection", "GO:BP") in stats
     for kind in ("cyjs", "sbml", "sbgn"):
