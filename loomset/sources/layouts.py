@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import reached
 from ..operators.identifiers import map_column
+from ..session import cut
 
 BOX = "struct<x:double,y:double,width:double,height:double>"
 LAYOUT = f"""stableId string, displayName string, maxX double, maxY double,
@@ -89,7 +90,8 @@ def layout_drawing(docs: DataFrame, lookup: DataFrame) -> DataFrame:
     reaction of the layout is an edge, numbered in document order. ``subpathways`` maps the id of a sub-pathway to the
     nodes of its reactions: what a request shows in focus. A document is one row; only gene names and parts are joined.
     """
-    row = docs.select("doc", F.from_json("layout", LAYOUT).alias("l"), F.from_json("parts", PARTS).alias("p")).where("l.nodes IS NOT NULL OR l.edges IS NOT NULL")
+    row = docs.select("doc", F.from_json("layout", LAYOUT).alias("l"), F.from_json("parts", PARTS).alias("p"))
+    row = cut(row.where("l.nodes IS NOT NULL OR l.edges IS NOT NULL"))  # parsed once; its columns are read apart
     drawn = row.select("doc", F.inline("l.nodes")).where(_chosen(STYLE, 1, F.col("renderableClass"), "gene") == "gene").select("doc", F.col("reactomeId").alias("root"))
     genes = genes_of_entities(row, drawn.where("root IS NOT NULL"), lookup).groupBy("doc").agg(
         F.map_from_entries(F.collect_list(F.struct("root", "genes"))).alias("genes"))
