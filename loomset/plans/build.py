@@ -5,6 +5,7 @@ Downloading is not part of the engine; the build reads files that were landed in
 
 from __future__ import annotations
 
+import functools
 import json
 from dataclasses import dataclass, field
 
@@ -102,9 +103,13 @@ def build(spark: SparkSession, org: Row, f: Landed, *, mode: str = "guarded", pu
     set_gene, set_member = cut(merged.set_gene), cut(merged.set_member)
     gset, links = cut(merged.gset), merged.set_link
     path_set, path_member, path_gene = gset, set_member, set_gene
-    for described in ([S.describe_reactome(spark, f.reactome_text)] if f.reactome_text else []) + (
-            [S.describe_kegg(spark, f.kegg_maps, set_member)] if f.kegg_maps else []):
-        set_member = S.with_descriptions(set_member, described)
+    described = [S.describe_reactome(spark, f.reactome_text)] if f.reactome_text else []
+    if f.wikipathways_gpml:
+        described.append(S.describe_wikipathways(markup.shred(markup.gpml_files(spark, f.wikipathways_gpml), markup.GPML)))
+    if f.kegg_maps:
+        described.append(S.describe_kegg(spark, f.kegg_maps, set_member))
+    if described:
+        set_member = S.with_descriptions(set_member, functools.reduce(DataFrame.unionByName, described))
     set_pair = merged.set_pair if merged.set_pair is not None else spark.createDataFrame([], release.RELEASE["set_pair"])
     set_pair = cut(set_pair)
     pathway_pair = set_pair
@@ -118,7 +123,7 @@ def build(spark: SparkSession, org: Row, f: Landed, *, mode: str = "guarded", pu
         go_set, go_member, go_gene = ontology.term_sets(full, term, ontology.merge_identical(full, term, closure))
         go_gene, go_set = cut(go_gene), cut(go_set)
         go_member = S.with_descriptions(go_member, term.where("definition <> ''").select(
-            F.col("term").alias("source_set_id"), F.col("definition").alias("description")))
+            F.lit("GO").alias("source"), F.col("term").alias("source_set_id"), F.col("definition").alias("description")))
         crossed = ontology.both_ways(cut(ontology.link_sets(go_set, go_gene, gset, set_gene)))
         links = crossed if links is None else links.unionByName(crossed)
         gset, set_member, set_gene = gset.unionByName(go_set), set_member.unionByName(go_member), set_gene.unionByName(go_gene)
@@ -189,11 +194,11 @@ def drawn(spark: SparkSession, f: Landed, lookup: DataFrame, member: DataFrame)
     ids = lambda source: member.where(F.col("source") == source).select("source_set_id").distinct()
     made: list[DataFrame] = []
     tables: dict[str, DataFrame] = {}
-    for source, path, read, draw in (("KEGG", f.kegg and f"{f.kegg}/kgml", markup.xml_files, drawings.kgml_drawing),
-                                     ("WikiPathways", f.wikipathways_gpml, markup.gpml_archive, drawings.gpml_drawing)):
+    for source, path, read, form, draw in (("KEGG", f.kegg and f"{f.kegg}/kgml", markup.xml_files, markup.KGML, drawings.kgml_drawing),
+                                           ("WikiPathways", f.wikipathways_gpml, markup.gpml_files, markup.GPML, drawings.gpml_drawing)):
         if path:
             docs = read(spark, path).join(ids(source).withColumnRenamed("source_set_id", "doc"), "doc", "left_semi")
-            made.append(drawings.drawing_table(draw(cut(markup.shred(docs)), lookup), source))
+            made.append(drawings.drawing_table(draw(cut(markup.shred(docs, form)), lookup), source))
     if f.reactome and f.reactome_layouts:
         docs = cut(layouts.layout_files(spark, f.reactome_layouts))
         edges = D.fields(D.lines(spark, f"{f.reactome}/ReactomePathwaysRelation.txt"), "parent", "child")

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators.catalogue import by_lower_name
 from ..operators.identifiers import lookup_table
-from ..session import checkpoint_folder
+from ..session import checkpoint_folder, cut
 from ..sources import delimited as D
-from ..sources import layouts
+from ..sources import layouts, markup
 from .projections import Tables
 
 QUERIES: dict = {}
@@ -278,12 +278,74 @@ def layout_drawing(t: Tables) -> DataFrame:
     layout = o.groupBy("doc").agg(F.array_sort(F.collect_list(entity)).alias("nodes"), F.collect_list(F.when(~F.col("pr").startswith("5"), reaction)).alias("edges"))
     docs = layout.select("doc", F.to_json(F.struct("nodes", "edges")).alias("layout")).join(
         parts.select("doc", F.to_json(F.struct("nodes", "subpathways")).alias("parts")), "doc")
-    ids = t.part.where("p_partkey % 3 = 0").select(tag("PART", "p_partkey").alias("key")).union(
-        t.supplier.where("s_suppkey % 2 = 0").select(tag("SUPP", "s_suppkey")))
-    lookup = lookup_table(ids.select("key", F.col("key").alias("symbol"), F.lit("exact").alias("kind"), F.lit(0).alias("prio"), F.lit(0).cast("bigint").alias("pos")))
-    drawn = layouts.layout_drawing(docs, lookup)
+    drawn = layouts.layout_drawing(docs, _map_lookup(t))
     rows = drawn.select("doc", "edges", F.get(F.map_values("subpathways"), F.lit(0)).alias("focus"), F.explode("nodes").alias("n")).where("n.kind <> 'reaction'")
     edge = F.get(F.filter("edges", lambda e: (e["source"] == F.col("n.id")) | (e["target"] == F.col("n.id"))), F.lit(0))
     arrow = F.coalesce(edge["arrow"], F.lit("triangle"))
     return rows.select("doc", F.col("n.id").alias("node"), "n.kind", "n.x", F.array_join("n.genes", ",").alias("genes"), edge["id"].alias("edge"), arrow.alias("arrow"),
                        F.coalesce(F.array_contains("focus", F.col("n.id")), F.lit(False)).alias("in_focus"))
+
+
+# Orders as pathway maps: lines are nodes, neighbours are related by return flag, the first two make a complex. Parts whose
+# number 3 divides and suppliers with an even number are genes.
+_MAPS = """WITH ln AS (SELECT l_orderkey AS ok, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn,
+    l_returnflag AS flag, l_partkey AS pk, l_suppkey AS sk FROM lineitem),
+  g AS (SELECT ok, rn, 'PART' || pk AS gene FROM ln WHERE pk % 3 = 0 UNION SELECT ok, rn, 'SUPP' || sk FROM ln WHERE sk % 2 = 0)"""
+
+
+def _map_lines(t: Tables) -> DataFrame:
+    """(ok, nodes): the lines of each order in order, as structs (rn, flag, part, supp)."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return rows.select(F.concat(F.lit("M"), F.col("l_orderkey").cast("string")).alias("doc"), F.transform("lines", lambda x, i: F.struct(
+        (i + 1).cast("string").alias("rn"), x["l_returnflag"].alias("flag"), F.concat(F.lit("PART"), x["l_partkey"].cast("string")).alias("part"),
+        F.concat(F.lit("SUPP"), x["l_suppkey"].cast("string")).alias("supp"))).alias("nodes"))
+
+
+def _map_lookup(t: Tables) -> DataFrame:
+    ids = t.part.where("p_partkey % 3 = 0").select(tag("PART", "p_partkey").alias("key")).union(t.supplier.where("s_suppkey % 2 = 0").select(tag("SUPP", "s_suppkey")))
+    return lookup_table(ids.select("key", F.col("key").alias("symbol"), F.lit("exact").alias("kind"), F.lit(0).alias("prio"), F.lit(0).cast("bigint").alias("pos")))
+
+
+def _xml(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _joined(found: Column) -> Column:
+    return F.array_join(found, "")
+
+
+@query("kgml_pairs", f"""{_MAPS},
+  rel AS (SELECT a.ok, a.gene AS gene_a, b.gene AS gene_b, CASE flag WHEN 'R' THEN 'PPrel' WHEN 'A' THEN 'ECrel' END AS relation
+    FROM ln JOIN g a USING (ok, rn) JOIN g b ON b.ok = ln.ok AND b.rn = ln.rn + 1 WHERE flag <> 'N' AND a.gene <> b.gene),
+  grp AS (SELECT DISTINCT ok, gene FROM g WHERE rn <= 2)
+  SELECT 'M' || ok AS doc, gene_a, gene_b, relation FROM rel
+  UNION SELECT 'M' || a.ok, a.gene, b.gene, 'GPrel' FROM grp a JOIN grp b ON a.ok = b.ok AND a.gene < b.gene""")
+def kgml_pairs(t: Tables) -> DataFrame:
+    entry = F.transform("nodes", lambda n: _xml('<entry id="', n["rn"], '" type="gene" name="x:', n["part"], " x:", n["supp"], '"/>'))
+    group = F.transform(F.slice("nodes", 1, 2), lambda n: _xml('<component id="', n["rn"], '"/>'))
+    wired = F.transform(F.slice("nodes", F.lit(1), F.size("nodes") - 1), lambda n: _xml(
+        '<relation entry1="', n["rn"], '" entry2="', (n["rn"].cast("int") + 1).cast("string"), '" type="',
+        F.when(n["flag"] == "R", "PCrel").when(n["flag"] == "A", "ECrel").otherwise("maplink"), '"/>'))
+    docs = _map_lines(t).select("doc", _xml("<pathway>", _joined(entry), '<entry id="g" type="group" name="undefined">', _joined(group), "</entry>",
+                                            _joined(wired), "</pathway>").alias("xml"))
+    return markup.kgml_pairs(cut(markup.shred(docs, markup.KGML)), _map_lookup(t))
+
+
+@query("gpml_pairs", f"""{_MAPS},
+  n AS (SELECT ok, rn, flag, CASE WHEN pk % 3 = 0 THEN 'PART' || pk WHEN sk % 2 = 0 THEN 'SUPP' || sk END AS gene FROM ln),
+  m AS (SELECT DISTINCT ok, gene FROM n WHERE rn <= 2 AND gene IS NOT NULL),
+  rel AS (SELECT a.ok, a.gene AS gene_a, b.gene AS gene_b, CASE a.flag WHEN 'R' THEN 'ECrel' WHEN 'A' THEN 'GErel' ELSE 'PPrel' END AS relation
+    FROM n a JOIN n b ON a.ok = b.ok AND b.rn = a.rn + 1 WHERE a.gene <> b.gene
+    UNION SELECT a.ok, a.gene, m.gene, 'PPrel' FROM n a JOIN m USING (ok) WHERE a.rn = 3 AND a.gene <> m.gene)
+  SELECT 'M' || ok AS doc, gene_a, gene_b, relation FROM rel
+  UNION SELECT 'M' || a.ok, a.gene, b.gene, 'GPrel' FROM m a JOIN m b ON a.ok = b.ok AND a.gene < b.gene""")
+def gpml_pairs(t: Tables) -> DataFrame:
+    node = F.transform("nodes", lambda n: _xml('<DataNode Type="GeneProduct" GraphId="', n["rn"], '" TextLabel="', n["supp"], '"',
+                                               F.when(n["rn"].isin("1", "2"), ' GroupRef="g"').otherwise(""), '><Xref ID="', n["part"], '"/></DataNode>'))
+    line = lambda a, b, head: _xml('<Interaction><Graphics><Point GraphRef="', a, '"/><Point GraphRef="', b, '" ArrowHead="', head, '"/></Graphics></Interaction>')
+    wired = F.transform(F.slice("nodes", F.lit(1), F.size("nodes") - 1), lambda n: line(
+        n["rn"], (n["rn"].cast("int") + 1).cast("string"), F.when(n["flag"] == "R", "mim-conversion").when(n["flag"] == "A", "TranscriptionTranslation").otherwise("Arrow")))
+    docs = _map_lines(t).select("doc", _xml('<Pathway xmlns="http://pathvisio.org/GPML/2013a">', _joined(node), _joined(wired), line("3", "gg", "Arrow"),
+                                            '<Group GroupId="g" GraphId="gg"/></Pathway>').alias("xml"))
+    return markup.gpml_pairs(cut(markup.shred(docs, markup.GPML)), _map_lookup(t))

@@ -27,7 +27,7 @@ def test_kgml_drawing(spark, lookup):
       <relation entry1="1" entry2="4" type="maplink"/><relation entry1="1" entry2="5" type="PPrel"/>
       <reaction id="3" type="reversible"><substrate id="2"/><product id="1"/></reaction></pathway>"""
     docs = spark.createDataFrame([("hsa1", xml), ("lines", '<pathway><entry id="1" type="gene" name="x"><graphics type="line"/></entry></pathway>')], "doc string, xml string")
-    out = drawings.kgml_drawing(markup.shred(docs), lookup).collect()
+    out = drawings.kgml_drawing(markup.shred(docs, markup.KGML), lookup).collect()
     assert [r["doc"] for r in out] == ["hsa1"]
     node = {n["id"]: n for n in out[0]["nodes"]}
     assert set(node) == {"k1", "k2", "k3", "k4", "k6"}
@@ -38,7 +38,7 @@ def test_kgml_drawing(spark, lookup):
     assert edges == [("e0", "k1", "k3", "tee", "none", "solid", "+p", "relation"), ("e1", "k1", "k2", "none", "none", "solid", "", "relation"),
                      ("e2", "k2", "k3", "triangle", "none", "solid", "", "relation"), ("e3", "k1", "k4", "none", "none", "dashed", "", "maplink"),
                      ("e4", "k2", "k3", "none", "triangle", "solid", "", "reaction"), ("e5", "k3", "k1", "triangle", "none", "solid", "", "reaction")]
-    table = drawings.drawing_table(drawings.kgml_drawing(markup.shred(docs), lookup), "KEGG").first()
+    table = drawings.drawing_table(drawings.kgml_drawing(markup.shred(docs, markup.KGML), lookup), "KEGG").first()
     assert json.loads(table["data"])["name"] == "T"
 
 
@@ -51,7 +51,7 @@ def test_gpml_drawing(spark, lookup):
         <Anchor GraphId="an" Position="0.25"/></Graphics></Interaction>
       <Interaction><Graphics><Point X="1" Y="2"/><Point X="30" Y="10" GraphRef="an" ArrowHead="Arrow"/></Graphics></Interaction>
       <Group GroupId="g" GraphId="gg"/><Group GroupId="h" GraphId="hh"/></Pathway>"""
-    row = drawings.gpml_drawing(markup.shred(spark.createDataFrame([("WP7", xml)], "doc string, xml string")), lookup).first()
+    row = drawings.gpml_drawing(markup.shred(spark.createDataFrame([("WP7", xml)], "doc string, xml string"), markup.GPML), lookup).first()
     node = {n["id"]: n for n in row["nodes"]}
     assert row["width"] == 300 and "hh" not in node and node["gg"]["kind"] == "group"
     assert node["a"]["genes"] == ["TP53"] and node["a"]["parent"] == "gg" and node["m"]["kind"] == "compound"
@@ -132,3 +132,20 @@ def test_closure_of_deep_and_crossed_graphs(spark):
             want |= {(child, a): depth for a in front}
     got = graph.ancestors(spark.createDataFrame(sorted(edges), "child string, parent string")).collect()
     assert {(r["child"], r["ancestor"]): r["depth"] for r in got} == want and len(got) == len(want)
+
+
+def test_markup_without_python(spark, tmp_path):
+    kgml = ('<?xml version="1.0"?><!DOCTYPE pathway SYSTEM "k.dtd"><pathway name="p"><entry id="1"/><entry id="6"><component id="1"/><component id="2"/></entry>'
+            '<relation entry1="1"><subtype name="s"/></relation></pathway>')
+    docs = spark.createDataFrame([("a", kgml), ("b", "<pathway><entry>"), ("c", ""), ("d", None), ("e", "<pathway/>")], "doc string, xml string")
+    rows = markup.shred(docs, markup.KGML)
+    assert "Python" not in rows._jdf.queryExecution().toString() and "InPandas" not in rows._jdf.queryExecution().toString()
+    got = rows.orderBy("doc", "nid").collect()
+    assert [(r["doc"], r["tag"], r["attrs"]) for r in got] == [
+        ("a", "pathway", {"name": "p"}), ("a", "entry", {"id": "1"}), ("a", "entry", {"id": "6"}), ("a", "component", {"id": "1"}),
+        ("a", "component", {"id": "2"}), ("a", "relation", {"entry1": "1"}), ("a", "subtype", {"name": "s"}), ("e", "pathway", {})]
+    number = {r["nid"]: r for r in got if r["doc"] == "a"}
+    assert [r["parent"] in number or r["parent"] == -1 for r in got] == [True] * 8 and got[3]["parent"] == got[4]["parent"] == got[2]["nid"]
+    (tmp_path / "Hs_x_WP9_1.gpml").write_text('<Pathway xmlns="http://pathvisio.org/GPML/2013a"><Comment Source="s"> t </Comment></Pathway>')
+    files = markup.shred(markup.gpml_files(spark, str(tmp_path)), markup.GPML).orderBy("nid").collect()
+    assert [(r["doc"], r["tag"], r["text"]) for r in files] == [("WP9", "Pathway", ""), ("WP9", "Comment", "t")]

@@ -154,7 +154,7 @@ def test_kegg_and_wikipathways(spark, land, lookup):
     assert w.pathway.first()["name"] == "P53 Signaling Pathway" and {r["gene"] for r in w.gene.collect()} == {"TP53", "MDM2", "EGFR"}
     assert {(r["gene_a"], r["gene_b"], r["relation"]) for r in w.pair.collect()} == {
         ("EGFR", "MDM2", "GPrel"), ("TP53", "MDM2", "ECrel"), ("TP53", "EGFR", "ECrel")}
-    text = M.gpml_descriptions(M.shred(M.gpml_archive(spark, land["gpml"]))).collect()
+    text = M.gpml_descriptions(M.shred(M.gpml_archive(spark, land["gpml"]), M.GPML)).collect()
     assert [(r["source_set_id"], r["description"]) for r in text] == [("WP1", "about p53")]
 
 
@@ -295,6 +295,7 @@ def test_release_and_requests(spark, built):
     detail = lib.set_detail(merged["set_id"])
     assert detail["members"].count() == 2 and detail["genes"].count() == 6
     assert detail["msigdb_equivalents"].count() <= 1 and lib.gene_detail("tp53")["string_partners"].count() <= 1
+    assert {r["source"]: r["description"] for r in detail["members"].collect()} == {"KEGG": "", "WikiPathways": "about p53"}
     shown = lib.drawings(merged["set_id"]).collect()
     assert [(r["source"], r["id"], r["focus"]) for r in shown] == [("KEGG", "hsa01", ""), ("WikiPathways", "WP1", "")]
     assert {(r["source_set_id"], r["diagram_id"]) for r in lib.table("diagram_of").collect()} == {("R-1", "R-0"), ("R-2", "R-0")}
