@@ -46,11 +46,14 @@ class Landed:
     reactome_text: str | None = None
     kegg_maps: str | None = None
     reactome_layouts: str | None = None
+    gene_info_split: str | None = None
 
 
 def alias_layers(spark: SparkSession, org: Row, f: Landed) -> tuple[DataFrame, DataFrame]:
     """(lookup, symbol -> gene_id): base gene list, HGNC for human, UniProt accessions."""
-    if f.gene_info:
+    if f.gene_info_split:
+        rows, ids = D.gene_info(spark, f.gene_info_split, org.taxid, split=True)
+    elif f.gene_info:
         rows, ids = D.gene_info(spark, f.gene_info, org.taxid if org.shared else None)
     else:
         rows, ids = D.kegg_gene_list(spark, f.kegg_genes)
@@ -85,6 +88,8 @@ def extract(spark: SparkSession, org: Row, f: Landed, lookup: DataFrame, public:
 def _feed_rows(spark: SparkSession, org: Row, label: str, kind: str, path: str) -> DataFrame:
     if kind == "biogrid":
         return D.biogrid(spark, path, org.taxid, org.name, feed=label)
+    if kind == "mitab_split":  # a folder of split_by_taxon
+        return D.mitab(D.of_taxa(spark, path, "taxid", org.taxid), org.taxid, feed=label)
     if kind == "mitab":
         text = D.zip_lines(spark, path) if path.endswith(".zip") else D.lines(spark, path)
         return D.mitab(text, org.taxid, feed=label)

@@ -349,3 +349,14 @@ def gpml_pairs(t: Tables) -> DataFrame:
     docs = _map_lines(t).select("doc", _xml('<Pathway xmlns="http://pathvisio.org/GPML/2013a">', _joined(node), _joined(wired), line("3", "gg", "Arrow"),
                                             '<Group GroupId="g" GraphId="gg"/></Pathway>').alias("xml"))
     return markup.gpml_pairs(cut(markup.shred(docs, markup.GPML)), _map_lookup(t))
+
+
+@query("read_split_genes", """SELECT n_name AS organism, 'C' || c_custkey AS symbol, c_custkey::VARCHAR AS gene_id FROM customer JOIN nation ON c_nationkey = n_nationkey
+  WHERE n_regionkey = 1""")
+def read_split_genes(t: Tables) -> DataFrame:
+    """A shared gene file, split by taxon once; the genes of some organisms are read from their own folders."""
+    rows = t.customer.select(tag("9", "c_nationkey").alias("#tax_id"), c("c_custkey").alias("GeneID"), tag("C", "c_custkey").alias("Symbol"))
+    folder = _path(t)
+    D.split_gene_info(t.spark, table_of(t, rows), folder)
+    wanted = t.nation.where("n_regionkey = 1").select(tag("9", "n_nationkey").alias("tax_id"), F.col("n_name").alias("organism"))
+    return D.of_taxa(t.spark, folder, "tax_id", wanted).select("organism", F.col("Symbol").alias("symbol"), F.col("GeneID").alias("gene_id"))

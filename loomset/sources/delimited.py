@@ -13,6 +13,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import CURATION
 
@@ -69,11 +70,16 @@ BARE_XREFS = ("Ensembl", "FLYBASE", "WormBase", "TAIR", "ZFIN")
 DOUBLE_XREFS = ("MGI", "HGNC", "RGD", "SGD")
 
 
-def gene_info(spark: SparkSession, path: str, taxid: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(alias rows, symbol -> gene_id) from a gene_info table, optionally one taxon of a shared file."""
+def _gene_rows(spark: SparkSession, path: str) -> DataFrame:
     raw = tsv(spark, path)
-    raw = raw.withColumnRenamed(raw.columns[0], raw.columns[0].lstrip("#")).withColumn("pos", F.monotonically_increasing_id())
-    if taxid:
+    return raw.withColumnRenamed(raw.columns[0], "tax_id").withColumn("pos", F.monotonically_increasing_id())
+
+
+def gene_info(spark: SparkSession, path: str, taxid: str | None = None, split: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(alias rows, symbol -> gene_id) from a gene_info table, optionally one taxon of a shared file or of a folder that
+    ``split_gene_info`` wrote, of which only that taxon's files are read."""
+    raw = of_taxa(spark, path, "tax_id", taxid) if split else _gene_rows(spark, path)
+    if taxid and not split:
         raw = raw.where(F.col("tax_id") == taxid)
     g = raw.withColumn("symbol", F.col("Symbol"))
     real = lambda c: F.coalesce(F.col(c), F.lit("-")).isin("-", "") == F.lit(False)
@@ -290,18 +296,32 @@ def mitab(df: DataFrame, taxid: str = "9606", split_source: bool = True, feed: s
     return _feed(kept, feed, F.col("a"), F.col("b"), F.col("pmid"), F.col("method"), source=source)
 
 
+def _write_split(rows: DataFrame, key: str, folder: str) -> None:
+    """One folder a key. Rows are dealt by ranges of (key, pos): a large key is written by many tasks, and a small one has
+    one file however many tasks read the source."""
+    rows.repartitionByRange(key, "pos").sortWithinPartitions(key, "pos").write.mode("overwrite").partitionBy(key).parquet(folder)
+
+
 def split_by_taxon(df: DataFrame, folder: str) -> None:
-    """Same-species MITAB lines written once, one folder per taxon, for pruned reads later."""
+    """Same-species MITAB lines (line, pos) written once, one folder per taxon, for pruned reads later."""
     f = F.split("line", "\t", -1)
     taxon = lambda i: F.regexp_extract(F.coalesce(F.get(f, F.lit(i)), F.lit("")), MITAB_TAXON, 1)
-    rows = df.where(~F.col("line").startswith("#")).select("line", taxon(9).alias("taxid"), taxon(10).alias("_b"))
-    rows.where("taxid <> '' AND taxid = _b").select("line", "taxid").write.mode("overwrite").partitionBy("taxid").parquet(folder)
+    rows = df.where(~F.col("line").startswith("#")).select("line", "pos", taxon(9).alias("taxid"), taxon(10).alias("_b"))
+    _write_split(rows.where("taxid <> '' AND taxid = _b").drop("_b"), "taxid", folder)
 
 
 def split_gene_info(spark: SparkSession, path: str, folder: str) -> None:
-    """A shared gene_info file written once, partitioned by taxon."""
-    raw = tsv(spark, path)
-    raw.withColumnRenamed(raw.columns[0], "tax_id").write.mode("overwrite").partitionBy("tax_id").parquet(folder)
+    """A shared gene_info file written once, one folder per taxon, with the place of each row in the file."""
+    _write_split(_gene_rows(spark, path).where("tax_id <> ''"), "tax_id", folder)
+
+
+def of_taxa(spark: SparkSession, folder: str, key: str, taxa: str | DataFrame) -> DataFrame:
+    """Rows of a split folder for one taxon, or for all of a table with the column ``key``; only their folders are read
+    (for a table Spark prunes at run time, once it knows the table's rows). A table's further columns are kept."""
+    layout = spark.read.parquet(folder).schema
+    fields_ = [T.StructField(f.name, T.StringType() if f.name == key else f.dataType) for f in layout.fields]
+    rows = spark.read.schema(T.StructType(fields_)).parquet(folder)
+    return rows.where(F.col(key) == taxa) if isinstance(taxa, str) else rows.join(taxa, key)
 
 
 def pair_table(spark: SparkSession, path: str, feed: str) -> DataFrame:

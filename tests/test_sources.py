@@ -140,8 +140,25 @@ def test_shared_gene_list_and_rest_layer(spark, land, tmp_path):
     path = put(tmp_path / "kegg_genes.tsv", tab(("eco:b1", "CDS", "1", "thrL, alt1; leader"), ("eco:b2", "CDS", "2", "hypothetical protein")))
     rows = {(r["key"], r["symbol"], r["kind"]) for r in D.kegg_gene_list(spark, path)[0].collect()}
     assert rows == {("THRL", "thrL", "exact"), ("B1", "thrL", "exact"), ("ALT1", "thrL", "alias"), ("B2", "b2", "exact")}
-    D.split_gene_info(spark, land["gene_info"], str(tmp_path / "split"))
-    assert spark.read.parquet(str(tmp_path / "split")).where("tax_id = '10090'").count() == 1
+
+
+def test_split_files_are_read_by_taxon(spark, land, tmp_path):
+    genes, mitab = str(tmp_path / "genes"), str(tmp_path / "mitab")
+    D.split_gene_info(spark, land["gene_info"], genes)
+    for taxid in ("9606", "10090", "1"):
+        whole, part = D.gene_info(spark, land["gene_info"], taxid), D.gene_info(spark, genes, taxid, split=True)
+        for a, b in zip(whole, part, strict=True):
+            assert sorted(map(str, a.drop("pos").collect())) == sorted(map(str, b.drop("pos").collect()))
+    one = D.of_taxa(spark, genes, "tax_id", "10090")
+    assert len({r[0] for r in one.select(F.input_file_name()).collect()}) == 1
+    assert "PartitionFilters: [isnotnull(tax_id" in one._jdf.queryExecution().toString()
+    wanted = spark.createDataFrame([("10090", "mouse"), ("7", "none")], "tax_id string, organism string").where("organism <> 'none'")
+    many = D.of_taxa(spark, genes, "tax_id", wanted)
+    assert [(r["Symbol"], r["organism"]) for r in many.collect()] == [("Trp53", "mouse")] and "dynamicpruning" in many._jdf.queryExecution().toString()
+    text = D.lines(spark, land["mitab"])
+    D.split_by_taxon(text, mitab)
+    same = lambda df: sorted(map(str, df.collect()))
+    assert same(D.mitab(D.of_taxa(spark, mitab, "taxid", "9606"))) == same(D.mitab(text)) != []
 
 
 def test_kegg_and_wikipathways(spark, land, lookup):
