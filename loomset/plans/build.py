@@ -203,7 +203,7 @@ def drawn(spark: SparkSession, f: Landed, lookup: DataFrame, member: DataFrame)
                                            ("WikiPathways", f.wikipathways_gpml, markup.gpml_files, markup.GPML, drawings.gpml_drawing)):
         if path:
             docs = read(spark, path).join(ids(source).withColumnRenamed("source_set_id", "doc"), "doc", "left_semi")
-            made.append(drawings.drawing_table(draw(cut(markup.shred(docs, form)), lookup), source))
+            made.append(drawings.drawing_table(draw(markup.shred(docs, form), lookup), source))
     if f.reactome and f.reactome_layouts:
         docs = cut(layouts.layout_files(spark, f.reactome_layouts))
         edges = D.fields(D.lines(spark, f"{f.reactome}/ReactomePathwaysRelation.txt"), "parent", "child")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators.catalogue import by_lower_name
 from ..operators.identifiers import lookup_table
-from ..session import checkpoint_folder, cut
+from ..session import checkpoint_folder
 from ..sources import delimited as D
 from ..sources import layouts, markup
 from .projections import Tables
@@ -329,7 +329,7 @@ def kgml_pairs(t: Tables) -> DataFrame:
         F.when(n["flag"] == "R", "PCrel").when(n["flag"] == "A", "ECrel").otherwise("maplink"), '"/>'))
     docs = _map_lines(t).select("doc", _xml("<pathway>", _joined(entry), '<entry id="g" type="group" name="undefined">', _joined(group), "</entry>",
                                             _joined(wired), "</pathway>").alias("xml"))
-    return markup.kgml_pairs(cut(markup.shred(docs, markup.KGML)), _map_lookup(t))
+    return markup.kgml_pairs(markup.shred(docs, markup.KGML), _map_lookup(t))
 
 
 @query("gpml_pairs", f"""{_MAPS},
@@ -348,7 +348,7 @@ def gpml_pairs(t: Tables) -> DataFrame:
         n["rn"], (n["rn"].cast("int") + 1).cast("string"), F.when(n["flag"] == "R", "mim-conversion").when(n["flag"] == "A", "TranscriptionTranslation").otherwise("Arrow")))
     docs = _map_lines(t).select("doc", _xml('<Pathway xmlns="http://pathvisio.org/GPML/2013a">', _joined(node), _joined(wired), line("3", "gg", "Arrow"),
                                             '<Group GroupId="g" GraphId="gg"/></Pathway>').alias("xml"))
-    return markup.gpml_pairs(cut(markup.shred(docs, markup.GPML)), _map_lookup(t))
+    return markup.gpml_pairs(markup.shred(docs, markup.GPML), _map_lookup(t))
 
 
 @query("read_split_genes", """SELECT n_name AS organism, 'C' || c_custkey AS symbol, c_custkey::VARCHAR AS gene_id FROM customer JOIN nation ON c_nationkey = n_nationkey

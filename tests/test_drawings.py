@@ -138,7 +138,7 @@ def test_markup_without_python(spark, tmp_path):
     kgml = ('<?xml version="1.0"?><!DOCTYPE pathway SYSTEM "k.dtd"><pathway name="p"><entry id="1"/><entry id="6"><component id="1"/><component id="2"/></entry>'
             '<relation entry1="1"><subtype name="s"/></relation></pathway>')
     docs = spark.createDataFrame([("a", kgml), ("b", "<pathway><entry>"), ("c", ""), ("d", None), ("e", "<pathway/>")], "doc string, xml string")
-    rows = markup.shred(docs, markup.KGML)
+    rows = markup.elements(docs, markup.KGML)
     assert "Python" not in rows._jdf.queryExecution().toString() and "InPandas" not in rows._jdf.queryExecution().toString()
     got = rows.orderBy("doc", "nid").collect()
     assert [(r["doc"], r["tag"], r["attrs"]) for r in got] == [
