@@ -208,7 +208,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_RING = sharding.SHARDS * max(16, 1024 // sharding.SHARDS)
+_RING = sharding.SHARDS * sharding.REPLICAS
 _CUT = "9223372036854775807"
 
 

@@ -9,7 +9,9 @@ from .base import Scratch, fresh, only
 
 SHARDS = 8
 CELLS = 1 << 14
-MOST_SHARDS = 128
+# Virtual nodes of each shard: the same for every number of shards, or a further shard would move the others' nodes.
+REPLICAS = 128
+MOST_SHARDS = 64
 
 
 def _point(name: Column) -> Column:
@@ -17,7 +19,7 @@ def _point(name: Column) -> Column:
     return F.shiftright(F.conv(F.substring(name, 1, 4), 16, 10).cast("int"), 2)
 
 
-def ring(spark: SparkSession, shards: int = SHARDS, replicas: int | None = None, seed: str = "ring") -> DataFrame:
+def ring(spark: SparkSession, shards: int = SHARDS, replicas: int = REPLICAS, seed: str = "ring") -> DataFrame:
     """(cell, walk): for each of the ``CELLS`` cells the shards in the order a clockwise walk from there meets them.
 
     Every shard stands on the ring at ``replicas`` virtual nodes, placed by MD5. The table has ``CELLS`` rows of
@@ -25,7 +27,6 @@ def ring(spark: SparkSession, shards: int = SHARDS, replicas: int | None = None,
     """
     if not 1 <= shards <= MOST_SHARDS:
         raise ValueError(f"1 to {MOST_SHARDS} shards; for more, shard each shard again")
-    replicas = replicas or max(16, 1024 // shards)
     name = F.md5(F.concat(F.lit(f"{seed}:"), F.floor(F.col("id") / replicas).cast("string"), F.lit(":"),
                           (F.col("id") % replicas).cast("string")))
     nodes = spark.range(shards * replicas).select(F.struct(_point(name).alias("cell"), name.alias("name"),
@@ -85,7 +86,7 @@ def _caps(total: int, shards: int, slack: float) -> list[int]:
 
 
 def ring_shards(rows: DataFrame, key: str = "doc_id", weight: Column | None = None, shards: int = SHARDS, slack: float = 0.0,
-                replicas: int | None = None) -> tuple[DataFrame, dict[str, str]]:
+                replicas: int = REPLICAS) -> tuple[DataFrame, dict[str, str]]:
     """All columns of ``rows`` and ``shard``, ``slot`` (gapless from 0 in each shard) and ``home`` (the owner of the
     key's place on the ring, before loads count), under free names given beside.
 
