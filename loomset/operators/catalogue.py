@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +19,37 @@ def by_lower_name(gset: DataFrame) -> DataFrame:
     return gset.groupBy(F.lower("name").alias("low")).agg(F.count(F.lit(1)).alias("n"), F.min("set_id").alias("first_id"))
 
 
+GRAM = 3
+
+
+def name_grams(gset: DataFrame, set_member: DataFrame) -> DataFrame:
+    """(gram, set_id): the postings of every three characters of a set's own name and of its members' names."""
+    names = gset.select("set_id", "name").union(set_member.select("set_id", "name")).select("set_id", F.lower("name").alias("low")).distinct()
+    each = F.transform(F.sequence(F.lit(1), F.length("low") - (GRAM - 1)), lambda i: F.substring("low", i, F.lit(GRAM)))
+    return names.where(F.length("low") >= GRAM).select(F.explode(F.array_distinct(each)).alias("gram"), "set_id").distinct()
+
+
+def _grams_of(term: str) -> list[str]:
+    """What a name that is like the term must hold; wildcards stand for anything."""
+    pieces = re.split(r"[%_\\\\]", term.lower())
+    return sorted({p[i:i + GRAM] for p in pieces for i in range(len(p) - GRAM + 1)})
+
+
 def search(gset: DataFrame, set_member: DataFrame, set_gene: DataFrame, aliases: DataFrame, term: str,
-           limit: int | None = None) -> DataFrame:
+           limit: int | None = None, grams: DataFrame | None = None) -> DataFrame:
     """Sets by name, id or member name (best first), then sets that hold the gene the term resolves to.
 
-    A blank term finds nothing. All finds are returned unless the caller sets a limit.
+    A blank term finds nothing. All finds are returned unless the caller sets a limit. With ``grams`` (``name_grams``)
+    only the postings of the term's grams and the names of sets that stand in all of them are read; a term without
+    three characters in a row is compared with all names.
     """
     term = term.strip()
     like = f"%{term}%"
+    wanted, every_gene_set = _grams_of(term), gset
+    if grams is not None and wanted:
+        held = grams.where(F.col("gram").isin(wanted)).groupBy("set_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted)).select("set_id")
+        set_member = set_member.join(held, "set_id", "left_semi")
+        gset = gset.join(held.union(gset.where(F.col("set_id").cast("string") == term).select("set_id")), "set_id", "left_semi")
     by_member = set_member.where(F.col("name").ilike(like)).select("set_id").distinct().withColumn("_m", F.lit(True))
     col = F.col("collection")
     order = [F.when(F.lower("name") == term.lower(), 0).otherwise(1).alias("o1"),
@@ -36,7 +61,7 @@ def search(gset: DataFrame, set_member: DataFrame, set_gene: DataFrame, aliases:
         .select(*cols, F.lit(0).alias("o0"), *order)
     gene = aliases.where(F.upper("alias") == term.upper()).select(F.col("symbol").alias("gene"))
     held = set_gene.join(gene, "gene", "left_semi").select("set_id").distinct()
-    by_gene = gset.join(held, "set_id", "left_semi").join(named.select("set_id"), "set_id", "left_anti") \
+    by_gene = every_gene_set.join(held, "set_id", "left_semi").join(named.select("set_id"), "set_id", "left_anti") \
         .select(*cols, F.lit(1).alias("o0"), F.lit(0).alias("o1"), F.lit(0).alias("o2"), F.lit(0).alias("o3"))
     found = named.union(by_gene).where(F.lit(term != "")).orderBy("o0", "o1", "o2", "o3", "set_id")
     return (found if limit is None else found.limit(limit)).select(cols)

@@ -174,7 +174,7 @@ def build(spark: SparkSession, org: Row, f: Landed, *, mode: str = "guarded", pu
                                        ("tier", "open" if public else "full"), ("merge_method", mode)], ["key", "value"]),
         "gene": genes.select(F.col("gene").alias("symbol")).join(gene_ids, "symbol", "left"),
         "alias": alias_table(lookup, genes), "gset": gset, "set_member": set_member, "set_gene": set_gene,
-        "set_pair": set_pair, "match_log": merged.matches, "stats": stats})
+        "set_pair": set_pair, "match_log": merged.matches, "stats": stats, "name_gram": catalogue.name_grams(gset, set_member)})
     if links is not None:
         tables["set_link"] = links
     if topology:

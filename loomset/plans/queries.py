@@ -537,12 +537,22 @@ def collection_histogram(t: Tables) -> DataFrame:
   g AS (SELECT set_id, name, collection, 0, 0, 0, 1 FROM gs WHERE set_id IN (SELECT set_id FROM sg WHERE gene = 7) AND set_id NOT IN (SELECT set_id FROM m))
   SELECT set_id, name, collection FROM (SELECT * FROM m UNION ALL SELECT * FROM g) ORDER BY o0, o1, o2, o3, set_id LIMIT 50""")
 def set_search(t: Tables) -> DataFrame:
+    return _searched(t, " p7 ").select("set_id", "name", "collection")
+
+
+@query("set_search_by_grams", f"""WITH {SUPPLIER_SET} SELECT set_id, name, collection FROM gs
+    WHERE name ILIKE '%TION_1%' OR set_id IN (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name ILIKE '%TION_1%')""")
+def set_search_by_grams(t: Tables) -> DataFrame:
+    return _searched(t, "tION_1", grams=True).select("set_id", "name", "collection")
+
+
+def _searched(t: Tables, term: str, grams: bool = False) -> DataFrame:
     place = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
     member = place.select(F.col("s_suppkey").alias("set_id"), F.col("n_name").alias("name"))
     gene = P.supplier_gene(t).withColumn("gene", P.part_gene("gene"))
     sets = P.supplier_set(t).withColumn("sources", F.array()).withColumn("n_genes", F.lit(0))
     aliases = t.part.select(P.part_gene("p_partkey").alias("alias"), P.part_gene("p_partkey").alias("symbol"))
-    return catalogue.search(sets, member, gene, aliases, " p7 ").select("set_id", "name", "collection")
+    return catalogue.search(sets, member, gene, aliases, term, grams=catalogue.name_grams(sets, member) if grams else None)
 
 
 @query("gene_detail", f"WITH {SUPPLIER_GENE}, {SUPPLIER_SET} SELECT gene, set_id, name, collection, ns AS n_sources FROM sg JOIN gs USING (set_id) "

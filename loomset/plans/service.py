@@ -87,7 +87,8 @@ class Library:
         return catalogue.collections(self.table("gset")).orderBy("collection")
 
     def search(self, term: str, limit: int | None = None) -> DataFrame:
-        return catalogue.search(self.table("gset"), self.table("set_member"), self.table("set_gene"), self.aliases, term, limit)
+        return catalogue.search(self.table("gset"), self.table("set_member"), self.table("set_gene"), self.aliases, term, limit,
+                                self.table("name_gram"))
 
     def set_detail(self, set_id: str) -> dict[str, DataFrame]:
         return catalogue.set_detail(set_id, self.table("gset"), self.table("set_member"), self.table("set_gene"),

@@ -65,6 +65,7 @@ RELEASE = {
     "match_log": _struct(source_a=_S, name_a=_S, source_b=_S, name_b=_S, score=T.IntegerType(),
                          ratio=T.DoubleType(), overlap=T.DoubleType(), decision=_S, reason=_S),
     "stats": _struct(metric=_S, key=_S, value=T.DoubleType()),
+    "name_gram": _struct(gram=_S, set_id=_S),
     "diagram": _struct(source=_S, source_set_id=_S, name=_S, data=_S),
     "diagram_of": _struct(source=_S, source_set_id=_S, diagram_id=_S),
 }

@@ -12,7 +12,7 @@ from . import delimited as D
 
 # tables written so that a lookup by this column prunes row groups
 _SORT = {"set_gene": ["set_id"], "set_pair": ["set_id"], "set_member": ["set_id"], "set_link": ["set_a"],
-         "ppi": ["gene_a"], "string_ppi": ["gene_a"], "alias": ["alias"], "msigdb_equivalent": ["set_id"], "diagram": ["source_set_id"],
+         "ppi": ["gene_a"], "string_ppi": ["gene_a"], "alias": ["alias"], "msigdb_equivalent": ["set_id"], "diagram": ["source_set_id"], "name_gram": ["gram"],
          "diagram_of": ["source_set_id"]}
 
 
