@@ -24,6 +24,7 @@ SKETCH_BITS, SKETCH_CHUNKS = 22, 64
 FLUSH = 1_000_000
 PARTNERS = 256
 BLOOM_BITS = 1 << 26
+MOST_SIGN_WORDS = 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -369,13 +370,15 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of classes that share a prefix element, may be linked and lie in different components; sorted by token.
 
-    ``shared`` is how many prefix elements of a class are met by classes of other components.
+    ``shared`` is how many prefix elements of a class are met by classes of other components; ``sign`` the signature of a
+    class, null where it must not decide. Pairs that these rule out are never rows.
     """
     names = ("token", "name", "size", "pos", "component", "shared")
     carry: pa.Table | None = None
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         token, name, size, pos, comp, shared = (t.column(c).to_numpy() for c in names)
+        sign = t.column("sign")
         edges = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]]) if len(token) else np.array([0])
         seen: list[np.ndarray] = []
         count = 0
@@ -386,14 +389,18 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(size[a:b], kind="stable") + a
             n, p, c, w = size[order].astype(np.int64), pos[order].astype(np.int64), comp[order], name[order]
             m, behind = shared[order], n - prefix_length(n)
+            signs = _Signs(n, sign.take(pa.array(order)).to_pylist())
             last = np.searchsorted(n, n * 4 // 3, "right")
             for i in range(len(order) - 1):
                 j = slice(i + 1, last[i])
                 # What both must share in their prefixes, as no more than the rest of one of them can lie behind.
                 need = -(-3 * (n[i] + n[j]) // 7) - np.maximum(behind[i], behind[j])
                 ok = (c[j] != c[i]) & _close(n[i], p[i], n[j], p[j]) & (np.minimum(m[i], m[j]) >= need)
-                if ok.any():
-                    other = w[j][ok]
+                ok = np.flatnonzero(ok) + i + 1
+                if len(ok):
+                    ok = ok[signs.may_link(i, ok)]
+                if len(ok):
+                    other = w[ok]
                     seen.append(np.stack([np.minimum(other, w[i]), np.maximum(other, w[i])], 1))
                     count += len(other)
                     if count > FLUSH:
@@ -437,6 +444,58 @@ def _bloom_part(size: int):
     return run
 
 
+def sign_words(n: int) -> int:
+    """64-bit words of the signature of a set of this size: about two bits an element, at most 2,048 bits."""
+    return min(MOST_SIGN_WORDS, 1 << max(0, (max(1, n) - 1).bit_length() - 5))
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the number of elements that fall on each bit.
+
+    Every differing bit needs an element that only one of two sets has, so sets of sizes n and m with d differing bits
+    share at most (n + m - d) / 2 elements.
+    """
+    width = 64 * sign_words(len(shingles))
+    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % width, minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def _folded(signs: np.ndarray) -> np.ndarray:
+    """Signatures at half their width: the parity of both halves together."""
+    half = signs.shape[1] // 2
+    return signs[:, :half] ^ signs[:, half:]
+
+
+class _Signs:
+    """Signatures of entries sorted by size; compares one entry with later ones that are at most a third larger."""
+
+    def __init__(self, sizes: np.ndarray, signs: list[bytes | None]):
+        self.sizes = sizes
+        self.width = np.array([sign_words(int(n)) for n in sizes])
+        self.known = np.array([x is not None for x in signs])
+        self.own, self.half, self.first = {}, {}, {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            m = np.frombuffer(b"".join(signs[i] if self.known[i] else bytes(8 * w) for i in at), np.uint64).reshape(len(at), w)
+            self.own[w], self.first[w] = m, int(at[0])
+            if w > 1:
+                self.half[w] = _folded(m)
+
+    def may_link(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Whether the bound on shared elements allows links of entry i with the (later) others."""
+        out = np.ones(len(others), bool)
+        if not self.known[i]:
+            return out
+        w = int(self.width[i])
+        mine = self.own[w][i - self.first[w]]
+        for wide, table in ((w, self.own.get(w)), (2 * w, self.half.get(2 * w))):
+            at = np.flatnonzero(self.width[others] == wide)
+            if table is not None and len(at):
+                differ = np.bitwise_count(table[others[at] - self.first[wide]] ^ mine).sum(1, dtype=np.int64)
+                out[at] = 7 * differ <= self.sizes[i] + self.sizes[others[at]]
+        return out | ~self.known[others]
+
+
 def _wanted_sets(bloom):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, fresh = np.unpackbits(bloom.value).view(bool), _Fresh()
@@ -448,10 +507,10 @@ def _wanted_sets(bloom):
                 d = digest(s)
                 one, two = _bits(np.array([_short(d)], np.int64), len(bits))
                 if (bits[one] & bits[two])[0] and fresh(d):
-                    out.append((_short(d), d, s.tobytes()))
+                    out.append((_short(d), d, s.tobytes(), signature(s).tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()),
-                                                  pa.array([o[2] for o in out], pa.binary())], ["name", "digest", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), *[pa.binary()] * 3))],
+                                                 ["name", "digest", "elements", "sign"])
     return run
 
 
@@ -557,7 +616,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     3. Each set sends the prefix that a linked set must share. Classes that meet in an element are paired with a centre
        each, not with each other, and the pairs are verified in prefix trees.
     4. Classes that share an element but are still in different components are paired and verified as well, if their
-       positions and the number of prefix elements that others share allow a link. So every link between different
+       positions, the number of prefix elements that others share and their signatures allow a link. So every link between different
        components that could exist has been looked at: components are exact.
 
     Documents without words have an empty set, n_shingles 0 and themselves as component. component_id is the smallest
@@ -579,9 +638,10 @@ def near_components(docs: DataFrame) -> DataFrame:
     for p in parts:
         bloom |= _expand(bytes(p["bits"]), "<u1")
     bloom = spark.sparkContext.broadcast(bloom)
-    stored = "name bigint, digest binary, elements binary"
+    stored = "name bigint, digest binary, elements binary, sign binary"
     fetched = text.select("text").mapInArrow(_wanted_sets(bloom), stored).repartition(n, "name").mapInArrow(_once, stored)
     sets = scratch.cut(fetched, compression="none")
+    bloom.destroy()
     chunks = sets.select("elements").mapInArrow(_counts, "chunk int, counts binary").repartition(SKETCH_CHUNKS, "chunk").mapInArrow(
         _add_chunks, "chunk int, counts binary").collect()  # a table of fixed size, whatever the input
     levels = spark.sparkContext.broadcast(_levels([(r["chunk"], bytes(r["counts"])) for r in chunks]))
@@ -608,13 +668,16 @@ def near_components(docs: DataFrame) -> DataFrame:
     mixed = scratch.cut(met.select("token", "name", "size", "pos").join(label, "name"))
     between = mixed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     mixed = scratch.cut(mixed.join(between, "token", "left_semi"))
-    mixed = mixed.join(mixed.groupBy("name").agg(F.count(F.lit(1)).alias("shared")), "name")
+    # A signature stands for its name only where no other set has that name.
+    signs = sets.groupBy("name").agg(F.when(F.count(F.lit(1)) == 1, F.min("sign")).alias("sign"))
+    mixed = mixed.join(mixed.groupBy("name").agg(F.count(F.lit(1)).alias("shared")).join(signs, "name"), "name")
     pairs = mixed.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_across, "a bigint, b bigint").distinct()
     pairs = scratch.cut(pairs.join(stars, ["a", "b"], "left_anti"))
     scratch.drop(met)
     if not pairs.isEmpty():
         links = scratch.cut(links.unionByName(by_class(_links(pairs, sets, levels))))
         found = scratch.cut(connected_components(links, "u", "v"))
+    levels.destroy()
     scratch.drop(sets)
     member = classes.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     low = member.groupBy("component").agg(F.min("low").alias("component_id"))
