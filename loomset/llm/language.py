@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import only
+from .base import Scratch, only
 
 SYMBOLS = 64
 VOCABULARY = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
 CHUNK = 1 << 20
 ROWS = 256
+BROADCAST_LANGUAGES = 2000
 
 _table: np.ndarray | None = None
 
@@ -117,20 +118,27 @@ def solve(profiles: list[np.ndarray], labels: list[str], landmarks: int, ridge:
 def fit(docs: DataFrame, per_language: int = 300, total: int = 6000, landmarks: int = 256, ridge: float = 1.0) -> Model:
     """Learn from a bounded sample of the labelled rows that are not held out.
 
-    At most ``per_language`` rows of a language and about ``total`` rows in all are taken, the first in the order of a
-    hash of id and text; only their n-gram ids (at most 266,304 each) reach the driver.
+    At most ``per_language`` different rows of a language and about ``total`` rows in all are taken, the first in the
+    order of a hash of id and text; rows that repeat id, text and language count once. Only hashes are shuffled to choose
+    them, only chosen texts to learn from, and only their n-gram ids (at most 266,304 each) reach the driver.
     """
     rows = only(docs, doc_id="bigint", text="string", lang="string").where(
-        "lang IS NOT NULL AND crc32(cast(coalesce(cast(doc_id AS string), '') AS binary)) % 5 <> 0")
-    sizes = rows.groupBy("lang").count()
+        "lang IS NOT NULL AND crc32(cast(coalesce(cast(doc_id AS string), '') AS binary)) % 5 <> 0").withColumn(
+        "key", F.xxhash64("doc_id", "text"))
+    sizes = Scratch(docs.sparkSession).cut(rows.groupBy("lang").count())
     n = max(1, sizes.count())
     each = min(per_language, max(8, total // n))
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if n <= BROADCAST_LANGUAGES else df  # at most ``each`` short rows a language
+
     # A hash keeps about twice as many rows of a language as are wanted, wherever they are; then they are numbered.
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    near = rows.join(sizes, "lang").withColumn("place", place).where(F.col("place") <= (2.0 * each + 20) / F.col("count"))
-    order = Window.partitionBy("lang").orderBy("place", "doc_id")
-    taken = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each)
-    found = taken.select("lang", "text").mapInArrow(_profiles, "lang string, ids array<int>").toArrow()
+    place = F.pmod("key", F.lit(1 << 30)) / float(1 << 30)
+    near = rows.select("lang", "key").join(small(sizes), "lang").where(place <= (2.0 * each + 20) / F.col("count"))
+    order = Window.partitionBy("lang").orderBy(place, "key")
+    taken = near.select("lang", "key").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each).drop("nth")
+    chosen = rows.join(small(taken), ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.min("text").alias("text"))
+    found = chosen.select("lang", "text").mapInArrow(_profiles, "lang string, ids array<int>").toArrow()
     found = sorted((r for r in zip(found["lang"].to_pylist(), (np.asarray(x, np.int32) for x in found["ids"].to_pylist())) if len(r[1])),
                    key=lambda r: (r[0], r[1].tobytes()))
     return solve([p for _, p in found], [x for x, _ in found], landmarks, ridge)

@@ -86,16 +86,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     """Learn from at most ``per_class`` labelled rows of either class, the first by a hash of the id.
 
     Only the bounded table of sampled ids is broadcast and only shape vectors come to the driver. Ids with contradictory
-    labels count as bad; null ids and labels are left out; of an id with many rows some are taken.
+    labels count as bad; null ids and labels are left out; of an id with many rows the text of the smallest hash is taken.
     """
     given = only(labels, doc_id="bigint", quality="int").where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sizes = given.groupBy("quality").count()
+    sizes = given.groupBy("quality").count()  # two rows at most
     # A hash keeps about twice as many ids of a class as are wanted, wherever they are; then they are numbered.
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    near = given.join(sizes, "quality").withColumn("place", place).where(F.col("place") <= (2.0 * per_class + 20) / F.col("count"))
+    near = given.join(F.broadcast(sizes), "quality").withColumn("place", place).where(F.col("place") <= (2.0 * per_class + 20) / F.col("count"))
     order = Window.partitionBy("quality").orderBy("place", "doc_id")
     taken = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_class).select("doc_id", "quality")
-    rows = only(docs, doc_id="bigint", text="string").join(F.broadcast(taken), "doc_id").limit(4 * per_class)
+    rows = only(docs, doc_id="bigint", text="string").join(F.broadcast(taken), "doc_id").groupBy("doc_id", "quality").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     found = rows.select("quality", "text").mapInArrow(_shapes, "quality int, x array<double>").toArrow()
     x = np.array(found["x"].to_pylist(), float).reshape(-1, FEATURES)
     y = np.array(found["quality"].to_pylist(), float)
