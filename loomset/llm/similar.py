@@ -367,14 +367,14 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(centre[cut], mask=~paired[cut])], ["token", "name", "size", "pos", "centre"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(nearest: bool):
     """Pairs of classes that share a prefix element, may be linked and lie in different components; sorted by token.
 
     ``shared`` is how many prefix elements of a class are met by classes of other components; ``sign`` the signature of a
-    class, null where it must not decide. Pairs that these rule out are never rows.
+    class, null where it must not decide. Pairs that these rule out are never rows. With ``nearest``, of the pairs of two
+    components those of the most similar signatures come out, not all.
     """
     names = ("token", "name", "size", "pos", "component", "shared")
-    carry: pa.Table | None = None
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         token, name, size, pos, comp, shared = (t.column(c).to_numpy() for c in names)
@@ -395,37 +395,52 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 j = slice(i + 1, last[i])
                 # What both must share in their prefixes, as no more than the rest of one of them can lie behind.
                 need = -(-3 * (n[i] + n[j]) // 7) - np.maximum(behind[i], behind[j])
-                ok = (c[j] != c[i]) & _close(n[i], p[i], n[j], p[j]) & (np.minimum(m[i], m[j]) >= need)
-                ok = np.flatnonzero(ok) + i + 1
-                if len(ok):
-                    ok = ok[signs.may_link(i, ok)]
+                ok = np.flatnonzero((c[j] != c[i]) & _close(n[i], p[i], n[j], p[j]) & (np.minimum(m[i], m[j]) >= need)) + i + 1
+                if not len(ok):
+                    continue
+                excess = signs.excess(i, ok)
+                ok, excess = ok[excess <= 0], excess[excess <= 0]
                 if len(ok):
-                    other = w[ok]
-                    seen.append(np.stack([np.minimum(other, w[i]), np.maximum(other, w[i])], 1))
-                    count += len(other)
-                    if count > FLUSH:
+                    seen.append(np.stack([np.minimum(c[ok], c[i]), np.maximum(c[ok], c[i]), excess,
+                                          np.minimum(w[ok], w[i]), np.maximum(w[ok], w[i])], 1))
+                    count += len(ok)
+                if count > FLUSH:
+                    if nearest:
+                        seen = [_nearest(np.concatenate(seen))]
+                        count = len(seen[0])
+                    if count > FLUSH // 2:
                         yield _pair_batch(seen)
                         seen, count = [], 0
         if seen:
-            yield _pair_batch(seen)
+            yield _pair_batch([_nearest(np.concatenate(seen))] if nearest else seen)
 
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = pa.concat_tables([carry, t]) if carry is not None else t
-        token = t.column("token").to_numpy()
-        if not len(token):
-            continue
-        # The last element may go on in the next batch.
-        cut = int(np.searchsorted(token, token[-1], "left"))
-        if cut:
-            yield from pairs(t.slice(0, cut).combine_chunks())
-        carry = t.slice(cut)
-    if carry is not None:
-        yield from pairs(carry.combine_chunks())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([carry, t]) if carry is not None else t
+            token = t.column("token").to_numpy()
+            if not len(token):
+                continue
+            # The last element may go on in the next batch.
+            cut = int(np.searchsorted(token, token[-1], "left"))
+            if cut:
+                yield from pairs(t.slice(0, cut).combine_chunks())
+            carry = t.slice(cut)
+        if carry is not None:
+            yield from pairs(carry.combine_chunks())
+    return run
+
+
+def _nearest(rows: np.ndarray) -> np.ndarray:
+    """Of rows (component, component, excess, a, b) the one of least excess for each pair of components."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    new = (rows[1:, :2] != rows[:-1, :2]).any(1)
+    return rows[np.concatenate([[True], new])]
 
 
 def _pair_batch(seen: list[np.ndarray]) -> pa.RecordBatch:
-    both = np.unique(np.concatenate(seen), axis=0)
+    both = np.unique(np.concatenate(seen)[:, 3:], axis=0)
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
 
@@ -481,9 +496,9 @@ class _Signs:
             if w > 1:
                 self.half[w] = _folded(m)
 
-    def may_link(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Whether the bound on shared elements allows links of entry i with the (later) others."""
-        out = np.ones(len(others), bool)
+    def excess(self, i: int, others: np.ndarray) -> np.ndarray:
+        """How far entry i and each of the (later) others differ beyond what a link allows; no link where above 0."""
+        out = np.zeros(len(others), np.int64)
         if not self.known[i]:
             return out
         w = int(self.width[i])
@@ -492,8 +507,8 @@ class _Signs:
             at = np.flatnonzero(self.width[others] == wide)
             if table is not None and len(at):
                 differ = np.bitwise_count(table[others[at] - self.first[wide]] ^ mine).sum(1, dtype=np.int64)
-                out[at] = 7 * differ <= self.sizes[i] + self.sizes[others[at]]
-        return out | ~self.known[others]
+                out[at] = 7 * differ - self.sizes[i] - self.sizes[others[at]]
+        return np.where(self.known[others], out, 0)
 
 
 def _wanted_sets(bloom):
@@ -661,22 +676,31 @@ def near_components(docs: DataFrame) -> DataFrame:
     stars = scratch.cut(stars)
     links = scratch.cut(by_class(_links(stars, sets, levels)))
     found = scratch.cut(connected_components(links, "u", "v"))
-    label = named.join(found.withColumnRenamed("node", "class"), "class", "left").groupBy("name").agg(
-        F.min(F.coalesce("component", "class")).alias("component"), F.count(F.lit(1)).alias("n"))
-    # Classes of one short name are told apart by their sets only: pair them with everything.
-    label = label.select("name", F.when(F.col("n") == 1, F.col("component")).otherwise(-F.abs(F.col("name")) - 1).alias("component"))
-    mixed = scratch.cut(met.select("token", "name", "size", "pos").join(label, "name"))
-    between = mixed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    mixed = scratch.cut(mixed.join(between, "token", "left_semi"))
     # A signature stands for its name only where no other set has that name.
     signs = sets.groupBy("name").agg(F.when(F.count(F.lit(1)) == 1, F.min("sign")).alias("sign"))
-    mixed = mixed.join(mixed.groupBy("name").agg(F.count(F.lit(1)).alias("shared")).join(signs, "name"), "name")
-    pairs = mixed.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_across, "a bigint, b bigint").distinct()
-    pairs = scratch.cut(pairs.join(stars, ["a", "b"], "left_anti"))
+    tried = stars
+    # First the nearest pair of two components, which mostly joins them; then every pair of those that are still two.
+    for nearest in (True, False):
+        label = named.join(found.withColumnRenamed("node", "class"), "class", "left").groupBy("name").agg(
+            F.min(F.coalesce("component", "class")).alias("component"), F.count(F.lit(1)).alias("n"))
+        # Classes of one short name are told apart by their sets only: pair them with everything.
+        label = label.select("name", F.when(F.col("n") == 1, F.col("component")).otherwise(-F.abs(F.col("name")) - 1).alias("component"))
+        mixed = scratch.cut(met.select("token", "name", "size", "pos").join(label, "name"))
+        between = mixed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+        scratch.drop(met)
+        met = scratch.cut(mixed.join(between, "token", "left_semi"))
+        scratch.drop(mixed)
+        counted = met.groupBy("name").agg(F.count(F.lit(1)).alias("shared")).join(signs, "name")
+        laid = met.join(counted, "name").repartition(n, "token").sortWithinPartitions("token")
+        proposed = scratch.cut(laid.mapInArrow(_across(nearest), "a bigint, b bigint").distinct())
+        if proposed.isEmpty():
+            break
+        pairs = scratch.cut(proposed.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        if not pairs.isEmpty():
+            links = scratch.cut(links.unionByName(by_class(_links(pairs, sets, levels))))
+            found = scratch.cut(connected_components(links, "u", "v"))
     scratch.drop(met)
-    if not pairs.isEmpty():
-        links = scratch.cut(links.unionByName(by_class(_links(pairs, sets, levels))))
-        found = scratch.cut(connected_components(links, "u", "v"))
     levels.destroy()
     scratch.drop(sets)
     member = classes.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
