@@ -24,7 +24,7 @@ SKETCH_BITS, SKETCH_CHUNKS = 22, 64
 FLUSH = 1_000_000
 PARTNERS = 256
 BLOOM_BITS = 1 << 26
-MOST_SIGN_WORDS = 32
+LEAST_SIGN_WORDS, MOST_SIGN_WORDS = 8, 64
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -460,8 +460,8 @@ def _bloom_part(size: int):
 
 
 def sign_words(n: int) -> int:
-    """64-bit words of the signature of a set of this size: about two bits an element, at most 2,048 bits."""
-    return min(MOST_SIGN_WORDS, 1 << max(0, (max(1, n) - 1).bit_length() - 5))
+    """64-bit words of the signature of a set of this size: about four bits an element, 512 to 4,096 bits."""
+    return min(MOST_SIGN_WORDS, max(LEAST_SIGN_WORDS, 1 << max(0, (max(1, n) - 1).bit_length() - 4)))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:

@@ -111,6 +111,37 @@ def test_near_duplicates_of_nothing(spark):
     assert [tuple(r) for r in similar.near_duplicates(spark.createDataFrame([(None, None)], SCHEMA)).collect()] == [(None, 0, None)]
 
 
+def test_signatures_keep_every_link():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    sets = []
+    for _ in range(150):
+        x = base[:rng.integers(1, 3000)].copy()
+        new = rng.random(len(x)) < rng.choice([0.01, 0.06, 0.1, 0.15])
+        x[new] = rng.integers(0, 2**63, new.sum(), dtype=np.uint64)
+        sets.append(np.unique(x))
+    sets.sort(key=len)
+    sizes = np.array([len(x) for x in sets])
+    signs = similar._Signs(sizes, [None if i == 70 else similar.signature(x).tobytes() for i, x in enumerate(sets)])
+    linked = kept = 0
+    for i in range(len(sets)):
+        others = np.flatnonzero((np.arange(len(sets)) > i) & (3 * sizes <= 4 * sizes[i]))
+        if not len(others):
+            continue
+        for j, excess in zip(others, signs.excess(i, others)):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            kept += excess <= 0
+            if 7 * both >= 3 * (sizes[i] + sizes[j]):
+                linked += 1
+                assert excess <= 0
+    assert linked > 100 and kept < 2 * linked
+
+
+def test_nearest_pair_of_two_components():
+    rows = np.array([[1, 2, -3, 10, 20], [1, 2, -9, 11, 21], [1, 3, 0, 10, 30], [1, 2, -9, 12, 22]])
+    assert similar._nearest(rows).tolist() == [[1, 2, -9, 11, 21], [1, 3, 0, 10, 30]]
+
+
 def test_prefix_tree_equals_intersection():
     rng = np.random.default_rng(5)
     universe = rng.integers(1, 1 << 62, 400).astype(np.uint64)
