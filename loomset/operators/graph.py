@@ -84,20 +84,21 @@ def nearest_holder(edges: DataFrame, holders: DataFrame, wanted: DataFrame) -> D
     """(node, holder, depth): for each wanted node the closest of itself and its ancestors that is a holder (ties:
     smallest id). ``edges``: child, parent; ``holders``: node; ``wanted``: node.
 
-    One front for all wanted nodes. A node leaves it with its first holder, so nothing above that is visited, and a
-    (node, ancestor) pair is visited once even where ways meet or run in circles.
+    Holders hand themselves down edge by edge: the parents decided last decide their undecided children, and edges above a
+    decided child are dropped, so a node has one row however many ancestors it has, and circles end.
     """
-    up = cut(edges.where("child <> parent").select(F.col("child").alias("at"), "parent").distinct())
-    held = cut(holders.select(F.col("node").alias("at")).distinct())
-    front = cut(wanted.select("node", F.col("node").alias("at")).distinct())
-    seen, found, depth = front, None, 0
-    while not front.isEmpty():
-        hit = cut(front.join(held, "at", "left_semi").groupBy("node").agg(F.min("at").alias("holder")).withColumn("depth", F.lit(depth)))
-        found = hit if found is None else found.union(hit)
-        front = cut(front.join(hit, "node", "left_anti").join(up, "at").select("node", F.col("parent").alias("at")).distinct()
-                    .join(seen, ["node", "at"], "left_anti"))
-        seen, depth = seen.union(front), depth + 1
-    return front.selectExpr("node", "at AS holder", "0 AS depth") if found is None else found
+    held = cut(holders.select("node").distinct())
+    fresh = found = held.select("node", F.col("node").alias("holder"), F.lit(0).alias("depth"))
+    waiting = cut(edges.where("child <> parent").select("child", "parent").join(held.toDF("child"), "child", "left_anti"))
+    depth = 0
+    while True:
+        depth += 1
+        fresh = cut(waiting.join(fresh.select(F.col("node").alias("parent"), "holder"), "parent").groupBy(F.col("child").alias("node"))
+                    .agg(F.min("holder").alias("holder")).withColumn("depth", F.lit(depth)))
+        if fresh.isEmpty():
+            return found.join(wanted.select("node"), "node", "left_semi")
+        found = found.union(fresh)
+        waiting = cut(waiting.join(fresh.select(F.col("node").alias("child")), "child", "left_anti"))
 
 
 def reached(start: DataFrame, edges: DataFrame, keys: tuple[str, ...] = (), max_depth: int = 30) -> DataFrame:
