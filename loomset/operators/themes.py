@@ -16,12 +16,29 @@ def hit_order(result: DataFrame, order: list, alpha: float, key: str) -> DataFra
     return cut(hits.select("set_id", "name", F.monotonically_increasing_id().alias("ord")))
 
 
+# Pairs of hits that meet in a gene, for each task that counts them: about a tenth of a GB in its table.
+PAIRS_A_TASK = 1 << 21
+
+
+def shared_genes(member: DataFrame, pairs_a_task: int = PAIRS_A_TASK) -> DataFrame:
+    """(early, late, k): pairs of hits and how many genes they share. ``member``: gene, ord.
+
+    Rows of genes are few where their pairs are many, so the number of tasks that count is told by the pairs, not by the
+    size of the rows: a task's table of counts does not grow with the input. The join itself keeps no table, and a gene of
+    very many hits is left to adaptive execution.
+    """
+    met = member.groupBy("gene").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+    tasks = max(int((met or 0) / pairs_a_task) + 1, member.sparkSession.sparkContext.defaultParallelism)
+    a, b = member.select("gene", F.col("ord").alias("early")), member.select("gene", F.col("ord").alias("late"))
+    pairs = a.join(b, "gene").where("early < late").select("early", "late")
+    return pairs.repartition(tasks, "early", "late").groupBy("early", "late").agg(F.count(F.lit(1)).alias("k"))
+
+
 def related_hits(hits: DataFrame, set_gene: DataFrame, set_link: DataFrame | None, min_jaccard: float) -> DataFrame:
     """(early, late): pairs of hits, by report order, that are linked or share enough genes."""
-    member = set_gene.select("set_id", "gene").join(hits.select("set_id", "ord"), "set_id")
+    member = cut(set_gene.select("set_id", "gene").join(hits.select("set_id", "ord"), "set_id").select("gene", "ord"))
     size = member.groupBy("ord").agg(F.count(F.lit(1)).alias("n"))
-    a, b = member.select("gene", F.col("ord").alias("early")), member.select("gene", F.col("ord").alias("late"))
-    shared = a.join(b, "gene").where("early < late").groupBy("early", "late").agg(F.count(F.lit(1)).alias("k"))
+    shared = shared_genes(member)
     near = shared.join(size.toDF("early", "na"), "early").join(size.toDF("late", "nb"), "late") \
         .where(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")) >= min_jaccard).select("early", "late")
     if set_link is None:
