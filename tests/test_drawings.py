@@ -149,3 +149,12 @@ def test_markup_without_python(spark, tmp_path):
     (tmp_path / "Hs_x_WP9_1.gpml").write_text('<Pathway xmlns="http://pathvisio.org/GPML/2013a"><Comment Source="s"> t </Comment></Pathway>')
     files = markup.shred(markup.gpml_files(spark, str(tmp_path)), markup.GPML).orderBy("nid").collect()
     assert [(r["doc"], r["tag"], r["text"]) for r in files] == [("WP9", "Pathway", ""), ("WP9", "Comment", "t")]
+
+
+def test_a_document_is_parsed_once(spark):
+    whole = '<Pathway xmlns="http://pathvisio.org/GPML/2013a"><Label TextLabel="L%d"/></Pathway>'
+    docs = spark.createDataFrame([(f"d{i}", whole % i) for i in range(3)] + [("broken", "<Pathway><Label>"), ("none", None)], "doc string, xml string")
+    rows = markup.elements(docs, markup.GPML)
+    got = {(x["doc"], x["tag"], x["attrs"].get("TextLabel")) for x in rows.collect()}
+    assert got == {(f"d{i}", tag, label) for i in range(3) for tag, label in (("Pathway", None), ("Label", f"L{i}"))}
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
