@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import text as X
 from ..session import cut
@@ -272,16 +273,34 @@ def curated(matches: DataFrame, rules: list[tuple[str, str]], entity_guard: bool
     return matches.where(keep)
 
 
+# Genes of a block; a pathway's genes of one block are one row of an overlap.
+BLOCK = 4096
+
+
+def gene_blocks(gene: DataFrame, width: int = BLOCK) -> DataFrame:
+    """(source, name, block, genes, n): the distinct genes of each pathway as numbers, cut by gene into blocks of about
+    ``width`` genes, so no row grows with a pathway. A missing gene is counted (block -1) and has no number."""
+    known = gene.where("gene IS NOT NULL").select("gene").distinct()
+    blocks = -(-known.count() // width) or 1
+    number = F.row_number().over(W.partitionBy("block").orderBy("gene"))
+    numbered = known.withColumn("block", F.pmod(F.xxhash64("gene"), F.lit(blocks)).cast("int")).withColumn("number", number)
+    held = gene.select("source", "name", "gene").join(numbered, "gene", "left")
+    rows = held.groupBy("source", "name", F.coalesce("block", F.lit(-1)).alias("block")).agg(F.array_sort(F.collect_set("number")).alias("genes"))
+    return rows.withColumn("n", F.when(F.col("block") < 0, 1).otherwise(F.size("genes")))
+
+
 def match_overlap(matches: DataFrame, src_gene: DataFrame) -> DataFrame:
-    """Adds ``overlap``: Jaccard index of the two pathways' genes, by counted joins."""
-    gene = src_gene.select("source", "name", "gene").distinct()
-    size = gene.groupBy("source", "name").agg(F.count(F.lit(1)).alias("n"))
+    """Adds ``overlap``: Jaccard index of the two pathways' genes. A match has one row a block of genes, in which the
+    numbers of both pathways are intersected; its genes are never rows."""
+    gene = cut(gene_blocks(src_gene))
+    size = gene.groupBy("source", "name").agg(F.sum("n").alias("n"))
     side = lambda df, s, *c: df.select(F.col("source").alias(f"source_{s}"), F.col("name").alias(f"name_{s}"), *c)
     key = ["source_a", "name_a", "source_b", "name_b"]
     pairs = matches.select(*key).distinct()
-    shared = pairs.join(side(gene, "a", "gene"), ["source_a", "name_a"]) \
-        .join(side(gene, "b", "gene"), ["source_b", "name_b", "gene"], "left_semi") \
-        .groupBy(*key).agg(F.count(F.lit(1)).alias("shared"))
+    real = gene.where("block >= 0")
+    shared = pairs.join(side(real, "a", "block", F.col("genes").alias("genes_a")), ["source_a", "name_a"]) \
+        .join(side(real, "b", "block", F.col("genes").alias("genes_b")), ["source_b", "name_b", "block"]) \
+        .groupBy(*key).agg(F.sum(F.size(F.array_intersect("genes_a", "genes_b"))).alias("shared"))
     na, nb, k = (F.coalesce(F.col(c), F.lit(0)) for c in ("na", "nb", "shared"))
     return matches.join(shared, key, "left") \
         .join(side(size, "a", F.col("n").alias("na")), ["source_a", "name_a"], "left") \
