@@ -61,14 +61,28 @@ def leading_edge(sums: DataFrame, scores: DataFrame) -> DataFrame:
         .select("set_id", "gene", "j")
 
 
+# Draws (a gene in a permutation) that one task hashes.
+DRAWS_A_TASK = 1 << 22
+
+
 def _drawn(ranked: DataFrame, kmax: int, nperm: int, seed: int) -> DataFrame:
     """(perm, i, pos, w): per permutation the ``kmax`` genes that come first in the order of a hash of (seed, perm, gene).
 
-    One scheme at every size, the same on every engine that has MD5. The rank filter is a top-k that Spark applies before
-    the shuffle too, so at most ``kmax`` genes of a permutation leave a task.
+    One scheme at every size, the same on every engine that has MD5. Hashes spread evenly, so the first ``kmax`` lie below a
+    bound that few more genes reach: only those are sorted. Where a permutation has fewer genes below the bound, it is doubled.
     """
-    rows = ranked.select("gene", "pos", "w", F.explode(F.sequence(F.lit(0), F.lit(nperm - 1))).alias("perm"))
+    n_genes = ranked.count()
+    tasks = max(n_genes * nperm // DRAWS_A_TASK + 1, ranked.sparkSession.sparkContext.defaultParallelism)
+    rows = ranked.select("gene", "pos", "w").repartition(tasks, "pos") \
+        .select("gene", "pos", "w", F.explode(F.sequence(F.lit(0), F.lit(nperm - 1))).alias("perm"))
     keyed = rows.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm").cast("string"), F.col("gene").cast("string"))))
+    share = (kmax + 10 * kmax ** 0.5 + 20) / max(n_genes, 1)
+    while share < 1:
+        first = cut(keyed.where(F.col("h") < f"{int(share * (1 << 64)):016x}"))
+        if first.groupBy("perm").count().where(F.col("count") >= kmax).count() == nperm:
+            keyed = first
+            break
+        share *= 2
     order = W.partitionBy("perm").orderBy("h", "gene")
     return keyed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= kmax).select(
         F.col("perm").cast("long").alias("perm"), (F.col("n") - 1).alias("i"), "pos", "w")
