@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..session import cut
 from .enrich import significant
@@ -11,36 +12,59 @@ from .ordered import global_position
 
 
 def hit_order(result: DataFrame, order: list, alpha: float, key: str) -> DataFrame:
-    """(set_id, name, ord) of the significant results; ``ord`` grows in report order. A sort over the cluster numbers them."""
-    hits = significant(result, alpha, key).sort(*order)
-    return cut(hits.select("set_id", "name", F.monotonically_increasing_id().alias("ord")))
+    """(set_id, name, ord) of the significant results; ``ord`` counts them from 0 in report order. A sort over the cluster
+    numbers them, with the rows of its tasks (a bounded table) carried along."""
+    hits = cut(significant(result, alpha, key).sort(*order).select("set_id", "name", F.monotonically_increasing_id().alias("_at")))
+    part = F.shiftright("_at", 33).alias("_part")
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = hits.groupBy(part).agg(F.count(F.lit(1)).alias("_n")).select("_part", before.alias("_before"))
+    return cut(hits.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(
+        "set_id", "name", (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("ord")))
 
 
 # Pairs of hits that meet in a gene, for each task that counts them: about a tenth of a GB in its table.
 PAIRS_A_TASK = 1 << 21
+# Hits that a row of a gene holds at most, about; a gene of more hits has several rows.
+HITS = 4096
 
 
-def shared_genes(member: DataFrame, pairs_a_task: int = PAIRS_A_TASK) -> DataFrame:
-    """(early, late, k): pairs of hits and how many genes they share. ``member``: gene, ord.
+def shared_genes(member: DataFrame, pairs_a_task: int = PAIRS_A_TASK, width: int = HITS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(early, late, *carry, k): pairs of hits and how many genes they share. ``member``: gene, ord and columns ``carry`` of the hit,
+    which come along for the early one.
 
-    Rows of genes are few where their pairs are many, so the number of tasks that count is told by the pairs, not by the
-    size of the rows: a task's table of counts does not grow with the input. The join itself keeps no table, and a gene of
-    very many hits is left to adaptive execution.
+    A hit takes along one row for a gene, with all later hits of the gene as an array: a pair is a number in it, not a row, until
+    it is counted. Rows of genes are few where their pairs are many, so the number of tasks that count is told by the pairs,
+    not by the size of the rows: a task's table of counts does not grow with the input.
     """
-    met = member.groupBy("gene").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+    known = member.where("gene IS NOT NULL")
+    degree = known.groupBy("gene").agg(F.count(F.lit(1)).alias("_d"))
+    met, most = degree.agg(F.sum(F.col("_d").cast("double") * (F.col("_d") - 1) / 2), F.max("_d")).first()
     tasks = max(int((met or 0) / pairs_a_task) + 1, member.sparkSession.sparkContext.defaultParallelism)
-    a, b = member.select("gene", F.col("ord").alias("early")), member.select("gene", F.col("ord").alias("late"))
-    pairs = a.join(b, "gene").where("early < late").select("early", "late")
-    return pairs.repartition(tasks, "early", "late").groupBy("early", "late").agg(F.count(F.lit(1)).alias("k"))
+    block = F.lit(0)
+    if (most or 0) > width:
+        known = known.join(degree.where(F.col("_d") > width), "gene", "left")
+        block = F.pmod(F.xxhash64("ord"), F.ceil(F.coalesce("_d", F.lit(1)) / width))
+    held = known.groupBy("gene", block.alias("_block")).agg(F.collect_list(F.struct("ord", *carry)).alias("_held"))
+    a, b = held.select("gene", F.col("_held").alias("_from")), held.select("gene", F.col("_held.ord").alias("_to"))
+    met_by = a.join(b, "gene").select(F.explode("_from").alias("_e"), "_to").select(
+        F.col("_e.ord").alias("early"), *[F.col("_e")[c].alias(c) for c in carry], F.filter("_to", lambda x: x > F.col("_e.ord")).alias("_late"))
+    pairs = met_by.where(F.size("_late") > 0).repartition(tasks, "early").select("early", *carry, F.explode("_late").alias("late"))
+    return pairs.groupBy("early", "late", *carry).agg(F.count(F.lit(1)).alias("k"))
 
 
 def related_hits(hits: DataFrame, set_gene: DataFrame, set_link: DataFrame | None, min_jaccard: float) -> DataFrame:
     """(early, late): pairs of hits, by report order, that are linked or share enough genes."""
-    member = cut(set_gene.select("set_id", "gene").join(hits.select("set_id", "ord"), "set_id").select("gene", "ord"))
-    size = member.groupBy("ord").agg(F.count(F.lit(1)).alias("n"))
-    shared = shared_genes(member)
-    near = shared.join(size.toDF("early", "na"), "early").join(size.toDF("late", "nb"), "late") \
-        .where(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")) >= min_jaccard).select("early", "late")
+    few = hits.agg(F.max("ord")).first()[0] or 0
+    ord_ = F.col("ord").cast("int" if few < 1 << 31 else "bigint").alias("ord")  # most of what is shuffled are these numbers
+    member = cut(set_gene.select("set_id", "gene").join(hits.select("set_id", ord_), "set_id").select("gene", "ord"))
+    size = cut(member.groupBy("ord").agg(F.count(F.lit(1)).cast("int").alias("na")))
+    # a late hit has a gene at least: most pairs are ruled out before its size is known
+    shared = shared_genes(member.join(size, "ord"), carry=("na",)).where(
+        F.col("k") * (1 + min_jaccard) >= (F.col("na") + 1) * min_jaccard - 1e-9)
+    size = size.toDF("late", "nb")
+    near = shared.join(size, "late") \
+        .where(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")) >= min_jaccard) \
+        .select(F.col("early").cast("long").alias("early"), F.col("late").cast("long").alias("late"))
     if set_link is None:
         return near
     ends = set_link.join(hits.select(F.col("set_id").alias("set_a"), F.col("ord").alias("oa")), "set_a") \
