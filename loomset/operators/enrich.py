@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.stats import hypergeom_sf
 from ..session import cut
@@ -100,6 +101,11 @@ def sets_holding(pairs: DataFrame, member: DataFrame, width: int = SETS) -> Data
     and they are intersected with those of the other end: a pair and set that is no result is never a row.
     """
     member = member.select("set_id", "gene").where("set_id IS NOT NULL AND gene IS NOT NULL")
+    kind = member.schema["set_id"].dataType
+    if isinstance(kind, T.LongType):  # most of what is shuffled are sets: four bytes where the numbers fit
+        low, high = member.agg(F.min("set_id"), F.max("set_id")).first()
+        if -1 << 31 <= (low or 0) and (high or 0) < 1 << 31:
+            member = member.withColumn("set_id", F.col("set_id").cast("int"))
     degree = cut(member.groupBy("gene").agg(F.count(F.lit(1)).alias("_deg")))
     blocks = -(-(degree.agg(F.max("_deg")).first()[0] or 0) // width) or 1
     block = F.pmod(F.xxhash64("set_id"), F.lit(blocks)).cast("int").alias("_block")
@@ -110,7 +116,8 @@ def sets_holding(pairs: DataFrame, member: DataFrame, width: int = SETS) -> Data
                         F.when(few, F.col("gene_b")).otherwise(F.col("gene_a")).alias("_other"))
     opened = ends.join(held.toDF("_start", "_block", "_from"), "_start").join(held.toDF("_other", "_block", "_to"), ["_other", "_block"])
     shared = opened.select(*pairs.columns, "_from", F.explode(F.array_intersect("_to", "_from")).alias("_set"))
-    return shared.select(*pairs.columns, F.explode(F.filter("_from", lambda s: s == F.col("_set"))).alias("set_id"))
+    return shared.select(*pairs.columns, F.explode(F.filter("_from", lambda s: s == F.col("_set"))).alias("set_id")) \
+        .withColumn("set_id", F.col("set_id").cast(kind))
 
 
 def edges_within_sets(edges: DataFrame, set_gene: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -64,22 +64,23 @@ def supp_gene(c: str):
     return F.concat(F.lit("S"), F.col(c).cast("string"))
 
 
-def _customer_lines(t: Tables) -> DataFrame:
-    lines = t.lineitem.select("l_orderkey", "l_returnflag", "l_linestatus", part_gene("l_partkey").alias("p"),
-                              supp_gene("l_suppkey").alias("s"))
-    return lines.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+def customer_lines(t: Tables) -> DataFrame:
+    """The order lines of customers: set_id, p, s, l_returnflag, l_linestatus. Genes go through the join as numbers."""
+    lines = t.lineitem.select("l_orderkey", "l_returnflag", "l_linestatus", "l_partkey", "l_suppkey")
+    return lines.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("set_id"), part_gene("l_partkey").alias("p"), supp_gene("l_suppkey").alias("s"), "l_returnflag", "l_linestatus")
 
 
-def customer_pair(t: Tables) -> DataFrame:
+def customer_pair(t: Tables, lines: DataFrame | None = None) -> DataFrame:
     """set_pair: the (part, supplier) pairs of a customer's order lines."""
     relation = F.when(F.col("l_linestatus") == "F", "PPrel").otherwise("GPrel")
-    rows = _customer_lines(t).select(F.col("o_custkey").alias("set_id"), F.col("p").alias("gene_a"), F.col("s").alias("gene_b"),
-                                     relation.alias("relation"), "l_returnflag")
+    rows = (customer_lines(t) if lines is None else lines).select(
+        "set_id", F.col("p").alias("gene_a"), F.col("s").alias("gene_b"), relation.alias("relation"), "l_returnflag")
     return united(rows, ["set_id", "gene_a", "gene_b"], {"relations": F.col("relation"), "sources": F.col("l_returnflag")})
 
 
-def customer_gene(t: Tables) -> DataFrame:
-    rows = _customer_lines(t).select(F.col("o_custkey").alias("set_id"), "l_returnflag", F.explode(F.array("p", "s")).alias("gene"))
+def customer_gene(t: Tables, lines: DataFrame | None = None) -> DataFrame:
+    rows = (customer_lines(t) if lines is None else lines).select("set_id", "l_returnflag", F.explode(F.array("p", "s")).alias("gene"))
     return united(rows, ["set_id", "gene"], {"sources": F.col("l_returnflag")})
 
 

@@ -156,9 +156,9 @@ _INNER = """SELECT a.set_id, e.gene_a, e.gene_b FROM (SELECT * FROM tiered WHERE
 @query("pair_ora_with_edges", f"WITH {CUSTOMER_PAIR}, {PAIR_QUERY}, {EDGE}, {CUSTOMER_GENE}, "
        + _pair_sql(f"SELECT * FROM cp UNION {_INNER}"))
 def pair_ora_with_edges(t: Tables) -> DataFrame:
-    edges = cut(network.up_to_tier(_edges(t), "high"))
-    return _pair_out(enrich.pair_ora(P.pair_query(t), P.customer_set(t), P.customer_pair(t),
-                                     set_gene=cut(P.customer_gene(t).select("set_id", "gene")), edges=edges))
+    edges, lines = cut(network.up_to_tier(_edges(t), "high")), cut(P.customer_lines(t))
+    return _pair_out(enrich.pair_ora(P.pair_query(t), P.customer_set(t), P.customer_pair(t, lines),
+                                     set_gene=cut(P.customer_gene(t, lines).select("set_id", "gene")), edges=edges))
 
 
 @query("edges_within_sets", f"WITH {CUSTOMER_PAIR}, {EDGE}, {CUSTOMER_GENE}, w AS ({_INNER}) "
@@ -614,8 +614,9 @@ SUBGRAPH = f"""{CUSTOMER_PAIR}, {EDGE}, {CUSTOMER_GENE}, inn AS MATERIALIZED ({_
 
 
 def _maps(t: Tables) -> tuple[DataFrame, DataFrame]:
-    gene = cut(P.customer_gene(t))
-    wired = cut(subgraph.set_edges(gene, P.customer_pair(t), _edges(t), "high"))
+    lines = cut(P.customer_lines(t))
+    gene = cut(P.customer_gene(t, lines))
+    wired = cut(subgraph.set_edges(gene, P.customer_pair(t, lines), _edges(t), "high"))
     return subgraph.set_graphs(gene, wired, P.pair_query(t))
 
 
