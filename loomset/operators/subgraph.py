@@ -12,36 +12,58 @@ from .enrich import edges_within_sets
 from .network import up_to_tier
 
 
+# Genes of sets for each task that a set's rows are dealt to: what a task sorts does not grow with the input.
+GENES_A_TASK = 1 << 18
+
+
+def _by_set(rows: DataFrame, member: DataFrame) -> DataFrame:
+    tasks = max(member.count() // GENES_A_TASK + 1, rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, "set_id")
+
+
+def _inside(rows: DataFrame, member: DataFrame) -> DataFrame:
+    """``rows`` (set_id, source, target, more) with both ends in ``member`` (set_id, gene), dealt by set.
+
+    Rows and members meet in one shuffle by set; there each gene of a set tells whether it is a member.
+    """
+    genes = member.where("set_id IS NOT NULL AND gene IS NOT NULL").select("set_id", F.col("gene").alias("source"), F.lit(True).alias("_member"))
+    both = _by_set(rows.where("set_id IS NOT NULL AND source IS NOT NULL AND target IS NOT NULL").withColumn("_member", F.lit(False))
+                   .unionByName(genes, allowMissingColumns=True), member)
+    held = lambda end: F.max("_member").over(W.partitionBy("set_id", end))
+    from_inside = both.withColumn("_in", held("source")).where("_in").withColumn("_end", F.when(F.col("_member"), F.col("source")).otherwise(F.col("target")))
+    return from_inside.withColumn("_in", held("_end")).where("_in AND NOT _member").select(*rows.columns)
+
+
 def set_edges(set_gene: DataFrame, set_pair: DataFrame, edges: DataFrame | None = None,
               tier: str | None = None) -> DataFrame:
     """(set_id, source, target, relations, sources, kind): curated pairs plus, with ``tier``, network edges.
 
-    Both ends must be in the set; a network edge that is already a curated pair (either way) is left out.
+    Both ends must be in the set; a network edge that is already a curated pair (either way) is left out. Both kinds and the
+    genes are shuffled once, by set.
     """
     member = set_gene.select("set_id", "gene")
-    curated = set_pair.where("gene_a <> gene_b") \
-        .join(member.withColumnRenamed("gene", "gene_a"), ["set_id", "gene_a"], "left_semi") \
-        .join(member.withColumnRenamed("gene", "gene_b"), ["set_id", "gene_b"], "left_semi") \
-        .select("set_id", F.col("gene_a").alias("source"), F.col("gene_b").alias("target"), "relations", "sources",
-                F.lit("curated").alias("kind"))
+    curated = set_pair.where("gene_a <> gene_b").select(
+        "set_id", F.col("gene_a").alias("source"), F.col("gene_b").alias("target"), "relations", "sources", F.lit("curated").alias("kind"))
     if edges is None or tier is None:
-        return curated
-    known = curated.select("set_id", F.least("source", "target").alias("gene_a"), F.greatest("source", "target").alias("gene_b"))
-    extra = edges_within_sets(up_to_tier(edges, tier), member, ["sources"]) \
-        .join(known, ["set_id", "gene_a", "gene_b"], "left_anti")
-    return curated.union(extra.select("set_id", "gene_a", "gene_b", F.array(F.lit("PPI")), "sources", F.lit("ppi")))
+        return _inside(curated, member)
+    extra = edges_within_sets(up_to_tier(edges, tier), member, ["sources"])
+    wired = _inside(curated.union(extra.select("set_id", "gene_a", "gene_b", F.array(F.lit("PPI")), "sources", F.lit("ppi"))), member)
+    known = F.max(F.col("kind") == "curated").over(W.partitionBy("set_id", F.least("source", "target"), F.greatest("source", "target")))
+    # an edge stands with its ends in order; only such a one can be a curated pair
+    ordered = F.col("source") <= F.col("target")
+    return wired.withColumn("_known", known).where(~((F.col("kind") == "ppi") & F.col("_known") & ordered)).drop("_known")
 
 
 def set_graphs(set_gene: DataFrame, set_edge: DataFrame, highlight: DataFrame | None = None,
                max_nodes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of every set's map: all genes, or with ``max_nodes`` the best-connected ones of each set.
 
-    The ranking filter is a top-n per set, which Spark applies before the shuffle as well. ``set_edge`` is read once for
-    the degrees and once for the edges shown.
+    Genes and ends are shuffled once, by set, where the genes are counted and ranked; the edges shown once more with the genes kept.
     """
-    ends = set_edge.select("set_id", F.explode(F.array("source", "target")).alias("gene"))
-    degree = ends.groupBy("set_id", "gene").agg(F.count(F.lit(1)).alias("degree"))
-    nodes = set_gene.join(degree, ["set_id", "gene"], "left").fillna(0, ["degree"]) \
+    ends = set_edge.select("set_id", F.explode(F.array("source", "target")).alias("gene")).where("set_id IS NOT NULL AND gene IS NOT NULL") \
+        .withColumn("_n", F.lit(1).cast("long"))
+    both = _by_set(set_gene.withColumn("_n", F.lit(0).cast("long")).withColumn("_own", F.lit(True)).unionByName(ends, allowMissingColumns=True), set_gene)
+    nodes = both.withColumn("degree", F.sum("_n").over(W.partitionBy("set_id", "gene"))).where("_own").drop("_n", "_own") \
         .withColumn("rank", F.row_number().over(W.partitionBy("set_id").orderBy(F.desc("degree"), "gene"))) \
         .where(F.lit(True) if max_nodes is None else F.col("rank") <= max_nodes)
     if highlight is not None:
@@ -49,12 +71,11 @@ def set_graphs(set_gene: DataFrame, set_edge: DataFrame, highlight: DataFrame |
         nodes = nodes.join(hit, "gene", "left").fillna(False, ["hit"])
     else:
         nodes = nodes.withColumn("hit", F.lit(False))
-    kept = nodes.select("set_id", "gene")
-    shown = set_edge.join(kept.withColumnRenamed("gene", "source"), ["set_id", "source"], "left_semi") \
-        .join(kept.withColumnRenamed("gene", "target"), ["set_id", "target"], "left_semi")
+    kept = set_gene if max_nodes is None else nodes
     first = F.coalesce(F.try_element_at("relations", F.lit(1)), F.lit("PPrel"))
     directed = (F.col("kind") == "curated") & ~first.isin(*UNDIRECTED_RELATIONS)
-    return nodes.select("set_id", "gene", "sources", "degree", "rank", "hit"), shown.withColumn("directed", directed)
+    return nodes.select("set_id", "gene", "sources", "degree", "rank", "hit"), \
+        _inside(set_edge, kept.select("set_id", "gene")).withColumn("directed", directed)
 
 
 def _numbered(edges: DataFrame) -> DataFrame:
