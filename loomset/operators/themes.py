@@ -4,22 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..session import cut
 from .enrich import significant
-from .ordered import global_position
+from .ordered import global_position, numbered
 
 
 def hit_order(result: DataFrame, order: list, alpha: float, key: str) -> DataFrame:
-    """(set_id, name, ord) of the significant results; ``ord`` counts them from 0 in report order. A sort over the cluster
-    numbers them, with the rows of its tasks (a bounded table) carried along."""
-    hits = cut(significant(result, alpha, key).sort(*order).select("set_id", "name", F.monotonically_increasing_id().alias("_at")))
-    part = F.shiftright("_at", 33).alias("_part")
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = hits.groupBy(part).agg(F.count(F.lit(1)).alias("_n")).select("_part", before.alias("_before"))
-    return cut(hits.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(
-        "set_id", "name", (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("ord")))
+    """(set_id, name, ord) of the significant results; ``ord`` counts them from 0 in report order, after a sort over the cluster."""
+    return numbered(significant(result, alpha, key).sort(*order).select("set_id", "name"), "ord")
 
 
 # Pairs of hits that meet in a gene, for each task that counts them: about a tenth of a GB in its table.
