@@ -95,7 +95,8 @@ def layout_drawing(docs: DataFrame, lookup: DataFrame) -> DataFrame:
     drawn = row.select("doc", F.inline("l.nodes")).where(_chosen(STYLE, 1, F.col("renderableClass"), "gene") == "gene").select("doc", F.col("reactomeId").alias("root"))
     genes = genes_of_entities(row, drawn.where("root IS NOT NULL"), lookup).groupBy("doc").agg(
         F.map_from_entries(F.collect_list(F.struct("root", "genes"))).alias("genes"))
-    row = row.join(genes, "doc", "left")
+    # of the parts only what is made of them goes on to their documents
+    row = row.select("doc", "l", F.col("p.subpathways").alias("subpathways")).join(genes, "doc", "left")
     none = F.array()
     areas = F.transform(F.coalesce("l.compartments", none.cast(f"array<struct<id:bigint,displayName:string,prop:{BOX}>>")), lambda c: _node(
         _text("c", c["id"]), F.lit("shape"), c["displayName"], c["prop"], F.lit("round-rectangle"), z=F.lit(-1)))
@@ -137,6 +138,6 @@ def layout_drawing(docs: DataFrame, lookup: DataFrame) -> DataFrame:
         return F.struct(sub["stId"].alias("stId"), F.array_sort(F.array_distinct(F.concat(
             own, F.transform(near, lambda e: e["source"]), F.transform(near, lambda e: e["target"])))).alias("nodes"))
 
-    subs = F.filter(F.transform("p.subpathways", focus), lambda s: F.size(s["nodes"]) > 0)
+    subs = F.filter(F.transform("subpathways", focus), lambda s: F.size(s["nodes"]) > 0)
     return row.select("doc", F.coalesce("l.displayName", F.lit("")).alias("name"), F.coalesce("l.maxX", F.lit(0.0)).alias("width"),
                       F.coalesce("l.maxY", F.lit(0.0)).alias("height"), "nodes", "edges", F.map_from_entries(subs).alias("subpathways"))

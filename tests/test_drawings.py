@@ -158,3 +158,15 @@ def test_a_document_is_parsed_once(spark):
     got = {(x["doc"], x["tag"], x["attrs"].get("TextLabel")) for x in rows.collect()}
     assert got == {(f"d{i}", tag, label) for i in range(3) for tag, label in (("Pathway", None), ("Label", f"L{i}"))}
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
+
+
+def test_layout_parts_do_not_go_along_to_the_genes(spark, lookup):
+    import re
+
+    docs = spark.createDataFrame([("d", '{"displayName": "x", "nodes": [], "edges": [{"id": 1, "reactomeId": 5, "position": {"x": 1, "y": 1}}]}',
+                                   '{"nodes": [{"dbId": 5, "geneNames": ["A"], "children": []}], "subpathways": [{"stId": "S", "events": [5]}]}')], "doc string, layout string, parts string")
+    drawn = layouts.layout_drawing(docs, lookup)
+    row = drawn.first()
+    assert row["name"] == "x" and row["subpathways"] == {"S": ["r1"]} and [n["id"] for n in row["nodes"]] == ["r1"]
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"p#\d+\.subpathways AS subpathways", plan[plan.index("Join LeftOuter"):])
