@@ -10,7 +10,7 @@ from ..schema import EXPERIMENTAL_SOURCES, TIER_RANK
 from .enrich import canonical_pairs
 from ..session import cut
 from .identifiers import resolve
-from .vocabulary import united
+from .vocabulary import known_codes, united
 
 
 def map_feed(rows: DataFrame, lookup: DataFrame | None) -> DataFrame:
@@ -28,17 +28,19 @@ def _real():
     return F.coalesce(filled("gene_a") & filled("gene_b") & (F.col("gene_a") != F.col("gene_b")), F.lit(False))
 
 
-def integrate(mapped: DataFrame, experimental: tuple[str, ...] = EXPERIMENTAL_SOURCES) -> DataFrame:
+def integrate(mapped: DataFrame, experimental: tuple[str, ...] = EXPERIMENTAL_SOURCES, feed: DataFrame | None = None) -> DataFrame:
     """One row per undirected edge with its united evidence and confidence tier.
 
-    Sources and methods are small vocabularies (united as bit masks) and stay as arrays; publications may be many and are only
+    Sources and methods are small vocabularies (united as bit masks where ``feed``, the rows before they were mapped, is
+    given to learn them from) and stay as arrays; publications may be many and are only
     counted (the distinct count is split by publication before it is shuffled by edge).
     """
     rows = mapped.where(_real()).select(F.least("gene_a", "gene_b").alias("gene_a"), F.greatest("gene_a", "gene_b").alias("gene_b"),
                                         "source", "pmid", "method", "score")
     method = F.when(F.col("method") != "", F.col("method"))
+    codes = None if feed is None else {"sources": known_codes(feed, "source"), "methods": known_codes(feed, "method")}
     edges = united(rows, ["gene_a", "gene_b"], {"sources": F.col("source"), "methods": method}, [
-        F.count_distinct(F.when(F.col("pmid") != "", F.col("pmid"))).alias("n_pmids"), F.max("score").alias("string_score")])
+        F.count_distinct(F.when(F.col("pmid") != "", F.col("pmid"))).alias("n_pmids"), F.max("score").alias("string_score")], codes)
     return edges.select(
         "gene_a", "gene_b", "sources", F.size("sources").cast("long").alias("n_sources"), "n_pmids", "methods",
         "string_score", evidence_tier(F.col("sources"), F.col("n_pmids"), F.col("string_score"), experimental).alias("tier"))

@@ -10,17 +10,18 @@ from pyspark.sql import types as T
 MOST_CODES, AT_ONCE = 60, 6
 
 
-def united(df: DataFrame, keys: list[Column | str], sets: dict[str, Column], others: list[Column] | None = None) -> DataFrame:
+def united(df: DataFrame, keys: list[Column | str], sets: dict[str, Column], others: list[Column] | None = None,
+           codes: dict[str, list[str] | None] | None = None) -> DataFrame:
     """``df`` grouped by ``keys``: each entry of ``sets`` becomes a sorted array of its distinct values.
 
     One aggregate in one pass; sets are combined map-side, so a key with a third of the rows arrives as one small set per
-    task. Meant for columns of few distinct values per key (sources, relations, evidence codes). Texts of up to ``MOST_CODES``
-    values are bits of a number until they are grouped, which Spark's hash aggregate combines without sorting.
+    task. Meant for columns of few distinct values per key (sources, relations, evidence codes). Where ``codes`` names all values
+    of an entry, they are bits of a number until they are grouped, which Spark's hash aggregate combines without sorting.
     """
-    codes = {name: known_codes(df.select(c.alias(name)), name) for name, c in sets.items()}
+    known = {name: (codes or {}).get(name) for name in sets}
     keyed = df.groupBy(*keys).agg(*[
-        (F.array_sort(F.collect_set(c)) if codes[name] is None else F.bit_or(coded(c, codes[name]))).alias(name) for name, c in sets.items()], *(others or []))
-    return keyed.withColumns({name: decoded(F.col(name), known) for name, known in codes.items() if known is not None})
+        (F.array_sort(F.collect_set(c)) if known[name] is None else F.bit_or(coded(c, known[name]))).alias(name) for name, c in sets.items()], *(others or []))
+    return keyed.withColumns({name: decoded(F.col(name), some) for name, some in known.items() if some is not None})
 
 
 def known_codes(df: DataFrame, column: str) -> list[str] | None:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.unify import Pathways
-from ..operators.vocabulary import united
+from ..operators.vocabulary import known_codes, united
 
 
 class Tables:
@@ -76,12 +76,13 @@ def customer_pair(t: Tables, lines: DataFrame | None = None) -> DataFrame:
     relation = F.when(F.col("l_linestatus") == "F", "PPrel").otherwise("GPrel")
     rows = (customer_lines(t) if lines is None else lines).select(
         "set_id", F.col("p").alias("gene_a"), F.col("s").alias("gene_b"), relation.alias("relation"), "l_returnflag")
-    return united(rows, ["set_id", "gene_a", "gene_b"], {"relations": F.col("relation"), "sources": F.col("l_returnflag")})
+    return united(rows, ["set_id", "gene_a", "gene_b"], {"relations": F.col("relation"), "sources": F.col("l_returnflag")},
+                  codes={"relations": ["GPrel", "PPrel"], "sources": known_codes(t.lineitem, "l_returnflag")})
 
 
 def customer_gene(t: Tables, lines: DataFrame | None = None) -> DataFrame:
     rows = (customer_lines(t) if lines is None else lines).select("set_id", "l_returnflag", F.explode(F.array("p", "s")).alias("gene"))
-    return united(rows, ["set_id", "gene"], {"sources": F.col("l_returnflag")})
+    return united(rows, ["set_id", "gene"], {"sources": F.col("l_returnflag")}, codes={"sources": known_codes(t.lineitem, "l_returnflag")})
 
 
 def customer_set(t: Tables) -> DataFrame:

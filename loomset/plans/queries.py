@@ -171,7 +171,8 @@ def edges_within_sets(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- interaction evidence
 def _edges(t: Tables) -> DataFrame:
-    return network.integrate(network.map_feed(P.line_feed(t), None), EXPERIMENTAL)
+    feed = P.line_feed(t)
+    return network.integrate(network.map_feed(feed, None), EXPERIMENTAL, feed)
 
 
 @query("edge_evidence", f"WITH {EDGE} SELECT gene_a, gene_b, sources, n_sources, n_pmids, methods, string_score, tier FROM tiered")
